@@ -39,3 +39,107 @@ def q_corpus_prompts_novel(spark, sf):
 def q_corpus_count(spark, sf):
     return corpus.count_samples(
         corpus.corpus_samples(V.conditions(spark, sf), V.patients(spark, sf), False))
+
+
+# ---------------------------------------------------------------- exploration
+
+from casebook.operators import explore as E  # noqa: E402
+from casebook.sources.tables import read_table  # noqa: E402
+
+X = O.EXPLORE
+
+
+@register("table_counts", X["table_counts"])
+def q_table_counts(spark, sf):
+    return E.table_counts({
+        "patients": V.patients(spark, sf), "conditions": V.conditions(spark, sf),
+        "observations": V.observations(spark, sf), "encounters": V.encounters(spark, sf),
+        "medications": V.line_views(spark, sf, "medications"),
+        "procedures": V.line_views(spark, sf, "procedures"),
+        "allergies": V.line_views(spark, sf, "allergies"),
+        "immunizations": V.immunizations(spark, sf)})
+
+
+@register("gender_counts", X["gender_counts"])
+def q_gender_counts(spark, sf):
+    return E.value_counts(E.clean_demographics(V.patients(spark, sf), O.AS_OF), "GENDER")
+
+
+@register("age_histogram", X["age_histogram"])
+def q_age_histogram(spark, sf):
+    return E.equal_width_histogram(E.clean_demographics(V.patients(spark, sf), O.AS_OF), "age", 30)
+
+
+def _top_view(view_fn, keys, label):
+    def q(spark, sf):
+        return E.top_by_frequency(view_fn(spark, sf), keys, 20, label)
+    return q
+
+
+register("top_encounters", X["top_encounters"])(
+    _top_view(V.encounters, ["DESCRIPTION"], "DESCRIPTION"))
+register("top_observations", X["top_observations"])(
+    _top_view(V.observations, ["DESCRIPTION"], "DESCRIPTION"))
+register("top_immunizations", X["top_immunizations"])(
+    _top_view(V.immunizations, ["CODE"], "CODE"))
+register("top_conditions", X["top_conditions"])(
+    _top_view(V.conditions, ["DESCRIPTION", "CODE"], "DESCRIPTION"))
+
+
+def _top_line_view(name):
+    # lineitem ⋈ part views: count per part key first, then attach the part attribute.
+    def q(spark, sf):
+        counts = E.frequency_through_dimension(
+            read_table(spark, sf, "lineitem"), "l_partkey", read_table(spark, sf, "part"),
+            "p_partkey", V.LINE_VIEW_ATTR[name]).withColumnRenamed(V.LINE_VIEW_ATTR[name],
+                                                                   "DESCRIPTION")
+        return E.top_by_frequency(None, ["DESCRIPTION"], 20, "DESCRIPTION", counts=counts)
+    return q
+
+
+for _name in ("medications", "procedures", "allergies"):
+    register(f"top_{_name}", X[f"top_{_name}"])(_top_line_view(_name))
+
+
+@register("conditions_per_patient_summary", X["conditions_per_patient_summary"])
+def q_cpp_summary(spark, sf):
+    return E.describe(E.count_per_key(V.conditions(spark, sf), "PATIENT"), "n")
+
+
+@register("conditions_hist", X["conditions_hist"])
+def q_conditions_hist(spark, sf):
+    return E.equal_width_histogram(E.count_per_key(V.conditions(spark, sf), "PATIENT"), "n", 50)
+
+
+@register("value_summary", X["value_summary"])
+def q_value_summary(spark, sf):
+    return E.describe(E.numeric_values(V.observations(spark, sf), O.OBS_KIND), "value")
+
+
+@register("value_histogram", X["value_histogram"])
+def q_value_histogram(spark, sf):
+    return E.equal_width_histogram(E.numeric_values(V.observations(spark, sf), O.OBS_KIND),
+                                   "value", 50)
+
+
+@register("age_by_encounter", X["age_by_encounter"])
+def q_age_by_encounter(spark, sf):
+    return E.age_at_encounter(V.encounters(spark, sf), V.patients(spark, sf), 10)
+
+
+@register("age_boxplot", X["age_boxplot"])
+def q_age_boxplot(spark, sf):
+    return E.box_stats(E.age_at_encounter(V.encounters(spark, sf), V.patients(spark, sf), 10),
+                       "DESCRIPTION", "age_at_encounter")
+
+
+@register("conditions_vs_encounters", X["conditions_vs_encounters"])
+def q_cond_vs_enc(spark, sf):
+    return E.conditions_vs_encounters(V.conditions(spark, sf), V.encounters(spark, sf))
+
+
+@register("conditions_vs_encounters_pairs", X["conditions_vs_encounters_pairs"])
+def q_cond_vs_enc_pairs(spark, sf):
+    return E.pair_counts(E.conditions_vs_encounters(V.conditions(spark, sf),
+                                                    V.encounters(spark, sf)),
+                         "num_conditions", "num_encounters")

@@ -132,3 +132,144 @@ def corpus_prompts_sql(allow_repeats: bool = True) -> str:
 def corpus_count_sql(allow_repeats: bool = True) -> str:
     return with_views("SELECT CAST(count(*) AS BIGINT) AS n_rows FROM samples", "conditions",
                       "patients", extra=_corpus_sql(allow_repeats))
+
+
+# ---------------------------------------------------------------- exploration
+
+AS_OF = "2025-01-01"
+OBS_KIND = "purchase"
+
+
+def hist_sql(src: str, col: str, bins: int) -> str:
+    """Equal-width histogram of ``col`` from the SELECT ``src`` (same formula as Spark)."""
+    return f"""
+    , vals AS (SELECT CAST({col} AS DOUBLE) AS x FROM ({src}) s WHERE {col} IS NOT NULL),
+    st0 AS (SELECT min(x) AS lo0, max(x) AS hi0 FROM vals),
+    st AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                  CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM st0),
+    b AS (SELECT least(CAST(floor((x - lo) * ({bins} / (hi - lo))) AS INTEGER), {bins - 1}) AS bin,
+                 count(*) AS n
+          FROM vals, st GROUP BY 1),
+    grid AS (SELECT CAST(range AS INTEGER) AS bin,
+                    lo + (hi - lo) * CAST(range AS INTEGER) / {bins} AS bin_lo,
+                    lo + (hi - lo) * (CAST(range AS INTEGER) + 1) / {bins} AS bin_hi
+             FROM range({bins}), st)
+    SELECT grid.bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi,
+           CAST(coalesce(b.n, 0) AS BIGINT) AS n
+    FROM grid LEFT JOIN b ON grid.bin = b.bin"""
+
+
+def describe_sql(src: str, col: str) -> str:
+    return f"""
+    SELECT CAST(count(x) AS BIGINT) AS n, round(avg(x), 6) AS mean,
+           round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min,
+           round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS q50,
+           round(quantile_cont(x, 0.75), 6) AS q75, round(max(x), 6) AS max
+    FROM (SELECT CAST({col} AS DOUBLE) AS x FROM ({src}) s WHERE {col} IS NOT NULL) v"""
+
+
+def top_sql(view: str, keys: list[str], n: int, label: str | None = None) -> str:
+    k = ", ".join(keys)
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+    lab = f", substr({label}, 1, 50) || '...' AS label" if label else ""
+    order = ", ".join(f"{c} ASC" for c in keys)
+    return with_views(f"""
+        SELECT {k}, CAST(count(*) AS BIGINT) AS n{lab}
+        FROM {view} WHERE {notnull} GROUP BY {k}
+        ORDER BY n DESC, {order} LIMIT {n}""", view)
+
+
+DEMOGRAPHICS = f"""
+    SELECT GENDER, date_diff('day', b, DATE '{AS_OF}') / 365.25 AS age
+    FROM (SELECT GENDER, TRY_CAST(CAST(BIRTHDATE AS VARCHAR) AS DATE) AS b FROM patients
+          WHERE BIRTHDATE IS NOT NULL AND GENDER IS NOT NULL) p
+    WHERE b IS NOT NULL AND date_diff('day', b, DATE '{AS_OF}') / 365.25 >= 0"""
+
+NUMERIC_VALUES = f"""
+    SELECT TRY_CAST(trim(VALUE) AS DOUBLE) AS value FROM observations
+    WHERE DESCRIPTION = '{OBS_KIND}' AND VALUE IS NOT NULL
+      AND TRY_CAST(trim(VALUE) AS DOUBLE) IS NOT NULL"""
+
+COND_VS_ENC = """
+    SELECT c.PATIENT, c.num_conditions, e.num_encounters
+    FROM (SELECT PATIENT, CAST(count(*) AS BIGINT) AS num_conditions FROM conditions
+          GROUP BY PATIENT) c
+    JOIN (SELECT PATIENT, CAST(count(*) AS BIGINT) AS num_encounters FROM encounters
+          GROUP BY PATIENT) e ON c.PATIENT = e.PATIENT"""
+
+AGE_AT_ENCOUNTER = """
+    SELECT ec.encounter_id, ec.DESCRIPTION,
+           CAST(date_diff('year', pc.b, ec.d) AS INTEGER) AS age_at_encounter
+    FROM (SELECT ID AS encounter_id, PATIENT, DESCRIPTION,
+                 TRY_CAST(CAST(DATE AS VARCHAR) AS DATE) AS d FROM encounters) ec
+    JOIN (SELECT ID, TRY_CAST(CAST(BIRTHDATE AS VARCHAR) AS DATE) AS b FROM patients) pc
+      ON ec.PATIENT = pc.ID
+    WHERE ec.d IS NOT NULL AND pc.b IS NOT NULL AND ec.d >= pc.b
+      AND ec.DESCRIPTION IN (SELECT DESCRIPTION FROM encounters WHERE DESCRIPTION IS NOT NULL
+                             GROUP BY DESCRIPTION ORDER BY count(*) DESC, DESCRIPTION LIMIT 10)
+      AND date_diff('year', pc.b, ec.d) >= 0"""
+
+EXPLORE = {
+    "table_counts": with_views(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows FROM {t}"
+        for t in ("patients", "conditions", "observations", "encounters", "medications",
+                  "procedures", "allergies", "immunizations")),
+        "patients", "conditions", "observations", "encounters", "medications", "procedures",
+        "allergies", "immunizations"),
+    "gender_counts": with_views(
+        "SELECT GENDER, CAST(count(*) AS BIGINT) AS n FROM demo GROUP BY GENDER",
+        "patients", extra={"demo": DEMOGRAPHICS}),
+    "top_encounters": top_sql("encounters", ["DESCRIPTION"], 20, "DESCRIPTION"),
+    "top_observations": top_sql("observations", ["DESCRIPTION"], 20, "DESCRIPTION"),
+    "top_medications": top_sql("medications", ["DESCRIPTION"], 20, "DESCRIPTION"),
+    "top_procedures": top_sql("procedures", ["DESCRIPTION"], 20, "DESCRIPTION"),
+    "top_allergies": top_sql("allergies", ["DESCRIPTION"], 20, "DESCRIPTION"),
+    "top_immunizations": top_sql("immunizations", ["CODE"], 20, "CODE"),
+    "top_conditions": top_sql("conditions", ["DESCRIPTION", "CODE"], 20, "DESCRIPTION"),
+    "conditions_per_patient_summary": with_views(
+        describe_sql("SELECT PATIENT, count(*) AS n FROM conditions GROUP BY PATIENT", "n"),
+        "conditions"),
+    "value_summary": with_views(describe_sql(NUMERIC_VALUES, "value"), "observations"),
+    "age_by_encounter": with_views(AGE_AT_ENCOUNTER, "encounters", "patients"),
+    "age_boxplot": with_views("""
+        SELECT q.DESCRIPTION, CAST(q.n AS BIGINT) AS n, round(q.q1, 6) AS q1,
+               round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+               round(min(CASE WHEN a.x BETWEEN f.lo_f AND f.hi_f THEN a.x END), 6) AS whisker_lo,
+               round(max(CASE WHEN a.x BETWEEN f.lo_f AND f.hi_f THEN a.x END), 6) AS whisker_hi,
+               CAST(count(CASE WHEN NOT (a.x BETWEEN f.lo_f AND f.hi_f) THEN 1 END) AS BIGINT)
+                   AS n_outliers
+        FROM (SELECT DESCRIPTION, CAST(age_at_encounter AS DOUBLE) AS x FROM aae) a
+        JOIN q ON a.DESCRIPTION = q.DESCRIPTION
+        JOIN (SELECT DESCRIPTION, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f
+              FROM q) f ON a.DESCRIPTION = f.DESCRIPTION
+        GROUP BY q.DESCRIPTION, q.n, q.q1, q.median, q.q3""",
+        "encounters", "patients",
+        extra={"aae": AGE_AT_ENCOUNTER,
+               "q": """SELECT DESCRIPTION, count(*) AS n,
+                              quantile_cont(CAST(age_at_encounter AS DOUBLE), 0.25) AS q1,
+                              quantile_cont(CAST(age_at_encounter AS DOUBLE), 0.5) AS median,
+                              quantile_cont(CAST(age_at_encounter AS DOUBLE), 0.75) AS q3
+                       FROM aae GROUP BY DESCRIPTION"""}),
+    "conditions_vs_encounters": with_views("SELECT * FROM cve", "conditions", "encounters",
+                                           extra={"cve": COND_VS_ENC}),
+}
+EXPLORE["conditions_vs_encounters_pairs"] = with_views("""
+    SELECT num_conditions, num_encounters, CAST(count(*) AS BIGINT) AS n_patients
+    FROM cve GROUP BY num_conditions, num_encounters""", "conditions", "encounters",
+    extra={"cve": COND_VS_ENC})
+
+
+def _hist_query(views: tuple, extra: dict, src: str, col: str, bins: int) -> str:
+    """with_views(...) for a histogram whose source needs extra CTEs first."""
+    head = with_views("SELECT 1", *views, extra=extra)
+    head = head[: head.rindex("SELECT 1")].rstrip()
+    return head + hist_sql(src, col, bins)
+
+
+EXPLORE["age_histogram"] = _hist_query(("patients",), {"demo": DEMOGRAPHICS},
+                                       "SELECT age FROM demo", "age", 30)
+EXPLORE["conditions_hist"] = _hist_query(
+    ("conditions",), {"cpp": "SELECT PATIENT, count(*) AS n FROM conditions GROUP BY PATIENT"},
+    "SELECT n FROM cpp", "n", 50)
+EXPLORE["value_histogram"] = _hist_query(("observations",), {"nv": NUMERIC_VALUES},
+                                         "SELECT value FROM nv", "value", 50)
