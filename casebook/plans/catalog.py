@@ -143,3 +143,57 @@ def q_cond_vs_enc_pairs(spark, sf):
     return E.pair_counts(E.conditions_vs_encounters(V.conditions(spark, sf),
                                                     V.encounters(spark, sf)),
                          "num_conditions", "num_encounters")
+
+
+# ---------------------------------------------------------------- metrics
+
+from casebook.operators import metrics as M  # noqa: E402
+
+MX = O.METRICS
+
+
+def _ok(spark, sf):
+    return M.processed_rows(V.predictions(spark, sf))
+
+
+@register("prediction_rows", MX["prediction_rows"])
+def q_prediction_rows(spark, sf):
+    from pyspark.sql import functions as F
+    return _ok(spark, sf).withColumn("confidence", F.round("confidence", 6))
+
+
+register("run_summary", MX["run_summary"])(lambda spark, sf: M.run_summary(V.predictions(spark, sf)))
+register("accuracy", MX["accuracy"])(
+    lambda spark, sf: M.accuracy(M.diagnosis_records(V.predictions(spark, sf))))
+register("prf_one_class", MX["prf_one_class"])(
+    lambda spark, sf: M.prf_for(M.diagnosis_records(V.predictions(spark, sf)), O.CONDITION))
+register("class_report", MX["class_report"])(lambda spark, sf: M.class_report(_ok(spark, sf)))
+register("averaged_f1", MX["averaged_f1"])(lambda spark, sf: M.overall_scores(_ok(spark, sf)))
+
+
+@register("confusion_matrix", MX["confusion_matrix"])
+def q_confusion_matrix(spark, sf):
+    ok = _ok(spark, sf)
+    return M.confusion_matrix(ok, M.top_labels(ok, "true_diagnosis", 10))
+
+
+register("latency_report", MX["latency_report"])(
+    lambda spark, sf: M.latency_stats(V.latencies(spark, sf)))
+register("agent_usage", MX["agent_usage"])(lambda spark, sf: M.agent_usage(_ok(spark, sf)))
+register("agent_accuracy", MX["agent_accuracy"])(lambda spark, sf: M.agent_accuracy(_ok(spark, sf)))
+register("calibration_fixed", MX["calibration_fixed"])(
+    lambda spark, sf: M.calibration_fixed(_ok(spark, sf)))
+register("calibration_adaptive", MX["calibration_adaptive"])(
+    lambda spark, sf: M.calibration_adaptive(_ok(spark, sf)))
+register("confidence_hist", MX["confidence_hist"])(
+    lambda spark, sf: M.confidence_histogram(_ok(spark, sf)))
+register("prefix_filtered_eval", MX["prefix_filtered_eval"])(
+    lambda spark, sf: M.prefix_filter(V.predictions(spark, sf), O.PREFIX, ("true_diagnosis",))
+    .select("sample_id", "true_diagnosis", "predicted_diagnosis"))
+
+
+@register("metrics_report", MX["metrics_report"])
+def q_metrics_report(spark, sf):
+    preds = V.predictions(spark, sf)
+    labels = M.top_labels(M.processed_rows(preds), "true_diagnosis", 10)
+    return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels)

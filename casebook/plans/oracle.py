@@ -273,3 +273,255 @@ EXPLORE["conditions_hist"] = _hist_query(
     "SELECT n FROM cpp", "n", 50)
 EXPLORE["value_histogram"] = _hist_query(("observations",), {"nv": NUMERIC_VALUES},
                                          "SELECT value FROM nv", "value", 50)
+
+
+# ---------------------------------------------------------------- metrics
+
+from casebook.operators.metrics import FIXED_EDGES, N_BINS  # noqa: E402
+
+PREFIX = "s"
+CONDITION = "purchase"
+
+PROCESSED = """
+    SELECT sample_id, CAST(true_diagnosis AS VARCHAR) AS true_diagnosis,
+           CAST(predicted_diagnosis AS VARCHAR) AS predicted_diagnosis, confidence, agent_used,
+           CAST(true_diagnosis AS VARCHAR) = CAST(predicted_diagnosis AS VARCHAR) AS correct
+    FROM predictions
+    WHERE nullif(CAST(true_diagnosis AS VARCHAR), '') IS NOT NULL
+      AND nullif(CAST(predicted_diagnosis AS VARCHAR), '') IS NOT NULL"""
+
+RECORDS = """
+    SELECT sample_id, predicted_diagnosis, true_diagnosis AS ground_truth, confidence
+    FROM predictions"""
+
+PER_CLASS = """
+    SELECT coalesce(nt.label, np.label) AS label, coalesce(tp.tp, 0) AS tp,
+           coalesce(nt.n_true, 0) AS n_true, coalesce(np.n_pred, 0) AS n_pred
+    FROM (SELECT true_diagnosis AS label, count(*) AS n_true FROM ok GROUP BY 1) nt
+    FULL OUTER JOIN (SELECT predicted_diagnosis AS label, count(*) AS n_pred FROM ok GROUP BY 1) np
+      ON nt.label = np.label
+    LEFT JOIN (SELECT true_diagnosis AS label, count(*) AS tp FROM ok
+               WHERE true_diagnosis = predicted_diagnosis GROUP BY 1) tp
+      ON tp.label = coalesce(nt.label, np.label)"""
+
+CLS = """
+    SELECT label, precision, recall,
+           CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                ELSE 0.0 END AS f1, support
+    FROM (SELECT label, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END AS precision,
+                 CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END AS recall,
+                 n_true AS support FROM pc) c"""
+
+CLASS_REPORT = """
+    SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+           round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM cls
+    UNION ALL
+    SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+           CAST(sum(support) AS BIGINT) FROM cls
+    UNION ALL
+    SELECT 'weighted avg',
+           round(coalesce(sum(precision * support) / nullif(sum(support), 0), 0.0), 6),
+           round(coalesce(sum(recall * support) / nullif(sum(support), 0), 0.0), 6),
+           round(coalesce(sum(f1 * support) / nullif(sum(support), 0), 0.0), 6),
+           CAST(sum(support) AS BIGINT) FROM cls"""
+
+TOP_LABELS = """
+    SELECT true_diagnosis AS label FROM ok WHERE true_diagnosis IS NOT NULL
+    GROUP BY true_diagnosis ORDER BY count(*) DESC, true_diagnosis LIMIT 10"""
+
+LATENCY = """
+    SELECT operation, is_overall, round(coalesce(avg_ms, 0.0), 6) AS avg_ms,
+           round(coalesce(min_ms, 0.0), 6) AS min_ms, round(coalesce(max_ms, 0.0), 6) AS max_ms,
+           round(coalesce(p95_ms, 0.0), 6) AS p95_ms, CAST(count AS BIGINT) AS count
+    FROM (SELECT operation, GROUPING(operation) = 1 AS is_overall,
+                 avg(duration_ms) AS avg_ms, min(duration_ms) AS min_ms,
+                 max(duration_ms) AS max_ms, quantile_cont(duration_ms, 0.95) AS p95_ms,
+                 count(duration_ms) AS count
+          FROM latencies GROUP BY GROUPING SETS ((operation), ())) g"""
+
+
+def _dbl(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
+
+
+_fixed_bin = " + ".join(f"(CASE WHEN confidence >= {_dbl(e)} THEN 1 ELSE 0 END)"
+                        for e in FIXED_EDGES) + " - 1"
+_fixed_centers = ", ".join(f"({i}, {_dbl((FIXED_EDGES[i] + FIXED_EDGES[i + 1]) / 2)})"
+                           for i in range(N_BINS))
+CALIBRATION_FIXED = f"""
+    SELECT c.bin, round(c.bin_center, 6) AS bin_center, CAST(coalesce(a.n, 0) AS BIGINT) AS n,
+           round(coalesce(a.acc, 0.0), 6) AS accuracy
+    FROM (VALUES {_fixed_centers}) c(bin, bin_center)
+    LEFT JOIN (SELECT bin, count(*) AS n, avg(CAST(correct AS DOUBLE)) AS acc
+               FROM (SELECT {_fixed_bin} AS bin, correct FROM ok
+                     WHERE NOT isnan(CAST(confidence AS DOUBLE))) b
+               WHERE bin >= 0 AND bin < {N_BINS} GROUP BY bin) a ON a.bin = c.bin"""
+
+
+def _edge(i: int) -> str:
+    return "hi" if i == N_BINS else f"{i} * ((hi - lo) / {N_BINS}) + lo"
+
+
+_adaptive_bin = " + ".join(f"(CASE WHEN x >= {_edge(i)} THEN 1 ELSE 0 END)"
+                           for i in range(1, N_BINS))
+_adaptive_centers = " UNION ALL ".join(
+    f"SELECT {i} AS bin, ({_edge(i)} + {_edge(i + 1)}) / 2 AS bin_center FROM st"
+    for i in range(N_BINS))
+CALIBRATION_ADAPTIVE = f"""
+    , v AS (SELECT coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) AS x, correct FROM ok),
+    st AS (SELECT CASE WHEN mn = mx THEN mn - 0.05 ELSE mn END AS lo,
+                  CASE WHEN mn = mx THEN mn + 0.05 ELSE mx END AS hi
+           FROM (SELECT min(x) AS mn, max(x) AS mx, count(*) AS cnt FROM v) s WHERE cnt > 10),
+    b AS (SELECT {_adaptive_bin} AS bin, correct FROM v, st)
+    SELECT b.bin, round(c.bin_center, 6) AS bin_center, CAST(count(*) AS BIGINT) AS n,
+           round(avg(CAST(b.correct AS DOUBLE)), 6) AS accuracy
+    FROM b JOIN ({_adaptive_centers}) c ON b.bin = c.bin
+    GROUP BY b.bin, c.bin_center"""
+
+CONFIDENCE_HIST = f"""
+    , v AS (SELECT coalesce(TRY_CAST(confidence AS DOUBLE), 0.0) AS x, correct FROM ok),
+    st AS (SELECT CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                  CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi
+           FROM (SELECT min(x) AS lo0, max(x) AS hi0 FROM v) s),
+    b AS (SELECT correct,
+                 least(CAST(floor((x - lo) * ({N_BINS} / (hi - lo))) AS INTEGER), {N_BINS - 1}) AS bin,
+                 count(*) AS n
+          FROM v, st GROUP BY 1, 2),
+    grid AS (SELECT c.correct, CAST(r.range AS INTEGER) AS bin,
+                    lo + (hi - lo) * CAST(r.range AS INTEGER) / {N_BINS} AS bin_lo,
+                    lo + (hi - lo) * (CAST(r.range AS INTEGER) + 1) / {N_BINS} AS bin_hi
+             FROM range({N_BINS}) r, (VALUES (true), (false)) c(correct), st)
+    SELECT grid.correct, grid.bin, round(bin_lo, 6) AS bin_lo, round(bin_hi, 6) AS bin_hi,
+           CAST(coalesce(b.n, 0) AS BIGINT) AS n
+    FROM grid LEFT JOIN b ON grid.bin = b.bin AND grid.correct = b.correct"""
+
+
+def _with_ok(body: str, **extra) -> str:
+    return with_views(body, "predictions", extra={"ok": PROCESSED, **extra})
+
+
+def _cte_tail(body_with_leading_comma: str, **extra) -> str:
+    head = _with_ok("SELECT 1", **extra)
+    return head[: head.rindex("SELECT 1")].rstrip() + body_with_leading_comma
+
+
+METRICS = {
+    "prediction_rows": _with_ok("""
+        SELECT CAST(row_number() OVER (ORDER BY sample_id) - 1 AS BIGINT) AS sample_index,
+               sample_id, true_diagnosis, predicted_diagnosis, round(confidence, 6) AS confidence,
+               agent_used, correct
+        FROM ok"""),
+    "run_summary": with_views("""
+        SELECT CAST(count(*) AS BIGINT) AS total,
+               CAST(count(*) FILTER (WHERE reason IS NULL) AS BIGINT) AS processed,
+               CAST(count(reason) AS BIGINT) AS skipped,
+               CAST(count(*) FILTER (WHERE reason = 'missing_truth') AS BIGINT)
+                   AS skipped_missing_truth,
+               CAST(count(*) FILTER (WHERE reason = 'missing_prediction') AS BIGINT)
+                   AS skipped_missing_prediction
+        FROM (SELECT CASE WHEN nullif(CAST(true_diagnosis AS VARCHAR), '') IS NULL
+                               THEN 'missing_truth'
+                          WHEN nullif(CAST(predicted_diagnosis AS VARCHAR), '') IS NULL
+                               THEN 'missing_prediction' END AS reason
+              FROM predictions) r""", "predictions"),
+    "accuracy": with_views("""
+        SELECT CAST(n_with_truth AS BIGINT) AS n_with_truth, CAST(n_correct AS BIGINT) AS n_correct,
+               round(CASE WHEN n_with_truth > 0 THEN n_correct / n_with_truth ELSE 0.0 END, 6)
+                   AS accuracy
+        FROM (SELECT count(*) FILTER (WHERE ground_truth IS NOT NULL) AS n_with_truth,
+                     count(*) FILTER (WHERE ground_truth IS NOT NULL AND ground_truth <> ''
+                                      AND ground_truth = predicted_diagnosis) AS n_correct
+              FROM rec) a""", "predictions", extra={"rec": RECORDS}),
+    "prf_one_class": with_views(f"""
+        SELECT '{CONDITION}' AS condition, round(p, 6) AS precision, round(r, 6) AS recall,
+               round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1
+        FROM (SELECT CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p,
+                     CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r
+              FROM (SELECT
+                      count(*) FILTER (WHERE predicted_diagnosis IS NOT DISTINCT FROM '{CONDITION}'
+                                         AND ground_truth = '{CONDITION}') AS tp,
+                      count(*) FILTER (WHERE predicted_diagnosis IS NOT DISTINCT FROM '{CONDITION}'
+                                         AND ground_truth <> '{CONDITION}') AS fp,
+                      count(*) FILTER (WHERE predicted_diagnosis IS DISTINCT FROM '{CONDITION}'
+                                         AND ground_truth = '{CONDITION}') AS fn
+                    FROM rec WHERE ground_truth IS NOT NULL) c) s""",
+        "predictions", extra={"rec": RECORDS}),
+    "class_report": _with_ok(CLASS_REPORT, pc=PER_CLASS, cls=CLS),
+    "averaged_f1": _with_ok("""
+        SELECT CAST(a.n AS BIGINT) AS n, round(CASE WHEN a.n > 0 THEN a.c / a.n ELSE 0.0 END, 6)
+                   AS accuracy,
+               w.precision AS precision_weighted, w.recall AS recall_weighted,
+               w.f1 AS f1_weighted, m.f1 AS f1_macro
+        FROM (SELECT count(*) AS n, count(*) FILTER (WHERE true_diagnosis = predicted_diagnosis)
+                     AS c FROM ok) a,
+             (SELECT * FROM rep WHERE label = 'weighted avg') w,
+             (SELECT * FROM rep WHERE label = 'macro avg') m""",
+        pc=PER_CLASS, cls=CLS, rep=CLASS_REPORT),
+    "confusion_matrix": _with_ok("""
+        SELECT a.label AS actual, p.label AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+        FROM labs a CROSS JOIN labs p
+        LEFT JOIN (SELECT true_diagnosis, predicted_diagnosis, count(*) AS n FROM ok
+                   GROUP BY 1, 2) c
+          ON c.true_diagnosis = a.label AND c.predicted_diagnosis = p.label""",
+        labs=TOP_LABELS),
+    "latency_report": with_views(LATENCY, "latencies"),
+    "agent_usage": _with_ok("SELECT agent_used, CAST(count(*) AS BIGINT) AS n FROM ok "
+                            "GROUP BY agent_used"),
+    "agent_accuracy": _with_ok("""
+        SELECT agent_used, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS n_correct,
+               CAST(count(*) AS BIGINT) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy
+        FROM ok GROUP BY agent_used"""),
+    "calibration_fixed": _with_ok(CALIBRATION_FIXED),
+    "calibration_adaptive": _cte_tail(CALIBRATION_ADAPTIVE),
+    "confidence_hist": _cte_tail(CONFIDENCE_HIST),
+    "prefix_filtered_eval": with_views(f"""
+        SELECT sample_id, true_diagnosis, predicted_diagnosis FROM predictions
+        WHERE coalesce(nullif(CAST(true_diagnosis AS VARCHAR), ''), NULL) IS NOT NULL
+          AND starts_with(CAST(true_diagnosis AS VARCHAR), '{PREFIX}')""", "predictions"),
+}
+
+METRICS["metrics_report"] = with_views(f"""
+    SELECT section, name, metric, round(value, 6) AS value FROM (
+      SELECT 'overall' AS section, '' AS name, 'accuracy' AS metric,
+             CAST(accuracy AS DOUBLE) AS value FROM acc
+      UNION ALL
+      SELECT 'overall', '', 'total_diagnoses', CAST(count(*) AS DOUBLE) FROM rec
+      UNION ALL
+      SELECT CASE WHEN is_overall THEN 'latency' ELSE 'operation' END,
+             coalesce(operation, ''), m.metric,
+             CASE m.metric WHEN 'avg_ms' THEN avg_ms WHEN 'min_ms' THEN min_ms
+                           WHEN 'max_ms' THEN max_ms WHEN 'p95_ms' THEN p95_ms
+                           ELSE CAST(count AS DOUBLE) END
+      FROM lat, (VALUES ('avg_ms'), ('min_ms'), ('max_ms'), ('p95_ms'), ('count')) m(metric)
+      UNION ALL
+      SELECT 'condition', l.label, m.metric,
+             CASE m.metric WHEN 'precision' THEN p WHEN 'recall' THEN r
+                  ELSE CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END END
+      FROM (SELECT labs.label,
+                   CASE WHEN coalesce(n_pred, 0) > 0 THEN coalesce(tp, 0) / n_pred ELSE 0.0 END AS p,
+                   CASE WHEN coalesce(n_true, 0) > 0 THEN coalesce(tp, 0) / n_true ELSE 0.0 END AS r
+            FROM labs LEFT JOIN pcr ON labs.label = pcr.label) l,
+           (VALUES ('precision'), ('recall'), ('f1')) m(metric)
+      UNION ALL
+      SELECT 'confusion', a.label || ' -> ' || p.label, 'count', CAST(coalesce(c.n, 0) AS DOUBLE)
+      FROM labs a CROSS JOIN labs p
+      LEFT JOIN (SELECT ground_truth, predicted_diagnosis, count(*) AS n FROM rec
+                 WHERE ground_truth IS NOT NULL GROUP BY 1, 2) c
+        ON c.ground_truth = a.label AND c.predicted_diagnosis = p.label
+    ) u""", "predictions", "latencies", extra={
+    "ok": PROCESSED, "rec": RECORDS, "labs": TOP_LABELS,
+    "acc": """SELECT CASE WHEN count(*) FILTER (WHERE ground_truth IS NOT NULL) > 0
+                     THEN count(*) FILTER (WHERE ground_truth IS NOT NULL AND ground_truth <> ''
+                                           AND ground_truth = predicted_diagnosis)
+                          / count(*) FILTER (WHERE ground_truth IS NOT NULL)
+                     ELSE 0.0 END AS accuracy FROM rec""",
+    "lat": LATENCY,
+    "pcr": """
+        SELECT coalesce(nt.label, np.label) AS label, tp.tp, nt.n_true, np.n_pred
+        FROM (SELECT ground_truth AS label, count(*) AS n_true FROM rec
+              WHERE ground_truth IS NOT NULL GROUP BY 1) nt
+        FULL OUTER JOIN (SELECT predicted_diagnosis AS label, count(*) AS n_pred FROM rec
+                         WHERE ground_truth IS NOT NULL GROUP BY 1) np ON nt.label = np.label
+        LEFT JOIN (SELECT ground_truth AS label, count(*) AS tp FROM rec
+                   WHERE ground_truth = predicted_diagnosis GROUP BY 1) tp
+          ON tp.label = coalesce(nt.label, np.label)"""})
