@@ -197,3 +197,96 @@ def q_metrics_report(spark, sf):
     preds = V.predictions(spark, sf)
     labels = M.top_labels(M.processed_rows(preds), "true_diagnosis", 10)
     return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels)
+
+
+# ---------------------------------------------------------------- routing / voting / parsing
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from casebook.operators import answers as A  # noqa: E402
+from casebook.operators import consensus as C  # noqa: E402
+from casebook.operators import routing as R  # noqa: E402
+
+VT = O.VOTING
+
+
+def _routed(spark, sf):
+    return R.route(V.notes(spark, sf))
+
+
+def _fanout(spark, sf):
+    return R.fan_out(_routed(spark, sf), V.agent_answers(spark, sf))
+
+
+@register("route_notes", VT["route_notes"])
+def q_route_notes(spark, sf):
+    return _routed(spark, sf).select("note_id", F.array_join("agents", ",").alias("agents"),
+                                     F.size("agents").cast("long").alias("n_agents"))
+
+
+register("route_summary", VT["route_summary"])(
+    lambda spark, sf: R.route_summary(_routed(spark, sf)))
+register("route_fanout", VT["route_fanout"])(
+    lambda spark, sf: _fanout(spark, sf).select("case_id", "agent_id", "diagnosis",
+                                                F.round("confidence", 6).alias("confidence")))
+
+
+def _round_score(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+register("vote_softmax", VT["vote_softmax"])(
+    lambda spark, sf: _round_score(C.vote(V.agent_answers(spark, sf), "softmax")))
+register("vote_majority", VT["vote_majority"])(
+    lambda spark, sf: _round_score(C.vote(V.agent_answers(spark, sf), "majority")))
+
+
+@register("vote_scores", VT["vote_scores"])
+def q_vote_scores(spark, sf):
+    t = C.score_table(V.agent_answers(spark, sf))
+    return t.select("case_id", "diagnosis", F.col("n_votes").cast("long").alias("n_votes"),
+                    *[F.round(c, 6).alias(c) for c in ("avg_confidence", "median_confidence",
+                                                       "softmax_score", "majority_score")])
+
+
+@register("case_pipeline", VT["case_pipeline"])
+def q_case_pipeline(spark, sf):
+    out = C.case_pipeline(_fanout(spark, sf))
+    return out.select("case_id", "softmax_diagnosis", F.round("softmax_score", 6).alias("softmax_score"),
+                      "majority_diagnosis", F.round("majority_score", 6).alias("majority_score"))
+
+
+def _candidates(spark, sf):
+    from casebook.functions.columns import clamp01
+    return _fanout(spark, sf).select("case_id", "agent_id", F.col("diagnosis").alias("answer"),
+                                     clamp01("confidence").alias("confidence"), "answer_seq")
+
+
+register("refine_prompt", VT["refine_prompt"])(
+    lambda spark, sf: A.refinement_prompts(
+        V.notes(spark, sf).withColumnRenamed("note_id", "case_id"), _candidates(spark, sf)))
+register("refine_numbered", VT["refine_numbered"])(
+    lambda spark, sf: A.numbered_agent_list(
+        V.notes(spark, sf).withColumnRenamed("note_id", "case_id"), _candidates(spark, sf)))
+
+
+@register("refine_parse", VT["refine_parse"])
+def q_refine_parse(spark, sf):
+    p = A.parse_refined(V.refined_outputs(spark, sf))
+    return p.select("case_id", "line", "reject_reason", "ok", "diagnosis", "reasoning",
+                    F.round("confidence", 6).alias("confidence"))
+
+
+@register("sectioned_answer", VT["sectioned_answer"])
+def q_sectioned_answer(spark, sf):
+    p = A.parse_sections(V.sectioned_answers(spark, sf))
+    return p.select("case_id", "line", "part", "primary",
+                    F.array_join("secondary", ",").alias("secondary"),
+                    F.size("secondary").cast("long").alias("n_secondary"), "rationale")
+
+
+@register("delimited_answers", VT["delimited_answers"])
+def q_delimited_answers(spark, sf):
+    p = A.parse_delimited(V.delimited_lines(spark, sf))
+    return p.select("case_id", "part", "reject_reason", "ok", "agent_id", "diagnosis",
+                    F.round("confidence", 6).alias("confidence"))

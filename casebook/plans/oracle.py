@@ -525,3 +525,214 @@ METRICS["metrics_report"] = with_views(f"""
         LEFT JOIN (SELECT ground_truth AS label, count(*) AS tp FROM rec
                    WHERE ground_truth = predicted_diagnosis GROUP BY 1) tp
           ON tp.label = coalesce(nt.label, np.label)"""})
+
+
+# ---------------------------------------------------------------- routing / voting / parsing
+
+from casebook.operators.routing import DEFAULT_ROUTES, quote, usable  # noqa: E402
+
+STRIP = "regexp_replace({x}, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')"
+
+
+def _strip(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+def _route_list(text: str) -> str:
+    hits = []
+    for d in usable(DEFAULT_ROUTES):
+        if not d.agent_id:
+            continue
+        alts = "|".join(quote(k) for k in d.keywords if k)
+        pat = f"(?i)(^|[^\\p{{L}}\\p{{N}}_])({alts})($|[^\\p{{L}}\\p{{N}}_])"
+        hits.append(f"CASE WHEN regexp_matches({text}, '{pat}') THEN '{d.agent_id}' END")
+    return f"list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda x: x IS NOT NULL)))"
+
+
+ROUTED = f"SELECT note_id, text, {_route_list('text')} AS agents FROM notes"
+
+FANOUT = """
+    SELECT a.case_id, a.agent_id, a.diagnosis, a.confidence, a.seq1, a.seq2, a.seq3
+    FROM (SELECT note_id AS case_id, unnest(agents) AS agent_id FROM routed) r
+    JOIN agent_answers a ON a.case_id = r.case_id AND a.agent_id = r.agent_id"""
+
+
+def _clamp(x: str) -> str:
+    return f"greatest(0.0, least(CASE WHEN isnan({x}) THEN NULL ELSE {x} END, 1.0))"
+
+
+def _vote_ctes(src: str, temp: float = 1.0) -> dict:
+    return {
+        "va": f"""SELECT case_id, diagnosis, {_clamp('confidence')} AS conf,
+                         dense_rank() OVER (PARTITION BY case_id ORDER BY seq1, seq2, seq3) AS seq
+                  FROM {src}""",
+        "vp": """SELECT case_id, diagnosis, count(*) AS n_votes, round(avg(conf), 9) AS avg_c,
+                        median(conf) AS med_c, min(seq) AS first_seen
+                 FROM va GROUP BY case_id, diagnosis""",
+        "vs": f"""SELECT *, e / sum(e) OVER (PARTITION BY case_id) AS score FROM (
+                    SELECT *, exp(avg_c / {temp!r} - max(avg_c / {temp!r}) OVER (PARTITION BY case_id))
+                              AS e FROM vp) t""",
+        "vm": "SELECT *, n_votes / sum(n_votes) OVER (PARTITION BY case_id) AS score FROM vp",
+    }
+
+
+def _winner(cte: str) -> str:
+    return f"""
+        SELECT case_id, diagnosis, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, med_c DESC,
+                                       first_seen ASC, diagnosis ASC) AS rn FROM {cte}) w
+        WHERE rn = 1"""
+
+
+CAND = f"""
+    SELECT case_id, agent_id, diagnosis AS answer, {_clamp('confidence')} AS confidence,
+           seq1, seq2, seq3 FROM fanout"""
+
+_BLOCK = ("'[' || agent_id || ']' || CASE WHEN confidence IS NULL THEN '' "
+          "ELSE ' (confidence=' || printf('%.2f', confidence) || ')' END || ':' || chr(10) || "
+          + _strip("answer") + " || chr(10)")
+
+_SEC_PAT = "(?im)^\\s*{label}:[ \\t]*(.*?)\\s*$"
+
+
+def _section(label: str) -> str:
+    return f"nullif(regexp_extract(answer, '{_SEC_PAT.format(label=label)}', 1), '')"
+
+
+VIEW_SQL.update({
+    "refined_outputs": """
+        SELECT case_id, line,
+               CASE line WHEN 4 THEN CAST(json_object('diagnosis', rf, 'confidence', conf)
+                                          AS VARCHAR)
+                         WHEN 5 THEN CAST(json_object('diagnosis', rf, 'reasoning', rs,
+                                                      'confidence', conf, 'agent', line) AS VARCHAR)
+                         WHEN 6 THEN CAST(json_object('diagnosis', rf, 'reasoning', rs,
+                                                      'confidence', 'high') AS VARCHAR)
+                         WHEN 7 THEN substr(CAST(json_object('diagnosis', rf, 'reasoning', rs,
+                                                             'confidence', conf) AS VARCHAR), 1, 12)
+                         ELSE CAST(json_object('diagnosis', rf, 'reasoning', rs, 'confidence', conf)
+                                   AS VARCHAR) END AS raw
+        FROM (SELECT l_orderkey AS case_id, l_linenumber AS line, l_returnflag AS rf,
+                     'status ' || l_linestatus AS rs, l_discount * 12 - 0.1 AS conf
+              FROM lineitem) s""",
+    "delimited_lines": """
+        SELECT l_orderkey AS case_id, l_partkey AS part,
+               CASE l_linenumber
+                 WHEN 7 THEN CAST(l_linenumber AS VARCHAR) || '::' || l_returnflag
+                 WHEN 6 THEN CAST(l_linenumber AS VARCHAR) || '::' || l_returnflag || '::n/a'
+                 ELSE CAST(l_linenumber AS VARCHAR) || '::' || l_returnflag || '::'
+                      || CAST(l_discount * 12 - 0.1 AS VARCHAR) END AS line
+        FROM lineitem""",
+    "sectioned_answers": """
+        SELECT l_orderkey AS case_id, l_linenumber AS line, l_partkey AS part,
+               'Primary Diagnosis: ' || l_returnflag || chr(10) || 'Secondary Diagnoses: '
+               || CASE WHEN l_linestatus = 'O' THEN 'None'
+                       ELSE l_linestatus || ', ' || l_returnflag END
+               || chr(10) || 'Rationale: line ' || CAST(l_linenumber AS VARCHAR) AS answer
+        FROM lineitem""",
+})
+
+_R = {"routed": ROUTED}
+_RF = {"routed": ROUTED, "fanout": FANOUT}
+
+VOTING = {
+    "route_notes": with_views("""
+        SELECT note_id, array_to_string(agents, ',') AS agents, CAST(len(agents) AS BIGINT) AS n_agents
+        FROM routed""", "notes", extra=_R),
+    "route_summary": with_views("""
+        SELECT label, CAST(count(*) AS BIGINT) AS n
+        FROM (SELECT unnest(agents) AS label FROM routed) u GROUP BY label
+        UNION ALL SELECT 'multi_routed', CAST(count(*) FILTER (WHERE len(agents) > 1) AS BIGINT)
+                  FROM routed
+        UNION ALL SELECT 'unrouted', CAST(count(*) FILTER (WHERE len(agents) = 0) AS BIGINT)
+                  FROM routed""", "notes", extra=_R),
+    "route_fanout": with_views("""
+        SELECT case_id, agent_id, diagnosis, round(confidence, 6) AS confidence FROM fanout""",
+        "notes", "agent_answers", extra=_RF),
+    "vote_softmax": with_views("SELECT case_id, diagnosis, round(score, 6) AS score FROM win",
+                               "agent_answers",
+                               extra={**_vote_ctes("agent_answers"), "win": _winner("vs")}),
+    "vote_majority": with_views("SELECT case_id, diagnosis, round(score, 6) AS score FROM win",
+                                "agent_answers",
+                                extra={**_vote_ctes("agent_answers"), "win": _winner("vm")}),
+    "vote_scores": with_views("""
+        SELECT vs.case_id, vs.diagnosis, CAST(vs.n_votes AS BIGINT) AS n_votes,
+               round(vs.avg_c, 6) AS avg_confidence, round(vs.med_c, 6) AS median_confidence,
+               round(vs.score, 6) AS softmax_score, round(vm.score, 6) AS majority_score
+        FROM vs JOIN vm ON vs.case_id = vm.case_id AND vs.diagnosis = vm.diagnosis""",
+        "agent_answers", extra=_vote_ctes("agent_answers")),
+    "case_pipeline": with_views("""
+        SELECT s.case_id, s.diagnosis AS softmax_diagnosis, round(s.score, 6) AS softmax_score,
+               m.diagnosis AS majority_diagnosis, round(m.score, 6) AS majority_score
+        FROM ws s JOIN wm m ON s.case_id = m.case_id""",
+        "notes", "agent_answers",
+        extra={**_RF, **_vote_ctes("fanout"), "ws": _winner("vs"), "wm": _winner("vm")}),
+    "refine_prompt": with_views(f"""
+        SELECT n.note_id AS case_id,
+               'USER CASE:' || chr(10) || {_strip('n.text')} || chr(10) || chr(10)
+               || 'CANDIDATE ANSWERS:' || chr(10) || b.blocks || chr(10) AS prompt
+        FROM notes n
+        JOIN (SELECT case_id, string_agg(blk, chr(10) ORDER BY agent_id, seq1, seq2, seq3, blk)
+                                 AS blocks
+              FROM (SELECT *, {_BLOCK} AS blk FROM cand) c GROUP BY case_id) b
+          ON n.note_id = b.case_id""", "notes", "agent_answers", extra={**_RF, "cand": CAND}),
+    "refine_numbered": with_views(f"""
+        SELECT n.note_id AS case_id,
+               'Patient Prompt:' || chr(10) || {_strip('n.text')} || chr(10) || chr(10)
+               || 'Agent Diagnoses:' || chr(10) || b.items AS prompt
+        FROM notes n
+        JOIN (SELECT case_id, string_agg(item, chr(10) ORDER BY rn) AS items
+              FROM (SELECT case_id,
+                           row_number() OVER (PARTITION BY case_id
+                                              ORDER BY agent_id, seq1, seq2, seq3, answer,
+                                                       confidence) AS rn,
+                           CAST(row_number() OVER (PARTITION BY case_id
+                                                   ORDER BY agent_id, seq1, seq2, seq3, answer,
+                                                            confidence) AS VARCHAR)
+                           || '. Agent: ' || agent_id || ', Diagnosis: ' || answer
+                           || ', Confidence: '
+                           || CASE WHEN confidence IS NULL THEN 'N/A'
+                                   ELSE printf('%.2f', confidence) END AS item
+                    FROM cand) c GROUP BY case_id) b
+          ON n.note_id = b.case_id""", "notes", "agent_answers", extra={**_RF, "cand": CAND}),
+    "refine_parse": with_views(f"""
+        SELECT case_id, line, reject_reason, reject_reason IS NULL AS ok,
+               CASE WHEN reject_reason IS NULL THEN json_extract_string(raw, '$.diagnosis') END
+                   AS diagnosis,
+               CASE WHEN reject_reason IS NULL THEN json_extract_string(raw, '$.reasoning') END
+                   AS reasoning,
+               CASE WHEN reject_reason IS NULL THEN round({_clamp(
+                   "TRY_CAST(json_extract_string(raw, '$.confidence') AS DOUBLE)")}, 6) END
+                   AS confidence
+        FROM (SELECT *, CASE
+                WHEN NOT coalesce(json_valid(raw), false) THEN 'not_a_json_object'
+                WHEN json_type(raw) <> 'OBJECT' THEN 'not_a_json_object'
+                WHEN list_sort(json_keys(raw)) <> ['confidence', 'diagnosis', 'reasoning']
+                     THEN 'wrong_keys'
+                WHEN TRY_CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) IS NULL
+                     THEN 'bad_confidence' END AS reject_reason
+              FROM refined_outputs) r""", "refined_outputs"),
+    "sectioned_answer": with_views(f"""
+        SELECT case_id, line, part, primary_dx AS "primary",
+               array_to_string(secondary, ',') AS secondary,
+               CAST(len(secondary) AS BIGINT) AS n_secondary, rationale
+        FROM (SELECT case_id, line, part, {_section('Primary Diagnosis')} AS primary_dx,
+                     CASE WHEN sec IS NULL OR lower(sec) = 'none' THEN []
+                          ELSE list_filter(list_transform(string_split_regex(sec, '[,;]'),
+                                                          lambda x: trim(x)), lambda x: x <> '') END
+                         AS secondary,
+                     {_section('Rationale')} AS rationale
+              FROM (SELECT *, {_section('Secondary Diagnoses')} AS sec FROM sectioned_answers) a) b""",
+        "sectioned_answers"),
+    "delimited_answers": with_views(f"""
+        SELECT case_id, part, reject_reason, reject_reason IS NULL AS ok,
+               CASE WHEN reject_reason IS NULL THEN parts[1] END AS agent_id,
+               CASE WHEN reject_reason IS NULL THEN parts[2] END AS diagnosis,
+               CASE WHEN reject_reason IS NULL THEN round({_clamp('conf')}, 6) END AS confidence
+        FROM (SELECT *, CASE WHEN len(parts) <> 3 THEN 'wrong_field_count'
+                             WHEN conf IS NULL THEN 'bad_confidence' END AS reject_reason
+              FROM (SELECT *, CASE WHEN len(parts) = 3
+                                   THEN TRY_CAST(trim(parts[3]) AS DOUBLE) END AS conf
+                    FROM (SELECT case_id, part, string_split({_strip('line')}, '::') AS parts
+                          FROM delimited_lines) s) t) u""", "delimited_lines"),
+}

@@ -134,3 +134,54 @@ def latencies(spark: SparkSession, sf: str) -> DataFrame:
 def notes(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("note_id"), "text", "lang")
+
+
+# ---------------------------------------------------------------- answer texts
+# Texts an answer-parsing step receives, derived row by row from lineitem.  Defects are
+# seeded by line number so every parser branch is exercised (fixed values of the adapter):
+#   refined JSON: 4 -> 'reasoning' missing, 5 -> extra key, 6 -> non-numeric confidence,
+#                 7 -> truncated text (not JSON);
+#   delimited:    6 -> confidence 'n/a', 7 -> two fields only.
+
+def refined_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    li = read_table(spark, sf, "lineitem")
+    ln = F.col("l_linenumber")
+    conf = F.col("l_discount") * 12 - 0.1
+    reasoning = F.concat(F.lit("status "), F.col("l_linestatus"))
+    good = F.to_json(F.struct(F.col("l_returnflag").alias("diagnosis"),
+                              reasoning.alias("reasoning"), conf.alias("confidence")))
+    raw = (F.when(ln == 4, F.to_json(F.struct(F.col("l_returnflag").alias("diagnosis"),
+                                              conf.alias("confidence"))))
+            .when(ln == 5, F.to_json(F.struct(F.col("l_returnflag").alias("diagnosis"),
+                                              reasoning.alias("reasoning"),
+                                              conf.alias("confidence"),
+                                              F.col("l_linenumber").alias("agent"))))
+            .when(ln == 6, F.to_json(F.struct(F.col("l_returnflag").alias("diagnosis"),
+                                              reasoning.alias("reasoning"),
+                                              F.lit("high").alias("confidence"))))
+            .when(ln == 7, F.substring(good, 1, 12))
+            .otherwise(good))
+    return li.select(F.col("l_orderkey").alias("case_id"), ln.alias("line"), raw.alias("raw"))
+
+
+def delimited_lines(spark: SparkSession, sf: str) -> DataFrame:
+    li = read_table(spark, sf, "lineitem")
+    ln = F.col("l_linenumber")
+    conf = (F.col("l_discount") * 12 - 0.1).cast("string")
+    head = F.concat(ln.cast("string"), F.lit("::"), F.col("l_returnflag"))
+    line = (F.when(ln == 7, head)
+             .when(ln == 6, F.concat(head, F.lit("::n/a")))
+             .otherwise(F.concat(head, F.lit("::"), conf)))
+    return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("part"),
+                     line.alias("line"))
+
+
+def sectioned_answers(spark: SparkSession, sf: str) -> DataFrame:
+    li = read_table(spark, sf, "lineitem")
+    secondary = F.when(F.col("l_linestatus") == "O", F.lit("None")).otherwise(
+        F.concat(F.col("l_linestatus"), F.lit(", "), F.col("l_returnflag")))
+    text = F.concat(F.lit("Primary Diagnosis: "), F.col("l_returnflag"),
+                    F.lit("\nSecondary Diagnoses: "), secondary,
+                    F.lit("\nRationale: line "), F.col("l_linenumber").cast("string"))
+    return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"),
+                     F.col("l_partkey").alias("part"), text.alias("answer"))
