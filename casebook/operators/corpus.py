@@ -2,9 +2,9 @@
 
 Plan shape (checked with ``explain``):
 
-* the cutoff is one row from a global aggregate; ``percentile_disc`` / ``percentile_approx``
-  aggregate partially on the map side with a buffer bounded by the distinct dates, and the
-  single row is broadcast (a proven size bound of 1);
+* the cutoff is a scalar subquery over a global aggregate; ``percentile_disc`` /
+  ``percentile_approx`` aggregate partially on the map side with a buffer bounded by the
+  distinct dates, and the value is inlined into the filters (no join);
 * the history keeps only the first ``max_items`` items per patient: a ``row_number`` filter,
   which Spark turns into a partial ``WindowGroupLimit`` *before* the shuffle, so no task ever
   holds more than ``max_items`` rows per patient per map partition, however hot a patient is;
@@ -16,7 +16,7 @@ Plan shape (checked with ``explain``):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.columns import age_at, falsy_default
@@ -42,12 +42,7 @@ def temporal_cutoff(conditions: DataFrame, q: float = CUTOFF_QUANTILE, exact: bo
     return conditions.agg(F.percentile_approx(start, q, accuracy).alias("cutoff"))
 
 
-def _with_cutoff(conditions: DataFrame, cutoff: DataFrame) -> DataFrame:
-    # The params CTE of the reference: a cross join with exactly one broadcast row.
-    return conditions.crossJoin(F.broadcast(cutoff))
-
-
-def patient_histories(conditions: DataFrame, cutoff: DataFrame,
+def patient_histories(conditions: DataFrame, cutoff: Column,
                       max_items: int = HISTORY_ITEMS) -> DataFrame:
     """PATIENT, past_dx_details (first ``max_items`` items, ', '-joined) for START < cutoff.
 
@@ -55,7 +50,7 @@ def patient_histories(conditions: DataFrame, cutoff: DataFrame,
     part is null and skipped by the join, so null items are ranked after all others.
     Patients whose past rows all have null items keep a row with an empty string.
     """
-    past = _with_cutoff(conditions, cutoff).where(F.col("START") < F.col("cutoff"))
+    past = conditions.where(F.col("START") < cutoff)
     item = F.concat(F.col("CODE"), F.lit(" ("), F.col("DESCRIPTION"), F.lit(")"))
     past = past.select("PATIENT", "START", "CODE", "DESCRIPTION", item.alias("item"))
     w = Window.partitionBy("PATIENT").orderBy(F.col("item").isNull(), "START", "CODE",
@@ -66,25 +61,22 @@ def patient_histories(conditions: DataFrame, cutoff: DataFrame,
         F.array_join(F.transform(ordered, lambda x: x["item"]), ", ").alias("past_dx_details"))
 
 
-def first_future(conditions: DataFrame, cutoff: DataFrame) -> DataFrame:
+def first_future(conditions: DataFrame, cutoff: Column) -> DataFrame:
     """PATIENT, cutoff, future_dx, repeat — the first condition on/after the cutoff.
 
     Ties on START are broken by CODE (nulls first).  ``repeat`` is true when the same
     code already occurred before the cutoff (null codes never match).
     """
-    c = _with_cutoff(conditions, cutoff)
-    is_past = F.col("START") < F.col("cutoff")
-    # cutoff is one constant, so max(cutoff) just carries it; the last level is grouped by
-    # PATIENT alone, so the join with the history reuses the same hash partitioning.
-    per_code = c.where(F.col("START").isNotNull()).groupBy("PATIENT", "CODE").agg(
+    is_past = F.col("START") < cutoff
+    # The last level is grouped by PATIENT alone, so the join with the history reuses the
+    # same hash partitioning.
+    per_code = conditions.where(F.col("START").isNotNull()).groupBy("PATIENT", "CODE").agg(
         F.max(is_past).alias("has_past"),
-        F.min(F.when(~is_past, F.col("START"))).alias("first_start"),
-        F.max("cutoff").alias("cutoff"))
+        F.min(F.when(~is_past, F.col("START"))).alias("first_start"))
     best = (per_code.where(F.col("first_start").isNotNull())
             .groupBy("PATIENT")
-            .agg(F.min(F.struct("first_start", "CODE", "has_past")).alias("f"),
-                 F.max("cutoff").alias("cutoff")))
-    return best.select("PATIENT", "cutoff", F.col("f.CODE").alias("future_dx"),
+            .agg(F.min(F.struct("first_start", "CODE", "has_past")).alias("f")))
+    return best.select("PATIENT", cutoff.alias("cutoff"), F.col("f.CODE").alias("future_dx"),
                        (F.col("f.has_past") & F.col("f.CODE").isNotNull()).alias("repeat"))
 
 
@@ -108,7 +100,7 @@ def corpus_samples(conditions: DataFrame, patients: DataFrame, allow_repeats: bo
     four columns used and persisted once so the (possibly joined) input is computed once.
     """
     conditions = stage(conditions.select("PATIENT", "START", "CODE", "DESCRIPTION"))
-    cutoff = temporal_cutoff(conditions, exact=exact_cutoff)
+    cutoff = temporal_cutoff(conditions, exact=exact_cutoff).scalar()
     hist = patient_histories(conditions, cutoff, max_items)
     fut = first_future(conditions, cutoff)
     if not allow_repeats:

@@ -53,26 +53,44 @@ def equal_width_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     The last bin is closed on the right.  min = max gives one range of width 1 centred on
     the value (numpy's convention).  Empty bins are reported with n = 0.
     """
-    x = F.col(col)
-    vals = df.select(x.cast("double").alias("x")).where(F.col("x").isNotNull())
-    stats = vals.agg(F.min("x").alias("lo0"), F.max("x").alias("hi0"))
-    stats = stats.select(
-        F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
-        F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
+    vals = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull())
+    return binned_counts(vals, bins)
+
+
+def histogram_range(vals: DataFrame):
+    """(lo, hi) scalar subqueries over column x; min = max widens to ±0.5 like numpy."""
+    st = vals.agg(F.min("x").alias("lo0"), F.max("x").alias("hi0"))
+    lo = st.select(F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5)
+                   .otherwise(F.col("lo0"))).scalar()
+    hi = st.select(F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5)
+                   .otherwise(F.col("hi0"))).scalar()
+    return lo, hi
+
+
+def binned_counts(vals: DataFrame, bins: int, group_cols: tuple[str, ...] = (),
+                  group_values: list | None = None) -> DataFrame:
+    """[group...,] bin, bin_lo, bin_hi, n over column x (numpy bin rule, empty bins = 0).
+
+    The range comes from scalar subqueries; the bin grid (bins x known group values) is a
+    tiny generated frame joined to the counts by broadcast.
+    """
+    lo, hi = histogram_range(vals)
     # numpy's form: (x - lo) * (bins / (hi - lo)), floored; x == hi goes to the last bin.
-    idx = F.floor((F.col("x") - F.col("lo")) * (F.lit(bins) / (F.col("hi") - F.col("lo")))).cast("int")
-    binned = (vals.crossJoin(F.broadcast(stats))
-              .select(F.when(idx >= bins, bins - 1).otherwise(idx).alias("bin"))
-              .groupBy("bin").agg(F.count(F.lit(1)).alias("n")))
-    spark = df.sparkSession
-    grid = (spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-            .crossJoin(F.broadcast(stats))
-            .select("bin",
-                    (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_lo"),
-                    (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / bins)
-                    .alias("bin_hi")))
-    return (grid.join(F.broadcast(binned), "bin", "left")
-                .select("bin", F.round("bin_lo", 6).alias("bin_lo"),
+    idx = F.floor((F.col("x") - lo) * (F.lit(bins) / (hi - lo))).cast("int")
+    counted = (vals.select(*group_cols, F.when(idx >= bins, bins - 1).otherwise(idx).alias("bin"))
+               .groupBy(*group_cols, "bin").agg(F.count(F.lit(1)).alias("n")))
+    spark = vals.sparkSession
+    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    if group_cols:
+        # bins x group values, generated (both are tiny, fixed lists)
+        vals_arr = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(group_cols, row)])
+                             for row in group_values])
+        grid = grid.select("bin", F.explode(vals_arr).alias("_g")).select("bin", "_g.*")
+    grid = grid.select(*group_cols, "bin",
+                       (lo + (hi - lo) * F.col("bin") / bins).alias("bin_lo"),
+                       (lo + (hi - lo) * (F.col("bin") + 1) / bins).alias("bin_hi"))
+    return (grid.join(F.broadcast(counted), [*group_cols, "bin"], "left")
+                .select(*group_cols, "bin", F.round("bin_lo", 6).alias("bin_lo"),
                         F.round("bin_hi", 6).alias("bin_hi"),
                         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 

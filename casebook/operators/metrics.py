@@ -170,9 +170,12 @@ def overall_scores(rows: DataFrame, truth: str = "true_diagnosis",
         F.col("precision").alias("precision_weighted"), F.col("recall").alias("recall_weighted"),
         F.col("f1").alias("f1_weighted"))
     m = rep.where(F.col("label") == "macro avg").select(F.col("f1").alias("f1_macro"))
-    return (acc.select(F.col("n").cast("long").alias("n"),
-                       F.round(_ratio(F.col("c"), F.col("n")), 6).alias("accuracy"))
-            .crossJoin(w).crossJoin(m))
+    return acc.select(F.col("n").cast("long").alias("n"),
+                      F.round(_ratio(F.col("c"), F.col("n")), 6).alias("accuracy"),
+                      w.select("precision_weighted").scalar().alias("precision_weighted"),
+                      w.select("recall_weighted").scalar().alias("recall_weighted"),
+                      w.select("f1_weighted").scalar().alias("f1_weighted"),
+                      m.scalar().alias("f1_macro"))
 
 
 # ---------------------------------------------------------------- A15
@@ -185,8 +188,9 @@ def confusion_matrix(rows: DataFrame, labels: DataFrame, truth: str = "true_diag
     bounded list, so it and its square are broadcast.
     """
     lab = labels.select(F.col("label").cast("string").alias("label")).distinct()
-    grid = (F.broadcast(lab).select(F.col("label").alias("actual"))
-            .crossJoin(F.broadcast(lab).select(F.col("label").alias("predicted"))))
+    arr = lab.agg(F.collect_list("label")).scalar()   # the given list, not the data
+    grid = (rows.sparkSession.range(1).select(F.explode(arr).alias("actual"))
+            .select("actual", F.explode(arr).alias("predicted")))
     counts = (rows.groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted"))
                   .agg(F.count(F.lit(1)).alias("n")))
     return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
@@ -271,49 +275,32 @@ def calibration_adaptive(rows: DataFrame, conf: str = "confidence") -> DataFrame
     x = to_double_or_zero(F.col(conf).cast("string"))
     vals = rows.select(x.alias("x"), "correct")
     st = vals.agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.count(F.lit(1)).alias("cnt"))
-    st = st.where(F.col("cnt") > MIN_ROWS_ADAPTIVE).select(
-        F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.05).otherwise(F.col("mn")).alias("lo"),
-        F.when(F.col("mn") == F.col("mx"), F.col("mn") + 0.05).otherwise(F.col("mx")).alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / F.lit(N_BINS)
+    lo = st.select(F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.05)
+                   .otherwise(F.col("mn"))).scalar()
+    hi = st.select(F.when(F.col("mn") == F.col("mx"), F.col("mn") + 0.05)
+                   .otherwise(F.col("mx"))).scalar()
+    enough = st.select(F.col("cnt") > MIN_ROWS_ADAPTIVE).scalar()
+    step = (hi - lo) / F.lit(N_BINS)
 
     def edge(i):  # numpy.linspace: i * step + lo, last edge exactly hi
-        return F.col("hi") if i == N_BINS else F.lit(i) * step + F.col("lo")
+        return hi if i == N_BINS else F.lit(i) * step + lo
 
     idx = sum((F.when(F.col("x") >= edge(i), 1).otherwise(0) for i in range(1, N_BINS)), F.lit(0))
-    binned = vals.crossJoin(F.broadcast(st)).select(idx.alias("bin"), "correct")
-    agg = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"),
-                                    F.avg(F.col("correct").cast("double")).alias("acc"))
-    centers = st.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("bin"), ((edge(i) + edge(i + 1)) / 2).alias("bin_center"))
-        for i in range(N_BINS)])).alias("b")).select("b.*")
-    return (agg.join(F.broadcast(centers), "bin")
-               .select("bin", F.round("bin_center", 6).alias("bin_center"),
-                       F.col("n").cast("long").alias("n"), F.round("acc", 6).alias("accuracy")))
+    agg = (vals.where(enough).select(idx.alias("bin"), "correct")
+           .groupBy("bin").agg(F.count(F.lit(1)).alias("n"),
+                               F.avg(F.col("correct").cast("double")).alias("acc")))
+    center = F.element_at(F.array(*[(edge(i) + edge(i + 1)) / 2 for i in range(N_BINS)]),
+                          F.col("bin") + 1)
+    return agg.select("bin", F.round(center, 6).alias("bin_center"),
+                      F.col("n").cast("long").alias("n"), F.round("acc", 6).alias("accuracy"))
 
 
 def confidence_histogram(rows: DataFrame, conf: str = "confidence", bins: int = N_BINS) -> DataFrame:
     """correct, bin, bin_lo, bin_hi, n — one shared range, split by correctness."""
+    from casebook.operators.explore import binned_counts
     x = to_double_or_zero(F.col(conf).cast("string"))
     vals = rows.select(x.alias("x"), "correct")
-    st = vals.agg(F.min("x").alias("lo0"), F.max("x").alias("hi0")).select(
-        F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
-        F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
-    idx = F.floor((F.col("x") - F.col("lo")) * (F.lit(bins) / (F.col("hi") - F.col("lo")))).cast("int")
-    counted = (vals.crossJoin(F.broadcast(st))
-               .select("correct", F.when(idx >= bins, bins - 1).otherwise(idx).alias("bin"))
-               .groupBy("correct", "bin").agg(F.count(F.lit(1)).alias("n")))
-    spark = rows.sparkSession
-    grid = (spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-            .crossJoin(spark.createDataFrame([(True,), (False,)], "correct boolean"))
-            .crossJoin(F.broadcast(st))
-            .select("correct", "bin",
-                    (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_lo"),
-                    (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") + 1) / bins)
-                    .alias("bin_hi")))
-    return (grid.join(counted, ["correct", "bin"], "left")
-                .select("correct", "bin", F.round("bin_lo", 6).alias("bin_lo"),
-                        F.round("bin_hi", 6).alias("bin_hi"),
-                        F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return binned_counts(vals, bins, ("correct",), [(True,), (False,)])
 
 
 # ---------------------------------------------------------------- S19 / A27

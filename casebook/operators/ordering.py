@@ -15,24 +15,37 @@ DEFAULT_BUCKET = 1 << 16
 
 
 def global_index(df: DataFrame, order_col: str, name: str = "idx", bucket_size: int = DEFAULT_BUCKET,
-                 tie_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``name`` = 0-based position of each row in ``order_col`` (then ``tie_cols``) order.
+                 tie_cols: tuple[str, ...] = (), partition_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``name`` = 0-based position of each row in ``order_col`` (then ``tie_cols``) order,
+    counted separately inside each ``partition_cols`` group.
 
     ``order_col`` must be an integral column; a range holds the rows whose key falls in
     ``[k*bucket_size, (k+1)*bucket_size)``, so with unique keys no range exceeds
-    ``bucket_size`` rows whatever the skew elsewhere.
+    ``bucket_size`` rows, however large a partition group is.
     """
+    parts = list(partition_cols)
     b = F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")
     with_b = df.withColumn("_bucket", b)
-    sizes = with_b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = with_b.groupBy(*parts, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # One row per non-empty range; the running sum runs over that small frame only.
-    offsets = sizes.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.select("_bucket", F.coalesce("_off", F.lit(0)).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(order_col, *tie_cols)
+    ow = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*parts, "_bucket",
+                           F.coalesce(F.sum("_n").over(ow), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*parts, "_bucket").orderBy(order_col, *tie_cols)
     ranked = with_b.withColumn("_rn", F.row_number().over(w))
-    return (ranked.join(offsets, "_bucket")
+    return (ranked.join(offsets, [*parts, "_bucket"])
                   .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long"))
                   .drop("_bucket", "_rn", "_off"))
+
+
+# Multiplicative hash (Knuth) used as a repeatable shuffle order.  The key is first reduced
+# modulo a prime so the product stays inside 64-bit integers for any bigint key.
+HASH_PRIME = 1000003
+HASH_MULT = 2654435761
+HASH_MOD = 1 << 32
+
+
+def shuffle_key(key, seed: int = 42):
+    """Deterministic pseudo-random order key in [0, 2^32) for an integral column."""
+    k = F.col(key) if isinstance(key, str) else key
+    return ((((k + F.lit(seed)) % F.lit(HASH_PRIME)) * F.lit(HASH_MULT)) % F.lit(HASH_MOD)).cast("long")
