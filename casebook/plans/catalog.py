@@ -290,3 +290,49 @@ def q_delimited_answers(spark, sf):
     p = A.parse_delimited(V.delimited_lines(spark, sf))
     return p.select("case_id", "part", "reject_reason", "ok", "agent_id", "diagnosis",
                     F.round("confidence", 6).alias("confidence"))
+
+
+# ---------------------------------------------------------------- domains, splits, eval slice
+
+from casebook.operators import evalslice as ES  # noqa: E402
+from casebook.operators import splits as S  # noqa: E402
+
+SP = O.SPLITS
+
+
+def _samples(spark, sf):
+    return corpus.corpus_samples(V.conditions(spark, sf), V.patients(spark, sf), True)
+
+
+def _domain_samples(spark, sf):
+    return S.domain_samples(_samples(spark, sf).select("patient_id", "label"),
+                            V.domain_map(spark, sf))
+
+
+register("domain_corpus", SP["domain_corpus"])(
+    lambda spark, sf: _domain_samples(spark, sf).select("patient_id", "label", "domain"))
+register("domain_stats", SP["domain_stats"])(
+    lambda spark, sf: S.domain_stats(_domain_samples(spark, sf)))
+register("corpus_split", SP["corpus_split"])(
+    lambda spark, sf: S.split_by_hash(_domain_samples(spark, sf), "patient_id", ("domain",),
+                                      0.2, 42, S.MIN_DOMAIN_ROWS)
+    .select("patient_id", "label", "domain", "split"))
+register("stratified_split", SP["stratified_split"])(
+    lambda spark, sf: S.stratified_split(V.labelled_docs(spark, sf), "doc_id", "label", 0.25)
+    .select("doc_id", "label", "split"))
+register("sample_examples", SP["sample_examples"])(
+    lambda spark, sf: S.sample_examples(_samples(spark, sf), "patient_id", 5)
+    .select("patient_id", "label"))
+register("prompt_expected_split", SP["prompt_expected_split"])(
+    lambda spark, sf: S.with_prompt_expected(_samples(spark, sf))
+    .select("patient_id", "prompt", "expected"))
+
+
+def _slice(spark, sf):
+    return ES.build_slice(V.patients(spark, sf), V.conditions(spark, sf))
+
+
+register("eval_slice_last_condition", SP["eval_slice_last_condition"])(_slice)
+register("eval_slice_meta", SP["eval_slice_meta"])(lambda spark, sf: ES.slice_meta(_slice(spark, sf)))
+register("eval_slice_sample", SP["eval_slice_sample"])(
+    lambda spark, sf: ES.stratified_sample(_slice(spark, sf), O.SAMPLE_N))

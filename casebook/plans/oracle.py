@@ -736,3 +736,125 @@ VOTING = {
                     FROM (SELECT case_id, part, string_split({_strip('line')}, '::') AS parts
                           FROM delimited_lines) s) t) u""", "delimited_lines"),
 }
+
+
+# ---------------------------------------------------------------- domains, splits, eval slice
+
+from casebook.sources.views import DOMAIN_MAX_SIZE  # noqa: E402
+
+
+def _hash(key: str, seed: int = 42) -> str:
+    return f"((({key} + {seed}) % 1000003) * 2654435761) % 4294967296"
+
+
+VIEW_SQL.update({
+    "domain_map": f"""
+        SELECT CAST(p_partkey AS VARCHAR) AS code, lower(p_type) AS domain FROM part
+        WHERE p_size <= {DOMAIN_MAX_SIZE}""",
+    "labelled_docs": """
+        SELECT d.doc_id, d.text, CAST(l.quality AS VARCHAR) AS label
+        FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+})
+
+DOMAIN_SAMPLES = """
+    SELECT patient_id, label, 'general' AS domain FROM samples
+    UNION ALL
+    SELECT s.patient_id, s.label, m.domain FROM samples s
+    JOIN domain_map m ON CAST(s.label AS VARCHAR) = m.code
+    WHERE s.label IS NOT NULL AND m.domain <> 'general'"""
+
+
+def _corpus_with(body: str, *more_views: str, **extra) -> str:
+    return with_views(body, "conditions", "patients", *more_views,
+                      extra={**_corpus_sql(True), **extra})
+
+
+def _strip_sql(x: str) -> str:
+    return STRIP.format(x=x)
+
+
+LAST_CONDITION = """
+    SELECT PATIENT, START, STOP, CODE, DESCRIPTION FROM (
+      SELECT *, row_number() OVER (PARTITION BY PATIENT
+                                   ORDER BY STOP IS NULL DESC, STOP DESC NULLS LAST,
+                                            START DESC NULLS LAST, CODE DESC NULLS LAST,
+                                            DESCRIPTION DESC NULLS LAST) AS rn
+      FROM conditions WHERE PATIENT IS NOT NULL) t
+    WHERE rn = 1"""
+
+EVAL_SLICE = """
+    SELECT patient_id, age, gender, icd10_code, icd10_text,
+           'Patient ' || upper(substr(gender, 1, 1)) || lower(substr(gender, 2)) || ', age '
+           || CAST(age AS VARCHAR)
+           || '. Presenting with medical history culminating in diagnosis: '
+           || lower(icd10_text) || '.' AS vignette,
+           CASE WHEN starts_with(icd10_code, 'I') THEN 'Cardiology'
+                WHEN starts_with(icd10_code, 'E') THEN 'Metabolic' ELSE 'General' END AS domain
+    FROM (SELECT p.ID AS patient_id,
+                 CAST(coalesce(2025 - TRY_CAST(substr(CAST(p.BIRTHDATE AS VARCHAR), 1, 4) AS INTEGER),
+                               -1) AS INTEGER) AS age,
+                 p.GENDER AS gender, CAST(lc.CODE AS VARCHAR) AS icd10_code,
+                 lc.DESCRIPTION AS icd10_text
+          FROM patients p JOIN lc ON p.ID = lc.PATIENT) s"""
+
+SLICE_COLS = "patient_id, age, gender, icd10_code, icd10_text, vignette, domain"
+SAMPLE_N = 500
+
+SPLITS = {
+    "domain_corpus": _corpus_with("SELECT patient_id, label, domain FROM ds", "domain_map",
+                                  ds=DOMAIN_SAMPLES),
+    "domain_stats": _corpus_with("""
+        SELECT domain, CAST(total AS BIGINT) AS total,
+               CAST(CASE WHEN total > 10 THEN floor(total * CAST(0.8 AS DOUBLE)) ELSE 0 END
+                    AS BIGINT) AS train,
+               CAST(CASE WHEN total > 10 THEN total - floor(total * CAST(0.8 AS DOUBLE)) ELSE 0 END
+                    AS BIGINT) AS test
+        FROM (SELECT domain, count(*) AS total FROM ds GROUP BY domain) c""", "domain_map",
+        ds=DOMAIN_SAMPLES),
+    "corpus_split": _corpus_with(f"""
+        SELECT h.patient_id, h.label, h.domain,
+               CASE WHEN row_number() OVER (PARTITION BY h.domain ORDER BY h.h, h.patient_id) - 1
+                         < floor(nn.n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+        FROM (SELECT *, {_hash('patient_id')} AS h FROM ds) h
+        JOIN (SELECT domain, count(*) AS n FROM ds GROUP BY domain HAVING count(*) > 10) nn
+          ON h.domain = nn.domain""", "domain_map", ds=DOMAIN_SAMPLES),
+    "stratified_split": with_views(f"""
+        SELECT s.doc_id, s.label,
+               CASE WHEN row_number() OVER (PARTITION BY s.stratum ORDER BY s.h, s.doc_id) - 1
+                         < floor(nn.n * CAST(0.75 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+        FROM s JOIN (SELECT stratum, count(*) AS n FROM s GROUP BY stratum) nn
+          ON s.stratum = nn.stratum""", "labelled_docs", extra={
+        "s": f"""SELECT doc_id, label, {_hash('doc_id')} AS h,
+                        CASE WHEN (SELECT min(c) FROM (SELECT label, count(*) AS c
+                                                       FROM labelled_docs GROUP BY label) x) >= 2
+                             THEN label ELSE '*' END AS stratum
+                 FROM labelled_docs"""}),
+    "sample_examples": _corpus_with(f"""
+        SELECT patient_id, label FROM samples ORDER BY {_hash('patient_id')}, patient_id LIMIT 5"""),
+    "prompt_expected_split": _corpus_with(f"""
+        SELECT patient_id, {_strip_sql('substr(text, 1, cut)')} AS prompt,
+               {_strip_sql('substr(text, cut + 1)')} AS expected
+        FROM (SELECT *, CASE WHEN instr(text, chr(10) || 'AI:') > 0
+                             THEN instr(text, chr(10) || 'AI:') - 1
+                             ELSE CAST(floor(length(text) / 2) AS INTEGER) END AS cut
+              FROM samples) s"""),
+    "eval_slice_last_condition": with_views(f"SELECT {SLICE_COLS} FROM sl", "patients",
+                                            "conditions",
+                                            extra={"lc": LAST_CONDITION, "sl": EVAL_SLICE}),
+    "eval_slice_meta": with_views("""
+        SELECT CAST(count(*) AS BIGINT) AS n_rows,
+               CAST(count(DISTINCT icd10_code) AS BIGINT) AS n_unique_codes,
+               CAST(42 AS INTEGER) AS generation_seed FROM sl""", "patients", "conditions",
+        extra={"lc": LAST_CONDITION, "sl": EVAL_SLICE}),
+    "eval_slice_sample": with_views(f"""
+        SELECT {SLICE_COLS} FROM sampled WHERE (SELECT count(*) FROM sl) > {SAMPLE_N}
+        UNION ALL
+        SELECT {SLICE_COLS} FROM sl WHERE (SELECT count(*) FROM sl) <= {SAMPLE_N}""",
+        "patients", "conditions", extra={
+            "lc": LAST_CONDITION, "sl": EVAL_SLICE,
+            "hs": f"SELECT *, {_hash('patient_id')} AS h FROM sl",
+            "capped": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY icd10_code
+                                                                   ORDER BY h, patient_id) AS r
+                                        FROM hs) t WHERE r <= {max(1, SAMPLE_N // 50)}""",
+            "sampled": f"SELECT * FROM capped ORDER BY h, patient_id LIMIT {SAMPLE_N}"}),
+}

@@ -185,3 +185,22 @@ def sectioned_answers(spark: SparkSession, sf: str) -> DataFrame:
                     F.lit("\nRationale: line "), F.col("l_linenumber").cast("string"))
     return li.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line"),
                      F.col("l_partkey").alias("part"), text.alias("answer"))
+
+
+# ---------------------------------------------------------------- lookup tables derived from the data
+
+DOMAIN_MAX_SIZE = 25   # parts with p_size <= 25 are mapped to a domain; the rest stay 'general'
+
+
+def domain_map(spark: SparkSession, sf: str) -> DataFrame:
+    """code -> domain lookup (unique codes): a part's type, for the smaller parts."""
+    p = read_table(spark, sf, "part")
+    return p.where(F.col("p_size") <= DOMAIN_MAX_SIZE).select(
+        F.col("p_partkey").cast("string").alias("code"), F.lower("p_type").alias("domain"))
+
+
+def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, text, label — documents that carry a quality label (baseline input)."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return d.join(lab, "doc_id")
