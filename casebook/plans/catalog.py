@@ -336,3 +336,39 @@ register("eval_slice_last_condition", SP["eval_slice_last_condition"])(_slice)
 register("eval_slice_meta", SP["eval_slice_meta"])(lambda spark, sf: ES.slice_meta(_slice(spark, sf)))
 register("eval_slice_sample", SP["eval_slice_sample"])(
     lambda spark, sf: ES.stratified_sample(_slice(spark, sf), O.SAMPLE_N))
+
+
+# ---------------------------------------------------------------- validation (V1–V4)
+
+from casebook.operators import validate as VAL  # noqa: E402
+from casebook.sources.patient_json import patient_records  # noqa: E402
+
+VA = O.VALIDATION
+
+
+@register("validate_records", VA["validate_records"])
+def q_validate_records(spark, sf):
+    v = VAL.validate(patient_records(spark, sf))
+    return v.select("record_id", "is_valid", F.size("errors").cast("long").alias("n_errors"),
+                    F.array_join(F.transform("errors", lambda e: e["code"]), ",").alias("error_codes"),
+                    F.array_join(F.transform("errors", lambda e: e["message"]), " | ").alias("messages"))
+
+
+register("validation_report", VA["validation_report"])(
+    lambda spark, sf: VAL.quality_report(VAL.validate(patient_records(spark, sf))))
+
+
+@register("sanitize_records", VA["sanitize_records"])
+def q_sanitize_records(spark, sf):
+    s = VAL.sanitize(patient_records(spark, sf))
+    return s.select("record_id", "age", "gender", "ethnicity", "race",
+                    F.array_join("symptoms", "|").alias("symptoms"),
+                    F.array_join("icd10", ",").alias("icd10"),
+                    F.size("medications").cast("long").alias("n_medications"),
+                    F.array_join(F.transform("medications", lambda m: m["name"]), ",")
+                    .alias("medication_names"), "dob")
+
+
+register("emergency_flags", VA["emergency_flags"])(
+    lambda spark, sf: VAL.emergency(patient_records(spark, sf))
+    .select("record_id", "is_emergency", "emergency_reason"))

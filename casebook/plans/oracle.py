@@ -858,3 +858,189 @@ SPLITS = {
                                         FROM hs) t WHERE r <= {max(1, SAMPLE_N // 50)}""",
             "sampled": f"SELECT * FROM capped ORDER BY h, patient_id LIMIT {SAMPLE_N}"}),
 }
+
+
+# ---------------------------------------------------------------- validation (V1–V4)
+
+from casebook.operators.validate import (EMERGENCY_SYMPTOMS, VALID_ETHNICITIES,  # noqa: E402
+                                         VALID_GENDERS, VALID_RACES)
+from casebook.sources.patient_json import record_sql  # noqa: E402
+
+_DOB = "(\\d{4})-(1[0-2]|0[1-9]|[1-9])-(3[01]|[12]\\d|0[1-9]|[1-9])"
+_ICD = "[A-Z]\\d\\d(\\.\\d{1,2})?"
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _t(path: str, j: str = "j") -> str:
+    return f"json_type({j}, '{path}')"
+
+
+def _txt(path: str, j: str = "j") -> str:
+    return (f"CASE {_t(path, j)} WHEN 'VARCHAR' THEN json_extract_string({j}, '{path}') "
+            f"WHEN 'NULL' THEN 'None' ELSE CAST(json_extract({j}, '{path}') AS VARCHAR) END")
+
+
+def _elems(name: str) -> str:
+    return (f"CASE WHEN {_t('$.' + name)} = 'ARRAY' THEN json_extract(j, '$.{name}[*]') "
+            f"ELSE CAST([] AS JSON[]) END")
+
+
+def _err_sql(cond: str, code: str, msg: str) -> str:
+    return f"CASE WHEN {cond} THEN {{'code': '{code}', 'message': {msg}}} END"
+
+
+_AGE_I = """CASE json_type(j, '$.age')
+      WHEN 'BIGINT' THEN TRY_CAST(json_extract_string(j, '$.age') AS INTEGER)
+      WHEN 'UBIGINT' THEN TRY_CAST(json_extract_string(j, '$.age') AS INTEGER)
+      WHEN 'DOUBLE' THEN TRY_CAST(trunc(CAST(json_extract_string(j, '$.age') AS DOUBLE)) AS INTEGER)
+      WHEN 'VARCHAR' THEN CASE WHEN regexp_full_match(trim(json_extract_string(j, '$.age')),
+                                                      '[+-]?[0-9]+')
+                               THEN TRY_CAST(trim(json_extract_string(j, '$.age')) AS INTEGER) END
+      WHEN 'BOOLEAN' THEN CASE json_extract_string(j, '$.age') WHEN 'true' THEN 1 ELSE 0 END
+    END"""
+
+
+def _enum_err(name: str, valid: list[str], label: str) -> str:
+    lst = ", ".join(_q(v) for v in valid)
+    low = f"lower(json_extract_string(j, '$.{name}'))"
+    shown = f"CASE WHEN {_t('$.' + name)} = 'VARCHAR' THEN {low} ELSE {_txt('$.' + name)} END"
+    cond = (f"{_t('$.' + name)} IS NOT NULL AND ({_t('$.' + name)} <> 'VARCHAR' "
+            f"OR {low} NOT IN ({lst}))")
+    msg = f"'{label} ''' || {shown} || ''' is not valid. Must be one of: {', '.join(valid)}'"
+    return _err_sql(cond, f"{name}_invalid", msg)
+
+
+def _dob_valid(s: str) -> str:
+    return (f"(regexp_full_match({s}, '{_DOB}') AND TRY_CAST("
+            f"regexp_extract({s}, '^{_DOB}$', 1) || '-' || lpad(regexp_extract({s}, '^{_DOB}$', 2), 2, '0')"
+            f" || '-' || lpad(regexp_extract({s}, '^{_DOB}$', 3), 2, '0') AS DATE) IS NOT NULL)")
+
+
+def _item_errs(name: str, prefix: str, not_list: str, not_dict: str, key: str, who: str) -> str:
+    head = _err_sql(f"{_t('$.' + name)} IS NOT NULL AND {_t('$.' + name)} <> 'ARRAY'",
+                    f"{prefix}_not_list", _q(not_list))
+    x_txt = ("CASE json_type(x) WHEN 'VARCHAR' THEN json_extract_string(x, '$') "
+             "WHEN 'NULL' THEN 'None' ELSE CAST(x AS VARCHAR) END")
+    item = (f"lambda x: CASE WHEN json_type(x) <> 'OBJECT' THEN "
+            f"{{'code': '{prefix}_item_not_dict', 'message': {_q(not_dict)} || {x_txt}}} "
+            f"WHEN json_type(x, '$.{key}') IS NULL THEN "
+            f"{{'code': '{prefix}_item_missing_{key}', 'message': "
+            f"{_q(who + ' missing ' + chr(39) + key + chr(39) + ': ')} || {x_txt}}} END")
+    return f"[{head}] || list_transform({_elems(name)}, {item})"
+
+
+_STRIP_X = STRIP.format(x="json_extract_string(x, '$')")
+_X_TXT = ("CASE json_type(x) WHEN 'VARCHAR' THEN json_extract_string(x, '$') "
+          "WHEN 'NULL' THEN 'None' ELSE CAST(x AS VARCHAR) END")
+
+_ERRORS = " || ".join([
+    "[" + ", ".join(
+        [_err_sql(f"{_t('$.' + f)} IS NULL", f"missing_{f}", _q(f"Required field '{f}' is missing"))
+         for f in ("age", "gender", "symptoms")]
+        + [_err_sql(f"{_t('$.age')} IS NOT NULL AND age_i IS NULL", "age_not_a_number",
+                    f"'Age ''' || {_txt('$.age')} || ''' is not a valid number'"),
+           _err_sql("age_i < 0 OR age_i > 120", "age_out_of_range",
+                    "'Age ' || CAST(age_i AS VARCHAR) || ' is outside valid range (0-120)'"),
+           _enum_err("gender", VALID_GENDERS, "Gender"),
+           _enum_err("ethnicity", VALID_ETHNICITIES, "Ethnicity"),
+           _enum_err("race", VALID_RACES, "Race"),
+           _err_sql(f"{_t('$.symptoms')} IS NOT NULL AND {_t('$.symptoms')} <> 'ARRAY'",
+                    "symptoms_not_list", "'Symptoms must be a list'"),
+           _err_sql(f"{_t('$.symptoms')} = 'ARRAY' AND len({_elems('symptoms')}) = 0",
+                    "symptoms_empty", "'At least one symptom must be provided'")]) + "]",
+    f"""list_transform({_elems('symptoms')}, lambda x: CASE
+          WHEN json_type(x) <> 'VARCHAR' OR {_STRIP_X} = ''
+          THEN {{'code': 'symptom_invalid', 'message': 'Invalid symptom: ''' || {_X_TXT} || ''''}} END)""",
+    "[" + _err_sql(f"{_t('$.icd10')} IS NOT NULL AND {_t('$.icd10')} <> 'ARRAY'", "icd10_not_list",
+                   _q("Input field 'icd10' must be a list")) + "]",
+    f"""list_transform({_elems('icd10')}, lambda x: CASE
+          WHEN json_type(x) <> 'VARCHAR' OR NOT regexp_full_match(json_extract_string(x, '$'), '{_ICD}')
+          THEN {{'code': 'icd10_invalid', 'message':
+                 'Invalid ICD-10 code format in input field ''icd10'': ''' || {_X_TXT} || ''''}} END)""",
+    "[" + _err_sql(f"{_t('$.dob')} IS NOT NULL AND NOT coalesce({_t('$.dob')} = 'VARCHAR' AND "
+                   f"{_dob_valid(chr(106) + 's_dob')}, false)".replace("js_dob", "s_dob"),
+                   "dob_invalid",
+                   f"'Invalid date of birth format: ''' || {_txt('$.dob')} || '''. Use YYYY-MM-DD format.'")
+    + "]",
+    _item_errs("medical_history", "history", "Medical history must be a list",
+               "Medical history item must be a dictionary: ", "condition", "Medical history item"),
+    _item_errs("medications", "medication", "Medications must be a list",
+               "Medication must be a dictionary: ", "name", "Medication"),
+])
+
+VALIDATED = f"""
+    SELECT record_id, j, list_filter({_ERRORS}, lambda e: e IS NOT NULL) AS errs
+    FROM (SELECT record_id, record AS j, json_extract_string(record, '$.dob') AS s_dob,
+                 {_AGE_I} AS age_i
+          FROM recs) r"""
+
+_SYM_CLEAN = (f"list_filter(list_transform(list_filter({_elems('symptoms')}, "
+              f"lambda x: json_type(x) = 'VARCHAR'), lambda x: lower({_STRIP_X})), lambda s: s <> '')")
+_ICD_CLEAN = (f"list_transform(list_filter({_elems('icd10')}, lambda x: json_type(x) = 'VARCHAR' "
+              f"AND regexp_full_match(json_extract_string(x, '$'), '{_ICD}')), "
+              f"lambda x: json_extract_string(x, '$'))")
+_MED_CLEAN = (f"list_filter({_elems('medications')}, lambda x: json_type(x) = 'OBJECT' "
+              f"AND json_type(x, '$.name') IS NOT NULL)")
+
+
+def _enum_clean(name: str, valid: list[str]) -> str:
+    lst = ", ".join(_q(v) for v in valid)
+    low = f"lower(json_extract_string(j, '$.{name}'))"
+    return (f"CASE WHEN {_t('$.' + name)} IS NULL THEN NULL "
+            f"WHEN {_t('$.' + name)} = 'VARCHAR' AND {low} IN ({lst}) THEN {low} ELSE 'unknown' END")
+
+
+_LOWERED = (f"list_transform(list_filter({_elems('symptoms')}, lambda x: json_type(x) = 'VARCHAR'), "
+            f"lambda x: lower(json_extract_string(x, '$')))")
+_PHRASES = "[" + ", ".join(_q(p) for p in EMERGENCY_SYMPTOMS) + "]"
+
+_REC = {"recs": record_sql()}
+
+VALIDATION = {
+    "validate_records": with_views("""
+        SELECT record_id, len(errs) = 0 AS is_valid, CAST(len(errs) AS BIGINT) AS n_errors,
+               array_to_string(list_transform(errs, lambda e: e.code), ',') AS error_codes,
+               array_to_string(list_transform(errs, lambda e: e.message), ' | ') AS messages
+        FROM v""", "patients", extra={**_REC, "v": VALIDATED}),
+    "validation_report": with_views("""
+        SELECT 'valid' AS metric, CAST(count(*) FILTER (WHERE len(errs) = 0) AS BIGINT) AS n FROM v
+        UNION ALL
+        SELECT 'invalid', CAST(count(*) FILTER (WHERE len(errs) > 0) AS BIGINT) FROM v
+        UNION ALL
+        SELECT e.code, CAST(count(*) AS BIGINT) FROM (SELECT unnest(errs) AS e FROM v) u
+        GROUP BY e.code""", "patients", extra={**_REC, "v": VALIDATED}),
+    "sanitize_records": with_views(f"""
+        SELECT record_id, {_AGE_I} AS age,
+               {_enum_clean('gender', VALID_GENDERS)} AS gender,
+               {_enum_clean('ethnicity', VALID_ETHNICITIES)} AS ethnicity,
+               {_enum_clean('race', VALID_RACES)} AS race,
+               CASE WHEN {_t('$.symptoms')} IS NULL THEN NULL
+                    ELSE array_to_string({_SYM_CLEAN}, '|') END AS symptoms,
+               CASE WHEN {_t('$.icd10')} IS NULL THEN NULL
+                    ELSE array_to_string({_ICD_CLEAN}, ',') END AS icd10,
+               CASE WHEN {_t('$.medications')} IS NULL THEN NULL
+                    ELSE CAST(len({_MED_CLEAN}) AS BIGINT) END AS n_medications,
+               CASE WHEN {_t('$.medications')} IS NULL THEN NULL
+                    ELSE array_to_string(list_transform({_MED_CLEAN},
+                           lambda x: CASE json_type(x, '$.name') WHEN 'VARCHAR'
+                                     THEN json_extract_string(x, '$.name')
+                                     ELSE CAST(json_extract(x, '$.name') AS VARCHAR) END), ',')
+               END AS medication_names,
+               CASE WHEN {_t('$.dob')} = 'VARCHAR' AND coalesce({_dob_valid('s_dob')}, false)
+                    THEN s_dob END AS dob
+        FROM (SELECT record_id, record AS j, json_extract_string(record, '$.dob') AS s_dob
+              FROM recs) r""", "patients", extra=_REC),
+    "emergency_flags": with_views(f"""
+        SELECT record_id, hit IS NOT NULL AS is_emergency,
+               CASE WHEN hit IS NOT NULL THEN 'Emergency symptom detected: ' || hit END
+                   AS emergency_reason
+        FROM (SELECT record_id,
+                     list_filter({_PHRASES}, lambda p: coalesce(list_contains(lowered, p), false))[1]
+                         AS hit
+              FROM (SELECT record_id, {_LOWERED} AS lowered
+                    FROM (SELECT record_id, record AS j FROM recs) r) a) b""",
+        "patients", extra=_REC),
+}
