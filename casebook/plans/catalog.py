@@ -372,3 +372,98 @@ def q_sanitize_records(spark, sf):
 register("emergency_flags", VA["emergency_flags"])(
     lambda spark, sf: VAL.emergency(patient_records(spark, sf))
     .select("record_id", "is_emergency", "emergency_reason"))
+
+
+# ---------------------------------------------------------------- ingest round trips
+
+from casebook.sources import ingest as I  # noqa: E402
+from casebook.sources.tables import read_table as _rt  # noqa: E402
+
+IG = O.INGEST
+
+
+def _export_event_archives(spark, sf, root):
+    """Write events as two CSV 'archives' with different headers, bad and short lines."""
+    e = _rt(spark, sf, "events")
+    a = e.where(F.col("event_id") % 2 == 0).select(F.concat_ws(
+        ",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type",
+        F.col("value").cast("string"),
+        F.when(F.col("event_id") % 50 == 0, F.lit("x"))).alias("value"))
+    b = e.where((F.col("event_id") % 2 == 1) | (F.col("event_id") % 6 == 0)).select(
+        F.when(F.col("event_id") % 9 == 1, F.concat_ws(",", F.col("event_id").cast("string"),
+                                                        "event_type"))
+         .otherwise(F.concat_ws(",", F.col("event_id").cast("string"), "event_type",
+                                F.col("user_id").cast("string"))).alias("value"))
+    hdr = spark.range(1)
+    for name, body, header in (("a", a, "Id,user_id,event_type,value"),
+                               ("b", b, "Id,event_type,user_id")):
+        # header first: one single-file text output per archive, rows in order of the key
+        hdr.select(F.lit(header).alias("value")).unionByName(body).coalesce(1) \
+           .write.mode("overwrite").text(f"{root}/{name}/csv/events_tmp")
+    return [I.list_files(spark, f"{root}/{n}/csv/events_tmp/part-*")[0] for n in ("a", "b")]
+
+
+@register("merge_tables", IG["merge_tables"])
+def q_merge_tables(spark, sf):
+    root = I.scratch_dir(spark, "merge")
+    paths = _export_event_archives(spark, sf, root)
+    merged = I.merge_exports(spark, paths).withColumn("_row", F.monotonically_increasing_id())
+    d = I.dedup_keep_first(merged.select("Id", "user_id", "event_type", "value", "_src", "_row"),
+                           "Id", ["_src", "_row"])
+    return d.select(F.col("Id").cast("long").alias("Id"), F.col("user_id").cast("long").alias("user_id"),
+                    "event_type", F.col("value").cast("double").alias("value"))
+
+
+def _export_conditions(spark, sf, root):
+    cond = V.conditions(spark, sf).select("START", "STOP", "PATIENT", "CODE", "DESCRIPTION")
+    I.write_csv(cond, f"{root}/archive1/csv/conditions")
+    I.write_csv(V.patients(spark, sf).select(F.col("ID").alias("Id"), "GENDER"),
+                f"{root}/archive1/csv/payers")       # not in the allow-list -> skipped
+    return root
+
+
+def _convert(spark, sf):
+    root = I.scratch_dir(spark, "export")
+    _export_conditions(spark, sf, root)
+    out = I.scratch_dir(spark, "parquet")
+    # Spark writes a directory per CSV "file": expose its part files as the table's inputs.
+    tables = {"conditions": I.list_files(spark, f"{root}/archive1/csv/conditions/part-*.csv"),
+              "payers": I.list_files(spark, f"{root}/archive1/csv/payers/part-*.csv")}
+    results = []
+    for name, paths in tables.items():
+        if name not in I.KEEP_COLUMNS:
+            results.append(I.TableResult(name, "skipped", message="not in allow-list"))
+        else:
+            results.append(I.convert_table(spark, name, paths, out))
+    return out, I.load_report(spark, results)
+
+
+@register("csv_parquet_roundtrip", IG["csv_parquet_roundtrip"])
+def q_csv_parquet_roundtrip(spark, sf):
+    out, _ = _convert(spark, sf)
+    return spark.read.parquet(f"{out}/conditions")
+
+
+@register("load_report")
+def q_load_report(spark, sf):
+    _, report = _convert(spark, sf)
+    return report
+
+
+@register("jsonl_roundtrip", IG["jsonl_roundtrip"])
+def q_jsonl_roundtrip(spark, sf):
+    path = I.scratch_dir(spark, "jsonl")
+    samples = _samples(spark, sf)
+    I.write_jsonl_if_absent(samples.select("text", "label"), path)
+    # malformed lines in the same folder: the tolerant reader drops them
+    samples.where(F.col("patient_id") % 10 == 0).select(
+        F.concat(F.lit('{"text": "'), F.col("label")).alias("value")).write.mode("append").text(path)
+    return I.read_jsonl(spark, path)
+
+
+@register("dedup_latest", IG["dedup_latest"])
+def q_dedup_latest(spark, sf):
+    o = _rt(spark, sf, "orders").select(F.col("o_custkey").alias("Id"), "o_orderkey", "o_orderdate",
+                                        "o_orderpriority")
+    return I.dedup_keep_first(o, "Id", ["o_orderkey"]).select("Id", "o_orderkey", "o_orderdate",
+                                                               "o_orderpriority")

@@ -1044,3 +1044,32 @@ VALIDATION = {
                     FROM (SELECT record_id, record AS j FROM recs) r) a) b""",
         "patients", extra=_REC),
 }
+
+
+# ---------------------------------------------------------------- ingest round trips
+
+INGEST = {
+    # archive A: even ids (Id,user_id,event_type,value); every 50th id has an extra field
+    # (dropped).  archive B: odd ids and ids divisible by 6 (Id,event_type,user_id); ids with
+    # id % 9 = 1 miss user_id (null-filled).  Keep-first dedup on Id, archive A first.
+    "merge_tables": """
+        WITH a AS (SELECT event_id AS Id, user_id, event_type, value, 0 AS src FROM events
+                   WHERE event_id % 2 = 0 AND event_id % 50 <> 0),
+             b AS (SELECT event_id AS Id, CASE WHEN event_id % 9 = 1 THEN NULL ELSE user_id END
+                          AS user_id, event_type, CAST(NULL AS DOUBLE) AS value, 1 AS src
+                   FROM events WHERE event_id % 2 = 1 OR event_id % 6 = 0),
+             u AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+        SELECT Id, user_id, event_type, value FROM (
+          SELECT *, row_number() OVER (PARTITION BY Id ORDER BY src) AS rn FROM u) t
+        WHERE rn = 1""",
+    "csv_parquet_roundtrip": with_views("""
+        SELECT CAST(START AS VARCHAR) AS START, CAST(STOP AS VARCHAR) AS STOP,
+               CAST(PATIENT AS VARCHAR) AS PATIENT, CODE, DESCRIPTION FROM conditions""",
+        "conditions"),
+    "jsonl_roundtrip": with_views("SELECT text, label FROM samples", "conditions", "patients",
+                                  extra=_corpus_sql(True)),
+    "dedup_latest": """
+        SELECT o_custkey AS Id, o_orderkey, o_orderdate, o_orderpriority FROM (
+          SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
+          FROM orders) t WHERE rn = 1""",
+}
