@@ -467,3 +467,20 @@ def q_dedup_latest(spark, sf):
                                         "o_orderpriority")
     return I.dedup_keep_first(o, "Id", ["o_orderkey"]).select("Id", "o_orderkey", "o_orderdate",
                                                                "o_orderpriority")
+
+
+# ---------------------------------------------------------------- TF-IDF and baseline (M1–M3)
+
+from casebook.operators import tfidf as TF  # noqa: E402
+
+
+@register("tfidf_top_terms", O.TFIDF["tfidf_top_terms"])
+def q_tfidf_top_terms(spark, sf):
+    docs = _rt(spark, sf, "documents").select("doc_id", "text")
+    return TF.top_terms(TF.tfidf(docs), 5)
+
+
+@register("logit_baseline_report")
+def q_logit_baseline_report(spark, sf):
+    preds, n_features, n_train = TF.logit_baseline(V.labelled_docs(spark, sf))
+    return TF.baseline_report(preds, n_features, n_train)

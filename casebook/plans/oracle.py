@@ -1073,3 +1073,31 @@ INGEST = {
           SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn
           FROM orders) t WHERE rn = 1""",
 }
+
+
+# ---------------------------------------------------------------- TF-IDF (M1)
+
+from casebook.operators.tfidf import MAX_FEATURES, english_stop_words  # noqa: E402
+
+_STOP = ", ".join(_q(w) for w in english_stop_words())
+
+TFIDF = {
+    "tfidf_top_terms": f"""
+        WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'))
+                            AS term FROM documents),
+        tc AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP})
+               GROUP BY doc_id, term),
+        nd AS (SELECT count(*) AS n FROM documents),
+        terms AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM tc GROUP BY term),
+        vocab AS (SELECT term, df, ln((CAST(1 AS DOUBLE) + nd.n) / (CAST(1 AS DOUBLE) + df)) + 1
+                         AS idf
+                  FROM terms, nd ORDER BY total_tf DESC, term ASC LIMIT {MAX_FEATURES}),
+        w AS (SELECT tc.doc_id, tc.term, tc.tf * v.idf AS raw FROM tc JOIN vocab v ON tc.term = v.term),
+        nw AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight
+               FROM w)
+        SELECT doc_id, rank, term, round(weight, 6) AS weight FROM (
+          SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC,
+                                                                  term ASC) AS BIGINT) AS rank
+          FROM nw) t
+        WHERE rank <= 5""",
+}
