@@ -15,27 +15,41 @@ DEFAULT_BUCKET = 1 << 16
 
 
 def global_index(df: DataFrame, order_col: str, name: str = "idx", bucket_size: int = DEFAULT_BUCKET,
-                 tie_cols: tuple[str, ...] = (), partition_cols: tuple[str, ...] = ()) -> DataFrame:
+                 tie_cols: tuple[str, ...] = (), partition_cols: tuple[str, ...] = (),
+                 group_count: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_col`` (then ``tie_cols``) order,
-    counted separately inside each ``partition_cols`` group.
+    counted separately inside each ``partition_cols`` group (and ``group_count`` = the
+    group's row count, when named).
 
     ``order_col`` must be an integral column; a range holds the rows whose key falls in
     ``[k*bucket_size, (k+1)*bucket_size)``, so with unique keys no range exceeds
     ``bucket_size`` rows, however large a partition group is.
+
+    The input is read once: ranks and range sizes come from one window over
+    (group, range); the per-range offsets and group totals are computed from that ranked
+    frame (its shuffle is reused), over one row per range.
     """
     parts = list(partition_cols)
     b = F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")
-    with_b = df.withColumn("_bucket", b)
-    sizes = with_b.groupBy(*parts, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per non-empty range; the running sum runs over that small frame only.
-    ow = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*parts, "_bucket",
-                           F.coalesce(F.sum("_n").over(ow), F.lit(0)).alias("_off"))
     w = Window.partitionBy(*parts, "_bucket").orderBy(order_col, *tie_cols)
-    ranked = with_b.withColumn("_rn", F.row_number().over(w))
-    return (ranked.join(offsets, [*parts, "_bucket"])
-                  .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-                  .drop("_bucket", "_rn", "_off"))
+    ranked = (df.withColumn("_bucket", b)
+                .withColumn("_rn", F.row_number().over(w))
+                .withColumn("_cnt", F.count(F.lit(1)).over(
+                    w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    sizes = ranked.where(F.col("_rn") == 1).select(*parts, "_bucket", "_cnt")
+    # One row per non-empty range; the running sum runs over that small frame only.
+    ow = Window.partitionBy(*parts).orderBy("_bucket")
+    offsets = sizes.select(
+        *parts, "_bucket",
+        F.coalesce(F.sum("_cnt").over(ow.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy(*parts) if parts else Window.partitionBy())
+        .alias("_gn"))
+    out = (ranked.join(offsets, [*parts, "_bucket"])
+                 .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long")))
+    if group_count:
+        out = out.withColumn(group_count, F.col("_gn").cast("long"))
+    return out.drop("_bucket", "_rn", "_cnt", "_off", "_gn")
 
 
 # Multiplicative hash (Knuth) used as a repeatable shuffle order.  The key is first reduced

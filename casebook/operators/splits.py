@@ -34,11 +34,14 @@ def lookup_domain(df: DataFrame, code_col: str, domain_map: DataFrame) -> DataFr
 def domain_samples(samples: DataFrame, domain_map: DataFrame, label_col: str = "label") -> DataFrame:
     """Samples per domain: every sample in 'general', plus its own domain when mapped.
 
-    A null label never matches a domain (it stays in 'general' only).
+    One pass: the domain lookup is a join, then each sample is emitted once or twice by
+    ``explode``.  A null label never matches a domain (it stays in 'general' only).
     """
-    mapped = lookup_domain(samples.where(F.col(label_col).isNotNull()), label_col, domain_map)
-    own = mapped.where(F.col("domain") != GENERAL)
-    return samples.withColumn("domain", F.lit(GENERAL)).unionByName(own)
+    m = domain_map.select(F.col("code").cast("string").alias("_code"), F.col("domain").alias("_dom"))
+    j = samples.join(m, F.col(label_col).cast("string") == F.col("_code"), "left")
+    own = F.when(F.col("_dom").isNotNull() & (F.col("_dom") != GENERAL), F.col("_dom"))
+    doms = F.array_compact(F.array(F.lit(GENERAL), own))
+    return j.withColumn("domain", F.explode(doms)).drop("_code", "_dom")
 
 
 def split_by_hash(df: DataFrame, key: str, group_cols: tuple[str, ...] = (),
@@ -50,21 +53,13 @@ def split_by_hash(df: DataFrame, key: str, group_cols: tuple[str, ...] = (),
     """
     groups = list(group_cols)
     h = df.withColumn("_h", shuffle_key(key, seed))
-    n = (h.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")) if groups
-         else h.agg(F.count(F.lit(1)).alias("_n")))
+    ranked = global_index(h, "_h", "_pos", SPLIT_BUCKET, tie_cols=(key,),
+                          partition_cols=tuple(groups), group_count="_n")
     if min_rows is not None:
-        n = n.where(F.col("_n") > min_rows)
-    n = n.withColumn("_train", (F.col("_n") * F.lit(1.0 - test_size)).cast("long"))
-    ranked = global_index(h, "_h", "_pos", SPLIT_BUCKET, tie_cols=(key,), partition_cols=tuple(groups))
-    if groups:
-        # one row per group: the group-count frame is as small as the number of groups
-        joined = ranked.join(F.broadcast(n), groups, "inner")
-    else:
-        joined = ranked.select("*", n.select("_n").scalar().alias("_n"),
-                               n.select("_train").scalar().alias("_train"))
-    return (joined.withColumn("split", F.when(F.col("_pos") < F.col("_train"), "train")
-                              .otherwise("test"))
-                  .drop("_h", "_n", "_train", "_pos"))
+        ranked = ranked.where(F.col("_n") > min_rows)
+    train = (F.col("_n") * F.lit(1.0 - test_size)).cast("long")
+    return (ranked.withColumn("split", F.when(F.col("_pos") < train, "train").otherwise("test"))
+                  .drop("_h", "_n", "_pos"))
 
 
 def domain_stats(domains: DataFrame, test_size: float = 0.2) -> DataFrame:
