@@ -84,3 +84,44 @@ def split_prompt_expected(text) -> tuple[Column, Column]:
     prompt = strip_ws(F.substr(t, F.lit(1), cut))
     expected = strip_ws(F.substr(t, cut + 1, F.length(t)))
     return prompt, expected
+
+
+_SPLITTER = 134217729.0   # 2^27 + 1: Veltkamp split of a double into two 26-bit halves
+
+
+def _split(v):
+    c = v * _SPLITTER
+    hi = c - (c - v)
+    return hi, v - hi
+
+
+def format_fixed(c, digits: int = 2) -> Column:
+    """Python's ``f"{x:.{digits}f}"``: the exact binary value rounded half-to-even.
+
+    Java's ``%.2f`` (``format_string``) rounds the shortest decimal string half-up, so
+    0.825 gives '0.83' there and '0.82' in Python.  Here the product x·10^digits is
+    computed with its exact rounding error (Dekker's two-product), which decides the
+    ties; everything stays a built-in double expression.  Null stays null.
+    """
+    x = col_(c)
+    scale = float(10 ** digits)
+    a = F.abs(x)
+    p = a * F.lit(scale)
+    ah, al = _split(a)
+    sh = (scale * _SPLITTER) - ((scale * _SPLITTER) - scale)
+    sl = scale - sh
+    err = ((ah * F.lit(sh) - p) + ah * F.lit(sl) + al * F.lit(sh)) + al * F.lit(sl)
+    k = F.floor(p)
+    frac = p - k
+    up = (F.when(frac > 0.5, True).when(frac < 0.5, False)
+           .when(err > 0, True).when(err < 0, False).otherwise(k % 2 == 1))
+    n = (k + F.when(up, 1).otherwise(0)).cast("decimal(38,0)")
+    whole = F.floor(n / F.lit(10 ** digits)).cast("string")
+    part = F.lpad((n % F.lit(10 ** digits)).cast("long").cast("string"), digits, "0")
+    body = F.concat(whole, F.lit("."), part) if digits > 0 else whole
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(x.isNull(), F.lit(None).cast("string"))
+             .when(F.isnan(x), F.lit("nan"))
+             .when(x == float("inf"), F.lit("inf"))
+             .when(x == float("-inf"), F.lit("-inf"))
+             .otherwise(F.concat(sign, body)))

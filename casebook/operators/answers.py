@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.functions.columns import clamp01, strip_ws
+from casebook.functions.columns import clamp01, format_fixed, strip_ws
 
 REFINED_KEYS = ["confidence", "diagnosis", "reasoning"]   # exactly these keys, sorted
 
@@ -20,7 +20,7 @@ REFINED_KEYS = ["confidence", "diagnosis", "reasoning"]   # exactly these keys,
 def candidate_block(agent: Column, answer: Column, conf: Column) -> Column:
     """``[agent] (confidence=0.82):\\nanswer\\n``; the confidence part is omitted when null."""
     c = F.when(conf.isNull(), F.lit("")).otherwise(
-        F.concat(F.lit(" (confidence="), F.format_string("%.2f", conf), F.lit(")")))
+        F.concat(F.lit(" (confidence="), format_fixed(conf, 2), F.lit(")")))
     return F.concat(F.lit("["), agent, F.lit("]"), c, F.lit(":\n"), strip_ws(answer), F.lit("\n"))
 
 
@@ -54,7 +54,7 @@ def numbered_agent_list(cases: DataFrame, candidates: DataFrame, case_col: str =
         (i + 1).cast("string"), F.lit(". Agent: "), x["agent_id"], F.lit(", Diagnosis: "),
         x["answer"], F.lit(", Confidence: "),
         F.when(x["confidence"].isNull(), F.lit("N/A"))
-         .otherwise(F.format_string("%.2f", x["confidence"]))))
+         .otherwise(format_fixed(x["confidence"], 2))))
     return cases.select(case_col, text_col).join(agg, case_col).select(
         case_col, F.concat(F.lit("Patient Prompt:\n"), strip_ws(F.col(text_col)),
                            F.lit("\n\nAgent Diagnoses:\n"), F.array_join(lines, "\n"))
