@@ -43,19 +43,22 @@ def with_skip_reason(df: DataFrame, truth: str = "true_diagnosis",
                          .when(p.isNull(), "missing_prediction"))
 
 
-def processed_rows(df: DataFrame, truth: str = "true_diagnosis",
-                   pred: str = "predicted_diagnosis", order_col: str = "sample_id",
-                   limit: int | None = None) -> DataFrame:
-    """sample_index, sample_id, true/predicted (as strings), confidence, agent_used, correct.
-
-    Only usable rows are stored; ``sample_index`` counts stored rows in ``order_col`` order
-    (X19) and ``limit`` keeps the first N stored rows (L3).
-    """
+def usable_rows(df: DataFrame, truth: str = "true_diagnosis",
+                pred: str = "predicted_diagnosis", order_col: str = "sample_id") -> DataFrame:
+    """sample_id, true/predicted (as strings), confidence, agent_used, correct — the rows an
+    evaluation keeps (F12, X14).  A plain filter + projection: no shuffle."""
     rows = with_skip_reason(df, truth, pred).where(F.col("skip_reason").isNull())
-    rows = rows.select(order_col, _s(truth).alias("true_diagnosis"),
+    return rows.select(order_col, _s(truth).alias("true_diagnosis"),
                        _s(pred).alias("predicted_diagnosis"), "confidence", "agent_used",
                        (_s(truth) == _s(pred)).alias("correct"))
-    rows = global_index(rows, order_col, "sample_index")
+
+
+def processed_rows(df: DataFrame, truth: str = "true_diagnosis",
+                   pred: str = "predicted_diagnosis", order_col: str = "sample_id",
+                   limit: int | None = None) -> DataFrame:
+    """``usable_rows`` plus sample_index: the running index of stored rows in ``order_col``
+    order (X19); ``limit`` keeps the first N stored rows (L3)."""
+    rows = global_index(usable_rows(df, truth, pred, order_col), order_col, "sample_index")
     if limit is not None and limit > 0:
         rows = rows.where(F.col("sample_index") < limit)
     return rows

@@ -52,9 +52,10 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocab = (terms.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
              .select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
     w = tc.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return (w.join(norms, id_col)
-             .select(id_col, "term", "tf", "df", "idf", (F.col("raw") / F.col("norm")).alias("weight")))
+    # The norm is a window over the document: it shares its shuffle with any later
+    # per-document step (top_terms) instead of an aggregate joined back.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", "tf", "df", "idf", (F.col("raw") / norm).alias("weight"))
 
 
 def top_terms(weights: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFrame:

@@ -157,12 +157,12 @@ def validate(records: DataFrame, text_col: str = "record") -> DataFrame:
 
     A text that is not a JSON object is invalid with the single error 'not_a_json_object'.
     """
-    rec = F.try_parse_json(F.col(text_col))
-    is_obj = _is_obj(rec)
-    errs = F.when(is_obj, validation_errors(rec)).otherwise(F.array(F.struct(
+    parsed = records.withColumn("_rec", F.try_parse_json(F.col(text_col)))   # parsed once per row
+    rec = F.col("_rec")
+    errs = F.when(_is_obj(rec), validation_errors(rec)).otherwise(F.array(F.struct(
         F.lit("not_a_json_object").alias("code"), F.lit("Record is not a JSON object").alias("message"))))
-    return (records.withColumn("errors", errs)
-                   .withColumn("is_valid", F.size("errors") == 0))
+    return (parsed.withColumn("errors", errs).drop("_rec")
+                  .withColumn("is_valid", F.size("errors") == 0))
 
 
 def sanitize(records: DataFrame, text_col: str = "record") -> DataFrame:
@@ -171,7 +171,8 @@ def sanitize(records: DataFrame, text_col: str = "record") -> DataFrame:
     medications projected to name / dosage / frequency; an invalid dob -> null.  Absent
     fields stay null.  medical_history is passed through as JSON text (not sanitised).
     """
-    rec = F.try_parse_json(F.col(text_col))
+    records = records.withColumn("_rec", F.try_parse_json(F.col(text_col)))  # parsed once per row
+    rec = F.col("_rec")
 
     def enum(name, valid):
         x = _v(rec, name)
@@ -208,20 +209,21 @@ def sanitize(records: DataFrame, text_col: str = "record") -> DataFrame:
         F.when(med.isNull(), F.lit(None)).when(_is_list(med), med_clean).otherwise(empty_m)
          .alias("medications"),
         F.when(_is_str(dob) & _dob_date(dob_s).isNotNull(), dob_s).alias("dob"),
-        F.to_json(_v(rec, "medical_history")).alias("medical_history"))
+        F.to_json(_v(rec, "medical_history")).alias("medical_history")).drop("_rec")
 
 
 def emergency(records: DataFrame, text_col: str = "record") -> DataFrame:
     """Adds is_emergency, emergency_reason: first listed phrase among the lower-cased string
     symptoms (whole-element match), in the fixed phrase order (V3)."""
-    rec = F.try_parse_json(F.col(text_col))
+    records = records.withColumn("_rec", F.try_parse_json(F.col(text_col)))
+    rec = F.col("_rec")
     lowered = F.transform(F.filter(_elements(rec, "symptoms"), lambda x: _is_str(x)),
                           lambda x: F.lower(F.variant_get(x, "$", "string")))
     hit = F.try_element_at(F.filter(F.array(*[F.lit(p) for p in EMERGENCY_SYMPTOMS]),
                                 lambda p: F.coalesce(F.array_contains(lowered, p), F.lit(False))), F.lit(1))
     return records.select("*", hit.isNotNull().alias("is_emergency"),
                           F.when(hit.isNotNull(), F.concat(F.lit("Emergency symptom detected: "), hit))
-                          .alias("emergency_reason"))
+                          .alias("emergency_reason")).drop("_rec")
 
 
 def quality_report(validated: DataFrame) -> DataFrame:

@@ -153,13 +153,14 @@ MX = O.METRICS
 
 
 def _ok(spark, sf):
-    return M.processed_rows(V.predictions(spark, sf))
+    return M.usable_rows(V.predictions(spark, sf))
 
 
 @register("prediction_rows", MX["prediction_rows"])
 def q_prediction_rows(spark, sf):
     from pyspark.sql import functions as F
-    return _ok(spark, sf).withColumn("confidence", F.round("confidence", 6))
+    return M.processed_rows(V.predictions(spark, sf)).withColumn("confidence",
+                                                                F.round("confidence", 6))
 
 
 register("run_summary", MX["run_summary"])(lambda spark, sf: M.run_summary(V.predictions(spark, sf)))
@@ -195,7 +196,7 @@ register("prefix_filtered_eval", MX["prefix_filtered_eval"])(
 @register("metrics_report", MX["metrics_report"])
 def q_metrics_report(spark, sf):
     preds = V.predictions(spark, sf)
-    labels = M.top_labels(M.processed_rows(preds), "true_diagnosis", 10)
+    labels = M.top_labels(M.usable_rows(preds), "true_diagnosis", 10)
     return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels)
 
 

@@ -11,6 +11,11 @@ from pyspark.sql import SparkSession
 from casebook.sources.tables import TABLES
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                  "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT"}
+
+
 def duckdb_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -50,6 +55,13 @@ def compare(spark: SparkSession, name: str, sf_dir: str, con=None) -> dict:
     ocols = [d[0] for d in cur.description]
     ora = pd.DataFrame(cur.fetchall(), columns=ocols, dtype=object)
     out.update(oracle_rows=len(ora), oracle_cols=sorted(ora.columns))
+    spark_types = {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    duck_types = {d[0]: str(d[1]) for d in cur.description}
+    bad_types = {c: (spark_types.get(c), duck_types.get(c)) for c in duck_types
+                 if spark_types.get(c) != duck_types.get(c)}
+    if bad_types:
+        out["type_mismatch"] = bad_types
     if sorted(ora.columns) != sorted(sdf.columns):
         out["match"] = False
         return out

@@ -55,7 +55,7 @@ VIEW_SQL = {
     "agent_answers": """
         SELECT l_orderkey AS case_id, CAST(l_linenumber AS VARCHAR) AS agent_id,
                l_returnflag AS diagnosis, l_discount * 12 - 0.1 AS confidence,
-               l_linenumber AS seq1, l_partkey AS seq2, l_suppkey AS seq3
+               l_linenumber AS seq1, l_partkey AS seq2, 0 AS seq3
         FROM lineitem""",
     "predictions": f"""
         SELECT e.event_id AS sample_id, e.event_type AS true_diagnosis,

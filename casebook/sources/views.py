@@ -96,14 +96,18 @@ def immunizations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agent_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """case_id, agent_id, diagnosis, confidence (raw, unclamped), answer_seq (input order)."""
+    """case_id, agent_id, diagnosis, confidence (raw, unclamped), answer_seq (input order).
+
+    answer_seq = line number, then part key, packed in one long (part keys < 2^40) so the
+    "first seen" aggregate stays a hash aggregate.
+    """
     li = read_table(spark, sf, "lineitem")
     return li.select(F.col("l_orderkey").alias("case_id"),
                      F.col("l_linenumber").cast("string").alias("agent_id"),
                      F.col("l_returnflag").alias("diagnosis"),
                      (F.col("l_discount") * 12 - 0.1).alias("confidence"),
-                     F.struct(F.col("l_linenumber"), F.col("l_partkey"),
-                              F.col("l_suppkey")).alias("answer_seq"))
+                     (F.col("l_linenumber").cast("long") * F.lit(1 << 40) + F.col("l_partkey"))
+                     .alias("answer_seq"))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
