@@ -6,10 +6,13 @@ terms, smooth idf ``ln((1 + n) / (1 + df)) + 1``, L2-normalised rows.  The stop-
 Spark ML's public English list (``StopWordsRemover``), pinned as configuration — it differs
 from scikit-learn's list.
 
-Plan: tokens are exploded per document and counted per (doc, term) with map-side partial
-aggregation; document frequencies are a term-level aggregate; the vocabulary is a bounded
-top-k (``max_features`` rows, broadcast); per-document norms are a doc-level aggregate.
-Nothing is collected and no document is split across the driver.
+Plan: documents are hash-partitioned by id once; that single shuffle of the raw text
+satisfies every per-document step after it (the (doc, term) count, the norm window and
+the top-k window need no further exchange), and tokenising runs in parallel whatever the
+input file layout.  The term counts feed two consumers (document frequencies and the
+weights), so they are persisted once.  Document frequencies are a term-level aggregate
+with map-side partial aggregation; the vocabulary is a bounded top-k (``max_features``
+rows, broadcast).  A document is one row, so no hash partition can be hot.
 """
 
 from __future__ import annotations
@@ -46,8 +49,10 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_features: int = MAX_FEATURES) -> DataFrame:
     """doc_id, term, tf, df, idf, weight (L2-normalised tf·idf over the vocabulary)."""
-    tc = term_counts(docs, id_col, text_col)
+    from casebook.plans.stage import stage
+
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    tc = stage(term_counts(docs.repartition(id_col), id_col, text_col))
     terms = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     vocab = (terms.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
              .select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
