@@ -8,9 +8,36 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+SPREAD_MAX_BYTES = 1 << 30   # inputs up to 1 GiB may be rebalanced; larger ones never are
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it.
+
+    ``spread`` rebalances a small input (see ``spread_small``) for CPU-heavy per-row work.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small(df) if spread else df
+
+
+def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Round-robin rebalance an input stored in fewer files than the cluster has cores.
+
+    A Parquet row group is never split, so a table written as one small file is scanned by
+    one task and all map-side work before the first shuffle runs there.  When the input is
+    both few files and small (at most ``max_bytes``), one bounded shuffle spreads it over
+    ``defaultParallelism`` partitions.  Large or many-file inputs - the normal layout at
+    scale - are returned unchanged, so this never adds a shuffle of big data.
+    """
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= par:
+        return df
+    from casebook.sources.ingest import path_bytes
+    if sum(path_bytes(spark, f) for f in files) > max_bytes:
+        return df
+    return df.repartition(par)
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> list[str]:
