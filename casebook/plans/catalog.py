@@ -485,3 +485,68 @@ def q_tfidf_top_terms(spark, sf):
 def q_logit_baseline_report(spark, sf):
     preds, n_features, n_train = TF.logit_baseline(V.labelled_docs(spark, sf))
     return TF.baseline_report(preds, n_features, n_train)
+
+
+# ---------------------------------------------------------------- coverage additions
+
+MO = O.MORE
+
+
+@register("distinct_counts", MO["distinct_counts"])
+def q_distinct_counts(spark, sf):
+    """Distinct codes, label classes, operations and domains (map domains + 'general')."""
+    codes = V.conditions(spark, sf).agg(F.countDistinct("CODE")).scalar()
+    classes = V.labelled_docs(spark, sf).agg(F.countDistinct("label")).scalar()
+    ops = V.latencies(spark, sf).agg(F.countDistinct("operation")).scalar()
+    doms = (V.domain_map(spark, sf).select("domain")
+            .unionByName(spark.range(1).select(F.lit(S.GENERAL).alias("domain")))
+            .agg(F.countDistinct("domain")).scalar())
+    return spark.range(1).select(F.explode(F.array(
+        F.struct(F.lit("codes").alias("metric"), codes.alias("n")),
+        F.struct(F.lit("label_classes").alias("metric"), classes.alias("n")),
+        F.struct(F.lit("operations").alias("metric"), ops.alias("n")),
+        F.struct(F.lit("domains").alias("metric"), doms.alias("n")))).alias("m")).select("m.*")
+
+
+@register("prediction_rows_first_n", MO["prediction_rows_first_n"])
+def q_prediction_rows_first_n(spark, sf):
+    """L3: the first N stored prediction rows (N = 500)."""
+    return M.processed_rows(V.predictions(spark, sf), limit=O.FIRST_N).withColumn(
+        "confidence", F.round("confidence", 6))
+
+
+@register("case_pipeline_refined", MO["case_pipeline_refined"])
+def q_case_pipeline_refined(spark, sf):
+    """T11 + U3: routed specialists' answers plus one parsed refined answer per case."""
+    notes = V.notes(spark, sf).select(F.col("note_id").alias("case_id"))
+    parsed = A.parse_refined(V.refined_outputs(spark, sf)).where("ok")
+    one = (parsed.join(notes, "case_id", "left_semi")
+           .groupBy("case_id").agg(F.min(F.struct("line", "diagnosis", "confidence")).alias("r")))
+    refined = one.select("case_id", F.lit("refine").alias("agent_id"), "r.diagnosis",
+                         "r.confidence", F.lit(O.REFINED_SEQ).alias("answer_seq"))
+    out = C.case_pipeline(_fanout(spark, sf), refined)
+    return out.select("case_id", "softmax_diagnosis", F.round("softmax_score", 6).alias("softmax_score"),
+                      "majority_diagnosis", F.round("majority_score", 6).alias("majority_score"))
+
+
+@register("domain_split_roundtrip", MO["domain_split_roundtrip"])
+def q_domain_split_roundtrip(spark, sf):
+    """Corpus split written partitioned by (domain, split), read back with fallback."""
+    path = I.scratch_dir(spark, "domain-splits")
+    split = S.split_by_hash(_domain_samples(spark, sf), "patient_id", ("domain",), 0.2, 42,
+                            S.MIN_DOMAIN_ROWS).select("patient_id", "label", "domain", "split")
+    split.write.mode("overwrite").partitionBy("domain", "split").parquet(path)
+    stored = spark.read.parquet(path)
+    own = S.read_domain_split(stored, "small", "train").withColumn("requested", F.lit("small/train"))
+    fallback = S.read_domain_split(stored, "cardio", "test").withColumn("requested",
+                                                                        F.lit("cardio/test"))
+    return own.unionByName(fallback).select("requested", "patient_id", "label", "domain", "split")
+
+
+@register("eval_slice_roundtrip", MO["eval_slice_roundtrip"])
+def q_eval_slice_roundtrip(spark, sf):
+    """Eval slice written as Parquet with its one-row metadata sidecar, read back."""
+    path = I.scratch_dir(spark, "eval-slice")
+    sl = _slice(spark, sf)
+    I.write_with_meta(sl, ES.slice_meta(sl), path)
+    return spark.read.parquet(f"{path}/data")

@@ -1101,3 +1101,73 @@ TFIDF = {
           FROM nw) t
         WHERE rank <= 5""",
 }
+
+
+# ---------------------------------------------------------------- coverage additions
+
+FIRST_N = 500
+REFINED_SEQ = 1 << 62   # the refined answer is seen after every specialist answer
+
+MORE = {
+    "distinct_counts": with_views("""
+        SELECT 'codes' AS metric, CAST(count(DISTINCT CODE) AS BIGINT) AS n FROM conditions
+        UNION ALL SELECT 'label_classes', CAST(count(DISTINCT label) AS BIGINT) FROM labelled_docs
+        UNION ALL SELECT 'operations', CAST(count(DISTINCT operation) AS BIGINT) FROM latencies
+        UNION ALL SELECT 'domains', CAST(count(DISTINCT domain) AS BIGINT)
+                  FROM (SELECT domain FROM domain_map UNION ALL SELECT 'general') d""",
+        "conditions", "labelled_docs", "latencies", "domain_map"),
+    "prediction_rows_first_n": _with_ok(f"""
+        SELECT * FROM (
+          SELECT CAST(row_number() OVER (ORDER BY sample_id) - 1 AS BIGINT) AS sample_index,
+                 sample_id, true_diagnosis, predicted_diagnosis, round(confidence, 6) AS confidence,
+                 agent_used, correct
+          FROM ok) t
+        WHERE sample_index < {FIRST_N}"""),
+}
+
+
+REFINED_REASON = """CASE
+    WHEN NOT coalesce(json_valid(raw), false) THEN 'not_a_json_object'
+    WHEN json_type(raw) <> 'OBJECT' THEN 'not_a_json_object'
+    WHEN list_sort(json_keys(raw)) <> ['confidence', 'diagnosis', 'reasoning'] THEN 'wrong_keys'
+    WHEN TRY_CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) IS NULL THEN 'bad_confidence'
+  END"""
+
+MORE["case_pipeline_refined"] = with_views("""
+    SELECT s.case_id, s.diagnosis AS softmax_diagnosis, round(s.score, 6) AS softmax_score,
+           m.diagnosis AS majority_diagnosis, round(m.score, 6) AS majority_score
+    FROM ws s JOIN wm m ON s.case_id = m.case_id""",
+    "notes", "agent_answers", "refined_outputs",
+    extra={**_RF,
+           "refined_ok": f"""
+               SELECT case_id, line, json_extract_string(raw, '$.diagnosis') AS diagnosis,
+                      TRY_CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) AS confidence
+               FROM (SELECT *, {REFINED_REASON} AS reject_reason FROM refined_outputs) r
+               WHERE reject_reason IS NULL""",
+           "refined_one": f"""
+               SELECT case_id, 'refine' AS agent_id, diagnosis, confidence,
+                      {REFINED_SEQ} AS seq1, 0 AS seq2, 0 AS seq3
+               FROM (SELECT *, row_number() OVER (PARTITION BY case_id
+                                                  ORDER BY line, diagnosis, confidence) AS rn
+                     FROM refined_ok WHERE case_id IN (SELECT note_id FROM notes)) t
+               WHERE rn = 1""",
+           "cand_all": """
+               SELECT case_id, agent_id, diagnosis, confidence, seq1, seq2, seq3 FROM fanout
+               UNION ALL SELECT * FROM refined_one""",
+           **_vote_ctes("cand_all"), "ws": _winner("vs"), "wm": _winner("vm")})
+
+MORE["domain_split_roundtrip"] = _corpus_with("""
+    SELECT 'small/train' AS requested, patient_id, label, domain, split FROM cs
+    WHERE domain = 'small' AND split = 'train'
+    UNION ALL
+    SELECT 'cardio/test', patient_id, label, domain, split FROM cs
+    WHERE domain = 'general' AND split = 'test'""", "domain_map", ds=DOMAIN_SAMPLES,
+    cs=f"""
+        SELECT h.patient_id, h.label, h.domain,
+               CASE WHEN row_number() OVER (PARTITION BY h.domain ORDER BY h.h, h.patient_id) - 1
+                         < floor(nn.n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+        FROM (SELECT *, {_hash('patient_id')} AS h FROM ds) h
+        JOIN (SELECT domain, count(*) AS n FROM ds GROUP BY domain HAVING count(*) > 10) nn
+          ON h.domain = nn.domain""")
+
+MORE["eval_slice_roundtrip"] = SPLITS["eval_slice_last_condition"]
