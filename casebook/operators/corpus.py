@@ -97,9 +97,10 @@ def corpus_samples(conditions: DataFrame, patients: DataFrame, allow_repeats: bo
     """patient_id, text, label — one sample per patient with a past and a future.
 
     ``conditions`` feeds three branches (cutoff, history, future); it is projected to the
-    four columns used and persisted once so the (possibly joined) input is computed once.
+    four columns used and, when its input is large, persisted once so the (possibly
+    joined) input is computed once.
     """
-    conditions = stage(conditions.select("PATIENT", "START", "CODE", "DESCRIPTION"))
+    conditions = stage(conditions.select("PATIENT", "START", "CODE", "DESCRIPTION"), "auto")
     cutoff = temporal_cutoff(conditions, exact=exact_cutoff).scalar()
     hist = patient_histories(conditions, cutoff, max_items)
     fut = first_future(conditions, cutoff)

@@ -13,7 +13,20 @@ from pyspark.sql import DataFrame
 from casebook.session import checkpoint_dir
 
 
+REUSE_MIN_BYTES = 1 << 30   # below this input size, recomputing a branch is cheaper than caching
+
+
 def stage(df: DataFrame, how: str = "persist") -> DataFrame:
+    """Materialise ``df`` for several consumers.
+
+    ``auto`` persists only when the plan reads more than ``REUSE_MIN_BYTES`` of files (or too
+    many files to size cheaply): small inputs are recomputed by each branch in parallel,
+    which is faster than building a cache; large ones are computed once.
+    """
+    if how == "auto":
+        from casebook.sources.tables import input_bytes
+        size = input_bytes(df)
+        how = "persist" if size is None or size > REUSE_MIN_BYTES else "none"
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

@@ -20,6 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     return spread_small(df) if spread else df
 
 
+def input_bytes(df: DataFrame, max_files: int = 1000) -> int | None:
+    """Total size of the files a plan reads; None when they are too many to sum cheaply."""
+    files = df.inputFiles()
+    if len(files) > max_files:
+        return None
+    from casebook.sources.ingest import path_bytes
+    return sum(path_bytes(df.sparkSession, f) for f in files)
+
+
 def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     """Round-robin rebalance an input stored in fewer files than the cluster has cores.
 
@@ -34,8 +43,8 @@ def spread_small(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
     files = df.inputFiles()
     if not files or len(files) >= par:
         return df
-    from casebook.sources.ingest import path_bytes
-    if sum(path_bytes(spark, f) for f in files) > max_bytes:
+    size = input_bytes(df)
+    if size is None or size > max_bytes:
         return df
     return df.repartition(par)
 
