@@ -1156,12 +1156,19 @@ MORE["case_pipeline_refined"] = with_views("""
                UNION ALL SELECT * FROM refined_one""",
            **_vote_ctes("cand_all"), "ws": _winner("vs"), "wm": _winner("vm")})
 
-MORE["domain_split_roundtrip"] = _corpus_with("""
-    SELECT 'small/train' AS requested, patient_id, label, domain, split FROM cs
-    WHERE domain = 'small' AND split = 'train'
-    UNION ALL
-    SELECT 'cardio/test', patient_id, label, domain, split FROM cs
-    WHERE domain = 'general' AND split = 'test'""", "domain_map", ds=DOMAIN_SAMPLES,
+def _fallback_read(requested: str, domain: str, split: str) -> str:
+    own = f"domain = '{domain}' AND split = '{split}'"
+    gen = f"domain = 'general' AND split = '{split}'"
+    return f"""
+    SELECT '{requested}' AS requested, patient_id, label, domain, split FROM cs
+    WHERE ({own})
+       OR (NOT EXISTS (SELECT 1 FROM cs WHERE {own}) AND {gen})
+       OR (NOT EXISTS (SELECT 1 FROM cs WHERE {own}) AND NOT EXISTS (SELECT 1 FROM cs WHERE {gen}))"""
+
+
+MORE["domain_split_roundtrip"] = _corpus_with(
+    _fallback_read("small/train", "small", "train") + "\n    UNION ALL"
+    + _fallback_read("cardio/test", "cardio", "test"), "domain_map", ds=DOMAIN_SAMPLES,
     cs=f"""
         SELECT h.patient_id, h.label, h.domain,
                CASE WHEN row_number() OVER (PARTITION BY h.domain ORDER BY h.h, h.patient_id) - 1
