@@ -125,3 +125,20 @@ def format_fixed(c, digits: int = 2) -> Column:
              .when(x == float("inf"), F.lit("inf"))
              .when(x == float("-inf"), F.lit("-inf"))
              .otherwise(F.concat(sign, body)))
+
+
+_EXPR_CACHE: dict = {}
+
+
+def cached_expr(key, build):
+    """Memoise a data-independent Column built by ``build()`` for the active SparkContext.
+
+    Large rule expressions (validation, record templates) cost thousands of py4j calls to
+    assemble; the unresolved expression is the same for every query in the process.
+    """
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (id(sc), key)
+    if k not in _EXPR_CACHE:
+        _EXPR_CACHE[k] = build()
+    return _EXPR_CACHE[k]

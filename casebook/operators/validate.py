@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.functions.columns import strip_ws
+from casebook.functions.columns import cached_expr, strip_ws
 
 # Fixed values of the reference's validator.
 REQUIRED_FIELDS = ["age", "gender", "symptoms"]
@@ -158,9 +158,12 @@ def validate(records: DataFrame, text_col: str = "record") -> DataFrame:
     A text that is not a JSON object is invalid with the single error 'not_a_json_object'.
     """
     parsed = records.withColumn("_rec", F.try_parse_json(F.col(text_col)))   # parsed once per row
-    rec = F.col("_rec")
-    errs = F.when(_is_obj(rec), validation_errors(rec)).otherwise(F.array(F.struct(
-        F.lit("not_a_json_object").alias("code"), F.lit("Record is not a JSON object").alias("message"))))
+    def build():
+        rec = F.col("_rec")
+        return F.when(_is_obj(rec), validation_errors(rec)).otherwise(F.array(F.struct(
+            F.lit("not_a_json_object").alias("code"),
+            F.lit("Record is not a JSON object").alias("message"))))
+    errs = cached_expr("validation_errors", build)
     return (parsed.withColumn("errors", errs).drop("_rec")
                   .withColumn("is_valid", F.size("errors") == 0))
 

@@ -115,7 +115,9 @@ def record_text() -> Column:
 
 def patient_records(spark: SparkSession, sf: str) -> DataFrame:
     """record_id, record (JSON text)."""
-    return V.patients(spark, sf).select(F.col("ID").alias("record_id"), record_text().alias("record"))
+    from casebook.functions.columns import cached_expr
+    return V.patients(spark, sf).select(F.col("ID").alias("record_id"),
+                                        cached_expr("patient_record_text", record_text).alias("record"))
 
 
 def record_sql() -> str:
