@@ -11,12 +11,26 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SPREAD_MAX_BYTES = 1 << 30   # inputs up to 1 GiB may be rebalanced; larger ones never are
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+_SCANS: dict = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False,
+               reuse: bool = True) -> DataFrame:
     """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it.
 
     ``spread`` rebalances a small input (see ``spread_small``) for CPU-heavy per-row work.
+    ``reuse`` keeps one DataFrame per table and session, so the schema and file listing are
+    read once instead of once per query (the tables are immutable inputs); pass False for
+    a location whose files change.
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if not reuse or key not in _SCANS:
+        df = spark.read.parquet(path)
+        if not reuse:
+            return spread_small(df) if spread else df
+        _SCANS[key] = df
+    df = _SCANS[key]
     return spread_small(df) if spread else df
 
 
