@@ -123,14 +123,22 @@ def prf_for(records: DataFrame, condition: str, truth: str = "ground_truth",
 
 def per_class(rows: DataFrame, truth: str = "true_diagnosis",
               pred: str = "predicted_diagnosis") -> DataFrame:
-    """label, tp, n_true, n_pred over the union of true and predicted labels."""
-    tp = rows.where(F.col(truth) == F.col(pred)).groupBy(F.col(truth).alias("label")).agg(
-        F.count(F.lit(1)).alias("tp"))
-    nt = rows.groupBy(F.col(truth).alias("label")).agg(F.count(F.lit(1)).alias("n_true"))
-    npred = rows.groupBy(F.col(pred).alias("label")).agg(F.count(F.lit(1)).alias("n_pred"))
-    u = nt.join(npred, "label", "full_outer").join(tp, "label", "left")
-    return u.select("label", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                               for c in ("tp", "n_true", "n_pred")])
+    """label, tp, n_true, n_pred over the union of true and predicted labels.
+
+    Each row contributes once as its true label and once as its predicted label; a single
+    grouped sum (map-side partial aggregation, one shuffle) yields all three counts.
+    """
+    hit = (F.col(truth) == F.col(pred)).cast("long")
+    both = rows.select(F.explode(F.array(
+        F.struct(F.col(truth).alias("label"), F.lit(1).cast("long").alias("t"),
+                 F.lit(0).cast("long").alias("p"), hit.alias("h")),
+        F.struct(F.col(pred).alias("label"), F.lit(0).cast("long").alias("t"),
+                 F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("h")))).alias("e"))
+    return (both.where(F.col("e.label").isNotNull())
+                .groupBy(F.col("e.label").alias("label"))
+                .agg(F.sum("e.h").alias("tp"), F.sum("e.t").alias("n_true"),
+                     F.sum("e.p").alias("n_pred"))
+                .select("label", *[F.col(c).cast("long").alias(c) for c in ("tp", "n_true", "n_pred")]))
 
 
 def class_report(rows: DataFrame, truth: str = "true_diagnosis",
