@@ -88,3 +88,21 @@ def test_append_records_with_extras(spark, root):
     I.append_records(df, p, ["model"])
     out = spark.read.parquet(p)
     assert out.count() == 2 and out.collect()[0].extra == {"model": "x"}
+
+
+def test_result_documents_summary_csv_and_meta(spark, root):
+    import json as _json
+    from casebook.operators import explore as E
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "b", None)], "id long, label string, conf double")
+    docs = [_json.loads(r.doc) for r in I.to_result_documents(df, ["id", "label", "conf"]).collect()]
+    assert docs == [{"id": 1, "label": "a", "conf": 0.5}, {"id": 2, "label": "b"}]
+    summary = E.describe(spark.createDataFrame([(float(v),) for v in range(1, 10)], "x double"), "x")
+    p = f"file:{root}/summary"
+    I.write_summary_csv(summary, p)
+    stats = {r.stat: float(r.value) for r in spark.read.option("header", True).csv(p).collect()}
+    assert list(stats) == ["n", "mean", "std", "min", "q25", "q50", "q75", "max"]
+    assert stats["q50"] == 5.0 and stats["n"] == 9.0
+    out = f"file:{root}/slice"
+    I.write_with_meta(df, df.agg(F.count(F.lit(1)).alias("n_rows")), out)
+    assert spark.read.json(f"{out}/meta").collect()[0].n_rows == 2
+    assert spark.read.parquet(f"{out}/data").count() == 2
