@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET = 1 << 16
+MAX_BUCKETS = 1 << 16       # adaptive ranges: at most this many per group
 
 
-def global_index(df: DataFrame, order_col: str, name: str = "idx", bucket_size: int = DEFAULT_BUCKET,
+def global_index(df: DataFrame, order_col: str, name: str = "idx", bucket_size: int | None = None,
                  tie_cols: tuple[str, ...] = (), partition_cols: tuple[str, ...] = (),
                  group_count: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_col`` (then ``tie_cols``) order,
@@ -23,14 +24,24 @@ def global_index(df: DataFrame, order_col: str, name: str = "idx", bucket_size:
 
     ``order_col`` must be an integral column; a range holds the rows whose key falls in
     ``[k*bucket_size, (k+1)*bucket_size)``, so with unique keys no range exceeds
-    ``bucket_size`` rows, however large a partition group is.
+    ``bucket_size`` rows, however large a partition group is.  Without ``bucket_size`` the
+    width adapts to the key span (min / max scalar subqueries) so that there are at most
+    ``MAX_BUCKETS`` ranges: both the per-range windows and the offsets window stay bounded
+    as the data grows.
 
     The input is read once: ranks and range sizes come from one window over
     (group, range); the per-range offsets and group totals are computed from that ranked
     frame (its shuffle is reused), over one row per range.
     """
     parts = list(partition_cols)
-    b = F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")
+    if bucket_size is None:
+        span = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
+        lo = span.select("lo").scalar()
+        width = span.select(F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1)
+                                                        / F.lit(MAX_BUCKETS)))).scalar()
+        b = F.floor((F.col(order_col) - lo) / width).cast("long")
+    else:
+        b = F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")
     w = Window.partitionBy(*parts, "_bucket").orderBy(order_col, *tie_cols)
     ranked = (df.withColumn("_bucket", b)
                 .withColumn("_rn", F.row_number().over(w))

@@ -2,8 +2,9 @@
 
 CSV exports from many archives are merged per table name, cleaned, de-duplicated and
 written as Snappy Parquet with an allow-list of columns.  All row work is Spark's; the
-driver only lists files and reads each file's header line (one line per file, so the
-driver's share grows with the number of files, never with their rows).
+driver only lists files and receives each file's header line (all headers come from one
+job, one line per file, so the driver's share grows with the number of files, never with
+their rows).
 
 Scratch locations are always under the cluster's shared ``spark.checkpoint.dir``
 (see ``scratch_dir``), never a machine-local temporary folder.
@@ -77,6 +78,26 @@ def header_of(spark: SparkSession, path: str) -> list[str] | None:
     return [c.strip() for c in first[0][0].split(",")]
 
 
+def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
+    """First line of every file in one job: path -> column names (None for an empty file).
+
+    Only the split that starts at offset 0 holds a file's first line; inside a split,
+    ``monotonically_increasing_id`` grows with the position, so its minimum marks line 1.
+    The result has one row per file.
+    """
+    lines = (spark.read.text(paths)
+             .where(F.col("_metadata.file_block_start") == 0)
+             .select(F.col("_metadata.file_path").alias("path"), "value",
+                     F.monotonically_increasing_id().alias("pos")))
+    first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("line")).collect()
+    found = {r.path: r.line for r in first}
+    out = {}
+    for p in paths:
+        line = found.get(p)
+        out[p] = [c.strip() for c in line.split(",")] if line and line.strip() else None
+    return out
+
+
 def read_csv_tolerant(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """All-string read that drops lines with too many fields and null-fills short ones.
 
@@ -109,8 +130,9 @@ def merge_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     Empty and header-only files contribute no rows.
     """
     groups: dict[tuple, list[tuple[int, str]]] = {}
+    headers = headers_of(spark, paths) if paths else {}
     for i, p in enumerate(paths):
-        hdr = header_of(spark, p)
+        hdr = headers.get(p)
         if hdr is None:
             continue
         groups.setdefault(tuple(hdr), []).append((i, p))
