@@ -202,9 +202,12 @@ def confusion_matrix(rows: DataFrame, labels: DataFrame, truth: str = "true_diag
     arr = lab.agg(F.collect_list("label")).scalar()   # the given list, not the data
     grid = (rows.sparkSession.range(1).select(F.explode(arr).alias("actual"))
             .select("actual", F.explode(arr).alias("predicted")))
-    counts = (rows.groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted"))
+    # Rows outside the list are dropped before counting, so the counts (at most k² rows)
+    # are the broadcast side of the left join from the dense grid.
+    counts = (rows.where(F.array_contains(arr, F.col(truth)) & F.array_contains(arr, F.col(pred)))
+                  .groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted"))
                   .agg(F.count(F.lit(1)).alias("n")))
-    return (F.broadcast(grid).join(counts, ["actual", "predicted"], "left")
+    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
@@ -254,7 +257,7 @@ def agent_accuracy(rows: DataFrame, agent: str = "agent_used") -> DataFrame:
 def _bin_totals(binned: DataFrame, bins: DataFrame) -> DataFrame:
     agg = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"),
                                     F.avg(F.col("correct").cast("double")).alias("acc"))
-    return F.broadcast(bins).join(agg, "bin", "left")
+    return bins.join(F.broadcast(agg), "bin", "left")   # agg has one row per bin
 
 
 def calibration_fixed(rows: DataFrame, conf: str = "confidence") -> DataFrame:
@@ -354,8 +357,9 @@ def metrics_report(records: DataFrame, latencies: DataFrame, conditions: DataFra
         labs = conditions.select(F.col("label").cast("string").alias("label")).distinct()
         # fp = n_pred - tp and fn = n_true - tp: per-label aggregates, no pairing of rows
         # with labels.
-        pc = F.broadcast(labs).join(per_class(rec, "ground_truth", "predicted_diagnosis"),
-                                    "label", "left").na.fill(0, ["tp", "n_true", "n_pred"])
+        listed = per_class(rec, "ground_truth", "predicted_diagnosis").join(
+            F.broadcast(labs), "label", "left_semi")                  # at most k rows
+        pc = labs.join(F.broadcast(listed), "label", "left").na.fill(0, ["tp", "n_true", "n_pred"])
         p = _ratio(F.col("tp"), F.col("n_pred"))
         r = _ratio(F.col("tp"), F.col("n_true"))
         prf = pc.select(F.lit("condition").alias("section"), F.col("label").alias("name"),
