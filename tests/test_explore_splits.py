@@ -82,3 +82,15 @@ def test_sample_examples_and_prompt_split(spark):
     assert S.sample_examples(df, "patient_id", 5).count() == 5
     out = {r.patient_id: (r.prompt, r.expected) for r in S.with_prompt_expected(df).collect()}
     assert out[3] == ("q3", "AI: a3") and out[99] == ("abc", "def")
+
+
+def test_stratified_sample_sizes(spark):
+    from casebook.operators import evalslice as ES
+    rows = [(i, f"c{i % 7 if i < 600 else 99}") for i in range(1000)]   # code c99 holds 400 rows
+    df = spark.createDataFrame(rows, "patient_id long, icd10_code string")
+    s = ES.stratified_sample(df, n=200)
+    per_code = {r.icd10_code: r["count"] for r in s.groupBy("icd10_code").count().collect()}
+    assert s.count() == 32 and max(per_code.values()) == 4      # cap = max(1, 200 // 50) = 4
+    s2 = ES.stratified_sample(df, n=20)                           # cap 1 -> 8 codes, then 20
+    assert s2.count() == 8
+    assert ES.stratified_sample(df, n=5000).count() == 1000       # not larger than n: all rows
