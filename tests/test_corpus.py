@@ -58,3 +58,11 @@ def test_limit_and_count(spark):
     assert corpus.count_samples(s).collect()[0].n_rows == 5
     assert [r.patient_id for r in corpus.limit_samples(s, 2).collect()] == [0, 1]
     assert corpus.limit_samples(s, 0).count() == 5
+
+
+def test_approximate_cutoff_is_close(spark):
+    c = spark.createDataFrame([(D(2000, 1, 1) + dt.timedelta(days=i), None, 1, "x", "y")
+                               for i in range(1000)], COND)
+    exact = corpus.temporal_cutoff(c).collect()[0].cutoff
+    approx = corpus.temporal_cutoff(c, exact=False).collect()[0].cutoff
+    assert isinstance(approx, dt.date) and abs((approx - exact).days) <= 1

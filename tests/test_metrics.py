@@ -105,3 +105,10 @@ def test_skip_reasons_and_index(spark):
     p = M.processed_rows(df).orderBy("sample_id").collect()
     assert [(r.sample_id, r.sample_index, r.correct) for r in p] == [(1, 0, True), (4, 1, False)]
     assert M.processed_rows(df, limit=1).count() == 1
+
+
+def test_latency_sketch_mode(spark):
+    lat = spark.createDataFrame([("op", float(i)) for i in range(1, 1001)],
+                                "operation string, duration_ms double")
+    r = {x.operation: x for x in M.latency_stats(lat, exact=False).collect()}["op"]
+    assert abs(r.p95_ms - 950.05) <= 2 and r["count"] == 1000
