@@ -132,16 +132,22 @@ def frequency_through_dimension(fact: DataFrame, fk: str, dim: DataFrame, dim_ke
 # ---------------------------------------------------------------- A5 / A6
 
 def describe(df: DataFrame, col: str) -> DataFrame:
-    """n, mean, std, min, q25, q50, q75, max — pandas ``describe`` with exact quantiles."""
+    """n, mean, std, min, q25, q50, q75, max — pandas ``describe`` with exact quantiles.
+
+    Quantiles come from ``quantiles.exact_quantiles`` (exact, bounded memory for continuous
+    values); the moments are one global aggregate; the two one-row results are joined on a
+    constant key.
+    """
+    from casebook.operators.quantiles import exact_quantiles
     x = F.col(col).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = df.where(F.col(col).isNotNull()).agg(
+    m = df.where(F.col(col).isNotNull()).agg(
         F.count(x).cast("long").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    return s.select("n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
-                    F.round("min", 6).alias("min"), F.round(F.col("q")[0], 6).alias("q25"),
-                    F.round(F.col("q")[1], 6).alias("q50"), F.round(F.col("q")[2], 6).alias("q75"),
-                    F.round("max", 6).alias("max"))
+        F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_k", F.lit(1))
+    q = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n") \
+        .withColumn("_k", F.lit(1))
+    s = m.join(q, "_k", "left")
+    return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50",
+                                                             "q75", "max")])
 
 
 def count_per_key(df: DataFrame, key: str, name: str = "n") -> DataFrame:

@@ -224,16 +224,27 @@ def latency_stats(lat: DataFrame, op_col: str = "operation", value_col: str = "d
                   exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """operation (null = all), is_overall, avg_ms, min_ms, max_ms, p95_ms, count.
 
-    One ``rollup`` = GROUPING SETS ((operation), ()).  ``exact`` interpolates like numpy;
-    its buffer holds the distinct durations of a group, so ``exact=False`` (a sketch with
-    bounded memory) is the setting for unbounded-precision latency logs.
+    One ``rollup`` = GROUPING SETS ((operation), ()) for the moments.  The exact p95
+    (numpy-style interpolation) comes from ``quantiles.exact_quantiles``, whose per-group
+    memory stays bounded for continuous durations; ``exact=False`` uses a sketch.
     """
+    from casebook.operators.quantiles import exact_quantiles
     x = F.col(value_col).cast("double")
-    p95 = F.percentile(x, 0.95) if exact else F.percentile_approx(x, 0.95, accuracy)
-    g = lat.rollup(op_col).agg(F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"),
-                               F.max(x).alias("max_ms"), p95.alias("p95_ms"),
-                               F.count(x).alias("count"), F.grouping_id().alias("gid"))
-    return g.select(F.col(op_col).alias("operation"), (F.col("gid") == 1).alias("is_overall"),
+    aggs = [F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
+            F.count(x).alias("count"), F.grouping_id().alias("gid")]
+    if not exact:
+        aggs.append(F.percentile_approx(x, 0.95, accuracy).alias("p95_ms"))
+    g = lat.rollup(op_col).agg(*aggs).withColumn("is_overall", F.col("gid") == 1)
+    if exact:
+        per_op = exact_quantiles(lat, [op_col], value_col, [0.95], ["p95_ms"]).select(
+            op_col, "p95_ms", F.lit(False).alias("is_overall"))
+        overall = exact_quantiles(lat, [], value_col, [0.95], ["p95_ms"]).select(
+            F.lit(None).cast(lat.schema[op_col].dataType).alias(op_col), "p95_ms",
+            F.lit(True).alias("is_overall"))
+        p = per_op.unionByName(overall).withColumnRenamed(op_col, "_op")
+        g = g.join(p, (g["is_overall"] == p["is_overall"]) & g[op_col].eqNullSafe(p["_op"]),
+                   "left").drop(p["is_overall"]).drop("_op")
+    return g.select(F.col(op_col).alias("operation"), "is_overall",
                     *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
                       for c in ("avg_ms", "min_ms", "max_ms", "p95_ms")],
                     F.col("count").cast("long").alias("count"))

@@ -112,3 +112,21 @@ def test_latency_sketch_mode(spark):
                                 "operation string, duration_ms double")
     r = {x.operation: x for x in M.latency_stats(lat, exact=False).collect()}["op"]
     assert abs(r.p95_ms - 950.05) <= 2 and r["count"] == 1000
+
+
+def test_exact_quantiles_bounded_path_equals_percentile(spark):
+    from pyspark.sql import functions as F
+
+    from casebook.operators.quantiles import exact_quantiles
+    rnd = random.Random(11)
+    rows = [("hot", rnd.random() * 100) for _ in range(20000)] + [("dup", 3.0)] * 300 + [("one", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.25, 0.5, 0.95]
+    ref = {r.g: r.p for r in df.groupBy("g").agg(
+        F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
+    for small in (10**9, 10):       # exact aggregate / sketch brackets + window selection
+        got = {r.g: (r.a, r.b, r.c) for r in
+               exact_quantiles(df, ["g"], "x", qs, ["a", "b", "c"], small_group=small,
+                               accuracy=500).collect()}
+        for k, v in ref.items():
+            assert got[k] == pytest.approx(tuple(v), abs=1e-12)
