@@ -134,18 +134,23 @@ def frequency_through_dimension(fact: DataFrame, fk: str, dim: DataFrame, dim_ke
 def describe(df: DataFrame, col: str) -> DataFrame:
     """n, mean, std, min, q25, q50, q75, max — pandas ``describe`` with exact quantiles.
 
-    Quantiles come from ``quantiles.exact_quantiles`` (exact, bounded memory for continuous
-    values); the moments are one global aggregate; the two one-row results are joined on a
-    constant key.
+    For a small input the quantiles are one exact ``percentile`` in the same aggregate; for
+    a large one they come from ``quantiles.exact_quantiles`` (exact, bounded memory for
+    continuous values) and the two one-row results are joined on a constant key.
     """
-    from casebook.operators.quantiles import exact_quantiles
+    from casebook.operators.quantiles import buffer_is_bounded, exact_quantiles
     x = F.col(col).cast("double")
-    m = df.where(F.col(col).isNotNull()).agg(
-        F.count(x).cast("long").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max")).withColumn("_k", F.lit(1))
-    q = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n") \
-        .withColumn("_k", F.lit(1))
-    s = m.join(q, "_k", "left")
+    moments = [F.count(x).cast("long").alias("n"), F.avg(x).alias("mean"),
+               F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    if buffer_is_bounded(df):
+        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        s = df.where(F.col(col).isNotNull()).agg(*moments, q.alias("_q")).select(
+            "*", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(("q25", "q50", "q75"))])
+    else:
+        m = df.where(F.col(col).isNotNull()).agg(*moments).withColumn("_k", F.lit(1))
+        q = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n") \
+            .withColumn("_k", F.lit(1))
+        s = m.join(q, "_k", "left")
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50",
                                                              "q75", "max")])
 

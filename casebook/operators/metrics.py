@@ -224,18 +224,22 @@ def latency_stats(lat: DataFrame, op_col: str = "operation", value_col: str = "d
                   exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """operation (null = all), is_overall, avg_ms, min_ms, max_ms, p95_ms, count.
 
-    One ``rollup`` = GROUPING SETS ((operation), ()) for the moments.  The exact p95
-    (numpy-style interpolation) comes from ``quantiles.exact_quantiles``, whose per-group
-    memory stays bounded for continuous durations; ``exact=False`` uses a sketch.
+    One ``rollup`` = GROUPING SETS ((operation), ()).  The exact p95 (numpy-style
+    interpolation) is the rollup's own ``percentile`` when the input is small enough to bound
+    its buffer, else ``quantiles.exact_quantiles`` (bounded memory for continuous durations
+    in a hot group); ``exact=False`` uses a sketch.
     """
-    from casebook.operators.quantiles import exact_quantiles
+    from casebook.operators.quantiles import buffer_is_bounded, exact_quantiles
     x = F.col(value_col).cast("double")
     aggs = [F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
             F.count(x).alias("count"), F.grouping_id().alias("gid")]
+    single_pass = exact and buffer_is_bounded(lat)
     if not exact:
         aggs.append(F.percentile_approx(x, 0.95, accuracy).alias("p95_ms"))
+    elif single_pass:
+        aggs.append(F.percentile(x, 0.95).alias("p95_ms"))
     g = lat.rollup(op_col).agg(*aggs).withColumn("is_overall", F.col("gid") == 1)
-    if exact:
+    if exact and not single_pass:
         per_op = exact_quantiles(lat, [op_col], value_col, [0.95], ["p95_ms"]).select(
             op_col, "p95_ms", F.lit(False).alias("is_overall"))
         overall = exact_quantiles(lat, [], value_col, [0.95], ["p95_ms"]).select(

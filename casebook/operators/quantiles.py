@@ -21,6 +21,15 @@ from pyspark.sql import functions as F
 
 SMALL_GROUP = 1_000_000
 ACCURACY = 100_000
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def buffer_is_bounded(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> bool:
+    """True when the plan reads at most ``max_bytes`` of files: no group's value map can then
+    outgrow the whole (small) input, so the single-pass exact ``percentile`` is safe."""
+    from casebook.sources.tables import input_bytes
+    size = input_bytes(df)
+    return size is not None and size <= max_bytes
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, qs: list[float],

@@ -130,3 +130,20 @@ def test_exact_quantiles_bounded_path_equals_percentile(spark):
                                accuracy=500).collect()}
         for k, v in ref.items():
             assert got[k] == pytest.approx(tuple(v), abs=1e-12)
+
+
+def test_large_input_paths_agree(spark, monkeypatch):
+    import casebook.operators.quantiles as Q
+    from casebook.operators import explore as E
+    rnd = random.Random(5)
+    lat = spark.createDataFrame([(rnd.choice("ab"), rnd.random() * 50) for _ in range(3000)],
+                                "operation string, duration_ms double")
+    def key(t):
+        return (t[0] is None, str(t[0]))
+    small = sorted((tuple(r) for r in M.latency_stats(lat).collect()), key=key)
+    dsmall = E.describe(lat, "duration_ms").collect()
+    monkeypatch.setattr(Q, "buffer_is_bounded", lambda df, max_bytes=0: False)
+    monkeypatch.setattr(Q, "SMALL_GROUP", 10)
+    big = sorted((tuple(r) for r in M.latency_stats(lat).collect()), key=key)
+    assert small == big
+    assert E.describe(lat, "duration_ms").collect() == dsmall
