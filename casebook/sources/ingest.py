@@ -214,6 +214,8 @@ def convert_table(spark: SparkSession, name: str, paths: list[str], out_dir: str
         df = dedup_keep_first(df.select(key, *[c for c in cols if c != key], "_src", "_row"), key,
                               ["_src", "_row"])
     df = df.select(*cols)
+    if df.isEmpty():                      # only empty / header-only exports (S3)
+        return TableResult(name, "empty", input_bytes=in_bytes)
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:8]}")
     target = f"{out_dir.rstrip('/')}/{name}"
     (df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")

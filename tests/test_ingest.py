@@ -106,3 +106,11 @@ def test_result_documents_summary_csv_and_meta(spark, root):
     I.write_with_meta(df, df.agg(F.count(F.lit(1)).alias("n_rows")), out)
     assert spark.read.json(f"{out}/meta").collect()[0].n_rows == 2
     assert spark.read.parquet(f"{out}/data").count() == 2
+
+
+def test_header_only_and_empty_tables_are_reported_empty(spark, root):
+    _write(f"{root}/e/csv/allergies.csv", "START,STOP,PATIENT,CODE,DESCRIPTION\n")
+    _write(f"{root}/e/csv/immunizations.csv", "")
+    out = I.scratch_dir(spark, "test-empty")
+    rep = {r.table: r.status for r in I.convert_exports(spark, [f"file:{root}/e"], out).collect()}
+    assert rep == {"allergies": "empty", "immunizations": "empty", "TOTAL": "success"}
