@@ -94,3 +94,18 @@ def test_format_fixed_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(format_fixed("x", 2)).collect()]
     assert got == [None if v is None else f"{v:.2f}" for v in vals]
+
+
+def test_refinement_prompt_reference_demo(spark):
+    case = "72‑year‑old male with crushing substernal chest pain,.."
+    cands = [("Cardiology‑Phi2", "Likely STEMI. Recommend immediate PCI.", 0.82, 1),
+             ("Metabolic‑Phi2", "Chest pain could be metabolic (DKA) but STEMI more probable. "
+                                     "Suggest troponin & PCI.", 0.55, 2),
+             ("General‑GPT35", "Consider acute MI; initiate MONA protocol.", 0.70, 3)]
+    cases = spark.createDataFrame([(1, case)], "case_id long, text string")
+    cdf = spark.createDataFrame([(1, a, t, c, s) for a, t, c, s in cands],
+                                "case_id long, agent_id string, answer string, confidence double, "
+                                "answer_seq int")
+    got = A.refinement_prompts(cases, cdf, order_cols=("answer_seq",)).collect()[0].prompt
+    blocks = "\n".join(f"[{a}] (confidence={c:.2f}):\n{t}\n" for a, t, c, _ in cands)
+    assert got == f"USER CASE:\n{case}\n\nCANDIDATE ANSWERS:\n{blocks}\n"
