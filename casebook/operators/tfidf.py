@@ -38,17 +38,23 @@ def english_stop_words() -> tuple[str, ...]:
         return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
 
 
+NON_WORD = r"[^\p{L}\p{N}_]+"
+
+
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, term, tf — raw counts of non-stop-word tokens (whole texts)."""
-    toks = docs.select(id_col, F.explode(F.regexp_extract_all(F.lower(F.col(text_col)),
-                                                             F.lit(TOKEN_PATTERN), 0)).alias("term"))
-    toks = toks.where(~F.col("term").isin(*english_stop_words()))
+    """doc_id, term, tf — raw counts of non-stop-word tokens (whole texts).
+
+    Tokens are the maximal runs of word characters of length >= 2 (split on non-word runs,
+    which gives the same tokens as extracting ``TOKEN_PATTERN`` and is cheaper).
+    """
+    toks = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), NON_WORD)).alias("term"))
+    toks = toks.where((F.length("term") >= 2) & ~F.col("term").isin(*english_stop_words()))
     return toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          max_features: int = MAX_FEATURES) -> DataFrame:
-    """doc_id, term, tf, df, idf, weight (L2-normalised tf·idf over the vocabulary)."""
+def raw_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                max_features: int = MAX_FEATURES) -> DataFrame:
+    """doc_id, term, tf, df, idf, raw (= tf·idf, before normalisation) over the vocabulary."""
     from casebook.plans.stage import stage
 
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
@@ -56,13 +62,38 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     terms = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     vocab = (terms.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
              .select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    w = tc.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    return tc.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+
+
+def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          max_features: int = MAX_FEATURES) -> DataFrame:
+    """doc_id, term, tf, df, idf, weight (L2-normalised tf·idf over the vocabulary)."""
+    w = raw_weights(docs, id_col, text_col, max_features)
     # The norm is a window over the document: it shares its shuffle with any later
     # per-document step (top_terms) instead of an aggregate joined back.
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "tf", "df", "idf", (F.col("raw") / norm).alias("weight"))
 
 
+def top_terms_per_doc(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                      max_features: int = MAX_FEATURES) -> DataFrame:
+    """doc_id, rank, term, weight — each document's k heaviest normalised terms.
+
+    One aggregation per document gives both the L2 norm and the document's (term, raw)
+    list; weights and the top-k are computed inside that list.  A document's list is bounded
+    by its own length, and no sort of all weights is needed (unlike a ranking window).
+    """
+    w = raw_weights(docs, id_col, text_col, max_features)
+    per_doc = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
+                                    F.collect_list(F.struct("term", "raw")).alias("items"))
+    ranked = F.array_sort(F.transform(F.col("items"), lambda x: F.struct(
+        (-F.round(x["raw"] / F.col("norm"), 9)).alias("key"), x["term"].alias("term"),
+        (x["raw"] / F.col("norm")).alias("weight"))))
+    return (per_doc.select(id_col, F.posexplode(F.slice(ranked, 1, k)).alias("pos", "t"))
+                   .select(id_col, (F.col("pos") + 1).cast("long").alias("rank"), "t.term",
+                           F.round("t.weight", 6).alias("weight")))
+
+
 def top_terms(weights: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFrame:
     """doc_id, rank, term, weight — each document's k heaviest terms (ties by term)."""
     win = Window.partitionBy(id_col).orderBy(F.round("weight", 9).desc(), F.col("term").asc())

@@ -478,7 +478,7 @@ from casebook.operators import tfidf as TF  # noqa: E402
 @register("tfidf_top_terms", O.TFIDF["tfidf_top_terms"])
 def q_tfidf_top_terms(spark, sf):
     docs = _rt(spark, sf, "documents").select("doc_id", "text")
-    return TF.top_terms(TF.tfidf(docs), 5)
+    return TF.top_terms_per_doc(docs, 5)
 
 
 @register("logit_baseline_report")
