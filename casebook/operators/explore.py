@@ -193,25 +193,45 @@ def age_at_encounter(encounters: DataFrame, patients: DataFrame, top_n: int = 10
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, q1, median, q3, whisker_lo, whisker_hi, n_outliers (A24, Tukey 1.5·IQR).
 
-    Whiskers are the furthest data points inside the fences, as in matplotlib.
+    Histogram first: rows are counted per (group, value) with map-side partial
+    aggregation, then each group's sorted value -> count list (bounded by its distinct
+    values, e.g. ages) yields the exact interpolated quartiles, the whiskers (furthest
+    data points inside the fences, as in matplotlib) and the outlier count — one pass over
+    the rows, no join back.  For continuous values use ``quantiles.exact_quantiles``.
     """
     x = F.col(value).cast("double")
-    quart = df.groupBy(group).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.count(x).alias("n"))
-    quart = quart.select(group, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                         F.col("q")[2].alias("q3"))
-    fences = quart.select(group, (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lo_f"),
-                          (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hi_f"))
-    inside = (x >= F.col("lo_f")) & (x <= F.col("hi_f"))
-    w = (df.join(fences, group)
-           .groupBy(group).agg(F.min(F.when(inside, x)).alias("whisker_lo"),
-                               F.max(F.when(inside, x)).alias("whisker_hi"),
-                               F.count(F.when(~inside, 1)).cast("long").alias("n_outliers")))
-    out = quart.join(w, group)
-    return out.select(group, F.col("n").cast("long").alias("n"),
-                      *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3", "whisker_lo",
-                                                          "whisker_hi")],
+    hist = (df.where(x.isNotNull()).groupBy(group, x.alias("v"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    per = hist.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("h"))
+    # cumulative counts inside the (small) list
+    cum = F.transform(F.col("h"), lambda e, i: F.struct(
+        e["v"].alias("v"), e["c"].alias("c"),
+        F.aggregate(F.slice(F.col("h"), 1, i + 1), F.lit(0).cast("long"),
+                    lambda a, y: a + y["c"]).alias("cum")))
+    per = per.select(group, cum.alias("h")).withColumn(
+        "n", F.element_at(F.col("h"), -1)["cum"])
+
+    def at_rank(r):  # value at 0-based rank r
+        return F.element_at(F.filter(F.col("h"), lambda e: e["cum"] > r), 1)["v"]
+
+    def quantile(q):
+        pos = (F.col("n") - 1) * F.lit(q)
+        lo, hi = F.floor(pos), F.ceil(pos)
+        return F.when(hi == lo, at_rank(lo)).otherwise((hi - pos) * at_rank(lo) + (pos - lo) * at_rank(hi))
+
+    qs = per.select(group, "n", "h", quantile(0.25).alias("q1"), quantile(0.5).alias("median"),
+                    quantile(0.75).alias("q3"))
+    lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    inside = F.filter(F.col("h"), lambda e: (e["v"] >= lo_f) & (e["v"] <= hi_f))
+    outside = F.filter(F.col("h"), lambda e: (e["v"] < lo_f) | (e["v"] > hi_f))
+    out = qs.select(group, F.col("n").cast("long").alias("n"), "q1", "median", "q3",
+                    F.element_at(inside, 1)["v"].alias("whisker_lo"),
+                    F.element_at(inside, -1)["v"].alias("whisker_hi"),
+                    F.aggregate(outside, F.lit(0).cast("long"), lambda a, e: a + e["c"])
+                    .alias("n_outliers"))
+    return out.select(group, "n", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3",
+                                                                     "whisker_lo", "whisker_hi")],
                       "n_outliers")
 
 
