@@ -175,6 +175,7 @@ class TableResult:
     table: str
     status: str                 # ok / empty / skipped / error
     rows: int = 0
+    merged_rows: int = 0        # rows after merging the exports, before de-duplication
     parts: int = 0
     input_bytes: int = 0
     output_bytes: int = 0
@@ -209,21 +210,25 @@ def convert_table(spark: SparkSession, name: str, paths: list[str], out_dir: str
         lowered = {k.lower() for k in keep}
         cols = [c for c in cols if c.lower() in lowered]
     key = next((c for c in cols if dedup_key and c.lower() == dedup_key.lower()), None)
+    if df.isEmpty():                      # only empty / header-only exports (S3)
+        return TableResult(name, "empty", input_bytes=in_bytes)
+    # Both counts are observed during the single write job (observations keep the values of
+    # the first action that runs them, so no other action may touch these frames first).
+    obs_in = Observation(f"merged_{name}_{uuid.uuid4().hex[:8]}")
+    df = df.observe(obs_in, F.count(F.lit(1)).alias("rows"))
     df = df.withColumn("_row", F.monotonically_increasing_id())
     if key is not None:
         df = dedup_keep_first(df.select(key, *[c for c in cols if c != key], "_src", "_row"), key,
                               ["_src", "_row"])
     df = df.select(*cols)
-    if df.isEmpty():                      # only empty / header-only exports (S3)
-        return TableResult(name, "empty", input_bytes=in_bytes)
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:8]}")
     target = f"{out_dir.rstrip('/')}/{name}"
     (df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
        .option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "snappy").parquet(target))
     rows = int(obs.get["rows"])
     parts = len(list_files(spark, f"{target}/*.parquet"))
-    return TableResult(name, "ok", rows=rows, parts=parts, input_bytes=in_bytes,
-                       output_bytes=path_bytes(spark, target))
+    return TableResult(name, "ok", rows=rows, merged_rows=int(obs_in.get["rows"]), parts=parts,
+                       input_bytes=in_bytes, output_bytes=path_bytes(spark, target))
 
 
 def convert_exports(spark: SparkSession, roots: list[str], out_dir: str,
@@ -258,22 +263,27 @@ def load_report(spark: SparkSession, results: list[TableResult]) -> DataFrame:
     ratio = input / output bytes (0 when nothing was written); the TOTAL row's status is
     'success' iff processed tables = total - skipped.
     """
-    schema = ("table string, status string, rows long, parts long, input_bytes long, "
-              "output_bytes long, message string")
-    df = spark.createDataFrame([(r.table, r.status, r.rows, r.parts, r.input_bytes,
+    schema = ("table string, status string, rows long, merged_rows long, parts long, "
+              "input_bytes long, output_bytes long, message string")
+    df = spark.createDataFrame([(r.table, r.status, r.rows, r.merged_rows, r.parts, r.input_bytes,
                                  r.output_bytes, r.message) for r in results], schema)
     total = df.agg(
         F.lit("TOTAL").alias("table"),
         F.when(F.count(F.when(F.col("status").isin("ok", "empty"), 1))
                == F.count(F.lit(1)) - F.count(F.when(F.col("status") == "skipped", 1)),
                "success").otherwise("partial").alias("status"),
-        F.sum("rows").alias("rows"), F.sum("parts").alias("parts"),
+        F.sum("rows").alias("rows"), F.sum("merged_rows").alias("merged_rows"),
+        F.sum("parts").alias("parts"),
         F.sum("input_bytes").alias("input_bytes"), F.sum("output_bytes").alias("output_bytes"),
         F.lit("").alias("message"))
     out = df.unionByName(total)
     ratio = F.when(F.col("output_bytes") > 0, F.col("input_bytes") / F.col("output_bytes")) \
              .otherwise(F.lit(0.0))
-    return out.withColumn("ratio", F.round(ratio, 6))
+    removed = F.col("merged_rows") - F.col("rows")
+    return out.withColumn("ratio", F.round(ratio, 6)).withColumn(
+        "duplicates_removed", F.when(F.col("status") == "empty", F.lit(0)).otherwise(removed)
+    ).withColumn("removed_pct", F.round(F.coalesce(F.try_divide(
+        F.col("duplicates_removed") * 100.0, F.col("merged_rows")), F.lit(0.0)), 6))
 
 
 def register_parquet_views(spark: SparkSession, root: str) -> list[str]:

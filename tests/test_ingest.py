@@ -114,3 +114,13 @@ def test_header_only_and_empty_tables_are_reported_empty(spark, root):
     out = I.scratch_dir(spark, "test-empty")
     rep = {r.table: r.status for r in I.convert_exports(spark, [f"file:{root}/e"], out).collect()}
     assert rep == {"allergies": "empty", "immunizations": "empty", "TOTAL": "success"}
+
+
+def test_load_report_counts_duplicates(spark, root):
+    _write(f"{root}/d1/csv/patients.csv", "Id,GENDER\n1,F\n2,M\n")
+    _write(f"{root}/d2/csv/patients.csv", "Id,GENDER\n2,F\n3,M\n")
+    out = I.scratch_dir(spark, "test-dups")
+    rep = {r.table: r for r in I.convert_exports(spark, [f"file:{root}"], out,
+                                                 {"patients": ["Id", "GENDER"]}).collect()}
+    p = rep["patients"]
+    assert (p.merged_rows, p.rows, p.duplicates_removed, p.removed_pct) == (4, 3, 1, 25.0)
