@@ -94,3 +94,9 @@ def test_stratified_sample_sizes(spark):
     s2 = ES.stratified_sample(df, n=20)                           # cap 1 -> 8 codes, then 20
     assert s2.count() == 8
     assert ES.stratified_sample(df, n=5000).count() == 1000       # not larger than n: all rows
+
+
+def test_table_counts_skip_missing_tables(spark):
+    t = {r.table_name: r.n_rows for r in E.table_counts(
+        {"a": spark.range(3), "missing": None, "b": spark.range(0)}).collect()}
+    assert t == {"a": 3, "b": 0}

@@ -124,3 +124,12 @@ def test_load_report_counts_duplicates(spark, root):
                                                  {"patients": ["Id", "GENDER"]}).collect()}
     p = rep["patients"]
     assert (p.merged_rows, p.rows, p.duplicates_removed, p.removed_pct) == (4, 3, 1, 25.0)
+
+
+def test_register_parquet_views_skips_files_and_bad_dirs(spark, root):
+    spark.range(3).write.parquet(f"file:{root}/views/good_table")
+    _write(f"{root}/views/not_a_dir.txt", "x")
+    _write(f"{root}/views/bad_dir/readme.txt", "not parquet")
+    done = I.register_parquet_views(spark, f"file:{root}/views")
+    assert done == ["good_table"]
+    assert spark.table("good_table").count() == 3
