@@ -1,4 +1,8 @@
-"""Batch job entry points (``spark-submit -m casebook.plans.jobs <job> ...``).
+"""Batch job entry points.
+
+    python -m casebook.plans.jobs <job> ...                       (local / PYSPARK_SUBMIT_ARGS)
+    spark-submit --py-files casebook.zip casebook/plans/jobs.py <job> ...   (cluster)
+
 
 Each job wires library operators over the clinical tables stored as Parquet directories
 (``<tables>/patients``, ``<tables>/conditions``, ... as written by the ``ingest`` job) and
