@@ -53,6 +53,12 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def qualify(spark: SparkSession, path: str) -> str:
+    """The fully qualified form Spark reports in ``_metadata.file_path`` (scheme included)."""
+    fs, p = _hadoop_fs(spark, path)
+    return str(fs.makeQualified(p))
+
+
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Paths matching a glob (driver-side listing, like ``spark.read`` does itself)."""
     fs, p = _hadoop_fs(spark, pattern)
@@ -129,6 +135,7 @@ def merge_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     missing columns become null (S1, U1).  Adds ``_src`` (file order) for keep-first dedup.
     Empty and header-only files contribute no rows.
     """
+    paths = [qualify(spark, p) for p in paths]
     groups: dict[tuple, list[tuple[int, str]]] = {}
     headers = headers_of(spark, paths) if paths else {}
     for i, p in enumerate(paths):

@@ -133,3 +133,10 @@ def test_register_parquet_views_skips_files_and_bad_dirs(spark, root):
     done = I.register_parquet_views(spark, f"file:{root}/views")
     assert done == ["good_table"]
     assert spark.table("good_table").count() == 3
+
+
+def test_merge_accepts_unqualified_paths(spark, root):
+    _write(f"{root}/u1/csv/patients.csv", "Id,GENDER\n1,F\n")
+    _write(f"{root}/u2/csv/patients.csv", "Id,GENDER\n1,M\n")
+    merged = I.merge_exports(spark, [f"{root}/u1/csv/patients.csv", f"{root}/u2/csv/patients.csv"])
+    assert sorted(r._src for r in merged.collect()) == [0, 1]
