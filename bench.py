@@ -2,7 +2,8 @@
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_QUERIES (comma list, default the headline set), BENCH_REPEAT (default 2),
-BENCH_WARMUP_DIR (default /root/testdata/sf0.001; an untimed pass warms the JVM).
+BENCH_WARMUP_DIR (default /root/testdata/sf0.001; an untimed pass warms the JVM),
+BENCH_SHUFFLE_PARTITIONS (default BENCH_CPUS).
 
 Each query is executed in full with the ``noop`` sink (every row is produced, nothing is
 collected to the driver); the best of BENCH_REPEAT runs is reported.
@@ -32,7 +33,8 @@ def main() -> None:
     from casebook.plans.catalog import QUERIES
     from casebook.session import build_session
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))   # one per core locally
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=parts,
                           extra={"spark.driver.memory": "16g"})
     # Untimed warm-up on the smallest data set: JIT and code generation, no data caching.
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
