@@ -11,7 +11,9 @@ Plan shape (checked with ``explain``):
 * the first future event and the novelty test come from two hash aggregations
   ((PATIENT, CODE) then PATIENT), both with map-side partial aggregation — no window over the
   whole future, no anti-join over all past codes;
-* history and future are both grouped by PATIENT, so their join reuses that partitioning.
+* history and future are both grouped by PATIENT, so their join reuses that partitioning;
+* the (possibly joined) input is read by three branches; above 1 GiB of input it is
+  persisted once (``stage(..., "auto")``), below that each branch recomputes it in parallel.
 """
 
 from __future__ import annotations

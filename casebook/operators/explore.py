@@ -1,9 +1,9 @@
 """Exploration reports.
 
-Every report is an aggregate: only the (small) result leaves the cluster.  Statistics that
-need the whole column (min/max for histogram edges, quartiles for box plots) come from an
-aggregate that is joined back as a one-row (or one-row-per-group, at most ``top_n``) frame,
-never from an unpartitioned window.
+Every report is an aggregate: only the (small) result leaves the cluster.  Whole-column
+statistics (min/max for histogram edges) are scalar subqueries inlined into the binning
+expression; box-plot statistics come from per-group value histograms; nothing uses an
+unpartitioned window.
 """
 
 from __future__ import annotations

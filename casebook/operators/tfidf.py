@@ -70,8 +70,8 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           max_features: int = MAX_FEATURES) -> DataFrame:
     """doc_id, term, tf, df, idf, weight (L2-normalised tf·idf over the vocabulary)."""
     w = raw_weights(docs, id_col, text_col, max_features)
-    # The norm is a window over the document: it shares its shuffle with any later
-    # per-document step (top_terms) instead of an aggregate joined back.
+    # The norm is a window over the document (all weights are returned); the registered
+    # top-k query uses ``top_terms_per_doc``, which folds norm and top-k into one aggregate.
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "tf", "df", "idf", (F.col("raw") / norm).alias("weight"))
 
