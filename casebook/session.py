@@ -38,15 +38,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    checkpoint_dir(spark)
+    sc = spark.sparkContext
+    if sc.master.startswith("local") or sc.getConf().get("spark.checkpoint.dir", None):
+        checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder used to cut lineage (``DataFrame.checkpoint``).
 
-    The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) a fallback is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``; that value always wins.  Only when it
+    is unset and the master is local (tests, a laptop) is a local fallback registered; on a
+    cluster an unset value is an error, because a machine-local folder is not shared.
     """
     sc = spark.sparkContext
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -54,6 +57,8 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if fallback is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     path = fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "casebook-checkpoints")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
