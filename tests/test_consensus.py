@@ -62,3 +62,8 @@ def test_case_pipeline_with_refined_row(spark):
     r = C.case_pipeline(routed, refined).collect()[0]
     # two STEMI votes win the majority; softmax ranks mean confidence (GERD 0.9 > STEMI 0.75)
     assert r.majority_diagnosis == "STEMI" and r.softmax_diagnosis == "GERD"
+
+
+def test_score_map(spark):
+    m = C.score_map(C.scores(C.pool(_answers(spark)), "majority")).collect()[0].scores
+    assert m == {"STEMI": 0.75, "Non-STEMI": 0.25}

@@ -140,3 +140,24 @@ def test_merge_accepts_unqualified_paths(spark, root):
     _write(f"{root}/u2/csv/patients.csv", "Id,GENDER\n1,M\n")
     merged = I.merge_exports(spark, [f"{root}/u1/csv/patients.csv", f"{root}/u2/csv/patients.csv"])
     assert sorted(r._src for r in merged.collect()) == [0, 1]
+
+
+def test_read_csv_columns_requires_file_and_columns(spark, root):
+    _write(f"{root}/c.csv", "Id,BIRTHDATE,GENDER\n1,2000-01-01,F\n")
+    df = I.read_csv_columns(spark, f"file:{root}/c.csv", ["Id", "GENDER"])
+    assert [tuple(r) for r in df.collect()] == [("1", "F")]
+    with pytest.raises(ValueError):
+        I.read_csv_columns(spark, f"file:{root}/c.csv", ["Id", "RACE"])
+    with pytest.raises(Exception):
+        I.read_csv_columns(spark, f"file:{root}/missing.csv", ["Id"])
+
+
+def test_domain_split_reader_falls_back_to_everything(spark, root):
+    from casebook.operators import splits as S
+    p = f"file:{root}/ds"
+    spark.createDataFrame([(1, "cardio", "train"), (2, "cardio", "test")],
+                          "patient_id long, domain string, split string") \
+        .write.partitionBy("domain", "split").parquet(p)
+    stored = spark.read.parquet(p)
+    assert S.read_domain_split(stored, "cardio", "test").count() == 1
+    assert S.read_domain_split(stored, "neuro", "test").count() == 2   # no own, no general
