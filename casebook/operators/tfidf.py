@@ -178,3 +178,17 @@ def baseline_report(preds: DataFrame, n_features: int, n_train: int) -> DataFram
         F.struct(F.lit("n_features").alias("metric"), F.lit(float(n_features)).alias("value")),
         F.struct(F.lit("n_classes").alias("metric"), n_classes.cast("double").alias("value")),
     )).alias("m")).select("m.metric", "m.value")
+
+
+def encode_labels(df: DataFrame, label_col: str = "label", name: str = "label_index") -> DataFrame:
+    """Adds ``name`` = position of the label among the sorted distinct labels.
+
+    The ranking runs over the distinct labels only — the class set of a classifier, not the
+    rows — and is joined back to the rows (AQE broadcasts it when it is small).
+    """
+    from pyspark.sql import Window
+    classes = df.select(F.col(label_col).cast("string").alias("_l")).where(F.col("_l").isNotNull()) \
+        .distinct()
+    ranked = classes.select("_l", (F.dense_rank().over(Window.orderBy("_l")) - 1)
+                            .cast("int").alias(name))
+    return df.join(ranked, F.col(label_col).cast("string") == F.col("_l"), "left").drop("_l")

@@ -550,3 +550,9 @@ def q_eval_slice_roundtrip(spark, sf):
     sl = _slice(spark, sf)
     I.write_with_meta(sl, ES.slice_meta(sl), path)
     return spark.read.parquet(f"{path}/data")
+
+
+@register("label_encoding", MO["label_encoding"])
+def q_label_encoding(spark, sf):
+    """Labels encoded as positions among the sorted classes."""
+    return TF.encode_labels(V.labelled_docs(spark, sf).select("doc_id", "label"))

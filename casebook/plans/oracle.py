@@ -1178,3 +1178,10 @@ MORE["domain_split_roundtrip"] = _corpus_with(
           ON h.domain = nn.domain""")
 
 MORE["eval_slice_roundtrip"] = SPLITS["eval_slice_last_condition"]
+
+MORE["label_encoding"] = with_views("""
+    SELECT d.doc_id, d.label, CAST(c.label_index AS INTEGER) AS label_index
+    FROM labelled_docs d
+    LEFT JOIN (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS label_index
+               FROM (SELECT DISTINCT label FROM labelled_docs WHERE label IS NOT NULL) x) c
+      ON d.label = c.label""", "labelled_docs")

@@ -26,3 +26,9 @@ def test_fused_top_terms_equal_window_path(spark):
     a = sorted(tuple(r) for r in TF.top_terms(TF.tfidf(_docs(spark)), 2).collect())
     b = sorted(tuple(r) for r in TF.top_terms_per_doc(_docs(spark), 2).collect())
     assert a == b and len(a) == 4
+
+
+def test_encode_labels_sorted_classes(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, "a"), (5, None)], "id long, label string")
+    got = {r.id: r.label_index for r in TF.encode_labels(df).collect()}
+    assert got == {1: 1, 2: 0, 3: 2, 4: 0, 5: None}
