@@ -1,0 +1 @@
+"""Column-expression helpers shared by the operators (built-in functions only)."""
