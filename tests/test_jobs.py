@@ -63,3 +63,14 @@ def test_ingest_job(spark):
     jobs.main(["ingest", "--exports", f"file:{root}", "--out", out], spark)
     rep = {r.table: r.rows for r in spark.read.json(f"{out}/load_report").collect()}
     assert rep["immunizations"] == 2 and spark.read.parquet(f"{out}/tables/immunizations").count() == 2
+
+
+def test_baseline_job(spark):
+    data = I.scratch_dir(spark, "job-baseline-data")
+    V.labelled_docs(spark, SF).selectExpr("text AS prompt", "label AS gold_icd10").write.parquet(data)
+    out = I.scratch_dir(spark, "job-baseline")
+    jobs.main(["baseline", "--data", data, "--out", out], spark)
+    rep = {r.metric: r.value for r in spark.read.json(f"{out}/report").collect()}
+    n_test = spark.read.parquet(f"{out}/predictions").count()
+    assert rep["n_train"] + rep["n_test"] == 87 and rep["n_test"] == n_test
+    assert 0.0 <= rep["accuracy"] <= 1.0
