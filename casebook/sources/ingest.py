@@ -84,13 +84,28 @@ def header_of(spark: SparkSession, path: str) -> list[str] | None:
     return [c.strip() for c in first[0][0].split(",")]
 
 
-def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
-    """First line of every file in one job: path -> column names (None for an empty file).
+HEADER_JOB_MAX_BYTES = 64 << 20   # files up to this size share one header job
 
-    Only the split that starts at offset 0 holds a file's first line; inside a split,
-    ``monotonically_increasing_id`` grows with the position, so its minimum marks line 1.
-    The result has one row per file.
+
+def headers_of(spark: SparkSession, paths: list[str],
+               shared_max_bytes: int = HEADER_JOB_MAX_BYTES) -> dict[str, list[str] | None]:
+    """First line of every file: path -> column names (None for an empty file).
+
+    Small files are read together in one job (reading them whole costs little); a large
+    file gets its own ``limit(1)`` read, which stops after its first line instead of
+    scanning a whole split.
     """
+    sizes = {p: path_bytes(spark, p) for p in paths}
+    small = [p for p in paths if sizes[p] <= shared_max_bytes]
+    out = {p: header_of(spark, p) for p in paths if sizes[p] > shared_max_bytes}
+    if small:
+        out.update(_headers_one_job(spark, small))
+    return out
+
+
+def _headers_one_job(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
+    """Only the split that starts at offset 0 holds a file's first line; inside a split,
+    ``monotonically_increasing_id`` grows with the position, so its minimum marks line 1."""
     lines = (spark.read.text(paths)
              .where(F.col("_metadata.file_block_start") == 0)
              .select(F.col("_metadata.file_path").alias("path"), "value",

@@ -161,3 +161,13 @@ def test_domain_split_reader_falls_back_to_everything(spark, root):
     stored = spark.read.parquet(p)
     assert S.read_domain_split(stored, "cardio", "test").count() == 1
     assert S.read_domain_split(stored, "neuro", "test").count() == 2   # no own, no general
+
+
+def test_headers_large_files_read_alone(spark, root):
+    _write(f"{root}/h/a.csv", "Id,X\n1,a\n")
+    _write(f"{root}/h/b.csv", "Id,Y,Z\n2,b,c\n")
+    _write(f"{root}/h/e.csv", "")
+    paths = [f"file:{root}/h/{n}.csv" for n in "abe"]
+    shared = I.headers_of(spark, paths)
+    alone = I.headers_of(spark, paths, shared_max_bytes=0)   # every file on its own read
+    assert shared == alone == {paths[0]: ["Id", "X"], paths[1]: ["Id", "Y", "Z"], paths[2]: None}
