@@ -34,8 +34,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False
     return spread_small(df) if spread else df
 
 
-def input_bytes(df: DataFrame, max_files: int = 1000) -> int | None:
-    """Total size of the files a plan reads; None when they are too many to sum cheaply."""
+def input_bytes(df: DataFrame, max_files: int = 64) -> int | None:
+    """Total size of the files a plan reads; None when there are more than ``max_files``.
+
+    Callers only need to recognise *small* inputs (few files, little data), so a large file
+    count answers the question without one metadata call per file on the driver.
+    """
     files = df.inputFiles()
     if len(files) > max_files:
         return None
