@@ -71,7 +71,10 @@ def route_expr(text: Column, routes=DEFAULT_ROUTES) -> Column:
 
 def route(notes: DataFrame, text_col: str = "text", routes=DEFAULT_ROUTES) -> DataFrame:
     """Adds ``agents`` (array<string>) to every row."""
-    return notes.withColumn("agents", route_expr(F.col(text_col), routes))
+    from casebook.functions.columns import cached_expr
+    expr = cached_expr(("route", text_col, tuple(routes)),
+                       lambda: route_expr(F.col(text_col), routes))
+    return notes.withColumn("agents", expr)
 
 
 def route_summary(routed: DataFrame, id_col: str = "note_id") -> DataFrame:
