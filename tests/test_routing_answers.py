@@ -109,3 +109,14 @@ def test_refinement_prompt_reference_demo(spark):
     got = A.refinement_prompts(cases, cdf, order_cols=("answer_seq",)).collect()[0].prompt
     blocks = "\n".join(f"[{a}] (confidence={c:.2f}):\n{t}\n" for a, t, c, _ in cands)
     assert got == f"USER CASE:\n{case}\n\nCANDIDATE ANSWERS:\n{blocks}\n"
+
+
+def test_format_fixed_other_digits_and_specials(spark):
+    from casebook.functions.columns import format_fixed
+    vals = [2.5, 3.5, 0.0005, 1.2345, -1.5, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    r0 = [r[0] for r in df.select(format_fixed("x", 0)).collect()]
+    r3 = [r[0] for r in df.select(format_fixed("x", 3)).collect()]
+    assert r0[:5] == [f"{v:.0f}" for v in vals[:5]]          # 2.5 -> '2', 3.5 -> '4' (half-even)
+    assert r3[:5] == [f"{v:.3f}" for v in vals[:5]]
+    assert r0[5:] == ["nan", "inf", "-inf"]
