@@ -17,26 +17,19 @@ rows, broadcast).  A document is one row, so no hash partition can be hot.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casebook.functions.stopwords import ENGLISH
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 10000
 ROWS_PER_FIT_PARTITION = 10_000
 
 
-@lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop words, read from the Spark ML jar resource (no JVM needed)."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    """The pinned English stop-word list (plain data in the package)."""
+    return tuple(ENGLISH)
 
 
 NON_WORD = r"[^\p{L}\p{N}_]+"
