@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.llm import ann_mih, byte_bpe, packing, token_counts, topk_taat
-from casebook.llm.common import read, stage
+from casebook.llm import (ann_mih, byte_bpe, hmm, langid_kn, packing, quality_pu, simhash_gray,
+                          substring_dedup, token_counts, topk_taat)
+from casebook.llm.common import fold, read, stage
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +23,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), WORD_BPE, limit=2048)
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
+
+
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"),
+                               fold("doc_id", 4) == 2)
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_kn.identify(read(spark, sf_dir, "documents"), fold("doc_id", 5) == 0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
     both = byte_bpe.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN)
@@ -34,6 +48,16 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_mih.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_gray.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, limit=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(read(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end_id=1)
     items = stage(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
@@ -46,22 +70,43 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_hmm": op2_hmm,
+    "op3_quality_pu": op3_quality_pu,
+    "op4_langid": op4_langid,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_nearest": op6_nearest,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_topk": op10_topk,
 }
 
 ORACLE = {
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+                   FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS w
+                FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM d
+                      WHERE len(words) >= 35) x),
+        twice AS (SELECT w FROM win GROUP BY w HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, i + j AS p
+                 FROM (SELECT doc_id, i FROM win SEMI JOIN twice USING (w)) h, range(0, 35) t(j)),
+        word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS k
+                 FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words,
+               CAST(len(d.words) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.k, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op10_topk": """
         WITH v AS (SELECT row_number() OVER () AS r, vec_id,
-                          list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+                          [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
                    FROM embeddings
                    WHERE vec_id IS NOT NULL AND len(embedding) > 0
-                     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
         s AS (SELECT q.vec_id AS query_id, v.vec_id,
-                     CAST(list_sum(list_transform(range(1, len(v.w) + 1),
-                                                  i -> q.w[i] * v.w[i])) AS BIGINT) AS score
+                     CAST(list_sum([q.w[i] * v.w[i] FOR i IN range(1, len(v.w) + 1)]) AS BIGINT)
+                         AS score
               FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.w) = len(v.w)
               WHERE q.vec_id % 20 = 0)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (

@@ -1,10 +1,78 @@
-"""Placeholder of the corpus pipeline; its stages follow with their operators."""
+"""Corpus pipeline: raw documents to packed training sequences, in five stages.
+
+Every stage takes (spark, docs, sf_dir) and returns the documents it kept, with their
+columns (the last one returns packed pieces); ``run`` writes each stage's result as Parquet
+in the shared checkpoint folder and reads it back as the next stage's input, so a stage
+works on all and only what the stage before it kept.
+
+Null and empty texts leave at the first stage (no letter).  Repeated rows form one group of
+near duplicates, of which one row stays; so do rows with a null id that have an equal in
+their group with an id, while a group whose ids are all null keeps every distinct row.
+An empty table passes through as an empty table.  Extra columns of ``docs`` are kept.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casebook.llm import langid_kn, packing, quality_pu, simhash_gray, substring_dedup
+from casebook.llm.catalog import WORD_BPE
+from casebook.llm.common import fold, read, row_key, stage
+
+#: Names used beside the documents' own columns.
+ROW_KEY = "casebook_row_key"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is told and not rejected."""
+    learned = langid_kn.fit(docs.where(fold("doc_id", 5) != 0))
+    return docs.where(~langid_kn.predictor(docs, learned)("text")["rejected"])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the quality classifier accepts."""
+    measures = stage(quality_pu.measured(docs, "doc_id"))
+    model = quality_pu.fit(measures, read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return docs.where(quality_pu.scorer(model)("text") >= quality_pu.THRESHOLD)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the one with the smallest id, of each group of near duplicates."""
+    groups = simhash_gray.near_duplicates(docs, shingle=3, limit=2)
+    kept = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .select(F.col("key").alias(ROW_KEY)).distinct())
+    return (docs.withColumn(ROW_KEY, row_key()).join(kept, ROW_KEY, "left_semi")
+            .dropDuplicates([ROW_KEY]).drop(ROW_KEY))
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out passages that occur elsewhere; a document without one keeps its text as it is."""
+    cut = substring_dedup.remove_repeats(docs, window=35, carry=tuple(docs.columns))
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("carried.text"))
+    size = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("carried.n_chars"))
+    new = {"text": text, "n_chars": size}
+    return cut.select(*(new[c].alias(c) if c in new else F.col(f"carried.`{c}`").alias(c)
+                        for c in docs.columns))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the remaining documents into sequences of at most 4096 tokens."""
+    cut = packing.pieces(docs, WORD_BPE, capacity=4096, end_id=1)
+    items = stage(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(items, capacity=4096)
+
+
+STAGES = [("language_id", language_id), ("quality", quality), ("near_duplicates", near_duplicates),
+          ("substring_dedup", substring_dedup_stage), ("packing", packed)]
+
+#: Models, hashes of shingles and tokenizers have no SQL form; the tests check run() instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to the ``documents`` table."""
+    docs = read(spark, sf_dir, "documents")
+    for _, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir))
+    return docs
