@@ -134,11 +134,14 @@ def cached_expr(key, build):
     """Memoise a data-independent Column built by ``build()`` for the active SparkContext.
 
     Large rule expressions (validation, record templates) cost thousands of py4j calls to
-    assemble; the unresolved expression is the same for every query in the process.
+    assemble; the unresolved expression is the same for every query of an application.  The
+    cache holds the expressions of the current application only.
     """
     from pyspark import SparkContext
-    sc = SparkContext._active_spark_context
-    k = (id(sc), key)
+    app = SparkContext._active_spark_context.applicationId
+    if any(a != app for a, _ in _EXPR_CACHE):
+        _EXPR_CACHE.clear()
+    k = (app, key)
     if k not in _EXPR_CACHE:
         _EXPR_CACHE[k] = build()
     return _EXPR_CACHE[k]

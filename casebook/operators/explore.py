@@ -2,7 +2,7 @@
 
 Every report is an aggregate: only the (small) result leaves the cluster.  Whole-column
 statistics (min/max for histogram edges) are scalar subqueries inlined into the binning
-expression; box-plot statistics come from per-group value histograms; nothing uses an
+expression; box-plot statistics come from per-group value counts; nothing uses an
 unpartitioned window.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.columns import age_years_real, short_label, year_boundaries
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Infinity)$"
 DEFAULT_AS_OF = "2025-01-01"   # "today" of the age report, fixed so runs repeat
 
 
@@ -134,23 +135,17 @@ def frequency_through_dimension(fact: DataFrame, fk: str, dim: DataFrame, dim_ke
 def describe(df: DataFrame, col: str) -> DataFrame:
     """n, mean, std, min, q25, q50, q75, max — pandas ``describe`` with exact quantiles.
 
-    For a small input the quantiles are one exact ``percentile`` in the same aggregate; for
-    a large one they come from ``quantiles.exact_quantiles`` (exact, bounded memory for
-    continuous values) and the two one-row results are joined on a constant key.
+    The quantiles come from ``quantiles.exact_quantiles`` (exact, bounded memory); the two
+    one-row results are put side by side by a union and one aggregate.
     """
-    from casebook.operators.quantiles import buffer_is_bounded, exact_quantiles
+    from casebook.operators.quantiles import exact_quantiles
     x = F.col(col).cast("double")
     moments = [F.count(x).cast("long").alias("n"), F.avg(x).alias("mean"),
                F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
-    if buffer_is_bounded(df):
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        s = df.where(F.col(col).isNotNull()).agg(*moments, q.alias("_q")).select(
-            "*", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(("q25", "q50", "q75"))])
-    else:
-        m = df.where(F.col(col).isNotNull()).agg(*moments).withColumn("_k", F.lit(1))
-        q = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n") \
-            .withColumn("_k", F.lit(1))
-        s = m.join(q, "_k", "left")
+    m = df.where(F.col(col).isNotNull()).agg(*moments)
+    q = exact_quantiles(df, [], col, [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n")
+    both = m.unionByName(q, allowMissingColumns=True)
+    s = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "q25", "q50",
                                                              "q75", "max")])
 
@@ -161,8 +156,11 @@ def count_per_key(df: DataFrame, key: str, name: str = "n") -> DataFrame:
 
 
 def numeric_values(observations: DataFrame, description: str) -> DataFrame:
-    """value — numeric VALUEs of one observation kind; non-numeric ones drop."""
-    v = F.trim(F.col("VALUE")).try_cast("double")
+    """value — numeric VALUEs of one observation kind; others drop, NaN included.
+
+    The pattern keeps out what only Spark reads as a number (``1d``, ``2f``)."""
+    text = F.trim(F.col("VALUE").cast("string"))
+    v = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return (observations.where((F.col("DESCRIPTION") == description) & F.col("VALUE").isNotNull())
             .select(v.alias("value")).where(F.col("value").isNotNull()))
 
@@ -193,43 +191,37 @@ def age_at_encounter(encounters: DataFrame, patients: DataFrame, top_n: int = 10
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """group, n, q1, median, q3, whisker_lo, whisker_hi, n_outliers (A24, Tukey 1.5·IQR).
 
-    Histogram first: rows are counted per (group, value) with map-side partial
-    aggregation, then each group's sorted value -> count list (bounded by its distinct
-    values, e.g. ages) yields the exact interpolated quartiles, the whiskers (furthest
-    data points inside the fences, as in matplotlib) and the outlier count — one pass over
-    the rows, no join back.  For continuous values use ``quantiles.exact_quantiles``.
+    Rows are first counted per (group, value) with map-side partial aggregation.  Exact
+    quartiles come from a running count per group over those distinct values, the whiskers
+    (furthest data points inside the fences, as in matplotlib) and the outlier count from one
+    more aggregate.  The running count holds the distinct values of a group (ages: a few
+    hundred); for continuous values take the quartiles from ``quantiles.exact_quantiles``.
     """
+    from pyspark.sql import Window
     x = F.col(value).cast("double")
-    hist = (df.where(x.isNotNull()).groupBy(group, x.alias("v"))
+    counts = (df.where(x.isNotNull()).groupBy(group, x.alias("v"))
               .agg(F.count(F.lit(1)).alias("c")))
-    per = hist.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("h"))
-    # cumulative counts inside the (small) list
-    cum = F.transform(F.col("h"), lambda e, i: F.struct(
-        e["v"].alias("v"), e["c"].alias("c"),
-        F.aggregate(F.slice(F.col("h"), 1, i + 1), F.lit(0).cast("long"),
-                    lambda a, y: a + y["c"]).alias("cum")))
-    per = per.select(group, cum.alias("h")).withColumn(
-        "n", F.element_at(F.col("h"), -1)["cum"])
-
-    def at_rank(r):  # value at 0-based rank r
-        return F.element_at(F.filter(F.col("h"), lambda e: e["cum"] > r), 1)["v"]
+    own = Window.partitionBy(group)
+    run = counts.select(group, "v", "c", F.sum("c").over(own.orderBy("v")).alias("cum"),
+                        F.sum("c").over(own).alias("n"))
+
+    def at(rank):        # value at a 0-based rank: the one whose running count first passes it
+        return F.max(F.when((rank >= F.col("cum") - F.col("c")) & (rank < F.col("cum")), F.col("v"))).over(own)
 
     def quantile(q):
         pos = (F.col("n") - 1) * F.lit(q)
         lo, hi = F.floor(pos), F.ceil(pos)
-        return F.when(hi == lo, at_rank(lo)).otherwise((hi - pos) * at_rank(lo) + (pos - lo) * at_rank(hi))
-
-    qs = per.select(group, "n", "h", quantile(0.25).alias("q1"), quantile(0.5).alias("median"),
-                    quantile(0.75).alias("q3"))
-    lo_f = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi_f = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.filter(F.col("h"), lambda e: (e["v"] >= lo_f) & (e["v"] <= hi_f))
-    outside = F.filter(F.col("h"), lambda e: (e["v"] < lo_f) | (e["v"] > hi_f))
-    out = qs.select(group, F.col("n").cast("long").alias("n"), "q1", "median", "q3",
-                    F.element_at(inside, 1)["v"].alias("whisker_lo"),
-                    F.element_at(inside, -1)["v"].alias("whisker_hi"),
-                    F.aggregate(outside, F.lit(0).cast("long"), lambda a, e: a + e["c"])
-                    .alias("n_outliers"))
+        return F.when(hi == lo, at(lo)).otherwise((hi - pos) * at(lo) + (pos - lo) * at(hi))
+
+    run = run.select("*", quantile(0.25).alias("q1"), quantile(0.5).alias("median"),
+                     quantile(0.75).alias("q3"))
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    inside = (F.col("v") >= F.col("q1") - fence) & (F.col("v") <= F.col("q3") + fence)
+    out = run.groupBy(group).agg(
+        F.max("n").cast("long").alias("n"), *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
+        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
+        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("c"))).cast("long").alias("n_outliers"))
     return out.select(group, "n", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3",
                                                                      "whisker_lo", "whisker_hi")],
                       "n_outliers")

@@ -35,12 +35,14 @@ def prefix_filter(df: DataFrame, prefix: str, code_cols=("diagnosis_code", "labe
     return df.where(code.isNotNull() & code.startswith(prefix))
 
 
-def with_skip_reason(df: DataFrame, truth: str = "true_diagnosis",
-                     pred: str = "predicted_diagnosis") -> DataFrame:
-    """Adds ``skip_reason``: missing_truth / missing_prediction / null when usable."""
+def with_skip_reason(df: DataFrame, truth: str = "true_diagnosis", pred: str = "predicted_diagnosis",
+                     patient: str | None = None) -> DataFrame:
+    """Adds ``skip_reason``: missing_patient (null patient data, where ``patient`` names its
+    column) / missing_truth / missing_prediction / null when usable (F12)."""
     t, p = F.nullif(_s(truth), F.lit("")), F.nullif(_s(pred), F.lit(""))
-    return df.withColumn("skip_reason", F.when(t.isNull(), "missing_truth")
-                         .when(p.isNull(), "missing_prediction"))
+    no_patient = F.col(patient).isNull() if patient else F.lit(False)
+    return df.withColumn("skip_reason", F.when(no_patient, "missing_patient")
+                         .when(t.isNull(), "missing_truth").when(p.isNull(), "missing_prediction"))
 
 
 def usable_rows(df: DataFrame, truth: str = "true_diagnosis",
@@ -58,23 +60,29 @@ def processed_rows(df: DataFrame, truth: str = "true_diagnosis",
                    limit: int | None = None) -> DataFrame:
     """``usable_rows`` plus sample_index: the running index of stored rows in ``order_col``
     order (X19); ``limit`` keeps the first N stored rows (L3)."""
-    rows = global_index(usable_rows(df, truth, pred, order_col), order_col, "sample_index")
+    rows = usable_rows(df, truth, pred, order_col)
     if limit is not None and limit > 0:
-        rows = rows.where(F.col("sample_index") < limit)
-    return rows
+        rows = rows.orderBy(order_col).limit(limit)
+    return global_index(rows, order_col, "sample_index")
 
 
-def run_summary(df: DataFrame, truth: str = "true_diagnosis",
-                pred: str = "predicted_diagnosis") -> DataFrame:
-    """total, processed, skipped, skipped_missing_truth, skipped_missing_prediction."""
-    r = with_skip_reason(df, truth, pred)
+def run_summary(df: DataFrame, truth: str = "true_diagnosis", pred: str = "predicted_diagnosis",
+                patient: str | None = None, seconds: str | None = None) -> DataFrame:
+    """total, processed, skipped, skipped_missing_truth, _prediction and _patient, total_seconds
+    and mean_seconds of the processed rows (A26; 0 when there are none or no ``seconds``)."""
+    r = with_skip_reason(df, truth, pred, patient)
+    spent = F.when(F.col("skip_reason").isNull(), F.col(seconds).cast("double") if seconds else F.lit(0.0))
     return r.agg(F.count(F.lit(1)).alias("total"),
                  F.count(F.when(F.col("skip_reason").isNull(), 1)).alias("processed"),
                  F.count("skip_reason").alias("skipped"),
                  F.count(F.when(F.col("skip_reason") == "missing_truth", 1))
                  .alias("skipped_missing_truth"),
                  F.count(F.when(F.col("skip_reason") == "missing_prediction", 1))
-                 .alias("skipped_missing_prediction"))
+                 .alias("skipped_missing_prediction"),
+                 F.count(F.when(F.col("skip_reason") == "missing_patient", 1))
+                 .alias("skipped_missing_patient"),
+                 F.round(F.coalesce(F.sum(spent), F.lit(0.0)), 6).alias("total_seconds"),
+                 F.round(F.coalesce(F.avg(spent), F.lit(0.0)), 6).alias("mean_seconds"))
 
 
 # ---------------------------------------------------------------- A12 / A13
@@ -192,23 +200,26 @@ def overall_scores(rows: DataFrame, truth: str = "true_diagnosis",
 # ---------------------------------------------------------------- A15
 
 def confusion_matrix(rows: DataFrame, labels: DataFrame, truth: str = "true_diagnosis",
-                     pred: str = "predicted_diagnosis") -> DataFrame:
-    """actual, predicted, n — dense over ``labels`` (a one-column frame ``label``).
+                     pred: str = "predicted_diagnosis", dense: bool = False) -> DataFrame:
+    """actual, predicted, n over ``labels`` (a one-column frame ``label``): every pair that
+    occurs.  ``dense`` adds a zero row for each pair that does not; it is for a short, given
+    list of labels (a report), whose names the driver then holds.
 
-    Rows whose truth or prediction is outside the list are dropped.  ``labels`` is a given,
-    bounded list, so it and its square are broadcast.
+    Rows whose truth or prediction is outside the list are dropped.  Pairs are counted before
+    the list is joined, so a common pair is one row in the joins.
     """
     lab = labels.select(F.col("label").cast("string").alias("label")).distinct()
-    arr = lab.agg(F.collect_list("label")).scalar()   # the given list, not the data
-    grid = (rows.sparkSession.range(1).select(F.explode(arr).alias("actual"))
-            .select("actual", F.explode(arr).alias("predicted")))
-    # Rows outside the list are dropped before counting, so the counts (at most k² rows)
-    # are the broadcast side of the left join from the dense grid.
-    counts = (rows.where(F.array_contains(arr, F.col(truth)) & F.array_contains(arr, F.col(pred)))
-                  .groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted"))
+    counts = (rows.groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted"))
                   .agg(F.count(F.lit(1)).alias("n")))
-    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    for side in ("actual", "predicted"):
+        counts = counts.join(lab.withColumnRenamed("label", side), side, "left_semi")
+    if dense:
+        few = [r["label"] for r in lab.collect()]
+        names = F.array(*[F.lit(x) for x in few]) if few else F.array().cast("array<string>")
+        zeros = (rows.sparkSession.range(1).select(F.explode(names).alias("actual"))
+                 .select("actual", F.explode(names).alias("predicted"), F.lit(0).alias("n")))
+        counts = counts.unionByName(zeros).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
+    return counts.select("actual", "predicted", F.col("n").cast("long").alias("n"))
 
 
 def top_labels(rows: DataFrame, col: str = "true_diagnosis", k: int = 10) -> DataFrame:
@@ -225,29 +236,24 @@ def latency_stats(lat: DataFrame, op_col: str = "operation", value_col: str = "d
     """operation (null = all), is_overall, avg_ms, min_ms, max_ms, p95_ms, count.
 
     One ``rollup`` = GROUPING SETS ((operation), ()).  The exact p95 (numpy-style
-    interpolation) is the rollup's own ``percentile`` when the input is small enough to bound
-    its buffer, else ``quantiles.exact_quantiles`` (bounded memory for continuous durations
-    in a hot group); ``exact=False`` uses a sketch.
+    interpolation) comes from ``quantiles.exact_quantiles`` (bounded memory for continuous
+    durations in a hot group); every row stands for its operation and for the total there, so
+    the input is read once for both.  ``exact=False`` uses a sketch.
     """
-    from casebook.operators.quantiles import buffer_is_bounded, exact_quantiles
+    from casebook.operators.quantiles import exact_quantiles
     x = F.col(value_col).cast("double")
     aggs = [F.avg(x).alias("avg_ms"), F.min(x).alias("min_ms"), F.max(x).alias("max_ms"),
             F.count(x).alias("count"), F.grouping_id().alias("gid")]
-    single_pass = exact and buffer_is_bounded(lat)
     if not exact:
         aggs.append(F.percentile_approx(x, 0.95, accuracy).alias("p95_ms"))
-    elif single_pass:
-        aggs.append(F.percentile(x, 0.95).alias("p95_ms"))
     g = lat.rollup(op_col).agg(*aggs).withColumn("is_overall", F.col("gid") == 1)
-    if exact and not single_pass:
-        per_op = exact_quantiles(lat, [op_col], value_col, [0.95], ["p95_ms"]).select(
-            op_col, "p95_ms", F.lit(False).alias("is_overall"))
-        overall = exact_quantiles(lat, [], value_col, [0.95], ["p95_ms"]).select(
-            F.lit(None).cast(lat.schema[op_col].dataType).alias(op_col), "p95_ms",
-            F.lit(True).alias("is_overall"))
-        p = per_op.unionByName(overall).withColumnRenamed(op_col, "_op")
-        g = g.join(p, (g["is_overall"] == p["is_overall"]) & g[op_col].eqNullSafe(p["_op"]),
-                   "left").drop(p["is_overall"]).drop("_op")
+    if exact:
+        both = lat.select(F.col(op_col).alias("_op"), F.col(value_col), F.explode(F.array(
+            F.lit(False), F.lit(True))).alias("_all"))
+        both = both.withColumn("_op", F.when(~F.col("_all"), F.col("_op")))
+        p = exact_quantiles(both, ["_all", "_op"], value_col, [0.95], ["p95_ms"]).drop("n")
+        g = g.join(p, (g["is_overall"] == p["_all"]) & g[op_col].eqNullSafe(p["_op"]),
+                   "left").drop("_op", "_all")
     return g.select(F.col(op_col).alias("operation"), "is_overall",
                     *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
                       for c in ("avg_ms", "min_ms", "max_ms", "p95_ms")],
@@ -346,8 +352,8 @@ def diagnosis_records(preds: DataFrame, ts_col: str | None = None,
          .otherwise(t.eqNullSafe(F.col("predicted_diagnosis"))).alias("correct"))
 
 
-def metrics_report(records: DataFrame, latencies: DataFrame, conditions: DataFrame | None = None
-                   ) -> DataFrame:
+def metrics_report(records: DataFrame, latencies: DataFrame, conditions: DataFrame | None = None,
+                   dense: bool = False) -> DataFrame:
     """section, name, metric, value — the full report in long form.
 
     overall accuracy and latency, latency per operation and, when ``conditions`` (a frame
@@ -372,9 +378,8 @@ def metrics_report(records: DataFrame, latencies: DataFrame, conditions: DataFra
         labs = conditions.select(F.col("label").cast("string").alias("label")).distinct()
         # fp = n_pred - tp and fn = n_true - tp: per-label aggregates, no pairing of rows
         # with labels.
-        listed = per_class(rec, "ground_truth", "predicted_diagnosis").join(
-            F.broadcast(labs), "label", "left_semi")                  # at most k rows
-        pc = labs.join(F.broadcast(listed), "label", "left").na.fill(0, ["tp", "n_true", "n_pred"])
+        pc = labs.join(per_class(rec, "ground_truth", "predicted_diagnosis"), "label", "left") \
+            .na.fill(0, ["tp", "n_true", "n_pred"])
         p = _ratio(F.col("tp"), F.col("n_pred"))
         r = _ratio(F.col("tp"), F.col("n_true"))
         prf = pc.select(F.lit("condition").alias("section"), F.col("label").alias("name"),
@@ -383,7 +388,7 @@ def metrics_report(records: DataFrame, latencies: DataFrame, conditions: DataFra
                             F.struct(F.lit("recall").alias("metric"), r.alias("value")),
                             F.struct(F.lit("f1").alias("metric"), _f1(p, r).alias("value"))))
                         .alias("kv")).select("section", "name", "kv.metric", "kv.value")
-        cm = confusion_matrix(rec, conditions, "ground_truth", "predicted_diagnosis").select(
+        cm = confusion_matrix(rec, conditions, "ground_truth", "predicted_diagnosis", dense).select(
             F.lit("confusion").alias("section"),
             F.concat_ws(" -> ", "actual", "predicted").alias("name"),
             F.lit("count").alias("metric"), F.col("n").cast("double").alias("value"))

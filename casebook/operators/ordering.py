@@ -1,9 +1,11 @@
-"""Exact global row indexes without a single-partition window.
-
-``row_number()`` over an unpartitioned window moves the whole frame into one task.  Here the
-order key is cut into ranges; each range is ranked by a window partitioned by the range,
-and a range's offset is the number of rows in the ranges before it.  The offsets come from
-an aggregate with one row per range (its size is the number of ranges, not of rows).
+"""Exact global row indexes without a window over the rows.
+
+The rows are range-partitioned by (group, order key) - boundaries are sampled from the data,
+so sparse, dense and skewed keys give partitions of similar size - and sorted inside their
+partition.  ``monotonically_increasing_id`` then carries (partition, position), and one
+aggregate row per (group, partition) is enough to turn it into a position in the group.  The
+sorted rows are written once to the shared scratch folder: the positions and the sizes must
+come from the very same partitioning.
 """
 
 from __future__ import annotations
@@ -11,66 +13,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET = 1 << 16
-MAX_BUCKETS = 1 << 16       # adaptive ranges: at most this many per group
+from casebook.plans.stage import materialise
+
+POSITION_BITS = 33            # layout of monotonically_increasing_id: partition, position
 
 
-def global_index(df: DataFrame, order_col: str, name: str = "idx", bucket_size: int | None = None,
+def global_index(df: DataFrame, order_col: str, name: str = "idx",
                  tie_cols: tuple[str, ...] = (), partition_cols: tuple[str, ...] = (),
                  group_count: str | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_col`` (then ``tie_cols``) order,
     counted separately inside each ``partition_cols`` group (and ``group_count`` = the
-    group's row count, when named).
-
-    ``order_col`` must be an integral column; a range holds the rows whose key falls in
-    ``[k*bucket_size, (k+1)*bucket_size)``, so with unique keys no range exceeds
-    ``bucket_size`` rows, however large a partition group is.  Without ``bucket_size`` the
-    width adapts to the key span (min / max scalar subqueries) so that there are at most
-    ``MAX_BUCKETS`` ranges: both the per-range windows and the offsets window stay bounded
-    as the data grows.
+    group's row count, when named).  Any sortable key type; nulls come first.
 
-    The input is read once: ranks and range sizes come from one window over
-    (group, range); the per-range offsets and group totals are computed from that ranked
-    frame (its shuffle is reused), over one row per range.
+    The running sums below run over one row per (group, partition it touches).
     """
     parts = list(partition_cols)
-    if bucket_size is None:
-        span = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"))
-        lo = span.select("lo").scalar()
-        width = span.select(F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1)
-                                                        / F.lit(MAX_BUCKETS)))).scalar()
-        b = F.floor((F.col(order_col) - lo) / width).cast("long")
-    else:
-        b = F.floor(F.col(order_col) / F.lit(bucket_size)).cast("long")
-    w = Window.partitionBy(*parts, "_bucket").orderBy(order_col, *tie_cols)
-    ranked = (df.withColumn("_bucket", b)
-                .withColumn("_rn", F.row_number().over(w))
-                .withColumn("_cnt", F.count(F.lit(1)).over(
-                    w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    sizes = ranked.where(F.col("_rn") == 1).select(*parts, "_bucket", "_cnt")
-    # One row per non-empty range; the running sum runs over that small frame only.
-    ow = Window.partitionBy(*parts).orderBy("_bucket")
-    offsets = sizes.select(
-        *parts, "_bucket",
-        F.coalesce(F.sum("_cnt").over(ow.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*parts) if parts else Window.partitionBy())
-        .alias("_gn"))
-    out = (ranked.join(offsets, [*parts, "_bucket"])
-                 .withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("long")))
+    keys = [*parts, order_col, *tie_cols]
+    rows = materialise(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                       .withColumn("_gi_m", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_gi_p", F.shiftright("_gi_m", POSITION_BITS))
+    sizes = rows.groupBy(*parts, "_gi_p").agg(F.count(F.lit(1)).alias("_gi_c"), F.min("_gi_m").alias("_gi_first"))
+    group = Window.partitionBy(*[F.col(c) for c in parts] or [F.lit(0)])
+    before = group.orderBy("_gi_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"_gi_{i}") for i, c in enumerate(parts)], F.col("_gi_p").alias("_gi_q"),
+                           (F.coalesce(F.sum("_gi_c").over(before), F.lit(0)) - F.col("_gi_first")).alias("_gi_off"),
+                           F.sum("_gi_c").over(group).alias("_gi_n"))
+    same = F.col("_gi_p") == F.col("_gi_q")
+    for i, c in enumerate(parts):
+        same &= F.col(c).eqNullSafe(F.col(f"_gi_{i}"))
+    out = rows.join(offsets, same).withColumn(name, (F.col("_gi_m") + F.col("_gi_off")).cast("long"))
     if group_count:
-        out = out.withColumn(group_count, F.col("_gn").cast("long"))
-    return out.drop("_bucket", "_rn", "_cnt", "_off", "_gn")
+        out = out.withColumn(group_count, F.col("_gi_n").cast("long"))
+    return out.drop("_gi_m", "_gi_p", "_gi_q", "_gi_off", "_gi_n", *[f"_gi_{i}" for i in range(len(parts))])
 
 
-# Multiplicative hash (Knuth) used as a repeatable shuffle order.  The key is first reduced
-# modulo a prime so the product stays inside 64-bit integers for any bigint key.
-HASH_PRIME = 1000003
-HASH_MULT = 2654435761
-HASH_MOD = 1 << 32
+HASH_DIGITS = 15              # hex digits of the md5 that make the order key (60 bits)
 
 
 def shuffle_key(key, seed: int = 42):
-    """Deterministic pseudo-random order key in [0, 2^32) for an integral column."""
+    """Repeatable pseudo-random order key in [0, 2^60) of a key of any type (its text form)."""
     k = F.col(key) if isinstance(key, str) else key
-    return ((((k + F.lit(seed)) % F.lit(HASH_PRIME)) * F.lit(HASH_MULT)) % F.lit(HASH_MOD)).cast("long")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")

@@ -1,79 +1,60 @@
-"""Exact quantiles with bounded per-group memory.
+"""Exact quantiles with bounded memory per task, one path for every input size.
 
-``percentile`` is exact but keeps a value -> count map per group: for continuous values in a
-group that holds a large share of the rows, that buffer grows with the group.  Here:
-
-* groups with at most ``small_group`` rows use ``percentile`` directly (buffer <= that size);
-* larger groups select the exact order statistics in two passes: a ``percentile_approx``
-  sketch (bounded memory) brackets each target rank between two values a <= b whose ranks
-  are within ``3 / accuracy`` of the target; rows below a are only counted, and only the
-  rows inside [a, b] — about ``6 n / accuracy`` of them — are sorted to pick the values at
-  the two ranks the linear interpolation needs.
-
-The result equals ``percentile`` (linear interpolation between ranks floor / ceil of
-q·(n-1)), and no group materialises more than a small fraction of its rows.
+``percentile`` keeps a value -> count map per group, and a sketch is not exact.  Here equal
+values collapse first ((group, value) -> count, partial aggregation), so ties never pile up.
+The counts are range-partitioned by (group, value) - a hot group spreads over many
+partitions - and one row per (group, partition) tells in which partition each wanted rank
+lies.  Only those partitions get a running count.  No array, no per-group buffer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_GROUP = 1_000_000
-ACCURACY = 100_000
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def buffer_is_bounded(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> bool:
-    """True when the plan reads at most ``max_bytes`` of files: no group's value map can then
-    outgrow the whole (small) input, so the single-pass exact ``percentile`` is safe."""
-    from casebook.sources.tables import input_bytes
-    size = input_bytes(df)
-    return size is not None and size <= max_bytes
+from casebook.plans.stage import materialise
 
 
 def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, qs: list[float],
-                    names: list[str], small_group: int = SMALL_GROUP,
-                    accuracy: int = ACCURACY) -> DataFrame:
-    """group_cols..., n, <names...>: exact interpolated quantiles of ``value_col`` per group
-    (an empty ``group_cols`` gives one row over all rows).  Null values are ignored."""
-    g = list(group_cols) or ["_all"]
-    vals = (df.select(*[F.col(c) for c in group_cols], F.col(value_col).cast("double").alias("_x"))
-              .where(F.col("_x").isNotNull()))
-    if not group_cols:
-        vals = vals.withColumn("_all", F.lit(0))
-    d = 3.0 / accuracy
-    bounds = [p for q in qs for p in (max(q - d, 0.0), min(q + d, 1.0))]
-    stats = vals.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_x", F.array(*[F.lit(b) for b in bounds]), accuracy).alias("_b"))
-
-    # Small groups: the exact aggregate; its buffer is bounded by the group size.
-    small = stats.where(F.col("n") <= small_group)
-    pct = (vals.join(small.select(*g), g, "left_semi").groupBy(*g)
-               .agg(F.percentile("_x", F.array(*[F.lit(q) for q in qs])).alias("_p")))
-    small_out = small.select(*g, "n").join(pct, g).select(
-        *g, "n", *[F.col("_p")[i].alias(nm) for i, nm in enumerate(names)])
-
-    # Large groups: count below each lower bound, sort only the rows inside each bracket.
-    big = stats.where(F.col("n") > small_group)
-    bv = vals.join(big.select(*g, "_b"), g)
-    aggs = []
-    for i in range(len(qs)):
-        a, b = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
-        inside = (F.col("_x") >= a) & (F.col("_x") <= b)
-        aggs += [F.count(F.when(F.col("_x") < a, 1)).alias(f"_below{i}"),
-                 F.sort_array(F.collect_list(F.when(inside, F.col("_x")))).alias(f"_win{i}")]
-    big_out = big.select(*g, "n").join(bv.groupBy(*g).agg(*aggs), g)
-    cols = []
-    for i, nm in enumerate(names):
-        pos = (F.col("n") - 1) * F.lit(qs[i])
-        lo, hi = F.floor(pos), F.ceil(pos)
-        w, below = F.col(f"_win{i}"), F.col(f"_below{i}")
-        v_lo = F.try_element_at(w, (lo - below + 1).cast("int"))
-        v_hi = F.try_element_at(w, (hi - below + 1).cast("int"))
-        # the same interpolation as ``percentile``
-        cols.append(F.when(hi == lo, v_lo).otherwise((hi - pos) * v_lo + (pos - lo) * v_hi)
-                    .alias(nm))
-    out = small_out.unionByName(big_out.select(*g, "n", *cols))
-    return out.drop("_all") if not group_cols else out
+                    names: list[str]) -> DataFrame:
+    """group_cols..., n, <names...>: quantiles of ``value_col`` per group, interpolated between
+    the ranks floor / ceil of q·(n-1) as ``percentile`` does (an empty ``group_cols`` gives one
+    row over all rows).  Null values are ignored; a group without values has no row."""
+    g = [f"_g{i}" for i in range(len(group_cols))]
+    vals = df.select(*[F.col(c).alias(a) for a, c in zip(g, group_cols)],
+                     F.col(value_col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    counts = vals.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    counts = materialise(counts.repartitionByRange(*g, "_x").withColumn("_p", F.spark_partition_id()))
+    sizes = counts.groupBy(*g, "_p").agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*[F.col(c) for c in g] or [F.lit(0)])
+    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*g, "_p", "_s", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"),
+                         F.sum("_s").over(group).alias("_n"))
+    # the two ranks of every quantile, each with the partition that holds it
+    pos = [(F.col("_n") - 1) * F.lit(q) for q in qs]
+    ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("i"), f(p).cast("long").alias("r"))
+                      for i, p in enumerate(pos) for k, f in ((0, F.floor), (1, F.ceil))])
+    wanted = (sizes.withColumn("_w", F.explode(ranks))
+              .where((F.col("_w.r") >= F.col("_b")) & (F.col("_w.r") < F.col("_b") + F.col("_s")))
+              .select(*[F.col(c).alias(f"{c}w") for c in g], F.col("_p").alias("_pw"), "_b", "_n",
+                      F.col("_w.i").alias("_i"), F.col("_w.r").alias("_r")))
+
+    def same():
+        on = F.col("_p") == F.col("_pw")
+        for c in g:
+            on &= F.col(c).eqNullSafe(F.col(f"{c}w"))
+        return on
+
+    held = counts.join(wanted, same(), "left_semi")
+    run = Window.partitionBy(*g, "_p").orderBy("_x")
+    held = held.withColumn("_cum", F.sum("_c").over(run))
+    hit = (held.join(wanted, same())
+           .where((F.col("_r") >= F.col("_b") + F.col("_cum") - F.col("_c"))
+                  & (F.col("_r") < F.col("_b") + F.col("_cum"))))
+    at = hit.groupBy(*g, "_n").agg(*[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(f"_v{i}")
+                                     for i in range(2 * len(qs))])
+    out = []
+    for i, (p, nm) in enumerate(zip(pos, names)):
+        lo, hi, a, b = F.floor(p), F.ceil(p), F.col(f"_v{2 * i}"), F.col(f"_v{2 * i + 1}")
+        out.append(F.when(hi == lo, a).otherwise((hi - p) * a + (p - lo) * b).alias(nm))
+    return at.select(*[F.col(a).alias(c) for a, c in zip(g, group_cols)], F.col("_n").alias("n"), *out)

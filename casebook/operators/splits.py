@@ -1,23 +1,23 @@
 """Corpus domains and splits.
 
-Splits are exact and repeatable: rows are ordered by a deterministic hash of their key and
-the first ``int(n * (1 - test_size))`` rows of a group go to train.  Positions come from
-``ordering.global_index`` (ranges of the hash, each ranked separately, offsets from an
-aggregate), so even the ``general`` domain, which holds every sample, is never ranked in
-a single task.
+Splits are exact and repeatable: rows are ordered by a deterministic hash of their key (of any
+type) and the first ``int(n * (1 - test_size))`` rows of a group go to train.  Positions come
+from ``ordering.global_index`` (sampled ranges of the hash order, one row per range for the
+offsets), so even the ``general`` domain, which holds every sample, is never ranked in a
+single task.  ``general`` is split whatever its size; another domain only with more than
+``MIN_DOMAIN_ROWS`` samples.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.columns import split_prompt_expected
 from casebook.operators.ordering import global_index, shuffle_key
 
 GENERAL = "general"
-MIN_DOMAIN_ROWS = 10      # a domain is split only with more than 10 samples
-SPLIT_BUCKET = 1 << 16    # hash range per ranking task (hash values are < 2^32)
+MIN_DOMAIN_ROWS = 10      # a domain other than general is split only with more than 10 samples
 
 
 def lookup_domain(df: DataFrame, code_col: str, domain_map: DataFrame) -> DataFrame:
@@ -46,28 +46,36 @@ def domain_samples(samples: DataFrame, domain_map: DataFrame, label_col: str = "
 
 def split_by_hash(df: DataFrame, key: str, group_cols: tuple[str, ...] = (),
                   test_size: float = 0.2, seed: int = 42,
-                  min_rows: int | None = None) -> DataFrame:
+                  min_rows: int | None = None, always: Column | None = None) -> DataFrame:
     """Adds ``split`` (train/test): per group, first int(n*(1-test_size)) rows in hash order.
 
-    Groups with ``min_rows`` or fewer rows are left out (they are reported, not split).
+    Groups with ``min_rows`` or fewer rows are left out (they are reported, not split), except
+    those for which ``always`` holds.
     """
-    groups = list(group_cols)
     h = df.withColumn("_h", shuffle_key(key, seed))
-    ranked = global_index(h, "_h", "_pos", SPLIT_BUCKET, tie_cols=(key,),
-                          partition_cols=tuple(groups), group_count="_n")
+    ranked = global_index(h, "_h", "_pos", tie_cols=(key,), partition_cols=tuple(group_cols),
+                          group_count="_n")
     if min_rows is not None:
-        ranked = ranked.where(F.col("_n") > min_rows)
+        enough = F.col("_n") > min_rows
+        ranked = ranked.where(enough if always is None else enough | always)
     train = (F.col("_n") * F.lit(1.0 - test_size)).cast("long")
     return (ranked.withColumn("split", F.when(F.col("_pos") < train, "train").otherwise("test"))
                   .drop("_h", "_n", "_pos"))
 
 
+def split_domains(domains: DataFrame, key: str = "patient_id", test_size: float = 0.2,
+                  seed: int = 42) -> DataFrame:
+    """The corpus split: ``general`` always, other domains with more than 10 samples."""
+    return split_by_hash(domains, key, ("domain",), test_size, seed, MIN_DOMAIN_ROWS,
+                         F.col("domain") == GENERAL)
+
+
 def domain_stats(domains: DataFrame, test_size: float = 0.2) -> DataFrame:
-    """domain, total, train, test — domains with <= 10 rows report 0 / 0 / total."""
+    """domain, total, train, test — domains that are not split report 0 / 0."""
     c = domains.groupBy("domain").agg(F.count(F.lit(1)).alias("total"))
-    train = F.when(F.col("total") > MIN_DOMAIN_ROWS,
-                   (F.col("total") * F.lit(1.0 - test_size)).cast("long")).otherwise(F.lit(0))
-    test = F.when(F.col("total") > MIN_DOMAIN_ROWS, F.col("total") - train).otherwise(F.lit(0))
+    is_split = (F.col("domain") == GENERAL) | (F.col("total") > MIN_DOMAIN_ROWS)
+    train = F.when(is_split, (F.col("total") * F.lit(1.0 - test_size)).cast("long")).otherwise(F.lit(0))
+    test = F.when(is_split, F.col("total") - train).otherwise(F.lit(0))
     return c.select("domain", F.col("total").cast("long").alias("total"),
                     train.cast("long").alias("train"), test.cast("long").alias("test"))
 

@@ -6,13 +6,11 @@ terms, smooth idf ``ln((1 + n) / (1 + df)) + 1``, L2-normalised rows.  The stop-
 Spark ML's public English list (``StopWordsRemover``), pinned as configuration — it differs
 from scikit-learn's list.
 
-Plan: documents are hash-partitioned by id once; that single shuffle of the raw text
-satisfies every per-document step after it (the (doc, term) count, the norm window and
-the top-k window need no further exchange), and tokenising runs in parallel whatever the
-input file layout.  The term counts feed two consumers (document frequencies and the
-weights), so they are persisted once.  Document frequencies are a term-level aggregate
-with map-side partial aggregation; the vocabulary is a bounded top-k (``max_features``
-rows, broadcast).  A document is one row, so no hash partition can be hot.
+Plan: the raw text is never shuffled.  A document is one row, so its (doc, term) counts are
+complete after the map-side partial aggregation and only those counts move.  They feed two
+consumers (document frequencies and the weights), so they are written once to the shared
+scratch folder.  Document frequencies are a term-level aggregate with map-side partial
+aggregation; the vocabulary is a bounded top-k (``max_features`` rows, broadcast).
 """
 
 from __future__ import annotations
@@ -21,10 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.stopwords import ENGLISH
+from casebook.plans.stage import materialise
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 10000
-ROWS_PER_FIT_PARTITION = 10_000
 
 
 def english_stop_words() -> tuple[str, ...]:
@@ -49,10 +47,8 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def raw_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 max_features: int = MAX_FEATURES) -> DataFrame:
     """doc_id, term, tf, df, idf, raw (= tf·idf, before normalisation) over the vocabulary."""
-    from casebook.plans.stage import stage
-
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    tc = stage(term_counts(docs.repartition(id_col), id_col, text_col))
+    tc = materialise(term_counts(docs, id_col, text_col))
     terms = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     vocab = (terms.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
              .select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
@@ -100,69 +96,75 @@ def top_terms(weights: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFra
 
 def logit_baseline(data: DataFrame, text_col: str = "text", label_col: str = "label",
                    key: str = "doc_id", test_size: float = 0.25, c: float = 1.0,
-                   max_features: int = MAX_FEATURES, seed: int = 42):
-    """Fit TF-IDF + one-vs-rest logistic regression on a stratified split; returns
+                   max_features: int = MAX_FEATURES, seed: int = 42,
+                   fit_partitions: int | None = None):
+    """Fit TF-IDF + logistic regression on a stratified split; returns
     (predictions DataFrame [key, true_diagnosis, predicted_diagnosis], n_features, n_train).
 
+    Two classes get one binary model, more classes one model each against the rest.  Labels
+    are indexed over the whole split, so no class is added for unseen ones.  Feature weights
+    are M1's: tf · (ln((1 + n) / (1 + df)) + 1), rows of length 1.  ``fit_partitions`` sets the
+    number of training partitions (each solver iteration is one job over them).
+
     Regularisation matches C=1 of the reference: Spark minimises the mean loss plus
     regParam/2·|w|², so regParam = 1 / (C · n_train).  Coefficients are not bit-equal to
     liblinear's (which also penalises the intercept); results are compared by metrics.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, OneVsRest
-    from pyspark.ml.feature import (IDF, CountVectorizer, IndexToString, Normalizer,
-                                    RegexTokenizer, StopWordsRemover, StringIndexer)
+    from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString,
+                                    Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer)
+    from pyspark.ml.linalg import Vectors
 
     from casebook.operators.splits import stratified_split
 
-    from casebook.plans.stage import stage
-
     data = data.select(key, text_col, F.col(label_col).cast("string").alias("label_str"))
-    # Several fits and L-BFGS passes read the split: materialise it once.
-    split = stage(stratified_split(data, key, "label_str", test_size, seed))
+    # Several fits and L-BFGS passes read the split: it is written once.
+    split = materialise(stratified_split(data, key, "label_str", test_size, seed))
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
+    if fit_partitions:
+        train = train.coalesce(fit_partitions)
     n_train = train.count()
-    n_classes = train.select("label_str").distinct().count()
-    # Every L-BFGS iteration is one job over the training partitions: size them by rows
-    # (at least ROWS_PER_FIT_PARTITION each) so small inputs do not pay per-task overhead
-    # a hundred times, while large inputs keep thousands of partitions.
-    parts = max(1, min(train.rdd.getNumPartitions(), -(-n_train // ROWS_PER_FIT_PARTITION)))
-    train = train.coalesce(parts)
-    indexer = StringIndexer(inputCol="label_str", outputCol="y", stringOrderType="alphabetAsc",
-                            handleInvalid="keep")
-    lr = LogisticRegression(featuresCol="features", labelCol="y",
-                            regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0,
-                            standardization=False, maxIter=100,
-                            tol=1e-4)   # the reference's solver stops at tolerance 1e-4
-    pipe = Pipeline(stages=[
+    indexer = StringIndexer(inputCol="label_str", outputCol="y",
+                            stringOrderType="alphabetAsc").fit(split)
+    counted = Pipeline(stages=[
         indexer,
         RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False,
                        toLowercase=True, minTokenLength=2),
-        StopWordsRemover(inputCol="tokens", outputCol="terms",
-                         stopWords=list(english_stop_words())),
+        StopWordsRemover(inputCol="tokens", outputCol="terms", stopWords=list(english_stop_words())),
         CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="features", p=2.0),
-        # liblinear fits one binary model for two classes and one-vs-rest above that
-        (lr.setPredictionCol("pred") if n_classes <= 2 else
-         OneVsRest(classifier=lr, featuresCol="features", labelCol="y", predictionCol="pred")),
-    ])
-    model = pipe.fit(train)
-    labels = model.stages[0].labels
-    out = model.transform(test)
-    out = IndexToString(inputCol="pred", outputCol="predicted_diagnosis", labels=labels).transform(out)
-    n_features = len(model.stages[3].vocabulary)
+    ]).fit(train)
+    train = counted.transform(train)
+    idf = IDF(inputCol="tf", outputCol="unused").fit(train).idf.toArray() + 1.0
+    weigh = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf))
+    scale = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
+
+    def features(df):
+        return scale.transform(weigh.transform(df))
+
+    lr = LogisticRegression(featuresCol="features", labelCol="y", predictionCol="pred",
+                            regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0,
+                            standardization=False, maxIter=100,
+                            tol=1e-4)   # the reference's solver stops at tolerance 1e-4
+    # liblinear fits one binary model for two classes and one-vs-rest above that
+    solver = lr if len(indexer.labels) <= 2 else OneVsRest(
+        classifier=lr, featuresCol="features", labelCol="y", predictionCol="pred")
+    model = solver.fit(features(train))
+    out = model.transform(features(counted.transform(test)))
+    out = IndexToString(inputCol="pred", outputCol="predicted_diagnosis",
+                        labels=indexer.labels).transform(out)
     preds = out.select(key, F.col("label_str").alias("true_diagnosis"), "predicted_diagnosis")
-    return preds, n_features, n_train
+    return preds, len(counted.stages[3].vocabulary), n_train
 
 
 def baseline_report(preds: DataFrame, n_features: int, n_train: int) -> DataFrame:
-    """metric, value — accuracy, macro / weighted F1, class / train / test / feature counts (M3)."""
-    from casebook.operators.metrics import overall_scores
+    """metric, value — accuracy, macro / weighted F1, class / train / test / feature counts, and
+    per class ``precision[label]``, ``recall[label]``, ``f1[label]``, ``support[label]`` (M3)."""
+    from casebook.operators.metrics import class_report, overall_scores
     s = overall_scores(preds)
     n_classes = preds.select("true_diagnosis").distinct().agg(F.count(F.lit(1))).scalar()
-    return s.select(F.explode(F.array(
+    overall = s.select(F.explode(F.array(
         F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
         F.struct(F.lit("f1_macro").alias("metric"), F.col("f1_macro").alias("value")),
         F.struct(F.lit("f1_weighted").alias("metric"), F.col("f1_weighted").alias("value")),
@@ -171,6 +173,11 @@ def baseline_report(preds: DataFrame, n_features: int, n_train: int) -> DataFram
         F.struct(F.lit("n_features").alias("metric"), F.lit(float(n_features)).alias("value")),
         F.struct(F.lit("n_classes").alias("metric"), n_classes.cast("double").alias("value")),
     )).alias("m")).select("m.metric", "m.value")
+    per_class = class_report(preds).select(F.col("label"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
+        for c in ("precision", "recall", "f1", "support")])).alias("m")).select(
+        F.concat("m.name", F.lit("["), "label", F.lit("]")).alias("metric"), "m.value")
+    return overall.unionByName(per_class)
 
 
 def encode_labels(df: DataFrame, label_col: str = "label", name: str = "label_index") -> DataFrame:
@@ -179,9 +186,8 @@ def encode_labels(df: DataFrame, label_col: str = "label", name: str = "label_in
     The ranking runs over the distinct labels only — the class set of a classifier, not the
     rows — and is joined back to the rows (AQE broadcasts it when it is small).
     """
-    from pyspark.sql import Window
+    from casebook.operators.ordering import global_index
     classes = df.select(F.col(label_col).cast("string").alias("_l")).where(F.col("_l").isNotNull()) \
         .distinct()
-    ranked = classes.select("_l", (F.dense_rank().over(Window.orderBy("_l")) - 1)
-                            .cast("int").alias(name))
+    ranked = global_index(classes, "_l", name).withColumn(name, F.col(name).cast("int"))
     return df.join(ranked, F.col(label_col).cast("string") == F.col("_l"), "left").drop("_l")

@@ -38,7 +38,7 @@ def q_corpus_prompts_novel(spark, sf):
 @register("corpus_count", O.corpus_count_sql(False))
 def q_corpus_count(spark, sf):
     return corpus.count_samples(
-        corpus.corpus_samples(V.conditions(spark, sf), V.patients(spark, sf), False))
+        corpus.corpus_labels(V.conditions(spark, sf), V.patients(spark, sf), False))
 
 
 # ---------------------------------------------------------------- exploration
@@ -163,7 +163,8 @@ def q_prediction_rows(spark, sf):
                                                                 F.round("confidence", 6))
 
 
-register("run_summary", MX["run_summary"])(lambda spark, sf: M.run_summary(V.predictions(spark, sf)))
+register("run_summary", MX["run_summary"])(
+    lambda spark, sf: M.run_summary(V.predictions(spark, sf), patient="patient", seconds="seconds"))
 register("accuracy", MX["accuracy"])(
     lambda spark, sf: M.accuracy(M.diagnosis_records(V.predictions(spark, sf))))
 register("prf_one_class", MX["prf_one_class"])(
@@ -172,10 +173,13 @@ register("class_report", MX["class_report"])(lambda spark, sf: M.class_report(_o
 register("averaged_f1", MX["averaged_f1"])(lambda spark, sf: M.overall_scores(_ok(spark, sf)))
 
 
+REPORT_LABELS = 10      # the report's own parameter: a matrix over the commonest labels
+
+
 @register("confusion_matrix", MX["confusion_matrix"])
 def q_confusion_matrix(spark, sf):
     ok = _ok(spark, sf)
-    return M.confusion_matrix(ok, M.top_labels(ok, "true_diagnosis", 10))
+    return M.confusion_matrix(ok, M.top_labels(ok, "true_diagnosis", REPORT_LABELS), dense=True)
 
 
 register("latency_report", MX["latency_report"])(
@@ -196,8 +200,8 @@ register("prefix_filtered_eval", MX["prefix_filtered_eval"])(
 @register("metrics_report", MX["metrics_report"])
 def q_metrics_report(spark, sf):
     preds = V.predictions(spark, sf)
-    labels = M.top_labels(M.usable_rows(preds), "true_diagnosis", 10)
-    return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels)
+    labels = M.top_labels(M.usable_rows(preds), "true_diagnosis", REPORT_LABELS)
+    return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels, dense=True)
 
 
 # ---------------------------------------------------------------- routing / voting / parsing
@@ -305,9 +309,12 @@ def _samples(spark, sf):
     return corpus.corpus_samples(V.conditions(spark, sf), V.patients(spark, sf), True)
 
 
+def _labels(spark, sf):
+    return corpus.corpus_labels(V.conditions(spark, sf), V.patients(spark, sf), True)
+
+
 def _domain_samples(spark, sf):
-    return S.domain_samples(_samples(spark, sf).select("patient_id", "label"),
-                            V.domain_map(spark, sf))
+    return S.domain_samples(_labels(spark, sf), V.domain_map(spark, sf))
 
 
 register("domain_corpus", SP["domain_corpus"])(
@@ -315,14 +322,13 @@ register("domain_corpus", SP["domain_corpus"])(
 register("domain_stats", SP["domain_stats"])(
     lambda spark, sf: S.domain_stats(_domain_samples(spark, sf)))
 register("corpus_split", SP["corpus_split"])(
-    lambda spark, sf: S.split_by_hash(_domain_samples(spark, sf), "patient_id", ("domain",),
-                                      0.2, 42, S.MIN_DOMAIN_ROWS)
+    lambda spark, sf: S.split_domains(_domain_samples(spark, sf))
     .select("patient_id", "label", "domain", "split"))
 register("stratified_split", SP["stratified_split"])(
     lambda spark, sf: S.stratified_split(V.labelled_docs(spark, sf), "doc_id", "label", 0.25)
     .select("doc_id", "label", "split"))
 register("sample_examples", SP["sample_examples"])(
-    lambda spark, sf: S.sample_examples(_samples(spark, sf), "patient_id", 5)
+    lambda spark, sf: S.sample_examples(_labels(spark, sf), "patient_id", 5)
     .select("patient_id", "label"))
 register("prompt_expected_split", SP["prompt_expected_split"])(
     lambda spark, sf: S.with_prompt_expected(_samples(spark, sf))
@@ -384,10 +390,14 @@ IG = O.INGEST
 
 
 def _export_event_archives(spark, sf, root):
-    """Write events as two CSV 'archives' with different headers, bad and short lines."""
+    """Write events as two CSV 'archives' (many part files each) with different headers, quoted
+    fields, bad and short lines."""
     e = _rt(spark, sf, "events")
+    # a quoted field holding a comma and doubled quotes
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit(', ""q"""'))
     a = e.where(F.col("event_id") % 2 == 0).select(F.concat_ws(
-        ",", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type",
+        ",", F.col("event_id").cast("string"), F.col("user_id").cast("string"),
+        F.when(F.col("event_id") % 4 == 0, quoted).otherwise(F.col("event_type")),
         F.col("value").cast("string"),
         F.when(F.col("event_id") % 50 == 0, F.lit("x"))).alias("value"))
     b = e.where((F.col("event_id") % 2 == 1) | (F.col("event_id") % 6 == 0)).select(
@@ -395,13 +405,12 @@ def _export_event_archives(spark, sf, root):
                                                         "event_type"))
          .otherwise(F.concat_ws(",", F.col("event_id").cast("string"), "event_type",
                                 F.col("user_id").cast("string"))).alias("value"))
-    hdr = spark.range(1)
     for name, body, header in (("a", a, "Id,user_id,event_type,value"),
                                ("b", b, "Id,event_type,user_id")):
-        # header first: one single-file text output per archive, rows in order of the key
-        hdr.select(F.lit(header).alias("value")).unionByName(body).coalesce(1) \
-           .write.mode("overwrite").text(f"{root}/{name}/csv/events_tmp")
-    return [I.list_files(spark, f"{root}/{n}/csv/events_tmp/part-*")[0] for n in ("a", "b")]
+        # lines are ready-made: a separator and a quote that don't occur leave them as they are
+        body.withColumnRenamed("value", header).write.mode("overwrite").option("header", True) \
+            .option("sep", "\x01").option("quote", "\x02").csv(f"{root}/{name}/csv")
+    return [p for n in ("a", "b") for p in I.find_files(spark, f"{root}/{n}/csv", ".csv")]
 
 
 @register("merge_tables", IG["merge_tables"])
@@ -533,8 +542,7 @@ def q_case_pipeline_refined(spark, sf):
 def q_domain_split_roundtrip(spark, sf):
     """Corpus split written partitioned by (domain, split), read back with fallback."""
     path = I.scratch_dir(spark, "domain-splits")
-    split = S.split_by_hash(_domain_samples(spark, sf), "patient_id", ("domain",), 0.2, 42,
-                            S.MIN_DOMAIN_ROWS).select("patient_id", "label", "domain", "split")
+    split = S.split_domains(_domain_samples(spark, sf)).select("patient_id", "label", "domain", "split")
     split.write.mode("overwrite").partitionBy("domain", "split").parquet(path)
     stored = spark.read.parquet(path)
     own = S.read_domain_split(stored, "small", "train").withColumn("requested", F.lit("small/train"))

@@ -25,9 +25,12 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.plans.stage import materialise
+
 
 def _t(spark: SparkSession, tables: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{tables.rstrip('/')}/{name}")
@@ -48,8 +51,14 @@ def job_explore(spark, a) -> None:
     pts, cond = _t(spark, a.tables, "patients"), _t(spark, a.tables, "conditions")
     enc = _t(spark, a.tables, "encounters")
     demo = E.clean_demographics(pts)
+    def present(name):          # a table that was not exported is left out of the report
+        try:
+            return _t(spark, a.tables, name)
+        except AnalysisException:
+            return None
+
     reports = {
-        "table_counts": E.table_counts({n: _t(spark, a.tables, n) for n in (
+        "table_counts": E.table_counts({n: present(n) for n in (
             "patients", "conditions", "observations", "encounters", "medications", "procedures",
             "allergies", "immunizations")}),
         "gender_counts": E.value_counts(demo, "GENDER"),
@@ -61,27 +70,29 @@ def job_explore(spark, a) -> None:
                                    "age_at_encounter"),
         "conditions_vs_encounters": E.conditions_vs_encounters(cond, enc),
     }
-    for view in ("observations", "medications", "procedures", "allergies"):
-        reports[f"top_{view}"] = E.top_by_frequency(_t(spark, a.tables, view), ["DESCRIPTION"], 20,
-                                                    "DESCRIPTION")
-    reports["top_immunizations"] = E.top_by_frequency(_t(spark, a.tables, "immunizations"),
-                                                      ["CODE"], 20, "CODE")
+    for view, col in (("observations", "DESCRIPTION"), ("medications", "DESCRIPTION"),
+                      ("procedures", "DESCRIPTION"), ("allergies", "DESCRIPTION"),
+                      ("immunizations", "CODE")):
+        if (df := present(view)) is not None:
+            reports[f"top_{view}"] = E.top_by_frequency(df, [col], 20, col)
     for name, df in reports.items():
         _write(df, f"{a.out}/{name}")
 
 
 def job_corpus(spark, a) -> None:
     from casebook.operators import corpus, splits
-    s = corpus.corpus_samples(_t(spark, a.tables, "conditions"), _t(spark, a.tables, "patients"),
-                              allow_repeats=not a.novel)
-    s = corpus.limit_samples(s, a.limit)
+    cond, pts = _t(spark, a.tables, "conditions"), _t(spark, a.tables, "patients")
+    s = corpus.corpus_samples(cond, pts, allow_repeats=not a.novel)
+    s = materialise(corpus.limit_samples(s, a.limit))       # read by three outputs
+    rejected = corpus.rejected_dates(cond, "START").unionByName(corpus.rejected_dates(pts, "BIRTHDATE"))
+    _write(rejected, f"{a.out}/rejected_dates", "json")
     _write(s.select("text", "label"), f"{a.out}/samples", "json")
     if a.domain_map == "none":
         dmap = spark.createDataFrame([], "code string, domain string")
     else:
         dmap = spark.read.parquet(a.domain_map)
     ds = splits.domain_samples(s, dmap)
-    split = splits.split_by_hash(ds, "patient_id", ("domain",), 0.2, 42, splits.MIN_DOMAIN_ROWS)
+    split = splits.split_domains(ds)
     split.write.mode("overwrite").partitionBy("domain", "split").parquet(f"{a.out}/domains")
     _write(splits.domain_stats(ds), f"{a.out}/domain_stats", "json")
 
@@ -99,7 +110,7 @@ def job_evaluate(spark, a) -> None:
     preds = spark.read.parquet(a.predictions)
     if a.prefix:
         preds = M.prefix_filter(preds, a.prefix, ("diagnosis_code", "label", "true_diagnosis"))
-    rows = M.processed_rows(preds, limit=a.limit)
+    rows = materialise(M.processed_rows(preds, limit=a.limit))    # read by every report
     _write(rows, f"{a.out}/predictions")
     _write(M.run_summary(preds), f"{a.out}/run_summary", "json")
     _write(M.overall_scores(rows), f"{a.out}/overall", "json")
@@ -118,7 +129,7 @@ def job_validate(spark, a) -> None:
     recs = spark.read.parquet(a.records) if not a.records.endswith(".jsonl") else \
         spark.read.text(a.records).select(F.monotonically_increasing_id().alias("record_id"),
                                           F.col("value").alias("record"))
-    checked = V.validate(recs)
+    checked = materialise(V.validate(recs))
     _write(checked, f"{a.out}/validated")
     _write(V.sanitize(recs), f"{a.out}/sanitized")
     _write(V.emergency(recs), f"{a.out}/emergency")
@@ -129,7 +140,9 @@ def job_baseline(spark, a) -> None:
     from casebook.operators import tfidf
     from casebook.sources.ingest import require_columns
     data = require_columns(spark.read.parquet(a.data), [a.text_col, a.label_col])
-    data = data.select(F.monotonically_increasing_id().alias("row_id"), a.text_col, a.label_col)
+    # the key is the row's content, so the split is the same for any file layout
+    data = data.select(F.sha2(F.to_json(F.struct(a.text_col, a.label_col)), 256).alias("row_id"),
+                       a.text_col, a.label_col)
     preds, n_features, n_train = tfidf.logit_baseline(data, a.text_col, a.label_col, key="row_id")
     _write(tfidf.baseline_report(preds, n_features, n_train), f"{a.out}/report", "json")
     _write(preds, f"{a.out}/predictions")

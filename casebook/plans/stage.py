@@ -1,8 +1,11 @@
 """Materialising an intermediate that several branches of one plan read.
 
-``persist`` (memory, spilling to disk) keeps lineage, so a lost executor's blocks are
-recomputed; ``checkpoint`` writes to the cluster's shared ``spark.checkpoint.dir`` and
-cuts the lineage.  Never ``localCheckpoint``: its blocks die with the executor.
+``materialise`` writes a Parquet table under the cluster's shared ``spark.checkpoint.dir`` and
+reads it back: computed once, lineage cut, nothing lost with an executor.  ``stage`` keeps
+the rows in executor memory and disk instead (lost blocks are recomputed from lineage); the
+caller releases it with ``unpersist``.  Which of the two, or neither, is the caller's explicit
+choice; nothing here looks at sizes.  Never ``localCheckpoint``: its blocks die with the
+executor.
 """
 
 from __future__ import annotations
@@ -10,26 +13,18 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from casebook.session import checkpoint_dir
+from casebook.sources.ingest import scratch_dir
 
 
-REUSE_MIN_BYTES = 1 << 30   # below this input size, recomputing a branch is cheaper than caching
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written to a fresh folder of the shared checkpoint dir (removed when the
+    application ends) and read back."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def stage(df: DataFrame, how: str = "persist") -> DataFrame:
-    """Materialise ``df`` for several consumers.
-
-    ``auto`` persists only when the plan reads more than ``REUSE_MIN_BYTES`` of files (or too
-    many files to size cheaply): small inputs are recomputed by each branch in parallel,
-    which is faster than building a cache; large ones are computed once.
-    """
-    if how == "auto":
-        from casebook.sources.tables import input_bytes
-        size = input_bytes(df)
-        how = "persist" if size is None or size > REUSE_MIN_BYTES else "none"
-    if how == "checkpoint":
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    if how == "persist":
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` persisted in memory and on disk."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

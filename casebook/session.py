@@ -39,11 +39,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.getConf().get("spark.checkpoint.dir", None):
+    if is_local(sc.master) or sc.getConf().get("spark.checkpoint.dir", None):
         checkpoint_dir(spark)
     return spark
 
 
+def is_local(master: str) -> bool:
+    """``local`` and ``local[...]``: driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder used to cut lineage (``DataFrame.checkpoint``).
 
@@ -57,7 +62,7 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if fallback is None and not sc.master.startswith("local"):
+    if fallback is None and not is_local(sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     path = fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "casebook-checkpoints")
     sc.setCheckpointDir(path)

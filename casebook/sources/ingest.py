@@ -1,17 +1,22 @@
 """File ingest and sinks.
 
-CSV exports from many archives are merged per table name, cleaned, de-duplicated and
-written as Snappy Parquet with an allow-list of columns.  All row work is Spark's; the
-driver only lists files and receives each file's header line (all headers come from one
-job, one line per file, so the driver's share grows with the number of files, never with
-their rows).
+CSV exports from many archives are found at any depth, merged per table name, de-duplicated,
+typed, pruned to an allow-list of columns and written as Snappy Parquet.  All row work is
+Spark's; the driver lists files (as ``spark.read`` does) and receives each file's header line
+from one job over all files.
+
+CSV is read losslessly: quoted fields with commas, doubled quotes and line breaks.  A file
+with line breaks inside fields cannot be split, so very large single files without them are
+better read with ``multiline=False``.
 
 Scratch locations are always under the cluster's shared ``spark.checkpoint.dir``
-(see ``scratch_dir``), never a machine-local temporary folder.
+(see ``scratch_dir``), never a machine-local temporary folder, and go when the application
+ends.
 """
 
 from __future__ import annotations
 
+import csv
 import json
 import uuid
 from dataclasses import dataclass
@@ -41,12 +46,21 @@ KEEP_COLUMNS = {
 }
 
 
+#: Columns read as dates wherever they occur; what is no date becomes null and is counted.
+DATE_COLUMNS = ("DATE", "START", "STOP", "BIRTHDATE", "DEATHDATE")
+
+
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh folder under the shared checkpoint dir (unique per call)."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/casebook-{name}-{uuid.uuid4().hex}"
+    """A path not yet there under the shared checkpoint dir, removed when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/casebook-{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop_fs(spark, path)
+    fs.mkdirs(p)                       # only an existing path can be marked
+    fs.deleteOnExit(p)
+    return f"{path}/data"
 
 
+# ---------------------------------------------------------------- file system (classic API)
+
 def _hadoop_fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -66,6 +80,20 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath()) for s in (st or []) if s.isFile())
 
 
+def find_files(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Files at any depth under ``root`` whose name ends in ``suffix`` (one recursive listing;
+    hidden names are left out, as Spark's own readers do)."""
+    fs, p = _hadoop_fs(spark, root)
+    if not fs.exists(p):
+        return []
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        path = it.next().getPath()
+        if path.getName().endswith(suffix) and path.getName()[0] not in "._":
+            found.append(str(path))
+    return sorted(found)
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files under ``path`` (0 when absent)."""
     fs, p = _hadoop_fs(spark, path)
@@ -76,50 +104,51 @@ def path_bytes(spark: SparkSession, path: str) -> int:
 
 # ---------------------------------------------------------------- S2 / S3 / S18
 
+def parse_header(line: str | None) -> list[str] | None:
+    """Column names of a CSV header line, quotes resolved; None for an empty line."""
+    if line is None or not line.strip():
+        return None
+    return [c.strip() for c in next(csv.reader([line.lstrip("\ufeff")]))]
+
+
 def header_of(spark: SparkSession, path: str) -> list[str] | None:
     """Column names from the first line of a CSV file; None for an empty file (S3)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first or not first[0][0].strip():
-        return None
-    return [c.strip() for c in first[0][0].split(",")]
+    first = spark.read.text(escape_glob(path)).limit(1).collect()
+    return parse_header(first[0][0]) if first else None
 
 
-HEADER_JOB_MAX_BYTES = 64 << 20   # files up to this size share one header job
+def escape_glob(path: str) -> str:
+    """The path with glob characters taken literally."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
 
 
-def headers_of(spark: SparkSession, paths: list[str],
-               shared_max_bytes: int = HEADER_JOB_MAX_BYTES) -> dict[str, list[str] | None]:
-    """First line of every file: path -> column names (None for an empty file).
+def file_path() -> F.Column:
+    """Path of the row's file as a listing shows it: the metadata column is URL-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
-    Small files are read together in one job (reading them whole costs little); a large
-    file gets its own ``limit(1)`` read, which stops after its first line instead of
-    scanning a whole split.
-    """
-    sizes = {p: path_bytes(spark, p) for p in paths}
-    small = [p for p in paths if sizes[p] <= shared_max_bytes]
-    out = {p: header_of(spark, p) for p in paths if sizes[p] > shared_max_bytes}
-    if small:
-        out.update(_headers_one_job(spark, small))
-    return out
 
+def headers_of(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
+    """First line of every file: path -> column names (None for an empty file), from one job.
 
-def _headers_one_job(spark: SparkSession, paths: list[str]) -> dict[str, list[str] | None]:
-    """Only the split that starts at offset 0 holds a file's first line; inside a split,
-    ``monotonically_increasing_id`` grows with the position, so its minimum marks line 1."""
-    lines = (spark.read.text(paths)
+    Only the split that starts at offset 0 holds a file's first line; inside a split,
+    ``monotonically_increasing_id`` grows with the position, so its minimum marks line 1.
+    Paths are compared without their scheme (``file:/x`` and ``file:///x`` are one file).
+    """
+    lines = (spark.read.text([escape_glob(p) for p in paths])
              .where(F.col("_metadata.file_block_start") == 0)
-             .select(F.col("_metadata.file_path").alias("path"), "value",
-                     F.monotonically_increasing_id().alias("pos")))
+             .select(file_path().alias("path"), "value", F.monotonically_increasing_id().alias("pos")))
     first = lines.groupBy("path").agg(F.min_by("value", "pos").alias("line")).collect()
-    found = {r.path: r.line for r in first}
-    out = {}
-    for p in paths:
-        line = found.get(p)
-        out[p] = [c.strip() for c in line.split(",")] if line and line.strip() else None
-    return out
+    found = {_bare(r.path): r.line for r in first}
+    return {p: parse_header(found.get(_bare(p))) for p in paths}
+
+
+def _bare(path: str) -> str:
+    scheme, mark, rest = path.partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}" if mark and "/" not in scheme else path
 
 
-def read_csv_tolerant(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
+def read_csv_tolerant(spark: SparkSession, paths: list[str], columns: list[str],
+                      multiline: bool = True) -> DataFrame:
     """All-string read that drops lines with too many fields and null-fills short ones.
 
     One overflow column is appended to the schema: lines with more fields than the header
@@ -128,7 +157,8 @@ def read_csv_tolerant(spark: SparkSession, paths: list[str], columns: list[str])
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
                           + [T.StructField(EXTRA_COL, T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .option("enforceSchema", True).csv(paths))
+          .option("quote", '"').option("escape", '"').option("multiLine", multiline)
+          .option("enforceSchema", True).csv([escape_glob(p) for p in paths]))
     return df.where(F.col(EXTRA_COL).isNull()).drop(EXTRA_COL)
 
 
@@ -145,27 +175,24 @@ def read_csv_columns(spark: SparkSession, path: str, cols: list[str]) -> DataFra
 
 # ---------------------------------------------------------------- S1 / S4 / U1
 
-def merge_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
+def merge_exports(spark: SparkSession, paths: list[str], multiline: bool = True) -> DataFrame:
     """Row-wise union of CSV exports of one table; differing headers are unioned by name,
-    missing columns become null (S1, U1).  Adds ``_src`` (file order) for keep-first dedup.
-    Empty and header-only files contribute no rows.
+    missing columns become null (S1, U1).  Adds ``_src`` (the file's path: files count in path
+    order) for keep-first dedup.  Empty and header-only files contribute no rows.
     """
     paths = [qualify(spark, p) for p in paths]
-    groups: dict[tuple, list[tuple[int, str]]] = {}
+    groups: dict[tuple, list[str]] = {}
     headers = headers_of(spark, paths) if paths else {}
-    for i, p in enumerate(paths):
-        hdr = headers.get(p)
-        if hdr is None:
-            continue
-        groups.setdefault(tuple(hdr), []).append((i, p))
+    for p in paths:
+        if headers[p] is not None:
+            groups.setdefault(tuple(headers[p]), []).append(p)
     out = None
     for hdr, members in groups.items():
-        df = read_csv_tolerant(spark, [p for _, p in members], list(hdr))
-        order = F.create_map(*[x for i, p in members for x in (F.lit(p), F.lit(i))])
-        df = df.withColumn("_src", order[F.col("_metadata.file_path")].cast("int"))
+        df = read_csv_tolerant(spark, members, list(hdr), multiline)
+        df = df.withColumn("_src", file_path())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
-        return spark.createDataFrame([], "_src int")
+        return spark.createDataFrame([], "_src string")
     return out
 
 
@@ -201,61 +228,80 @@ class TableResult:
     parts: int = 0
     input_bytes: int = 0
     output_bytes: int = 0
+    files: int = 0              # exports found
+    rejected_dates: int = 0     # texts in date columns that are no dates
     message: str = ""
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Merged CSV with header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Merged CSV with a header in every part file (S5); quotes are doubled, blanks kept."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """The date columns of an all-string export as DATE (null where the text is no date)."""
+    return df.select(*[F.col(f"`{c}`").try_cast("date").alias(c) if c.upper() in DATE_COLUMNS
+                       else F.col(f"`{c}`") for c in df.columns])
 
 
 def convert_table(spark: SparkSession, name: str, paths: list[str], out_dir: str,
-                  keep: list[str] | str | None = None, dedup_key: str | None = "Id") -> TableResult:
-    """Merge, clean, dedup and write one table as Snappy Parquet.
+                  keep: list[str] | str | None = None, dedup_key: str | None = "Id",
+                  multiline: bool = True) -> TableResult:
+    """Merge, dedup, type, prune and write one table as Snappy Parquet.
 
+    Duplicates are removed by ``dedup_key`` wherever the export has it, allow-listed or not.
     Column order in the output is the file's, not the allow-list's; a missing allow-listed
-    column fails this table only.  The row count is observed during the write (no extra pass).
+    column fails this table only.  Counts are observed during the write (no extra pass).
     """
     keep = KEEP_COLUMNS.get(name) if keep is None else keep
     if keep is None:
         return TableResult(name, "skipped", message="not in allow-list")
     in_bytes = sum(path_bytes(spark, p) for p in paths)
-    df = merge_exports(spark, paths)
+    found = {"files": len(paths), "input_bytes": in_bytes}
+    df = merge_exports(spark, paths, multiline)
     if df.columns == ["_src"]:
-        return TableResult(name, "empty", input_bytes=in_bytes)
-    cols = [c for c in df.columns if c != "_src"]
+        return TableResult(name, "empty", **found)
+    all_cols = [c for c in df.columns if c != "_src"]
+    cols = all_cols
     if keep != "*":
         missing = [c for c in keep if c.lower() not in {x.lower() for x in cols}]
         if missing:
-            return TableResult(name, "error", input_bytes=in_bytes,
-                               message=f"missing columns {missing}")
+            return TableResult(name, "error", message=f"missing columns {missing}", **found)
         lowered = {k.lower() for k in keep}
         cols = [c for c in cols if c.lower() in lowered]
-    key = next((c for c in cols if dedup_key and c.lower() == dedup_key.lower()), None)
+    key = next((c for c in all_cols if dedup_key and c.lower() == dedup_key.lower()), None)
     if df.isEmpty():                      # only empty / header-only exports (S3)
-        return TableResult(name, "empty", input_bytes=in_bytes)
-    # Both counts are observed during the single write job (observations keep the values of
+        return TableResult(name, "empty", **found)
+    # The counts are observed during the single write job (observations keep the values of
     # the first action that runs them, so no other action may touch these frames first).
     obs_in = Observation(f"merged_{name}_{uuid.uuid4().hex[:8]}")
     df = df.observe(obs_in, F.count(F.lit(1)).alias("rows"))
     df = df.withColumn("_row", F.monotonically_increasing_id())
     if key is not None:
-        df = dedup_keep_first(df.select(key, *[c for c in cols if c != key], "_src", "_row"), key,
-                              ["_src", "_row"])
-    df = df.select(*cols)
+        kept = [c for c in cols if c != key]
+        df = dedup_keep_first(df.select(key, *kept, "_src", "_row"), key, ["_src", "_row"])
+    raw = df.select(*cols)
+    dates = [c for c in cols if c.upper() in DATE_COLUMNS]
+    bad = [F.count(F.when((F.trim(f"`{c}`") != "") & F.col(f"`{c}`").try_cast("date").isNull(), 1))
+           for c in dates]
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:8]}")
     target = f"{out_dir.rstrip('/')}/{name}"
-    (df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-       .option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "snappy").parquet(target))
+    observed = raw.observe(obs, F.count(F.lit(1)).alias("rows"),
+                           (sum(bad, F.lit(0)) if bad else F.count(F.lit(None))).alias("rejected"))
+    (typed(observed).write.mode("overwrite")
+     .option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "snappy").parquet(target))
     rows = int(obs.get["rows"])
     parts = len(list_files(spark, f"{target}/*.parquet"))
     return TableResult(name, "ok", rows=rows, merged_rows=int(obs_in.get["rows"]), parts=parts,
-                       input_bytes=in_bytes, output_bytes=path_bytes(spark, target))
+                       output_bytes=path_bytes(spark, target),
+                       rejected_dates=int(obs.get["rejected"]), **found)
 
 
 def convert_exports(spark: SparkSession, roots: list[str], out_dir: str,
                     keep_columns: dict | None = None) -> DataFrame:
-    """Convert every ``<root>/**/csv/<table>.csv`` into Parquet; returns the load report.
+    """Convert every ``csv/<table>.csv`` at any depth under the roots into Parquet; returns the
+    load report (S8).
 
     Files whose table is not in the allow-list are skipped (not an error); one failing table
     does not stop the others.
@@ -263,19 +309,19 @@ def convert_exports(spark: SparkSession, roots: list[str], out_dir: str,
     keep_columns = KEEP_COLUMNS if keep_columns is None else keep_columns
     by_table: dict[str, list[str]] = {}
     for r in roots:
-        for p in list_files(spark, f"{r.rstrip('/')}/**/csv/*.csv") + list_files(
-                spark, f"{r.rstrip('/')}/csv/*.csv"):
-            by_table.setdefault(p.rsplit("/", 1)[1][:-4], []).append(p)
+        for p in find_files(spark, r, ".csv"):
+            if p.rsplit("/", 2)[-2] == "csv":
+                by_table.setdefault(p.rsplit("/", 1)[1][:-4], []).append(p)
     results = []
     for name in sorted(by_table):
         paths = sorted(set(by_table[name]))
         if name not in keep_columns:
-            results.append(TableResult(name, "skipped", message="not in allow-list"))
+            results.append(TableResult(name, "skipped", files=len(paths), message="not in allow-list"))
             continue
         try:
             results.append(convert_table(spark, name, paths, out_dir, keep_columns[name]))
         except Exception as e:  # noqa: BLE001 - one table's failure is reported, not raised
-            results.append(TableResult(name, "error", message=str(e)[:200]))
+            results.append(TableResult(name, "error", message=str(e)))
     return load_report(spark, results)
 
 
@@ -286,9 +332,10 @@ def load_report(spark: SparkSession, results: list[TableResult]) -> DataFrame:
     'success' iff processed tables = total - skipped.
     """
     schema = ("table string, status string, rows long, merged_rows long, parts long, "
-              "input_bytes long, output_bytes long, message string")
+              "input_bytes long, output_bytes long, files long, rejected_dates long, message string")
     df = spark.createDataFrame([(r.table, r.status, r.rows, r.merged_rows, r.parts, r.input_bytes,
-                                 r.output_bytes, r.message) for r in results], schema)
+                                 r.output_bytes, r.files, r.rejected_dates, r.message)
+                                for r in results], schema)
     total = df.agg(
         F.lit("TOTAL").alias("table"),
         F.when(F.count(F.when(F.col("status").isin("ok", "empty"), 1))
@@ -297,6 +344,7 @@ def load_report(spark: SparkSession, results: list[TableResult]) -> DataFrame:
         F.sum("rows").alias("rows"), F.sum("merged_rows").alias("merged_rows"),
         F.sum("parts").alias("parts"),
         F.sum("input_bytes").alias("input_bytes"), F.sum("output_bytes").alias("output_bytes"),
+        F.sum("files").alias("files"), F.sum("rejected_dates").alias("rejected_dates"),
         F.lit("").alias("message"))
     out = df.unionByName(total)
     ratio = F.when(F.col("output_bytes") > 0, F.col("input_bytes") / F.col("output_bytes")) \
@@ -347,6 +395,16 @@ def write_with_meta(df: DataFrame, meta: DataFrame, path: str) -> None:
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
+def result_document(predictions: DataFrame, summary: DataFrame, metadata: dict,
+                    path: str) -> None:
+    """A run's results (S15): ``path/predictions`` as a table, and ``path/document``, one JSON
+    object with the run's metadata, its one-row summary and its metrics."""
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    meta = F.struct(*[F.lit(v).alias(k) for k, v in metadata.items()])
+    (summary.select(meta.alias("metadata"), F.struct(*summary.columns).alias("metrics"))
+     .coalesce(1).write.mode("overwrite").json(f"{path}/document"))
+
+
 def to_result_documents(df: DataFrame, cols: list[str], name: str = "doc") -> DataFrame:
     """One JSON text per row from the named columns (S15); large tables stay tables."""
     return df.select(F.to_json(F.struct(*cols)).alias(name))
@@ -381,6 +439,23 @@ def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.dropna(subset=cols)
 
 
+def load_router_config(spark: SparkSession, path: str) -> tuple:
+    """Router domains from a JSON file ``{domain: {"keywords": [...], "agent_id": "..."}}`` (S16):
+    a tuple of ``routing.Domain``, in the file's order.  A missing file raises, a domain without
+    keywords or agent is an error.  The config is a few KB of settings, not data."""
+    from casebook.operators.routing import Domain
+    fs, p = _hadoop_fs(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    text = spark.read.text(escape_glob(path), wholetext=True).first()[0]
+    out = []
+    for name, spec in json.loads(text).items():
+        if not isinstance(spec, dict) or not spec.get("keywords") or not spec.get("agent_id"):
+            raise ValueError(f"{path}: domain {name!r} needs keywords and agent_id")
+        out.append(Domain(name, tuple(str(k) for k in spec["keywords"]), str(spec["agent_id"])))
+    return tuple(out)
+
+
 def load_domain_config(spark: SparkSession, text: str | None) -> DataFrame:
     """code -> domain frame from a small JSON config ``{domain: {"codes": [...]}}``.
 

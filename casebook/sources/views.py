@@ -111,7 +111,7 @@ def agent_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """sample_id, true_diagnosis, predicted_diagnosis, confidence, agent_used.
+    """sample_id, true_diagnosis, predicted_diagnosis, confidence, agent_used, patient, seconds.
 
     The prediction for an event is the type of the event before it (event_id - 1): an
     equi-join on a unique key, so no hot group ever lands in one task.
@@ -125,7 +125,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
                      F.col("prev_type").alias("predicted_diagnosis"),
                      (F.col("value") / PRED_CONF_SCALE).alias("confidence"),
                      F.concat(F.lit("agent_"), (F.col("user_id") % N_AGENTS).cast("string"))
-                      .alias("agent_used")))
+                      .alias("agent_used"),
+                     F.nullif(F.col("user_id"), F.lit(0)).alias("patient"),
+                     (F.col("value") / 1000).alias("seconds")))
 
 
 def latencies(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,8 +138,7 @@ def latencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    # whole-text regex work per row: a small single-file input is rebalanced first
-    d = read_table(spark, sf, "documents", spread=True)
+    d = read_table(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("note_id"), "text", "lang")
 
 

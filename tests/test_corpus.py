@@ -66,3 +66,22 @@ def test_approximate_cutoff_is_close(spark):
     exact = corpus.temporal_cutoff(c).collect()[0].cutoff
     approx = corpus.temporal_cutoff(c, exact=False).collect()[0].cutoff
     assert isinstance(approx, dt.date) and abs((approx - exact).days) <= 1
+
+
+def test_labels_without_text_are_the_samples_labels(spark):
+    from casebook.sources import views as V
+    sf = "/root/testdata/sf0.001"
+    for repeats in (True, False):
+        a = corpus.corpus_samples(V.conditions(spark, sf), V.patients(spark, sf), repeats, staged=repeats)
+        b = corpus.corpus_labels(V.conditions(spark, sf), V.patients(spark, sf), repeats)
+        assert sorted(map(tuple, a.select("patient_id", "label").collect())) == sorted(map(tuple, b.collect()))
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan
+
+
+def test_repeated_patients_do_not_multiply_samples(spark):
+    from casebook.sources import views as V
+    sf = "/root/testdata/sf0.001"
+    pts = V.patients(spark, sf)
+    once = corpus.corpus_samples(V.conditions(spark, sf), pts).count()
+    assert corpus.corpus_samples(V.conditions(spark, sf), pts.unionAll(pts)).count() == once

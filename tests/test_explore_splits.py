@@ -39,7 +39,7 @@ def test_global_index_matches_sort(spark):
     rnd = random.Random(1)
     keys = rnd.sample(range(10_000), 500)
     df = spark.createDataFrame([(k, k % 3) for k in keys], "k long, g long")
-    out = OR.global_index(df, "k", "i", bucket_size=64, partition_cols=("g",), group_count="n")
+    out = OR.global_index(df, "k", "i", partition_cols=("g",), group_count="n")
     got = {(r.g, r.k): (r.i, r.n) for r in out.collect()}
     for g in range(3):
         ks = sorted(k for k in keys if k % 3 == g)
@@ -57,6 +57,31 @@ def test_split_sizes_are_exact_and_repeatable(spark):
     assert sorted(a.collect()) == sorted(b.collect())
 
 
+def test_global_index_of_sparse_and_text_keys(spark):
+    keys = list(range(1000)) + [2 ** 50]
+    out = OR.global_index(spark.createDataFrame([(k,) for k in keys], "k long"), "k", "i").collect()
+    assert {r.k: r.i for r in out} == {k: i for i, k in enumerate(keys)}
+    text = [f"{i:04x}-uuid" for i in range(200)] + [None]
+    out = OR.global_index(spark.createDataFrame([(k,) for k in text], "k string"), "k", "i").collect()
+    assert {r.k: r.i for r in out} == {k: i for i, k in enumerate([None] + sorted(text[:-1]))}
+    assert OR.global_index(spark.createDataFrame([], "k string"), "k", "i").count() == 0
+
+
+def test_general_is_split_whatever_its_size(spark):
+    ds = spark.createDataFrame([(f"id-{i}", "general") for i in range(8)] + [("id-1", "cardio")],
+                               "patient_id string, domain string")
+    got = S.split_domains(ds).groupBy("domain", "split").count().collect()
+    assert {(r.domain, r.split): r["count"] for r in got} == {("general", "train"): 6, ("general", "test"): 2}
+    st = {r.domain: (r.total, r.train, r.test) for r in S.domain_stats(ds).collect()}
+    assert st == {"general": (8, 6, 2), "cardio": (1, 0, 0)}
+
+
+def test_numeric_values_take_plain_numbers_only(spark):
+    df = spark.createDataFrame([(v, "k") for v in ("1", " 2.5 ", "-3e2", "1d", "2f", "NaN", "x", "", ".5", "+7.")],
+                               "VALUE string, DESCRIPTION string")
+    assert sorted(r.value for r in E.numeric_values(df, "k").collect()) == [-300.0, 0.5, 1.0, 2.5, 7.0]
+
+
 def test_domain_stats_and_lookup(spark):
     samples = spark.createDataFrame([(i, str(i % 4)) for i in range(40)] + [(99, None)],
                                     "patient_id long, label string")

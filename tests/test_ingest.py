@@ -139,7 +139,7 @@ def test_merge_accepts_unqualified_paths(spark, root):
     _write(f"{root}/u1/csv/patients.csv", "Id,GENDER\n1,F\n")
     _write(f"{root}/u2/csv/patients.csv", "Id,GENDER\n1,M\n")
     merged = I.merge_exports(spark, [f"{root}/u1/csv/patients.csv", f"{root}/u2/csv/patients.csv"])
-    assert sorted(r._src for r in merged.collect()) == [0, 1]
+    assert [r._src.rsplit("/", 3)[1] for r in merged.orderBy("_src").collect()] == ["u1", "u2"]
 
 
 def test_read_csv_columns_requires_file_and_columns(spark, root):
@@ -163,11 +163,64 @@ def test_domain_split_reader_falls_back_to_everything(spark, root):
     assert S.read_domain_split(stored, "neuro", "test").count() == 2   # no own, no general
 
 
-def test_headers_large_files_read_alone(spark, root):
+def test_headers_come_from_one_job(spark, root):
     _write(f"{root}/h/a.csv", "Id,X\n1,a\n")
-    _write(f"{root}/h/b.csv", "Id,Y,Z\n2,b,c\n")
+    _write(f"{root}/h/b c+%.csv", '"Id","Y, or Z"\n2,b\n')
     _write(f"{root}/h/e.csv", "")
-    paths = [f"file:{root}/h/{n}.csv" for n in "abe"]
-    shared = I.headers_of(spark, paths)
-    alone = I.headers_of(spark, paths, shared_max_bytes=0)   # every file on its own read
-    assert shared == alone == {paths[0]: ["Id", "X"], paths[1]: ["Id", "Y", "Z"], paths[2]: None}
+    paths = [f"file:{root}/h/{n}.csv" for n in ("a", "b c+%", "e")]
+    assert I.headers_of(spark, paths) == {paths[0]: ["Id", "X"], paths[1]: ["Id", "Y, or Z"], paths[2]: None}
+
+
+def test_exports_at_any_depth_and_blanks_in_paths(spark, root):
+    for i, place in enumerate(("csv", "one/csv", "two words/deep+er/csv", "a[1]/b/c/csv")):
+        _write(f"{root}/{place}/immunizations.csv", f"DATE,PATIENT,CODE\n200{i}-01-01,p{i},14{i}\n")
+    out = I.scratch_dir(spark, "test-depth")
+    rep = {r.table: r for r in I.convert_exports(spark, [f"file:{root}"], out).collect()}
+    assert (rep["immunizations"].rows, rep["immunizations"].files) == (4, 4)
+    assert {r.PATIENT for r in spark.read.parquet(f"{out}/immunizations").collect()} == {"p0", "p1", "p2", "p3"}
+
+
+def test_quoted_fields_survive_read_and_write(spark, root):
+    _write(f"{root}/q/csv/conditions.csv",
+           '"START",STOP,PATIENT,CODE,"DESCRIPTION"\n2001-01-01,,p1,10,"a ""b"", c"\n'
+           '2001-01-02,2001-02-30,p2,11,"line one\nline two"\n')
+    out = I.scratch_dir(spark, "test-quotes")
+    rep = {r.table: r for r in I.convert_exports(spark, [f"file:{root}"], out).collect()}
+    assert (rep["conditions"].status, rep["conditions"].rows, rep["conditions"].rejected_dates) == ("ok", 2, 1)
+    df = spark.read.parquet(f"{out}/conditions")
+    assert df.schema["START"].dataType.typeName() == "date"
+    want = {"p1": 'a "b", c', "p2": "line one\nline two"}
+    assert {r.PATIENT: r.DESCRIPTION for r in df.collect()} == want
+    again = f"{out}/csv"
+    I.write_csv(df.select("PATIENT", "DESCRIPTION"), again)
+    back = I.read_csv_tolerant(spark, I.find_files(spark, again, ".csv"), ["PATIENT", "DESCRIPTION"])
+    assert {r.PATIENT: r.DESCRIPTION for r in back.collect()} == want
+
+
+def test_dedup_key_counts_although_it_is_pruned(spark, root):
+    _write(f"{root}/k/csv/conditions.csv", "Id,START,STOP,PATIENT,CODE,DESCRIPTION\n"
+           "7,2001-01-01,,p1,10,first\n7,2001-01-01,,p1,10,second\n8,2001-01-01,,p1,10,third\n")
+    out = I.scratch_dir(spark, "test-pruned-key")
+    I.convert_exports(spark, [f"file:{root}"], out)
+    df = spark.read.parquet(f"{out}/conditions")
+    assert "Id" not in df.columns and sorted(r.DESCRIPTION for r in df.collect()) == ["first", "third"]
+
+
+def test_router_config_and_result_document(spark, root):
+    import json as _json
+    _write(f"{root}/router.json", _json.dumps({"cardio": {"keywords": ["chest pain"], "agent_id": "c1"},
+                                               "gi": {"keywords": ["nausea", "ulcer"], "agent_id": "g1"}}))
+    routes = I.load_router_config(spark, f"file:{root}/router.json")
+    assert [(d.name, d.keywords, d.agent_id) for d in routes] == [
+        ("cardio", ("chest pain",), "c1"), ("gi", ("nausea", "ulcer"), "g1")]
+    with pytest.raises(FileNotFoundError):
+        I.load_router_config(spark, f"file:{root}/none.json")
+    _write(f"{root}/bad.json", '{"cardio": {"keywords": []}}')
+    with pytest.raises(ValueError):
+        I.load_router_config(spark, f"file:{root}/bad.json")
+    preds = spark.createDataFrame([(1, "a")], "sample_index long, predicted string")
+    summary = spark.createDataFrame([(2, 0.5)], "processed long, accuracy double")
+    I.result_document(preds, summary, {"model": "m", "seed": 3}, f"file:{root}/run")
+    doc = _json.loads(spark.read.text(f"file:{root}/run/document").first()[0])
+    assert doc == {"metadata": {"model": "m", "seed": 3}, "metrics": {"processed": 2, "accuracy": 0.5}}
+    assert spark.read.parquet(f"file:{root}/run/predictions").count() == 1

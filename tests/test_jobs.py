@@ -74,3 +74,33 @@ def test_baseline_job(spark):
     n_test = spark.read.parquet(f"{out}/predictions").count()
     assert rep["n_train"] + rep["n_test"] == 87 and rep["n_test"] == n_test
     assert 0.0 <= rep["accuracy"] <= 1.0
+
+
+def test_chain_on_export_shaped_data(spark):
+    """ingest -> corpus -> evalslice with text ids, one bad date, a repeated patient."""
+    root = I.scratch_dir(spark, "job-chain").replace("file:", "")
+    ids = [f"9bde2b07-b972-4954-8d68-{i:012d}" for i in range(20)]
+    os.makedirs(f"{root}/in/one two/csv")
+    with open(f"{root}/in/one two/csv/patients.csv", "w") as f:
+        f.write("Id,BIRTHDATE,DEATHDATE,MARITAL,RACE,ETHNICITY,GENDER\n")
+        f.writelines(f"{p},{'not a day' if i == 3 else '1970-02-03'},,M,white,irish,F\n"
+                     for i, p in enumerate(ids))
+    with open(f"{root}/in/one two/csv/conditions.csv", "w") as f:
+        f.write("START,STOP,PATIENT,CODE,DESCRIPTION\n")
+        for i, p in enumerate(ids):
+            f.writelines(f"{1990 + k}-01-{1 + i:02d},,{p},{100 + k},\"cold, kind {k}\"\n" for k in range(4))
+            f.write(f"2015-05-05,,{p},{200 + i % 2},later\n")
+        f.write(f"whenever,,{ids[0]},1,x\n")
+    jobs.main(["ingest", "--exports", f"file:{root}/in", "--out", f"file:{root}/out"], spark)
+    tables = f"file:{root}/out/tables"
+    jobs.main(["corpus", "--tables", tables, "--out", f"file:{root}/corpus"], spark)
+    samples = spark.read.json(f"file:{root}/corpus/samples").collect()
+    # one patient's last early condition falls on the cutoff day itself
+    assert len(samples) == 20 and {r.label for r in samples} == {"103", "200", "201"}
+    assert sum(r.text.startswith("unknown-age") for r in samples) == 1
+    split = spark.read.parquet(f"file:{root}/corpus/domains").groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in split} == {"train": 16, "test": 4}
+    report = {r.table: r.rejected_dates for r in spark.read.json(f"file:{root}/out/load_report").collect()}
+    assert report["conditions"] == 1 and report["patients"] == 1
+    jobs.main(["evalslice", "--tables", tables, "--out", f"file:{root}/slice", "--n", "5"], spark)
+    assert spark.read.parquet(f"file:{root}/slice/data").count() <= 5

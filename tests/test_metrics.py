@@ -35,7 +35,7 @@ def test_confusion_matrix_demo(spark):
     recs = spark.createDataFrame(DEMO, REC_SCHEMA)
     labels = spark.createDataFrame([("COPD",), ("Asthma",), ("Hypertension",)], "label string")
     cm = {(r.actual, r.predicted): r.n
-          for r in M.confusion_matrix(recs, labels, "ground_truth", "predicted_diagnosis").collect()}
+          for r in M.confusion_matrix(recs, labels, "ground_truth", "predicted_diagnosis", True).collect()}
     assert len(cm) == 9 and cm[("COPD", "Asthma")] == 1 and cm[("Hypertension", "Hypertension")] == 1
     assert sum(cm.values()) == 2  # Type 2 Diabetes is outside the list
 
@@ -114,36 +114,40 @@ def test_latency_sketch_mode(spark):
     assert abs(r.p95_ms - 950.05) <= 2 and r["count"] == 1000
 
 
-def test_exact_quantiles_bounded_path_equals_percentile(spark):
+def test_exact_quantiles_equal_percentile_with_ties_and_nulls(spark):
     from pyspark.sql import functions as F
 
     from casebook.operators.quantiles import exact_quantiles
     rnd = random.Random(11)
-    rows = [("hot", rnd.random() * 100) for _ in range(20000)] + [("dup", 3.0)] * 300 + [("one", 1.0)]
+    rows = ([("hot", rnd.random() * 100) for _ in range(8000)] + [("hot", 50.0)] * 8000     # half is one value
+            + [("dup", 3.0)] * 300 + [("one", 1.0), ("null", None), (None, 4.0), (None, 6.0)])
     df = spark.createDataFrame(rows, "g string, x double")
     qs = [0.25, 0.5, 0.95]
-    ref = {r.g: r.p for r in df.groupBy("g").agg(
-        F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")).collect()}
-    for small in (10**9, 10):       # exact aggregate / sketch brackets + window selection
-        got = {r.g: (r.a, r.b, r.c) for r in
-               exact_quantiles(df, ["g"], "x", qs, ["a", "b", "c"], small_group=small,
-                               accuracy=500).collect()}
-        for k, v in ref.items():
-            assert got[k] == pytest.approx(tuple(v), abs=1e-12)
-
-
-def test_large_input_paths_agree(spark, monkeypatch):
-    import casebook.operators.quantiles as Q
-    from casebook.operators import explore as E
-    rnd = random.Random(5)
-    lat = spark.createDataFrame([(rnd.choice("ab"), rnd.random() * 50) for _ in range(3000)],
-                                "operation string, duration_ms double")
-    def key(t):
-        return (t[0] is None, str(t[0]))
-    small = sorted((tuple(r) for r in M.latency_stats(lat).collect()), key=key)
-    dsmall = E.describe(lat, "duration_ms").collect()
-    monkeypatch.setattr(Q, "buffer_is_bounded", lambda df, max_bytes=0: False)
-    monkeypatch.setattr(Q, "SMALL_GROUP", 10)
-    big = sorted((tuple(r) for r in M.latency_stats(lat).collect()), key=key)
-    assert small == big
-    assert E.describe(lat, "duration_ms").collect() == dsmall
+    pct = F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")
+    ref = {r.g: r.p for r in df.where("x IS NOT NULL").groupBy("g").agg(pct).collect()}
+    out = exact_quantiles(df, ["g"], "x", qs, ["a", "b", "c"])
+    got = {r.g: (r.a, r.b, r.c) for r in out.collect()}
+    assert got.keys() == ref.keys()
+    for k, v in ref.items():
+        assert got[k] == pytest.approx(tuple(v), abs=1e-12)
+    whole = exact_quantiles(df, [], "x", qs, ["a", "b", "c"]).first()
+    assert (whole.a, whole.b, whole.c) == pytest.approx(tuple(df.agg(pct).first()[0]), abs=1e-12)
+    assert exact_quantiles(df.where("g = 'null'"), ["g"], "x", qs, ["a", "b", "c"]).count() == 0
+
+
+def test_confusion_matrix_is_long_form_unless_dense(spark):
+    rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "x"), ("c", "c")],
+                                 "true_diagnosis string, predicted_diagnosis string")
+    labels = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    assert sorted(map(tuple, M.confusion_matrix(rows, labels).collect())) == [("a", "b", 2), ("c", "c", 1)]
+    dense = M.confusion_matrix(rows, labels, dense=True).collect()
+    assert len(dense) == 9 and sum(r.n for r in dense) == 3
+
+
+def test_run_summary_seconds_and_missing_patient(spark):
+    df = spark.createDataFrame([("a", "a", None, 1.0), ("a", "b", 1, 2.0), ("a", None, 1, 9.0), ("b", "b", 2, 4.0)],
+                               "true_diagnosis string, predicted_diagnosis string, p long, s double")
+    r = M.run_summary(df, patient="p", seconds="s").first()
+    assert (r.total, r.processed, r.skipped_missing_patient, r.skipped_missing_prediction) == (4, 2, 1, 1)
+    assert (r.total_seconds, r.mean_seconds) == (6.0, 3.0)
+    assert M.run_summary(df.limit(0)).first().mean_seconds == 0.0

@@ -28,6 +28,28 @@ def test_fused_top_terms_equal_window_path(spark):
     assert a == b and len(a) == 4
 
 
+def test_raw_text_is_not_shuffled(spark):
+    counts = TF.term_counts(_docs(spark))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    exchanges = [ln for ln in plan.splitlines() if "Exchange" in ln]
+    assert len(exchanges) == 1 and "text" not in exchanges[0] and "partial_count" in plan
+
+
+def test_two_classes_are_fitted_as_two(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+    seen = []
+    fit = LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit",
+                        lambda self, df, *a: seen.append(fit(self, df, *a)) or seen[-1])
+    rows = [(i, ("fever cough ache " if i % 2 else "chest heart pulse ") * (1 + i % 3), "AB"[i % 2])
+            for i in range(60)]
+    preds, n_features, n_train = TF.logit_baseline(
+        spark.createDataFrame(rows, "doc_id long, text string, label string"))
+    assert [m.numClasses for m in seen] == [2] and n_train == 44 and n_features == 6
+    rep = {r.metric: r.value for r in TF.baseline_report(preds, n_features, n_train).collect()}
+    assert rep["accuracy"] == 1.0 and rep["f1[A]"] == 1.0 and rep["support[A]"] + rep["support[B]"] == 16
+
+
 def test_encode_labels_sorted_classes(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, "a"), (5, None)], "id long, label string")
     got = {r.id: r.label_index for r in TF.encode_labels(df).collect()}
