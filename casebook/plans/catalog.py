@@ -564,3 +564,149 @@ def q_eval_slice_roundtrip(spark, sf):
 def q_label_encoding(spark, sf):
     """Labels encoded as positions among the sorted classes."""
     return TF.encode_labels(V.labelled_docs(spark, sf).select("doc_id", "label"))
+
+
+# ---------------------------------------------------------------- operators with small results of their own
+
+from casebook.operators.ordering import shuffle_key  # noqa: E402
+
+EX = O.EXTRA
+
+
+@register("empty_exports", EX["empty_exports"])
+def q_empty_exports(spark, sf):
+    """S3: an export without any line and one with a header alone add nothing to a merge."""
+    root = I.scratch_dir(spark, "empty-exports")
+    body = V.encounters(spark, sf).select("ID", "PATIENT", "DESCRIPTION")
+    I.write_csv(body, f"{root}/full")
+    I.write_csv(body.limit(0), f"{root}/header")
+    spark.range(1).select(F.lit("").alias("value")).write.text(f"{root}/blank")
+    merged = I.merge_exports(spark, I.find_files(spark, root, ".csv") + I.find_files(spark, root, ".txt"))
+    return merged.groupBy("DESCRIPTION").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("load_counts", EX["load_counts"])
+def q_load_counts(spark, sf):
+    """Status and row counts of the load report (its byte sizes depend on the writer)."""
+    return q_load_report(spark, sf).select("table", "status", "rows", "merged_rows", "duplicates_removed",
+                                           "rejected_dates")
+
+
+@register("registered_views", EX["registered_views"])
+def q_registered_views(spark, sf):
+    """Tables registered as views and joined through SQL text."""
+    from casebook.sources.tables import register_tables
+    register_tables(spark, sf, ("orders", "customer", "nation"))
+    return spark.sql("""SELECT n_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey
+                        JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+
+
+@register("required_rows", EX["required_rows"])
+def q_required_rows(spark, sf):
+    """Rows that have all required values."""
+    rows = I.require_columns(V.predictions(spark, sf), ["true_diagnosis", "predicted_diagnosis", "patient"])
+    return rows.select("sample_id", "true_diagnosis", "predicted_diagnosis")
+
+
+@register("result_documents", EX["result_documents"])
+def q_result_documents(spark, sf):
+    """One JSON text per stored prediction, read back field by field."""
+    docs = I.to_result_documents(_ok(spark, sf), ["sample_id", "true_diagnosis", "correct"])
+    parsed = F.from_json("doc", "sample_id long, true_diagnosis string, correct boolean")
+    return docs.select(parsed.alias("r")).select("r.*")
+
+
+@register("domain_config", EX["domain_config"])
+def q_domain_config(spark, sf):
+    """Conditions per domain of a JSON config; codes it doesn't list are 'general'."""
+    config = I.load_domain_config(spark, O.DOMAIN_CONFIG)
+    return (S.lookup_domain(V.conditions(spark, sf), "CODE", config)
+            .groupBy("domain").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("router_config", EX["router_config"])
+def q_router_config(spark, sf):
+    """Notes routed by keywords read from a config file."""
+    path = I.scratch_dir(spark, "router")
+    spark.range(1).select(F.lit(O.ROUTER_CONFIG).alias("value")).coalesce(1).write.text(path)
+    routes = I.load_router_config(spark, I.find_files(spark, path, ".txt")[0])
+    routed = R.route(V.notes(spark, sf), routes=routes)
+    return routed.select("note_id", F.array_join("agents", ",").alias("agents"))
+
+
+@register("summary_csv", EX["summary_csv"])
+def q_summary_csv(spark, sf):
+    """A describe() summary written as (stat, value) CSV rows and read back."""
+    path = I.scratch_dir(spark, "summary-csv")
+    I.write_summary_csv(E.describe(E.numeric_values(V.observations(spark, sf), O.OBS_KIND), "value"), path)
+    return spark.read.option("header", True).csv(path).select("stat", F.col("value").cast("double").alias("value"))
+
+
+@register("csv_column_subset", EX["csv_column_subset"])
+def q_csv_column_subset(spark, sf):
+    """Two columns of an export, by name."""
+    path = I.scratch_dir(spark, "csv-subset")
+    I.write_csv(V.conditions(spark, sf).select("START", "PATIENT", "CODE", "DESCRIPTION"), path)
+    return I.read_csv_columns(spark, path, ["PATIENT", "CODE"])
+
+
+@register("record_log", EX["record_log"])
+def q_record_log(spark, sf):
+    """Records appended in two batches, their open fields in a map."""
+    path = I.scratch_dir(spark, "record-log")
+    lat = V.latencies(spark, sf).withColumn("model", F.concat(F.lit("m_"), "operation"))
+    for ok in (True, False):
+        I.append_records(lat.where(F.col("success") == ok), path, ["model"])
+    log = spark.read.parquet(path)
+    return log.groupBy("operation", F.col("extra")["model"].alias("model")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_ms"), 3).alias("total_ms"))
+
+
+@register("limited_samples", EX["limited_samples"])
+def q_limited_samples(spark, sf):
+    """L2: the first 25 samples by patient."""
+    return corpus.limit_samples(_labels(spark, sf), O.FIRST_SAMPLES)
+
+
+@register("score_maps", EX["score_maps"])
+def q_score_maps(spark, sf):
+    """The scores of a case as one map, shown as sorted text."""
+    t = C.score_table(V.agent_answers(spark, sf)).select("case_id", "diagnosis",
+                                                         F.col("softmax_score").alias("score"))
+    entry = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.concat(
+        e["key"], F.lit("="), F.round(e["value"] * 1000).cast("long").cast("string"))))
+    return C.score_map(t).select("case_id", F.array_join(entry, ",").alias("scores"))
+
+
+@register("dedup_counts", EX["dedup_counts"])
+def q_dedup_counts(spark, sf):
+    """Rows before and after keep-first de-duplication."""
+    o = _rt(spark, sf, "orders").select(F.col("o_custkey").alias("Id"), "o_orderkey")
+    return I.dedup_report(o, I.dedup_keep_first(o, "Id", ["o_orderkey"]))
+
+
+def _text_tables(spark, sf):
+    """Conditions and patients as an all-string export has them: text ids, dates as text, one
+    condition in fifty with a date that is none."""
+    ident = lambda c: F.concat(F.lit("id-"), F.col(c).cast("string"))
+    cond = V.conditions(spark, sf)
+    bad = shuffle_key(F.concat_ws("|", F.col("PATIENT").cast("string"), "CODE")) % 50 == 0
+    start = F.when(bad, F.lit("unknown")).otherwise(F.col("START").cast("string"))
+    pts = V.patients(spark, sf)
+    return (cond.select(start.alias("START"), ident("PATIENT").alias("PATIENT"), "CODE", "DESCRIPTION"),
+            pts.select(ident("ID").alias("ID"), F.col("BIRTHDATE").cast("string").alias("BIRTHDATE"),
+                       "GENDER", "RACE", "ETHNICITY"))
+
+
+@register("corpus_prompts_text_keys", EX["corpus_prompts_text_keys"])
+def q_corpus_prompts_text_keys(spark, sf):
+    """Samples from text ids and text dates, split by the hash of the id."""
+    samples = corpus.corpus_samples(*_text_tables(spark, sf))
+    return S.split_by_hash(samples, "patient_id").select("patient_id", "text", "label", "split")
+
+
+@register("rejected_dates", EX["rejected_dates"])
+def q_rejected_dates(spark, sf):
+    """texts in date columns that are no dates, counted."""
+    cond, pts = _text_tables(spark, sf)
+    return corpus.rejected_dates(cond, "START").unionByName(corpus.rejected_dates(pts, "BIRTHDATE"))

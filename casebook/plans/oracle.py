@@ -1198,3 +1198,95 @@ MORE["label_encoding"] = with_views("""
     LEFT JOIN (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS label_index
                FROM (SELECT DISTINCT label FROM labelled_docs WHERE label IS NOT NULL) x) c
       ON d.label = c.label""", "labelled_docs")
+
+
+# ---------------------------------------------------------------- operators with small results of their own
+
+FIRST_SAMPLES = 25
+DOMAIN_CONFIG = '{"first": {"codes": [1, 2, 3]}, "second": {"codes": ["3", "4"]}, "broken": {"x": 1}}'
+# fixed values of the adapter: keywords that occur in the notes
+ROUTER_CONFIG = ('{"prose": {"keywords": ["the", "and"], "agent_id": "en_agent"}, '
+                 '"licensed": {"keywords": ["License"], "agent_id": "legal_agent"}}')
+
+
+def _has_word(word: str) -> str:
+    edge = "[^\\p{L}\\p{N}_]"
+    return f"regexp_matches(lower(text), '(^|{edge}){word.lower()}($|{edge})')"
+
+
+def _text_keyed(body: str, **extra) -> str:
+    """The adapter's conditions and patients with text ids and, in places, no readable date."""
+    bad = f"{_hash("concat_ws('|', PATIENT, CODE)")} % 50 = 0"
+    ctes = {
+        "raw_conditions": VIEW_SQL["conditions"], "raw_patients": VIEW_SQL["patients"],
+        "conditions": f"""
+            SELECT CASE WHEN {bad} THEN NULL ELSE START END AS START, {bad} AS is_bad,
+                   'id-' || PATIENT AS PATIENT, CODE, DESCRIPTION FROM raw_conditions""",
+        "patients": """
+            SELECT 'id-' || ID AS ID, BIRTHDATE, GENDER, RACE, ETHNICITY FROM raw_patients""", **extra}
+    return "WITH " + ",\n".join(f"{k} AS ({v}\n)" for k, v in ctes.items()) + "\n" + body
+
+
+EXTRA = {
+    "empty_exports": with_views("""
+        SELECT DESCRIPTION, CAST(count(*) AS BIGINT) AS n FROM encounters GROUP BY DESCRIPTION""", "encounters"),
+    "load_counts": with_views("""
+        SELECT 'conditions' AS "table", 'ok' AS status, n AS rows, n AS merged_rows,
+               CAST(0 AS BIGINT) AS duplicates_removed, CAST(0 AS BIGINT) AS rejected_dates
+        FROM (SELECT count(*) AS n FROM conditions) c
+        UNION ALL SELECT 'payers', 'skipped', 0, 0, 0, 0
+        UNION ALL SELECT 'TOTAL', 'success', n, n, 0, 0 FROM (SELECT count(*) AS n FROM conditions) c""",
+        "conditions"),
+    "registered_views": """
+        SELECT n_name, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey
+        JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""",
+    "required_rows": with_views("""
+        SELECT sample_id, true_diagnosis, predicted_diagnosis FROM predictions
+        WHERE true_diagnosis IS NOT NULL AND predicted_diagnosis IS NOT NULL AND patient IS NOT NULL""",
+        "predictions"),
+    "result_documents": _with_ok("SELECT sample_id, true_diagnosis, correct FROM ok"),
+    "domain_config": with_views("""
+        SELECT CASE WHEN CODE IN ('1', '2') THEN 'first' WHEN CODE IN ('3', '4') THEN 'second'
+                    ELSE 'general' END AS domain, CAST(count(*) AS BIGINT) AS n
+        FROM conditions GROUP BY 1""", "conditions"),
+    "router_config": with_views(f"""
+        SELECT note_id, array_to_string(list_filter([
+                   CASE WHEN {_has_word('the')} OR {_has_word('and')} THEN 'en_agent' END,
+                   CASE WHEN {_has_word('License')} THEN 'legal_agent' END], lambda x: x IS NOT NULL), ',')
+               AS agents
+        FROM notes""", "notes"),
+    "summary_csv": f"""
+        WITH s AS ({EXPLORE['value_summary']})
+        SELECT unnest(['n', 'mean', 'std', 'min', 'q25', 'q50', 'q75', 'max']) AS stat,
+               unnest([CAST(n AS DOUBLE), mean, std, min, q25, q50, q75, max]) AS value
+        FROM s""",
+    "csv_column_subset": with_views("SELECT CAST(PATIENT AS VARCHAR) AS PATIENT, CODE FROM conditions",
+                                    "conditions"),
+    "record_log": with_views("""
+        SELECT operation, 'm_' || operation AS model, CAST(count(*) AS BIGINT) AS n,
+               round(sum(duration_ms), 3) AS total_ms
+        FROM latencies GROUP BY operation""", "latencies"),
+    "limited_samples": _corpus_with(
+        f"SELECT patient_id, label FROM samples ORDER BY patient_id LIMIT {FIRST_SAMPLES}"),
+    "score_maps": with_views("""
+        SELECT case_id, string_agg(diagnosis || '=' || CAST(CAST(round(score * 1000) AS BIGINT) AS VARCHAR), ','
+                                   ORDER BY diagnosis) AS scores
+        FROM vs GROUP BY case_id""", "agent_answers", extra=_vote_ctes("agent_answers")),
+    "dedup_counts": """
+        SELECT count(*) AS rows_before, count(DISTINCT o_custkey) AS rows_after,
+               count(*) - count(DISTINCT o_custkey) AS removed,
+               round((count(*) - count(DISTINCT o_custkey)) * 100.0 / count(*), 6) AS removed_pct
+        FROM orders""",
+    "corpus_prompts_text_keys": _text_keyed(f"""
+        SELECT patient_id, text, label,
+               CASE WHEN row_number() OVER (ORDER BY {_hash('patient_id')}, patient_id) - 1
+                         < floor((SELECT count(*) FROM samples) * CAST(0.8 AS DOUBLE))
+                    THEN 'train' ELSE 'test' END AS split
+        FROM samples""", **_corpus_sql(True)),
+    "rejected_dates": _text_keyed("""
+        SELECT 'START' AS "column", count(*) AS n_rows,
+               count(*) FILTER (WHERE NOT is_bad AND START IS NULL) AS n_missing,
+               count(*) FILTER (WHERE is_bad) AS n_rejected
+        FROM conditions
+        UNION ALL SELECT 'BIRTHDATE', count(*), count(*) FILTER (WHERE BIRTHDATE IS NULL), 0 FROM patients"""),
+}
