@@ -17,7 +17,8 @@ is a factor outside the recursion: counts of the ``VOCAB_WORDS`` commonest words
 most ``WORD_BYTES`` bytes: a bounded broadcast) are looked up in the task, all other words
 are joined with the count table by word.
 
-Training and scoring read all texts whole.  Null and empty texts are the end token alone.
+All texts are read whole, twice: once to count, once to be turned into classes, which are
+staged (two bytes a token) for the training rounds and the scoring.  Null and empty texts are the end token alone.
 Repeated rows are scored alike and count twice in training.  Without training texts every
 word is unknown and the model is uniform.  Other columns are not read.
 """
@@ -28,13 +29,14 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import reach_workers, row_key, stage
+from casebook.llm.common import batches_of, chunks, ragged, reach_workers, row_key, stage
 
 STATES = 8
 ROUNDS = 3
@@ -71,7 +73,7 @@ def count_words(texts: DataFrame, flush: int = 200_000) -> DataFrame:
             held.clear()
             return batch
 
-        for batch in batches:
+        for batch in batches_of(batches):
             for text in batch.column("text"):
                 held.update(text.as_py().lower().split())
                 if len(held) > flush:
@@ -92,14 +94,13 @@ class Vocabulary:
         self.counts, self.classes, self.class_mass = counts, classes, class_mass
 
     def encode(self, texts: list[bytes]):
-        """Per text its words; flat places in the vocabulary (-1: elsewhere) and classes, an end
-        (place -2, class 0) after each text; tokens per text."""
+        """Flat places in the vocabulary (-1: elsewhere) and classes, an end (place -2, class 0)
+        after each text; tokens per text; the words that are elsewhere, in order."""
         words = [t.lower().split() for t in texts]
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
         end = np.cumsum(n) - 1
         flat = [w for ws in words for w in ws]
-        get = self.place.get
-        found = np.fromiter((get(w, -1) for w in flat), dtype=np.int64, count=len(flat))
+        found = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
         inner = np.ones(int(n.sum()), dtype=bool)
         inner[end] = False
         place = np.full(len(inner), -2, dtype=np.int64)
@@ -108,10 +109,11 @@ class Vocabulary:
         if len(self.classes):
             classes[inner] = np.where(found >= 0, self.classes[np.maximum(found, 0)], 0)
         rare = np.flatnonzero(found < 0)
-        of_rare = np.fromiter((suffix_class(flat[i]) for i in rare.tolist()), dtype=np.int64,
-                              count=len(rare))
-        classes[np.flatnonzero(inner)[rare]] = of_rare
-        return words, place, classes, n
+        rare_words = [flat[i] for i in rare.tolist()]
+        by_word = {w: suffix_class(w) for w in set(rare_words)}
+        classes[np.flatnonzero(inner)[rare]] = np.fromiter(
+            map(by_word.__getitem__, rare_words), dtype=np.int64, count=len(rare))
+        return place, classes, n, rare_words
 
 
 _KNOWN: dict = {}
@@ -126,17 +128,20 @@ def _vocabulary(shared) -> Vocabulary:
     return _KNOWN[tag]
 
 
-def by_length(batch: pa.RecordBatch, block: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(row places, texts) in blocks of texts of similar length, longest first.  The bytes of
-    a block bound its tokens; a text is never cut."""
-    texts = batch.column("text").to_pylist()
-    if not texts:
+def by_length(classes: pa.Array, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row places, classes one text after the other, lengths) in blocks of about ``block``
+    tokens of texts of similar length, longest first; a text is never cut."""
+    n = classes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(n):
         return
-    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    order = np.argsort(-size, kind="stable")
-    group = np.cumsum(size[order] + 6) // (6 * block)
+    flat = classes.flatten().to_numpy(zero_copy_only=False)
+    first = np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    group = np.cumsum(n[order]) // block
     for own in np.split(order, np.flatnonzero(np.diff(group)) + 1):
-        yield own, [texts[i] for i in own.tolist()]
+        size = n[own]
+        at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        yield own, flat[at].astype(np.int64), size
 
 
 class Lattice:
@@ -239,18 +244,16 @@ class Model:
         self.emit = (emit + PRIOR * self.base[:, None]) / (emit.sum(axis=0) + PRIOR)
 
 
-def _expectation(texts: DataFrame, words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all texts, summed by Spark per class."""
-    spark = texts.sparkSession
+def _expectation(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over all training texts (their classes), summed by Spark per class."""
+    spark = train.sparkSession
     states, n_classes = len(model.start), len(model.emit)
     tables = spark.sparkContext.broadcast(model.tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _vocabulary(words)
         total = np.zeros((n_classes + states + 1, states))   # emissions, moves, start
-        for batch in batches:
-            for _, own in by_length(batch, BLOCK_TOKENS):
-                _, _, classes, n = known.encode(own)
+        for batch in batches_of(batches):
+            for _, classes, n in by_length(batch.column("classes"), BLOCK_TOKENS):
                 started, moved, emitted, _ = expected_counts(n, classes, tables.value)
                 total[:n_classes] += emitted
                 total[n_classes:-1] += moved
@@ -261,7 +264,8 @@ def _expectation(texts: DataFrame, words, model: Model) -> tuple[np.ndarray, np.
             names=["row", *(f"s{k}" for k in range(states))])
 
     columns = [f"s{k}" for k in range(states)]
-    summed = (texts.select("text").mapInArrow(run, "row int, " + ", ".join(f"{c} double" for c in columns))
+    summed = (train.select("classes")
+              .mapInArrow(run, "row int, " + ", ".join(f"{c} double" for c in columns))
               .groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas())
     total = np.zeros((n_classes + states + 1, states))
     total[summed["row"].to_numpy()] = summed[columns].to_numpy()
@@ -269,6 +273,74 @@ def _expectation(texts: DataFrame, words, model: Model) -> tuple[np.ndarray, np.
     return total[-1], total[n_classes:-1], total[:n_classes]
 
 
+def _encoded(docs: DataFrame, held_out: Column, shared, ends: int, spread: np.ndarray) -> DataFrame:
+    """One row per text: its classes; how many tokens are known and the sum of their log10
+    smoothed counts (``weight``), and of their shares within their classes (``share``), as far
+    as the broadcast words go; the words beyond them with their numbers (``rare``)."""
+    rows = docs.select("doc_id", row_key().alias("key"), held_out.alias("held_out"),
+                       F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _vocabulary(shared)
+        for batch in batches_of(batches):
+            for part in chunks(batch):
+                place, classes, n, rare_words = known.encode(part.column("text").to_pylist())
+                first = np.cumsum(n) - n
+                c = np.zeros(len(place))
+                if len(known.counts):
+                    c = np.where(place >= 0, known.counts[np.maximum(place, 0)], 0)
+                c = np.where(place == -2, ends, c)
+                there = place != -1
+                weight = np.where(there, np.log10(c + SMOOTH), 0.0)
+                share = np.where(classes > CLASS_WORDS, weight - spread[classes], 0.0)
+                rare, at = [], 0
+                for k in np.add.reduceat((~there).astype(np.int64), first).tolist():
+                    rare.append(Counter(rare_words[at:at + k]))
+                    at += k
+                words = pa.StructArray.from_arrays(
+                    [pa.array([w for x in rare for w in x], pa.binary()),
+                     pa.array([k for x in rare for k in x.values()], pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("key"), part.column("held_out"),
+                     ragged(classes.astype(np.int16), n, pa.int16()),
+                     pa.array(np.add.reduceat((there & (c > 0)).astype(np.int64), first)),
+                     pa.array(np.add.reduceat(weight, first)), pa.array(np.add.reduceat(share, first)),
+                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), words)],
+                    names=["doc_id", "key", "held_out", "classes", "known", "weight", "share", "rare"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(
+        run, f"doc_id {kind}, key long, held_out boolean, classes array<smallint>, known long, "
+             "weight double, share double, rare array<struct<word:binary,n:long>>")
+
+
+def _forward(encoded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, key, held_out, n_tokens, known, weight, total: the log10 likelihood of the class
+    sequence by the scaled forward recursion, plus the words' shares."""
+    tables = encoded.sparkSession.sparkContext.broadcast(model.tables())
+    names = ["doc_id", "key", "held_out", "n_tokens", "known", "weight", "total"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, move, emit_table = tables.value
+        for batch in batches_of(batches):
+            share = batch.column("share").to_numpy()
+            for rows, classes, n in by_length(batch.column("classes"), BLOCK_TOKENS // 2):
+                grid = Lattice(n)
+                symbol = np.empty(len(classes), dtype=np.int64)
+                symbol[grid.slot] = classes
+                _, scale = grid.forward(start, move, emit_table[symbol])
+                place = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(place) for c in names[:3]), pa.array(n),
+                     *(batch.column(c).take(place) for c in names[4:6]),
+                     pa.array(grid.sums(np.log10(scale)) + share[rows])], names=names)
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.drop("rare").mapInArrow(
+        run, f"doc_id {kind}, key long, held_out boolean, n_tokens long, known long, weight double, "
+             "total double")
+
+
 def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every
     text; texts with ``held_out`` false are the training texts."""
@@ -304,7 +376,7 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, kind = np.zeros(len(class_mass)), np.zeros(len(class_mass))
-        for batch in batches:
+        for batch in batches_of(batches):
             own = np.array([top.value.get(w) or suffix_class(w)
                             for w in batch.column("word").to_pylist()], dtype=np.int64)
             mass += np.bincount(own, batch.column("n").to_numpy(), minlength=len(mass))
@@ -323,63 +395,23 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
         (uuid.uuid4().hex, b"".join(listed), np.array([len(w) for w in listed], dtype=np.int64),
          np.array([c for c, _ in common], dtype=np.int64), classes, class_mass))
 
-    model = Model(class_mass, endings, states)
-    for _ in range(rounds if ends else 0):
-        model.update(*_expectation(train, shared, model))
-
     # log10 of a class's mass over the words in it: words of a suffix class and one unknown
     spread = np.log10(class_mass + SMOOTH * (kinds + 1))
-    tables = spark.sparkContext.broadcast((*model.tables(), spread))
+    encoded = stage(_encoded(docs, held_out, shared, ends, spread))
+    model = Model(class_mass, endings, states)
+    for _ in range(rounds if ends else 0):
+        model.update(*_expectation(encoded.where(~F.col("held_out")), model))
 
-    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _vocabulary(shared)
-        start, move, emit_table, spread = tables.value
-        for batch in batches:
-            for rows, own in by_length(batch, BLOCK_TOKENS // 2):
-                words, place, classes, n = known.encode(own)
-                grid = Lattice(n)
-                symbol = np.empty(len(classes), dtype=np.int64)
-                symbol[grid.slot] = classes
-                _, scale = grid.forward(start, move, emit_table[symbol])
-                total = grid.sums(np.log10(scale))
-                first = np.cumsum(n) - n
-                c = np.zeros(len(place))
-                if len(known.counts):
-                    c = np.where(place >= 0, known.counts[np.maximum(place, 0)], 0)
-                c = np.where(place == -2, ends, c)
-                there = place != -1
-                weight = np.where(there, np.log10(c + SMOOTH), 0.0)
-                by_suffix = classes > CLASS_WORDS
-                share = np.where(by_suffix, weight - spread[classes], 0.0)
-                rare = [None] * len(n)
-                for i in np.flatnonzero(np.add.reduceat((~there).astype(np.int64), first)).tolist():
-                    ws, own_place = words[i], place[first[i]:first[i] + n[i] - 1]
-                    rare[i] = list(Counter(ws[j] for j in np.flatnonzero(own_place == -1).tolist()).items())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(rows)), batch.column("key").take(pa.array(rows)),
-                     batch.column("held_out").take(pa.array(rows)), pa.array(n),
-                     pa.array(np.add.reduceat((there & (c > 0)).astype(np.int64), first)),
-                     pa.array(np.add.reduceat(weight, first)),
-                     pa.array(total + np.add.reduceat(share, first)),
-                     pa.array([None if x is None else [{"word": w, "n": k} for w, k in x] for x in rare],
-                              pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=["doc_id", "key", "held_out", "n_tokens", "known", "weight", "total", "rare"])
-
-    passed = stage(
-        docs.select("doc_id", row_key().alias("key"), held_out.alias("held_out"),
-                    F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-        .mapInArrow(forward, f"doc_id {id_type}, key long, held_out boolean, n_tokens long, known long, "
-                             "weight double, total double, rare array<struct<word:binary,n:long>>"))
-    rare = passed.select("key", F.explode("rare").alias("x")).select("key", "x.word", F.col("x.n").alias("k"))
+    rare = encoded.select("key", F.explode("rare").alias("x")).select("key", "x.word", F.col("x.n").alias("k"))
     joined = rare.join(counts, "word", "left").select(
         "key", (F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("w"),
         F.when(F.col("n") > 0, F.col("k")).otherwise(F.lit(0)).alias("k"), F.lit(0).alias("copies"))
     # repeated rows share a key and bring their words once each
-    added = (joined.unionAll(passed.select("key", F.lit(0.0), F.lit(0).cast("long"), F.lit(1)))
+    added = (joined.unionAll(encoded.select("key", F.lit(0.0), F.lit(0).cast("long"), F.lit(1)))
              .groupBy("key").agg((F.sum("w") / F.sum("copies")).alias("w"),
                                  (F.sum("k") / F.sum("copies")).cast("long").alias("k")))
     norm = float(np.log10(n_all + SMOOTH * (distinct + 1)))
-    return passed.join(added, "key").select(
+    return _forward(encoded, model).join(added, "key").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("k")).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("weight") + F.col("w") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
