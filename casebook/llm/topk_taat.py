@@ -20,24 +20,30 @@ from pyspark.sql import functions as F
 from casebook.llm.vector_blocks import search, top_of_block, usable
 
 OWN = np.iinfo(np.int64).min
+QUERIES_AT_ONCE = 64
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Scores (queries x rows): for each term, its postings times the query weights."""
-    scores = np.zeros((len(queries), len(rows)), dtype=np.int64)
-    for term in range(rows.shape[1]):
-        asked = np.flatnonzero(queries[:, term])
-        postings = np.flatnonzero(rows[:, term])
-        if not len(asked) or not len(postings):
-            continue
-        weights = rows[postings, term]
-        dense = len(postings) == len(rows)
-        for q in asked.tolist():
-            if dense:
-                scores[q] += queries[q, term] * weights
-            else:
-                scores[q, postings] += queries[q, term] * weights
-    return scores
+    """Scores (queries x rows): for each term, its postings times the query weights.
+
+    A few queries at a time share a term's postings, so their score arrays stay in the cache;
+    scores are 32-bit wherever the weights prove that they fit."""
+    most = lambda x: int(np.abs(x).max(initial=0))
+    small = most(queries) * most(rows) * queries.shape[1] < 1 << 31
+    kind = np.int32 if small else np.int64
+    queries, columns = queries.astype(kind), np.ascontiguousarray(rows.T.astype(kind))
+    postings = [np.flatnonzero(column) for column in columns]
+    scores = np.zeros((len(queries), len(rows)), dtype=kind)
+    part = np.empty((QUERIES_AT_ONCE, len(rows)), dtype=kind)
+    for first in range(0, len(queries), QUERIES_AT_ONCE):
+        own = scores[first:first + QUERIES_AT_ONCE]
+        for term, (column, places) in enumerate(zip(columns, postings)):
+            weights = queries[first:first + QUERIES_AT_ONCE, term]
+            if 2 * len(places) > len(column):        # postings of most rows: no gaps to skip
+                own += np.multiply.outer(weights, column, out=part[:len(own)])
+            elif len(places):
+                own[:, places] += np.multiply.outer(weights, column[places])
+    return scores.astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:

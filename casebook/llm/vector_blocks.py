@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from casebook.llm.common import reach_workers
 
-ROW_BLOCK = 1024
+ROW_BLOCK = 2048
 QUERY_BLOCK = 1024
 
 
