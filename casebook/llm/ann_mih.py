@@ -25,7 +25,7 @@ from casebook.llm.vector_blocks import search, usable
 
 SAMPLE = 2048
 ROUNDS = 25
-RADIUS_SHARE = 0.97
+RADIUS_SHARE = 0.985
 POP8 = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
 
 
