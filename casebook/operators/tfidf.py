@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions.stopwords import ENGLISH
 from casebook.plans.stage import materialise
+from casebook.sources.ingest import scratch_dir
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 10000
@@ -151,6 +152,11 @@ def logit_baseline(data: DataFrame, text_col: str = "text", label_col: str = "la
     solver = lr if len(indexer.labels) <= 2 else OneVsRest(
         classifier=lr, featuresCol="features", labelCol="y", predictionCol="pred")
     model = solver.fit(features(train))
+    # The stored model is the fitted one without its training summary, which holds on to the
+    # session and could not travel to the executors.
+    path = scratch_dir(data.sparkSession, "baseline-model")
+    model.write().overwrite().save(path)
+    model = type(model).load(path)
     out = model.transform(features(counted.transform(test)))
     out = IndexToString(inputCol="pred", outputCol="predicted_diagnosis",
                         labels=indexer.labels).transform(out)
