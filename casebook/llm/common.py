@@ -6,8 +6,8 @@ checkpoint folder, and fold membership is computed from the id on the JVM side.
 
 from __future__ import annotations
 
+import ctypes
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casebook.session import checkpoint_dir
-
-CHUNK_BYTES = 2 << 20
+#: Text that is worked on together inside a task.
+CHUNK_BYTES = 1 << 20
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -57,11 +56,10 @@ def row_key() -> Column:
 
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: one computation for
-    several readers, a cut lineage, and no data that dies with an executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/casebook-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    several readers, a cut lineage, and no data that dies with an executor.  The folder is
+    removed when the application ends."""
+    from casebook.plans.stage import materialise
+    return materialise(df)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text",
@@ -76,6 +74,25 @@ def chunks(batch: pa.RecordBatch, column: str = "text",
         yield batch.slice(a, b - a)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker is kept for later stages, beside the
+    executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, with ``give_back`` after the work on each."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def ragged(values: np.ndarray, lengths: list[int] | np.ndarray, kind=None) -> pa.ListArray:
     """Arrow list column from flat values and per-row lengths."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import CHUNK_BYTES, reach_workers, stage
+from casebook.llm.common import CHUNK_BYTES, batches_of, give_back, reach_workers, stage
 
 ORDER = 4
 MAX_LANGS = 128
@@ -184,7 +184,7 @@ def _counts(train: DataFrame, flush: int = 100_000) -> DataFrame:
                      pa.array(total.astype(np.int64))], names=["lang", "gram", "n"])
             held.clear()
 
-        for batch in batches:
+        for batch in batches_of(batches):
             for text, lang in zip(batch.column("text"), batch.column("lang")):
                 held.setdefault(lang.as_py(), Counter()).update(LETTERS.findall(text.as_py().lower()))
                 if sum(map(len, held.values())) > flush:
@@ -258,6 +258,7 @@ def predictor(frame: DataFrame, identifier: Identifier):
             _HELD.clear()
             _HELD[tag] = shared.value
         parts = [_HELD[tag].answer(own) for own in slices(texts.fillna("").tolist())]
+        give_back()
         return pd.concat(parts, ignore_index=True) if parts else _HELD[tag].answer([])
 
     return predict

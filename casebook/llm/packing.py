@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import Memo, chunks, doc_texts
+from casebook.llm.common import Memo, batches_of, chunks, doc_texts
 from casebook.llm.token_counts import CACHE_WORDS, WordBpe, word_bpe
 
 BUCKET_PIECES = 50_000
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo, end = word_bpe(tokenizer_path), _memo(tokenizer_path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 row, piece, start, length, ids = [], [], [], [], []
                 for i, raw in enumerate(_text_ids(bpe, memo, part.column("text").to_pylist())):

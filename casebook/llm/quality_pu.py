@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import chunks, reach_workers, stage
+from casebook.llm.common import batches_of, chunks, give_back, reach_workers, stage
 
 THRESHOLD = 0.7
 STEPS = 12
@@ -84,7 +84,7 @@ def measured(docs: DataFrame, *columns) -> DataFrame:
     names = kept.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 x = np.array([statistics(t) for t in part.column("text").to_pylist()], dtype=np.float32)
                 flat = pa.array(x.ravel())
@@ -106,7 +106,7 @@ def _total(frame: DataFrame, per_batch, width: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
-        for batch in batches:
+        for batch in batches_of(batches):
             if batch.num_rows:
                 total += per_batch(matrix(batch.column("x")),
                                    batch.column("positive").to_numpy(zero_copy_only=False))
@@ -204,7 +204,7 @@ def score_measures(measures: DataFrame, model: Model, threshold: float = THRESHO
     names = [c for c in measures.columns if c != "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             s = model.scores(matrix(batch.column("x")))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
@@ -221,7 +221,9 @@ def scorer(model: Model):
     def score(texts: pd.Series) -> pd.Series:
         x = np.array([statistics(t.encode("utf-8", "surrogatepass")) for t in texts.fillna("")],
                      dtype=np.float32).reshape(-1, len(NAMES))
-        return pd.Series(model.scores(x.astype(np.float64)))
+        out = pd.Series(model.scores(x.astype(np.float64)))
+        give_back()
+        return out
 
     return score
 

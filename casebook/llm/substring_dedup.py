@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import chunks, reach_workers, row_key, stage
+from casebook.llm.common import batches_of, chunks, reach_workers, row_key, stage
 
 WINDOW = 35
 ANCHOR = 8
@@ -131,7 +131,7 @@ def _tag(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """One row per path of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 doc, mini, print_, start, size, periodic = paths(
                     Words(part.column("text").to_pylist()), window, anchor)
@@ -149,7 +149,7 @@ def _open(held: DataFrame, window: int) -> DataFrame:
     """Single windows of the listed paths: ``held`` has key, text, list (start, size, n, mini)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 w = Words(part.column("text").to_pylist())
                 lists = part.column("list")
@@ -171,16 +171,17 @@ def _open(held: DataFrame, window: int) -> DataFrame:
         run, "key long, mini long, print long, start int, n long")
 
 
-def _cut(held: DataFrame, window: int) -> DataFrame:
+def _cut(held: DataFrame, window: int, keep_layout: bool) -> DataFrame:
     """Verify the marks (start, size, print) of each document and remove what they cover."""
     own_columns = [c for c in held.columns if c not in ("text", "list")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema
                        if f.name in own_columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
-                w = Words(part.column("text").to_pylist())
+                texts = part.column("text").to_pylist()
+                w = Words(texts)
                 lists = part.column("list")
                 per_doc = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(part.num_rows), per_doc)
@@ -202,8 +203,10 @@ def _cut(held: DataFrame, window: int) -> DataFrame:
                     removed.append(int(own.sum()))
                     spans.append([{"first": int(a), "after": int(b)}
                                   for a, b in zip(turns[::2], turns[1::2])])
-                    kept.append(b" ".join([x for x, g in zip(ws, own.tolist()) if not g]
-                                          if len(turns) else ws))
+                    if len(turns):
+                        kept.append(b" ".join([x for x, g in zip(ws, own.tolist()) if not g]))
+                    else:
+                        kept.append(texts[i] if keep_layout else b" ".join(ws))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in own_columns), pa.array(w.count),
                      pa.array(removed, pa.int64()), pa.array(kept, pa.binary()),
@@ -215,10 +218,11 @@ def _cut(held: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
-                   carry: tuple[str, ...] = ()) -> DataFrame:
+                   carry: tuple[str, ...] = (), keep_layout: bool = False) -> DataFrame:
     """doc_id, key, n_words, n_removed, kept (remaining words, one space between, UTF-8) and
     spans (removed word ranges) of every document; ``key`` tells rows apart (``row_key``).
-    ``carry`` names input columns to bring along, in a struct ``carried``."""
+    ``carry`` names input columns to bring along, in a struct ``carried``; with ``keep_layout``
+    a text that loses nothing is kept as it was, white space included."""
     reach_workers(docs.sparkSession)
     texts = docs.select("doc_id", row_key().alias("key"),
                         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
@@ -248,4 +252,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
               .select("key", "start", F.lit(1).alias("size"), "print"))
     marks = (whole.unionByName(single)
              .groupBy("key").agg(F.collect_list(F.struct("start", "size", "print")).alias("list")))
-    return _cut(texts.join(marks, "key", "left"), window)
+    return _cut(texts.join(marks, "key", "left"), window, keep_layout)

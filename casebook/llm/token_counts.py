@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from casebook.llm.common import Memo, chunks, doc_texts
+from casebook.llm.common import Memo, batches_of, chunks, doc_texts
 
 #: Words remembered by one Python worker.
 CACHE_WORDS = 200_000
@@ -133,7 +133,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo = word_bpe(tokenizer_path), _count_memo(tokenizer_path)
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 texts = part.column("text").to_pylist()
                 split = [bpe.pieces(t) for t in texts]

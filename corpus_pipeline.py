@@ -48,8 +48,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut out passages that occur elsewhere; a document without one keeps its text as it is."""
-    cut = substring_dedup.remove_repeats(docs, window=35, carry=tuple(docs.columns))
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("carried.text"))
+    others = tuple(c for c in docs.columns if c != "text")
+    cut = substring_dedup.remove_repeats(docs, window=35, carry=others, keep_layout=True)
+    text = F.col("kept").cast("string")
     size = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("carried.n_chars"))
     new = {"text": text, "n_chars": size}
     return cut.select(*(new[c].alias(c) if c in new else F.col(f"carried.`{c}`").alias(c)

@@ -2,13 +2,19 @@
 import importlib.util
 import os
 
+import zlib
+
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from casebook.llm import catalog, langid_kn, quality_pu
+from casebook.llm.common import fold, read, stage
 
-from casebook.llm import catalog
-from casebook.llm.common import stage
+from .test_dedup import brute_components, brute_removed, plain_simhash
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -33,6 +39,35 @@ def test_stages_keep_columns_and_shrink(spark):
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_run_equals_brute_force(spark):
+    """run() against plain Python from the models' answers on: which documents the first two
+    stages accept comes from the operators themselves, everything after is done anew."""
+    docs = read(spark, SF, "documents")
+    told = langid_kn.identify(docs, fold("doc_id", 5) == 0).where("NOT rejected").select("doc_id")
+    kept = stage(docs.join(told, "doc_id", "left_semi"))
+    judged = quality_pu.classify(kept, read(spark, SF, "labels"), fold("doc_id", 4) == 2)
+    kept = kept.join(judged.where("predicted = 1").select("doc_id"), "doc_id", "left_semi")
+    texts = {r.doc_id: r.text for r in kept.select("doc_id", "text").collect()}
+    groups = brute_components({i: plain_simhash(t) for i, t in texts.items()}, 2)
+    ids = sorted(i for i in texts if groups[i] == i)
+    removed = brute_removed([texts[i] for i in ids], 35)
+    library = Tokenizer.from_file(catalog.WORD_BPE)
+    want = {}
+    for i, (_, gone, words, _) in zip(ids, removed):
+        text = words.decode() if gone else texts[i]
+        tokens = library.encode(text, add_special_tokens=False).ids + [1]
+        for k, a in enumerate(range(0, len(tokens), 4096)):
+            own = tokens[a:a + 4096]
+            want[i, k] = (a, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 4096
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, function in corpus_pipeline.STAGES:
