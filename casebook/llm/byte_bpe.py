@@ -23,11 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from casebook.llm.common import Memo, chunks, doc_texts, ragged
+from casebook.llm.common import Memo, batches_of, chunks, doc_texts, ragged
 
 CACHE_WORDS = 200_000
 #: Nodes of the trees that are worked on together.
 TREE_NODES = 1 << 20
+#: A pre-token of this many bytes gets a tree of its own: there is nothing to do beside it.
+LONG_PIECE = 2048
 NONE = np.iinfo(np.int64).max
 
 
@@ -72,6 +74,10 @@ class ByteBpe:
             elif piece:
                 classes.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, members in classes.items():
+            if width >= LONG_PIECE:
+                for i in members:
+                    out[i] = self._tree(pieces[i], width)
+                continue
             step = max(1, TREE_NODES // (2 * width))
             for a in range(0, len(members), step):
                 some = members[a:a + step]
@@ -128,6 +134,49 @@ class ByteBpe:
         return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+    def _tree(self, piece: bytes, width: int) -> bytes:
+        """One long byte string, with the same tree held in a list."""
+        n = len(piece)
+        sym = self.byte_id[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.pair_rank(np.array(sym[:-1]), np.array(sym[1:]))
+        leaves = np.full(width, NONE, dtype=np.int64)
+        leaves[:n - 1] = np.where(rank >= 0, rank * width + np.arange(n - 1), NONE)
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [NONE, *np.concatenate(levels[::-1]).tolist()]
+        ranks, text = self.ranks.get, self.bytes_of
+
+        def put(pos: int, value: int) -> None:
+            node = width + pos
+            tree[node] = value
+            node >>= 1
+            while node:
+                least = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        def pair(left: int, right: int) -> int:
+            r = ranks(text[sym[left]] + text[sym[right]])
+            return NONE if r is None else r * width + left
+
+        while tree[1] != NONE:
+            new, pos = divmod(tree[1], width)
+            gone = after[pos]
+            nxt, prev = after[gone], before[pos]
+            sym[pos], sym[gone], after[pos] = new, None, nxt
+            put(gone, NONE)
+            if nxt < n:
+                before[nxt] = pos
+            put(pos, pair(pos, nxt) if nxt < n else NONE)
+            if prev >= 0:
+                put(prev, pair(prev, pos))
+        return np.array([s for s in sym if s is not None], dtype="<u4").tobytes()
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
@@ -143,7 +192,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, memo = byte_bpe(ranks_path, pattern), _memo(ranks_path, pattern)
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 words = [bpe.split(t) for t in part.column("text").to_pylist()]
                 new = memo.need(set().union(*words))
@@ -165,7 +214,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_bpe(ranks_path, pattern).bytes_of
-        for batch in batches:
+        for batch in batches_of(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column("ids")

@@ -35,13 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import chunks, reach_workers, row_key, stage
+from casebook.llm.common import batches_of, chunks, reach_workers, row_key, stage
 from casebook.llm.components import components
 
 LEAF_SIZE = 2048
 #: Leaves sent to the executors: 16 bytes each.
 MAX_LEAVES = 1 << 16
 FAN = 16
+#: Shingle hashes whose bits are spread out together (64 bytes each).
+BITS_AT_ONCE = 200_000
 U = np.uint64
 FULL = U(0xFFFFFFFFFFFFFFFF)
 
@@ -59,12 +61,16 @@ def fingerprints(texts: list[bytes], size: int = 3, seed: int = 42) -> np.ndarra
     n = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
     out = np.zeros(len(texts), dtype=U)
     some = np.flatnonzero(n)
+    sums = np.zeros((len(texts), 64), dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), n)
+    flat = np.fromiter((h for hs in hashes for h in hs), dtype=">u8", count=int(n.sum()))
+    for at in range(0, len(flat), BITS_AT_ONCE):     # a very long text comes in several parts
+        part, own = flat[at:at + BITS_AT_ONCE], owner[at:at + BITS_AT_ONCE]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sums[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     if len(some):
-        flat = np.fromiter((h for hs in hashes for h in hs), dtype=">u8", count=int(n.sum()))
-        bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1)
-        starts = (np.cumsum(n) - n)[some]
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        major = np.packbits(2 * sums > n[some][:, None], axis=1)
+        major = np.packbits(2 * sums[some] > n[some][:, None], axis=1)
         out[some] = major.view(">u8").ravel().astype(U)
     return out
 
@@ -163,7 +169,7 @@ def _route(distinct: DataFrame, patterns: np.ndarray, depths: np.ndarray, limit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = GrayTree(patterns, leaf_masks(depths))
-        for batch in batches:
+        for batch in batches_of(batches):
             for at in range(0, batch.num_rows, 2048):
                 fp = batch.column("fp").slice(at, 2048).to_numpy(zero_copy_only=False).view(U)
                 home = np.searchsorted(patterns, fp, side="right") - 1
@@ -229,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2,
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_of(batches):
             for part in chunks(batch):
                 fp = fingerprints(part.column("text").to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays(

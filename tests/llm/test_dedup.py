@@ -149,3 +149,12 @@ def test_star_contraction(spark):
 def test_digest_of_kept_words(spark):
     row = substring_dedup.remove_repeats(documents(spark, ["é  b\tc"])).select(F.sha2("kept", 256)).first()
     assert row[0] == hashlib.sha256("é b c".encode()).hexdigest()
+
+
+def test_bits_of_long_texts_come_in_parts(monkeypatch):
+    texts = [(t or "").encode() for t in awkward_texts(n=20) + passages()]
+    want = [plain_simhash(t.decode()) for t in texts]
+    for part in (7, 100, 10 ** 6):
+        monkeypatch.setattr(simhash_gray, "BITS_AT_ONCE", part)
+        assert simhash_gray.fingerprints(texts).tolist() == want
+    assert simhash_gray.fingerprints([]).tolist() == []
