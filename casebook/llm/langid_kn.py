@@ -9,9 +9,12 @@ into 64 bits and scrambled one-to-one) with the discounted share beside each n-g
 back-off weight beside each context; a lookup is a binary search.
 
 A text takes the language with the lowest cross-entropy per character (ties: first name).
-Rejection is calibrated on training texts: per language a cross-entropy beyond the 99.9 %
-quantile by three times its distance from the median is no text of that language; texts
-under ``SHORT`` characters are not rejected for it.
+Rejection is calibrated on all training texts under their own language's model.  A text is
+not of a language if its cross-entropy lies above the language's median by ``SPREADS`` times
+the distance of the upper quartile and by ``TO_UNIFORM`` of the way from the median to a
+uniform guess over the alphabet.  Less than a quarter of outliers cannot stretch this, copies
+of one text cannot close it, and every learned language has a limit.  Texts under ``SHORT``
+characters are not rejected for it.
 
 ``und`` (score 0, rejected): null text, no letter, or no language to learn.  Bounds: the
 ``MAX_LANGS`` commonest languages, and per language the commonest ``MAX_NGRAMS`` n-grams.
@@ -20,6 +23,7 @@ Repeated rows get the same answer; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +40,8 @@ from casebook.llm.common import CHUNK_BYTES, batches_of, give_back, reach_worker
 ORDER = 4
 MAX_LANGS = 128
 MAX_NGRAMS = 1 << 18
-CALIBRATION_ROWS = 20_000
+SPREADS = 18.0
+TO_UNIFORM = 2 / 3
 SHORT = 25
 SHARPNESS = 20.0
 COUNT_CAP = 1 << 16
@@ -110,10 +115,11 @@ class KneserNey:
 
 
 class Identifier:
-    """Languages with their models and rejection limits."""
+    """Languages with their models."""
 
-    def __init__(self, langs: list[str], models: list[KneserNey], limits: np.ndarray):
-        self.langs, self.models, self.limits = langs, models, limits
+    def __init__(self, langs: list[str], models: list[KneserNey]):
+        self.langs, self.models = langs, models
+        self.uniform = -math.log(models[0].floor) if models else 0.0
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character (texts x languages) and number of characters."""
@@ -136,22 +142,26 @@ class Identifier:
         out[full] = -np.add.reduceat(per_word[ids], begin, axis=0) / chars[full][:, None]
         return out, chars
 
-    def answer(self, texts: list[str]) -> pd.DataFrame:
+    def answer(self, texts: list[str], langs: list[str | None]) -> pd.DataFrame:
+        """Prediction of each text, and its cross-entropy under its own language ``langs``."""
         h, chars = self.entropies(texts)
         some = chars > 0
         if not self.langs:
             return pd.DataFrame({"lang_pred": "und", "score": 0.0, "cross_entropy": None,
-                                 "rejected": True}, index=range(len(texts)))
+                                 "own_entropy": None, "chars": 0}, index=range(len(texts)))
         best = h.argmin(axis=1)
-        low = h[np.arange(len(h)), best]
+        rows = np.arange(len(h))
+        low = h[rows, best]
+        place = dict(zip(self.langs, range(len(self.langs))))
+        own = np.fromiter((place.get(x, -1) for x in langs), dtype=np.int64, count=len(h))
         with np.errstate(invalid="ignore"):
             score = 1 / np.exp(-SHARPNESS * (h - low[:, None])).sum(axis=1)
-        refused = ~some | ((low > self.limits[best]) & (chars >= SHORT))
         return pd.DataFrame({
             "lang_pred": np.where(some, np.array(self.langs, dtype=object)[best], "und"),
             "score": np.where(some, score, 0.0),
             "cross_entropy": pd.Series(np.where(some, low, np.nan)).where(pd.Series(some), None),
-            "rejected": refused})
+            "own_entropy": pd.Series(h[rows, own]).where(pd.Series(some & (own >= 0)), None),
+            "chars": np.where(some, chars, 0)})
 
 
 def slices(texts: list[str], max_bytes: int = CHUNK_BYTES) -> Iterator[list[str]]:
@@ -218,7 +228,7 @@ def fit(train: DataFrame) -> Identifier:
         own = (F.col("lang") == lang) & (F.col("n") >= least)
         keep = own if keep is None else keep | own
     if not langs:
-        return Identifier([], [], np.zeros(0))
+        return Identifier([], [])
     kept = counts.where(keep).toArrow()            # at most MAX_LANGS * MAX_NGRAMS rows
     by_lang = kept.column("lang").to_pandas()
     grams = kept.column("gram").to_numpy().view(U)
@@ -226,47 +236,63 @@ def fit(train: DataFrame) -> Identifier:
     alphabet = len(np.unique(grams & U(0xFFFF))) + 1
     models = [KneserNey(grams[own], n[own], alphabet)
               for own in (np.flatnonzero(by_lang == lang) for lang in langs)]
-    identifier = Identifier(langs, models, np.full(len(langs), np.inf))
-    identifier.limits = _limits(train, identifier)
-    return identifier
-
-
-def _limits(train: DataFrame, identifier: Identifier) -> np.ndarray:
-    """Rejection limit per language, from about ``CALIBRATION_ROWS`` hashed training texts."""
-    every = max(1, train.count() // CALIBRATION_ROWS)
-    some = train.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    seen = (some.select("lang", predictor(train, identifier)("text").alias("p"))
-            .where((F.col("p.lang_pred") == F.col("lang")))
-            .groupBy("lang").agg(F.percentile_approx("p.cross_entropy", F.array(F.lit(0.5), F.lit(0.999)), 10_000)
-                                 .alias("q")).collect())
-    found = {r["lang"]: r["q"][1] + 3 * (r["q"][1] - r["q"][0]) for r in seen}
-    # a language without calibration rows is never rejected for its entropy
-    return np.array([max(found.get(x, np.inf), 0.0) for x in identifier.langs])
+    return Identifier(langs, models)
 
 
 _HELD: dict = {}
 
 
 def predictor(frame: DataFrame, identifier: Identifier):
-    """Column function text -> struct(lang_pred, score, cross_entropy, rejected)."""
+    """Column function (text, own language or null) -> struct(lang_pred, score, cross_entropy,
+    own_entropy, chars)."""
     tag = uuid.uuid4().hex
     shared = frame.sparkSession.sparkContext.broadcast(identifier)
 
-    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("lang_pred string, score double, cross_entropy double, own_entropy double, chars long")
+    def predict(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
         if tag not in _HELD:
             _HELD.clear()
             _HELD[tag] = shared.value
-        parts = [_HELD[tag].answer(own) for own in slices(texts.fillna("").tolist())]
+        own, parts, at = langs.tolist(), [], 0
+        for some in slices(texts.fillna("").tolist()):
+            parts.append(_HELD[tag].answer(some, own[at:at + len(some)]))
+            at += len(some)
         give_back()
-        return pd.concat(parts, ignore_index=True) if parts else _HELD[tag].answer([])
+        return pd.concat(parts, ignore_index=True) if parts else _HELD[tag].answer([], [])
 
     return predict
 
 
+def limits(told: DataFrame, uniform: float) -> DataFrame:
+    """lang, limit: rejection limit per language, from all training texts of ``told``;
+    ``uniform`` is the cross-entropy of a uniform guess."""
+    q = F.percentile_approx("p.own_entropy", F.array(F.lit(0.5), F.lit(0.75)), 10_000)
+    median, upper = F.col("q")[0], F.col("q")[1]
+    return (told.where("p.own_entropy IS NOT NULL").groupBy("lang").agg(q.alias("q"))
+            .select("lang", (median + F.greatest(SPREADS * (upper - median),
+                                                 TO_UNIFORM * (F.lit(uniform) - median))).alias("limit")))
+
+
+def judge(docs: DataFrame, held_out: Column, carry: list[str]) -> DataFrame:
+    """doc (struct of the columns ``carry``), held_out, lang (of training texts), p (the
+    prediction) and rejected of every text; learns from texts whose ``held_out`` is false.  Every text is scored once; the limits
+    come from the written scores."""
+    identifier = fit(docs.where(~held_out))
+    predict = predictor(docs, identifier)
+    lang = F.when(~held_out, F.col("lang"))
+    told = stage(docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc"),
+                             held_out.alias("held_out"), lang.alias("lang"),
+                             predict("text", lang).alias("p")))
+    # one row per language
+    known = F.broadcast(limits(told, identifier.uniform).select(F.col("lang").alias("known"), "limit"))
+    refused = (F.col("p.chars") == 0) | ((F.col("p.cross_entropy") > F.col("limit"))
+                                         & (F.col("p.chars") >= SHORT))
+    return (told.join(known, F.col("p.lang_pred") == F.col("known"), "left")
+            .select("doc", "held_out", "lang", "p", refused.alias("rejected")))
+
+
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every text; learns from
     texts whose ``held_out`` is false."""
-    predict = predictor(docs, fit(docs.where(~held_out)))
-    return (docs.select("doc_id", held_out.alias("held_out"), predict("text").alias("p"))
-            .select("doc_id", "held_out", "p.lang_pred", "p.score", "p.cross_entropy", "p.rejected"))
+    return judge(docs, held_out, ["doc_id"]).select(
+        "doc.doc_id", "held_out", "p.lang_pred", "p.score", "p.cross_entropy", "rejected")

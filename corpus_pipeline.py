@@ -26,8 +26,8 @@ ROW_KEY = "casebook_row_key"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is told and not rejected."""
-    learned = langid_kn.fit(docs.where(fold("doc_id", 5) != 0))
-    return docs.where(~langid_kn.predictor(docs, learned)("text")["rejected"])
+    told = langid_kn.judge(docs, fold("doc_id", 5) == 0, docs.columns)
+    return told.where("NOT rejected").select("doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,21 @@ def test_language_of_held_out_texts_and_und(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_rejection_limits_withstand_outliers_copies_and_rare_languages(spark):
+    texts, langs = babble(7, 120)
+    rnd = random.Random(2)
+    junk = " ".join("".join(rnd.choice("qxzjkvwy") for _ in range(9)) for _ in range(40))
+    seen = next(t for t, x in zip(texts, langs) if x == "de" and len(t) > 100)
+    docs = documents(spark, texts + [junk] + [seen] * 90 + [texts[0], "ž" * 300],
+                     langs=langs + ["en"] + ["de"] * 90 + ["rare", None])
+    last = len(texts) + 92
+    told = langid_kn.judge(docs, F.col("doc_id") == last, ["doc_id"])
+    limit = {r.lang: r.limit for r in langid_kn.limits(told, 3.0).collect()}
+    assert set(limit) == {"en", "de", "rare"} and all(map(math.isfinite, limit.values()))
+    rows = {r.doc.doc_id: r for r in told.collect()}
+    assert rows[last].rejected and not any(rows[i].rejected for i in range(len(texts)))
+
+
 def quality_tables(spark, n=400):
     rnd = random.Random(9)
     texts, good = [], []
