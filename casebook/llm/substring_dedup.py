@@ -250,6 +250,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
              .where("total > 1").select("mini", "print"))
     single = (windows.where("n = 1").join(twice, ["mini", "print"])
               .select("key", "start", F.lit(1).alias("size"), "print"))
+    # repeated rows share a key and carry the same marks: each is kept once, map-side already,
+    # so a list is bounded by its own text
     marks = (whole.unionByName(single)
-             .groupBy("key").agg(F.collect_list(F.struct("start", "size", "print")).alias("list")))
+             .groupBy("key").agg(F.collect_set(F.struct("start", "size", "print")).alias("list")))
     return _cut(texts.join(marks, "key", "left"), window, keep_layout)

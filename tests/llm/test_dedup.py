@@ -68,6 +68,21 @@ def test_repeated_rows_and_null_ids_are_places_of_their_own(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_marks_of_many_repeated_rows_are_bounded_by_one_text(spark, monkeypatch):
+    text = " ".join(f"q{i}" for i in range(200))
+    docs = documents(spark, [text] * 300 + ["z " + text], ids=[None] * 200 + [7] * 100 + [8])
+    sizes, cut = [], substring_dedup._cut
+
+    def watched(held, *rest):
+        sizes.extend(r[0] for r in held.select(F.size("list")).collect())
+        return cut(held, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_cut", watched)
+    rows = substring_dedup.remove_repeats(docs, 35, 8).collect()
+    assert len(sizes) == 301 and max(sizes) <= 200 - 35 + 1
+    assert sorted(r.n_removed for r in rows) == [200] * 301
+
+
 def brute_components(fingerprints, limit):
     ids = list(fingerprints)
     root = {i: i for i in ids}
