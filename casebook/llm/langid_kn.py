@@ -16,8 +16,13 @@ uniform guess over the alphabet.  Less than a quarter of outliers cannot stretch
 of one text cannot close it, and every learned language has a limit.  Texts under ``SHORT``
 characters are not rejected for it.
 
-``und`` (score 0, rejected): null text, no letter, or no language to learn.  Bounds: the
-``MAX_LANGS`` commonest languages, and per language the commonest ``MAX_NGRAMS`` n-grams.
+Every language value of the training texts is learned from all its n-grams.  Languages of at
+most ``MAX_NGRAMS`` n-grams (``MAX_BROADCAST`` over all languages) are looked up in a broadcast.
+The model of a larger one stays a table: discounts, context masses and lower orders come from
+Spark aggregates, and the distinct n-grams of the texts are joined with it.  Both give the
+same probabilities.
+
+``und`` (score 0, rejected): null text, no letter, or no language to learn.
 Repeated rows get the same answer; an empty table gives no rows; other columns are not read.
 """
 
@@ -38,13 +43,12 @@ from pyspark.sql import functions as F
 from casebook.llm.common import CHUNK_BYTES, batches_of, give_back, reach_workers, stage
 
 ORDER = 4
-MAX_LANGS = 128
 MAX_NGRAMS = 1 << 18
+MAX_BROADCAST = 1 << 25
 SPREADS = 18.0
 TO_UNIFORM = 2 / 3
 SHORT = 25
 SHARPNESS = 20.0
-COUNT_CAP = 1 << 16
 U = np.uint64
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -115,14 +119,15 @@ class KneserNey:
 
 
 class Identifier:
-    """Languages with their models."""
+    """Languages with their models; a language without one is ``joined`` from its table."""
 
-    def __init__(self, langs: list[str], models: list[KneserNey]):
-        self.langs, self.models = langs, models
-        self.uniform = -math.log(models[0].floor) if models else 0.0
+    def __init__(self, langs: list[str], models: list[KneserNey | None], alphabet: int):
+        self.langs, self.models, self.uniform = langs, models, math.log(alphabet)
+        self.joined = [x for x, m in zip(langs, models) if m is None]
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (texts x languages) and number of characters."""
+    def entropies(self, texts: list[str], joined: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character (texts x languages) and number of characters; ``joined``
+        holds each text's log probabilities of the joined languages."""
         words = [LETTERS.findall(t.lower()) for t in texts]
         n_words = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         flat = [w for ws in words for w in ws]
@@ -135,16 +140,20 @@ class Identifier:
         key, n = ngrams(distinct)
         some, inverse = np.unique(key, return_inverse=True)
         first = np.cumsum(n) - n
-        per_word = np.stack([np.add.reduceat(m.log_prob(some)[inverse], first) for m in self.models], axis=1)
+        per_word = np.stack([np.zeros(len(n)) if m is None else np.add.reduceat(m.log_prob(some)[inverse], first)
+                             for m in self.models], axis=1)
         full = np.flatnonzero(n_words)
         begin = (np.cumsum(n_words) - n_words)[full]
         chars[full] = np.add.reduceat(n[ids], begin)
-        out[full] = -np.add.reduceat(per_word[ids], begin, axis=0) / chars[full][:, None]
+        total = np.add.reduceat(per_word[ids], begin, axis=0)
+        if self.joined:
+            total[:, [m is None for m in self.models]] = np.stack([joined[i] for i in full])
+        out[full] = -total / chars[full][:, None]
         return out, chars
 
-    def answer(self, texts: list[str], langs: list[str | None]) -> pd.DataFrame:
+    def answer(self, texts: list[str], langs: list[str | None], joined: list) -> pd.DataFrame:
         """Prediction of each text, and its cross-entropy under its own language ``langs``."""
-        h, chars = self.entropies(texts)
+        h, chars = self.entropies(texts, joined)
         some = chars > 0
         if not self.langs:
             return pd.DataFrame({"lang_pred": "und", "score": 0.0, "cross_entropy": None,
@@ -205,60 +214,111 @@ def _counts(train: DataFrame, flush: int = 100_000) -> DataFrame:
             .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
-def fit(train: DataFrame) -> Identifier:
-    """Models from ``train`` (lang, text): its whole texts with a language."""
+def fit(train: DataFrame) -> tuple[Identifier, DataFrame]:
+    """Models from ``train`` (lang, text): its whole texts with a language; and the staged n-gram
+    counts they come from."""
     reach_workers(train.sparkSession)
     train = train.where(F.col("lang").isNotNull()).select(
         "lang", F.coalesce("text", F.lit("")).alias("text"))
     counts = stage(_counts(train))
-    # languages and, per language, the count from which n-grams fit the bound
-    levels = (counts.groupBy("lang", F.least("n", F.lit(COUNT_CAP)).alias("c"))
-              .agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("mass")).collect())
-    mass: Counter = Counter()
-    for r in levels:
-        mass[r["lang"]] += r["mass"]
-    langs = sorted(sorted(mass, key=lambda x: (-mass[x], x))[:MAX_LANGS])
-    keep = None
-    for lang in langs:
-        room, least = MAX_NGRAMS, COUNT_CAP + 1
-        for c, k in sorted(((r["c"], r["k"]) for r in levels if r["lang"] == lang), reverse=True):
-            if k > room:
-                break
-            least, room = c, room - k
-        own = (F.col("lang") == lang) & (F.col("n") >= least)
-        keep = own if keep is None else keep | own
+    size = {r["lang"]: r["k"] for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()}
+    langs, held, room = sorted(size), [], MAX_BROADCAST
     if not langs:
-        return Identifier([], [])
-    kept = counts.where(keep).toArrow()            # at most MAX_LANGS * MAX_NGRAMS rows
+        return Identifier([], [], 1), counts
+    for lang in sorted(langs, key=lambda x: (size[x], x)):
+        if size[lang] <= min(MAX_NGRAMS, room):
+            held.append(lang)
+            room -= size[lang]
+    # at most 2^16 characters
+    alphabet = counts.select(F.col("gram").bitwiseAND(0xFFFF)).distinct().count() + 1
+    kept = counts.where(F.col("lang").isin(held)).toArrow()       # at most MAX_BROADCAST rows
     by_lang = kept.column("lang").to_pandas()
     grams = kept.column("gram").to_numpy().view(U)
     n = kept.column("n").to_numpy()
-    alphabet = len(np.unique(grams & U(0xFFFF))) + 1
-    models = [KneserNey(grams[own], n[own], alphabet)
+    models = [KneserNey(grams[own], n[own], alphabet) if len(own) else None
               for own in (np.flatnonzero(by_lang == lang) for lang in langs)]
-    return Identifier(langs, models)
+    return Identifier(langs, models, alphabet), counts
+
+
+def _grams_of(rows: DataFrame) -> DataFrame:
+    """(row, gram, times): distinct top-order n-grams of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_of(batches):
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                words = Counter(LETTERS.findall((text.as_py() or "").lower()))
+                if words:
+                    key, n = ngrams(list(words))
+                    some, inverse = np.unique(key, return_inverse=True)
+                    times = np.bincount(inverse, np.repeat(list(words.values()), n))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), row)), pa.array(some.view(np.int64)),
+                         pa.array(times.astype(np.int64))], names=["row", "gram", "times"])
+
+    return rows.select("row", "text").mapInArrow(run, "row long, gram long, times long")
+
+
+def _joined(rows: DataFrame, identifier: Identifier, counts: DataFrame) -> DataFrame:
+    """(row, joined): log probability of each text under each joined language, the same
+    recursion as ``KneserNey`` over tables."""
+    spark, langs = rows.sparkSession, identifier.joined
+    own = stage(_grams_of(rows))
+    names = F.broadcast(spark.createDataFrame([(x,) for x in langs], "lang string"))
+    found = (own.select("gram").distinct().crossJoin(names)
+             .withColumn("p", F.lit(math.exp(-identifier.uniform))))
+    tables = {ORDER: counts.where(F.col("lang").isin(langs))}
+    for n in range(ORDER - 1, 0, -1):
+        short = F.col("gram").bitwiseAND((1 << 16 * n) - 1).alias("gram")
+        tables[n] = stage(tables[n + 1].select("lang", short).groupBy("lang", "gram")
+                          .agg(F.count(F.lit(1)).alias("n")))
+    for n in range(1, ORDER + 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = F.when(ones > 0, F.least(F.lit(0.9), F.greatest(
+            F.lit(0.1), ones / (ones + 2 * twos)))).otherwise(0.1)
+        # one row per language
+        cut = F.broadcast(tables[n].groupBy("lang").agg(discount.alias("d")))
+        context = F.shiftrightunsigned("gram", 16).alias("context")
+        contexts = tables[n].groupBy("lang", context).agg(
+            F.sum("n").alias("mass"), F.count(F.lit(1)).alias("kinds")).join(cut, "lang")
+        if n == 1:
+            contexts = F.broadcast(contexts)          # the empty context of each language
+        whole = F.col("gram").bitwiseAND((1 << 16 * n) - 1) if n < ORDER else F.col("gram")
+        found = (found.withColumn("part", whole)
+                 .withColumn("context", F.shiftrightunsigned("part", 16))
+                 .join(contexts, ["lang", "context"], "left")
+                 .join(tables[n].withColumnRenamed("gram", "part"), ["lang", "part"], "left")
+                 .withColumn("p", F.when(F.col("mass").isNull(), F.col("p")).otherwise(
+                     F.coalesce((F.col("n") - F.col("d")) / F.col("mass"), F.lit(0.0))
+                     + F.col("d") * F.col("kinds") / F.col("mass") * F.col("p")))
+                 .select("gram", "lang", "p"))
+    logs = (found.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("lang", F.log("p").alias("x"))))
+                                      .alias("logs")))
+    # decimal sums do not depend on their order: repeated rows get equal sums
+    sums = [F.sum((F.col("times") * F.col("logs")[i]["x"]).cast("decimal(28,15)")).cast("double")
+            for i in range(len(langs))]
+    return own.join(logs, "gram").groupBy("row").agg(F.array(*sums).alias("joined"))
 
 
 _HELD: dict = {}
 
 
 def predictor(frame: DataFrame, identifier: Identifier):
-    """Column function (text, own language or null) -> struct(lang_pred, score, cross_entropy,
-    own_entropy, chars)."""
+    """Column function (text, own language or null, log probabilities of the joined languages or
+    null) -> struct(lang_pred, score, cross_entropy, own_entropy, chars)."""
     tag = uuid.uuid4().hex
     shared = frame.sparkSession.sparkContext.broadcast(identifier)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, own_entropy double, chars long")
-    def predict(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    def predict(texts: pd.Series, langs: pd.Series, joined: pd.Series) -> pd.DataFrame:
         if tag not in _HELD:
             _HELD.clear()
             _HELD[tag] = shared.value
-        own, parts, at = langs.tolist(), [], 0
+        own, more, parts, at = langs.tolist(), joined.tolist(), [], 0
         for some in slices(texts.fillna("").tolist()):
-            parts.append(_HELD[tag].answer(some, own[at:at + len(some)]))
+            parts.append(_HELD[tag].answer(some, own[at:at + len(some)], more[at:at + len(some)]))
             at += len(some)
         give_back()
-        return pd.concat(parts, ignore_index=True) if parts else _HELD[tag].answer([], [])
+        return pd.concat(parts, ignore_index=True) if parts else _HELD[tag].answer([], [], [])
 
     return predict
 
@@ -277,12 +337,15 @@ def judge(docs: DataFrame, held_out: Column, carry: list[str]) -> DataFrame:
     """doc (struct of the columns ``carry``), held_out, lang (of training texts), p (the
     prediction) and rejected of every text; learns from texts whose ``held_out`` is false.  Every text is scored once; the limits
     come from the written scores."""
-    identifier = fit(docs.where(~held_out))
+    identifier, counts = fit(docs.where(~held_out))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc"), held_out.alias("held_out"),
+                       F.when(~held_out, F.col("lang")).alias("lang"), "text",
+                       F.lit(None).cast("array<double>").alias("joined"))
+    if identifier.joined:
+        rows = stage(rows.drop("joined").withColumn("row", F.monotonically_increasing_id()))
+        rows = rows.join(_joined(rows, identifier, counts), "row", "left")
     predict = predictor(docs, identifier)
-    lang = F.when(~held_out, F.col("lang"))
-    told = stage(docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc"),
-                             held_out.alias("held_out"), lang.alias("lang"),
-                             predict("text", lang).alias("p")))
+    told = stage(rows.select("doc", "held_out", "lang", predict("text", "lang", "joined").alias("p")))
     # one row per language
     known = F.broadcast(limits(told, identifier.uniform).select(F.col("lang").alias("known"), "limit"))
     refused = (F.col("p.chars") == 0) | ((F.col("p.cross_entropy") > F.col("limit"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from casebook.llm import hmm, langid_kn, quality_pu
@@ -170,6 +171,24 @@ def test_language_of_held_out_texts_and_und(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+@pytest.mark.parametrize("bound,broadcast", [(3, 1 << 25), (45, 1 << 25), (1 << 18, 45)])
+def test_ngrams_beyond_the_broadcast_are_joined(spark, monkeypatch, bound, broadcast):
+    texts, langs = babble(5, 60)
+    extra = [None, "", "ž" * 40, "the der über 漢字", "der"]
+    docs = documents(spark, texts + extra + texts[:2], langs=langs + [None, "en", None, "de", "fr"] + langs[:2])
+    want = {r.doc_id: r for r in langid_kn.identify(docs, fold("doc_id", 5) == 0).collect()}
+    monkeypatch.setattr(langid_kn, "MAX_NGRAMS", bound)
+    monkeypatch.setattr(langid_kn, "MAX_BROADCAST", broadcast)
+    assert langid_kn.fit(docs)[0].joined
+    got = {r.doc_id: r for r in langid_kn.identify(docs, fold("doc_id", 5) == 0).collect()}
+    assert len(got) == len(want) == 67
+    for i, r in want.items():
+        assert (r.lang_pred, r.rejected, r.held_out) == (got[i].lang_pred, got[i].rejected, got[i].held_out)
+        assert math.isclose(r.score, got[i].score, rel_tol=1e-9)
+        assert (r.cross_entropy is None) == (got[i].cross_entropy is None)
+        assert r.cross_entropy is None or math.isclose(r.cross_entropy, got[i].cross_entropy, rel_tol=1e-9)
+
+
 def test_rejection_limits_withstand_outliers_copies_and_rare_languages(spark):
     texts, langs = babble(7, 120)
     rnd = random.Random(2)
