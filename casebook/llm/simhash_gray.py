@@ -229,8 +229,8 @@ def links(distinct: DataFrame, limit: int, leaf_size: int = LEAF_SIZE) -> DataFr
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2,
                     leaf_size: int = LEAF_SIZE) -> DataFrame:
-    """doc_id, key, fp (64 bits as a long) and component_id of every document; ``key`` tells
-    rows apart (``row_key``)."""
+    """doc_id, key, fp (64 bits as a long), component_id and root (a fingerprint that names the
+    component) of every document; ``key`` tells rows apart (``row_key``)."""
     reach_workers(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -250,5 +250,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2,
     rooted = distinct.join(hung, distinct["fp"] == hung["a"], "left").select(
         "fp", "least", F.coalesce("b", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "key", "fp", "component_id")
+    by_print = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(by_print, "fp").select("doc_id", "key", "fp", "component_id", "root")

@@ -6,8 +6,7 @@ in the shared checkpoint folder and reads it back as the next stage's input, so
 works on all and only what the stage before it kept.
 
 Null and empty texts leave at the first stage (no letter).  Repeated rows form one group of
-near duplicates, of which one row stays; so do rows with a null id that have an equal in
-their group with an id, while a group whose ids are all null keeps every distinct row.
+near duplicates; of every group exactly one row stays, also where ids are null or repeated.
 An empty table passes through as an empty table.  Extra columns of ``docs`` are kept.
 """
 
@@ -38,10 +37,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one with the smallest id, of each group of near duplicates."""
+    """Keep one document, the one with the smallest id (nulls last, then the smallest row key),
+    of each group of near duplicates."""
     groups = simhash_gray.near_duplicates(docs, shingle=3, limit=2)
-    kept = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("key").alias(ROW_KEY)).distinct())
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    kept = groups.groupBy("root").agg(least.alias("first")).select(F.col("first.key").alias(ROW_KEY))
     return (docs.withColumn(ROW_KEY, row_key()).join(kept, ROW_KEY, "left_semi")
             .dropDuplicates([ROW_KEY]).drop(ROW_KEY))
 

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from casebook.llm import catalog, langid_kn, quality_pu
 from casebook.llm.common import fold, read, stage
 
+from .helpers import documents
 from .test_dedup import brute_components, brute_removed, plain_simhash
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +69,19 @@ def test_run_equals_brute_force(spark):
     assert max(ends.values()) <= 4096
 
 
+def test_one_row_of_each_group_stays_without_ids_of_their_own(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join(words + [f"v{k}"]) for k in range(4)]
+    other = " ".join(f"q{i}" for i in range(300))
+    assert all(bin(plain_simhash(a) ^ plain_simhash(near[0])).count("1") <= 2 for a in near)
+    for ids in ([None] * 6, [5] * 4 + [7, 7], [None, 3, 3, None, None, None]):
+        docs = documents(spark, near + [other, other], ids)
+        kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+        assert len(kept) == 2 and {r.text == other for r in kept} == {True, False}
+        first = next(r.doc_id for r in kept if r.text != other)
+        assert first == min((i for i in ids[:4] if i is not None), default=None)
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, function in corpus_pipeline.STAGES:
