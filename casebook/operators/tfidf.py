@@ -15,12 +15,14 @@ aggregation; the vocabulary is a bounded top-k (``max_features`` rows, broadcast
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.stopwords import ENGLISH
 from casebook.plans.stage import materialise
-from casebook.sources.ingest import scratch_dir
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MAX_FEATURES = 10000
@@ -95,73 +97,93 @@ def top_terms(weights: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFra
 
 # ---------------------------------------------------------------- M2 / M3
 
-def logit_baseline(data: DataFrame, text_col: str = "text", label_col: str = "label",
-                   key: str = "doc_id", test_size: float = 0.25, c: float = 1.0,
-                   max_features: int = MAX_FEATURES, seed: int = 42,
-                   fit_partitions: int | None = None):
-    """Fit TF-IDF + logistic regression on a stratified split; returns
-    (predictions DataFrame [key, true_diagnosis, predicted_diagnosis], n_features, n_train).
-
-    Two classes get one binary model, more classes one model each against the rest.  Labels
-    are indexed over the whole split, so no class is added for unseen ones.  Feature weights
-    are M1's: tf · (ln((1 + n) / (1 + df)) + 1), rows of length 1.  ``fit_partitions`` sets the
-    number of training partitions (each solver iteration is one job over them).
-
-    Regularisation matches C=1 of the reference: Spark minimises the mean loss plus
-    regParam/2·|w|², so regParam = 1 / (C · n_train).  Coefficients are not bit-equal to
-    liblinear's (which also penalises the intercept); results are compared by metrics.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
-    from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString,
-                                    Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer)
-    from pyspark.ml.linalg import Vectors
-
+def sparse_rows(split: DataFrame, id_col: str, text_col: str, max_features: int = MAX_FEATURES,
+                fitted: str = "split = 'train'") -> tuple[DataFrame, int]:
+    """(rows of ``split`` without the text, with ``cols`` and ``vals``; number of features).
+
+    Vocabulary and idf come from the rows where ``fitted`` holds; weights are M1's (tf x idf,
+    rows of length 1), columns are numbered in vocabulary order (commonest first).  Rows
+    without a known term have empty arrays."""
+    other = [c for c in split.columns if c not in (id_col, text_col)]
+    counts = materialise(term_counts(split, id_col, text_col))
+    known = split.where(fitted).select(id_col)
+    n_docs = known.agg(F.count(F.lit(1))).scalar()
+    terms = (counts.join(known, id_col, "left_semi").groupBy("term")
+             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")))
+    common = Window.orderBy(F.col("total_tf").desc(), F.col("term"))       # over max_features rows
+    vocab = materialise(terms.orderBy(F.col("total_tf").desc(), F.col("term")).limit(max_features)
+                        .select("term", (F.row_number().over(common) - 1).alias("col"),
+                                (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    items = (counts.join(F.broadcast(vocab), "term").groupBy(id_col)
+             .agg(F.sort_array(F.collect_list(F.struct("col", (F.col("tf") * F.col("idf")).alias("raw"))))
+                  .alias("items")))
+    norm = F.sqrt(F.aggregate("items", F.lit(0.0), lambda a, x: a + x["raw"] * x["raw"]))
+    items = items.select(id_col, F.col("items.col").alias("cols"),
+                         F.transform("items", lambda x: x["raw"] / norm).alias("vals"))
+    rows = split.select(id_col, *other).join(items, id_col, "left").select(
+        id_col, *other, F.coalesce("cols", F.array().cast("array<int>")).alias("cols"),
+        F.coalesce("vals", F.array().cast("array<double>")).alias("vals"))
+    return rows, vocab.count()
+
+
+@dataclass
+class Baseline:
+    """A fitted baseline: test predictions, class names and the models with their gradients."""
+    predictions: DataFrame            # key, true_diagnosis, predicted_diagnosis
+    labels: list[str]
+    classes: list[int]                # class number of each model
+    weights: np.ndarray               # one line per model, intercept last
+    gradient_norms: np.ndarray
+    n_features: int
+    n_train: int
+    passes: int
+
+    def models(self) -> DataFrame:
+        """label, n_features, weight_norm, intercept, gradient_norm: one row per model."""
+        spark = self.predictions.sparkSession
+        return spark.createDataFrame(
+            [(self.labels[k], self.n_features, float(np.linalg.norm(w)), float(w[-1]), float(g))
+             for k, w, g in zip(self.classes, self.weights, self.gradient_norms)],
+            "label string, n_features long, weight_norm double, intercept double, gradient_norm double")
+
+
+def fit_baseline(data: DataFrame, text_col: str = "text", label_col: str = "label",
+                 key: str = "doc_id", test_size: float = 0.25, c: float = 1.0,
+                 max_features: int = MAX_FEATURES, seed: int = 42) -> Baseline:
+    """TF-IDF + logistic regression on a stratified split (M2): one model for two classes, one
+    model each against the rest for more (``operators.logit``).
+
+    Labels are numbered in sorted order over the whole split.  Class names and models
+    (classes x features) are what the driver holds; rows stay distributed.  ``key`` must be
+    unique, null labels are left out."""
+    from casebook.operators import logit
     from casebook.operators.splits import stratified_split
 
-    data = data.select(key, text_col, F.col(label_col).cast("string").alias("label_str"))
-    # Several fits and L-BFGS passes read the split: it is written once.
+    data = (data.select(key, text_col, F.col(label_col).cast("string").alias("label_str"))
+            .where("label_str IS NOT NULL"))
     split = materialise(stratified_split(data, key, "label_str", test_size, seed))
-    train = split.where(F.col("split") == "train")
-    test = split.where(F.col("split") == "test")
-    if fit_partitions:
-        train = train.coalesce(fit_partitions)
-    n_train = train.count()
-    indexer = StringIndexer(inputCol="label_str", outputCol="y",
-                            stringOrderType="alphabetAsc").fit(split)
-    counted = Pipeline(stages=[
-        indexer,
-        RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=TOKEN_PATTERN, gaps=False,
-                       toLowercase=True, minTokenLength=2),
-        StopWordsRemover(inputCol="tokens", outputCol="terms", stopWords=list(english_stop_words())),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_features),
-    ]).fit(train)
-    train = counted.transform(train)
-    idf = IDF(inputCol="tf", outputCol="unused").fit(train).idf.toArray() + 1.0
-    weigh = ElementwiseProduct(inputCol="tf", outputCol="weighted", scalingVec=Vectors.dense(idf))
-    scale = Normalizer(inputCol="weighted", outputCol="features", p=2.0)
-
-    def features(df):
-        return scale.transform(weigh.transform(df))
-
-    lr = LogisticRegression(featuresCol="features", labelCol="y", predictionCol="pred",
-                            regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0,
-                            standardization=False, maxIter=100,
-                            tol=1e-4)   # the reference's solver stops at tolerance 1e-4
-    # liblinear fits one binary model for two classes and one-vs-rest above that
-    solver = lr if len(indexer.labels) <= 2 else OneVsRest(
-        classifier=lr, featuresCol="features", labelCol="y", predictionCol="pred")
-    model = solver.fit(features(train))
-    # The stored model is the fitted one without its training summary, which holds on to the
-    # session and could not travel to the executors.
-    path = scratch_dir(data.sparkSession, "baseline-model")
-    model.write().overwrite().save(path)
-    model = type(model).load(path)
-    out = model.transform(features(counted.transform(test)))
-    out = IndexToString(inputCol="pred", outputCol="predicted_diagnosis",
-                        labels=indexer.labels).transform(out)
-    preds = out.select(key, F.col("label_str").alias("true_diagnosis"), "predicted_diagnosis")
-    return preds, len(counted.stages[3].vocabulary), n_train
+    labels = sorted(r[0] for r in split.select("label_str").distinct().collect())
+    number = F.create_map(*[x for i, name in enumerate(labels) for x in (F.lit(name), F.lit(i))]) \
+        if labels else F.create_map().cast("map<string,int>")
+    rows, n_features = sparse_rows(split, key, text_col, max_features)
+    rows = materialise(rows.withColumn("y", number[F.col("label_str")]))
+    train = rows.where("split = 'train'")
+    classes = [1] if len(labels) == 2 else list(range(len(labels)))
+    weights, norms, passes = logit.fit(train.select("y", "cols", "vals"), classes, n_features, c)
+    told = logit.predict(rows.where("split = 'test'"), weights, classes, [key, "label_str"]) if labels else \
+        rows.select(key, "label_str", F.lit(0).alias("pred"))
+    names = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
+    preds = told.select(key, F.col("label_str").alias("true_diagnosis"),
+                        F.get(names, F.col("pred")).alias("predicted_diagnosis"))
+    return Baseline(preds, labels, classes, weights, norms, n_features, train.count(), passes)
+
+
+def logit_baseline(data: DataFrame, text_col: str = "text", label_col: str = "label",
+                   key: str = "doc_id", test_size: float = 0.25, c: float = 1.0,
+                   max_features: int = MAX_FEATURES, seed: int = 42):
+    """(predictions [key, true_diagnosis, predicted_diagnosis], n_features, n_train) of ``fit_baseline``."""
+    found = fit_baseline(data, text_col, label_col, key, test_size, c, max_features, seed)
+    return found.predictions, found.n_features, found.n_train
 
 
 def baseline_report(preds: DataFrame, n_features: int, n_train: int) -> DataFrame:

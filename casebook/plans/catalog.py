@@ -490,12 +490,31 @@ def q_tfidf_top_terms(spark, sf):
     return TF.top_terms_per_doc(docs, 5)
 
 
-@register("logit_baseline_report")
+@register("logit_baseline_report", O.BASELINE["logit_baseline_report"])
 def q_logit_baseline_report(spark, sf):
     preds, n_features, n_train = TF.logit_baseline(V.labelled_docs(spark, sf))
     return TF.baseline_report(preds, n_features, n_train)
 
 
+def _language_baseline(spark, sf):
+    docs = _rt(spark, sf, "documents").select("doc_id", "text", "lang")
+    return TF.fit_baseline(docs, label_col="lang", max_features=O.LANGUAGE_FEATURES)
+
+
+@register("logit_models", O.BASELINE["logit_models"])
+def q_logit_models(spark, sf):
+    """One model per language against the rest; the optimum is where the gradient vanishes."""
+    return _language_baseline(spark, sf).models().select(
+        "label", "n_features", F.round("weight_norm", 4).alias("weight_norm"),
+        F.round("intercept", 4).alias("intercept"), (F.col("gradient_norm") < 1e-6).alias("at_optimum"))
+
+
+@register("logit_languages", O.BASELINE["logit_languages"])
+def q_logit_languages(spark, sf):
+    return (_language_baseline(spark, sf).predictions.groupBy("true_diagnosis", "predicted_diagnosis")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 # ---------------------------------------------------------------- coverage additions
 
 MO = O.MORE

@@ -1290,3 +1290,97 @@ EXTRA = {
         FROM conditions
         UNION ALL SELECT 'BIRTHDATE', count(*), count(*) FILTER (WHERE BIRTHDATE IS NULL), 0 FROM patients"""),
 }
+
+
+# ---------------------------------------------------------------- logistic-regression baseline (M2, M3)
+
+def baseline_sql(body: str, docs: str, max_features: int, *views: str) -> str:
+    """The baseline by another road than Spark's: features from plain windows, every model by
+    accelerated gradient descent with a fixed step (20 sqrt(condition number) rounds), then
+    the test rows' greatest margins as ``ok`` (true_diagnosis, predicted_diagnosis)."""
+    steps = {
+        "d": docs,
+        "s": f"""SELECT doc_id, label, text, {_hash('doc_id')} AS h,
+                        CASE WHEN (SELECT min(c) FROM (SELECT label, count(*) AS c FROM d GROUP BY label) x) >= 2
+                             THEN label ELSE '*' END AS stratum
+                 FROM d WHERE label IS NOT NULL""",
+        "sp": """SELECT s.doc_id, s.label, s.text,
+                        row_number() OVER (PARTITION BY s.stratum ORDER BY s.h, s.doc_id) - 1
+                            < floor(nn.n * CAST(0.75 AS DOUBLE)) AS fitted
+                 FROM s JOIN (SELECT stratum, count(*) AS n FROM s GROUP BY stratum) nn ON s.stratum = nn.stratum""",
+        "tc": f"""SELECT doc_id, fitted, term, count(*) AS tf
+                  FROM (SELECT doc_id, fitted, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'))
+                               AS term FROM sp) t
+                  WHERE term NOT IN ({_STOP}) GROUP BY doc_id, fitted, term""",
+        "nd": "SELECT count(*) AS n, 1 + count(*) / 2 AS lip, sqrt(1 + count(*) / 2) AS root FROM sp WHERE fitted",
+        "vocab": f"""SELECT term, ln((CAST(1 AS DOUBLE) + nd.n) / (CAST(1 AS DOUBLE) + df)) + 1 AS idf
+                     FROM (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM tc WHERE fitted GROUP BY term) t,
+                          nd
+                     ORDER BY total_tf DESC, term LIMIT {max_features}""",
+        "raw": "SELECT doc_id, fitted, tc.term, tf * idf AS raw FROM tc JOIN vocab ON tc.term = vocab.term",
+        "x": """SELECT doc_id, fitted, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS val FROM raw
+                UNION ALL SELECT doc_id, fitted, '', 1.0 FROM sp""",
+        "names": "SELECT DISTINCT label FROM sp",
+        "model": """SELECT label FROM names WHERE (SELECT count(*) FROM names) > 2
+                                               OR label = (SELECT max(label) FROM names)""",
+        "y": """SELECT sp.doc_id, model.label, CASE WHEN sp.label = model.label THEN 1.0 ELSE -1.0 END AS side
+                FROM sp, model WHERE fitted""",
+        "fx": "SELECT doc_id, term, val FROM x WHERE fitted",
+        "descent(t, label, term, w, w0)": """
+            SELECT 0, label, term, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+            FROM model, (SELECT DISTINCT term FROM fx) f
+            UNION ALL
+            SELECT a.t + 1, a.label, a.term,
+                   (a.w + (nd.root - 1) / (nd.root + 1) * (a.w - a.w0)) * (1 - 1 / nd.lip) - g.slope / nd.lip, a.w
+            FROM descent a
+            JOIN (SELECT m.label, fx.term, sum(m.pull * fx.val) AS slope
+                  FROM fx JOIN (
+                      SELECT y.doc_id, y.label, -y.side / (1 + exp(y.side * z.z)) AS pull
+                      FROM y JOIN (SELECT fx.doc_id, b.label,
+                                          sum(fx.val * (b.w + (nd.root - 1) / (nd.root + 1) * (b.w - b.w0))) AS z
+                                   FROM fx JOIN descent b ON b.term = fx.term, nd
+                                   GROUP BY fx.doc_id, b.label) z
+                        ON z.doc_id = y.doc_id AND z.label = y.label) m ON m.doc_id = fx.doc_id
+                  GROUP BY m.label, fx.term) g ON g.label = a.label AND g.term = a.term, nd
+            WHERE a.t < 20 * nd.root""",
+        "w": "SELECT label, term, w FROM descent WHERE t = (SELECT max(t) FROM descent)",
+        "z": """SELECT x.doc_id, w.label, sum(x.val * w.w) AS z FROM x JOIN w ON x.term = w.term
+                WHERE NOT x.fitted GROUP BY x.doc_id, w.label""",
+        "told": """SELECT doc_id, CASE WHEN (SELECT count(*) FROM names) > 2 THEN arg_max(label, z)
+                                       WHEN max(z) > 0 THEN max(label)
+                                       ELSE (SELECT min(label) FROM names) END AS label
+                   FROM z GROUP BY doc_id""",
+        "ok": """SELECT sp.label AS true_diagnosis, told.label AS predicted_diagnosis
+                 FROM sp JOIN told ON told.doc_id = sp.doc_id""",
+        "pc": PER_CLASS, "cls": CLS,
+    }
+    return with_views(body, *views, extra=steps).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+BASELINE_REPORT = f"""
+    SELECT 'accuracy' AS metric, round(avg(CASE WHEN true_diagnosis = predicted_diagnosis THEN 1.0 ELSE 0.0 END), 6)
+           AS value FROM ok
+    UNION ALL SELECT 'f1_macro', f1 FROM ({CLASS_REPORT}) r WHERE label = 'macro avg'
+    UNION ALL SELECT 'f1_weighted', f1 FROM ({CLASS_REPORT}) r WHERE label = 'weighted avg'
+    UNION ALL SELECT 'n_test', CAST(count(*) AS DOUBLE) FROM ok
+    UNION ALL SELECT 'n_train', CAST(n AS DOUBLE) FROM nd
+    UNION ALL SELECT 'n_features', CAST(count(*) AS DOUBLE) FROM vocab
+    UNION ALL SELECT 'n_classes', CAST(count(DISTINCT true_diagnosis) AS DOUBLE) FROM ok
+    UNION ALL SELECT m.name || '[' || label || ']',
+                     CASE m.name WHEN 'precision' THEN precision WHEN 'recall' THEN recall
+                                 WHEN 'f1' THEN f1 ELSE CAST(support AS DOUBLE) END
+              FROM ({CLASS_REPORT}) r, (SELECT unnest(['precision', 'recall', 'f1', 'support']) AS name) m"""
+
+LANGUAGE_FEATURES = 400
+
+BASELINE = {
+    "logit_baseline_report": baseline_sql(BASELINE_REPORT, "SELECT doc_id, text, label FROM labelled_docs",
+                                          MAX_FEATURES, "labelled_docs"),
+    "logit_models": baseline_sql("""
+        SELECT w.label, (SELECT count(*) FROM vocab) AS n_features, round(sqrt(sum(w * w)), 4) AS weight_norm,
+               round(sum(w) FILTER (WHERE term = ''), 4) AS intercept, true AS at_optimum
+        FROM w GROUP BY w.label""", "SELECT doc_id, text, lang AS label FROM documents", LANGUAGE_FEATURES),
+    "logit_languages": baseline_sql("""
+        SELECT true_diagnosis, predicted_diagnosis, count(*) AS n FROM ok GROUP BY ALL""",
+        "SELECT doc_id, text, lang AS label FROM documents", LANGUAGE_FEATURES),
+}

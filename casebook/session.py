@@ -67,3 +67,13 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     path = fallback or os.path.join(os.environ.get("TMPDIR", "/tmp"), "casebook-checkpoints")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, also when the
+    session was started without it on its path (``--py-files`` does the same on a cluster)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])

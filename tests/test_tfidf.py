@@ -2,6 +2,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from casebook.operators import tfidf as TF
 
@@ -35,21 +36,41 @@ def test_raw_text_is_not_shuffled(spark):
     assert len(exchanges) == 1 and "text" not in exchanges[0] and "partial_count" in plan
 
 
-def test_two_classes_are_fitted_as_two(spark, monkeypatch):
-    from pyspark.ml.classification import LogisticRegression
-    seen = []
-    fit = LogisticRegression.fit
-    monkeypatch.setattr(LogisticRegression, "fit",
-                        lambda self, df, *a: seen.append(fit(self, df, *a)) or seen[-1])
+def test_two_classes_are_fitted_as_two(spark):
     rows = [(i, ("fever cough ache " if i % 2 else "chest heart pulse ") * (1 + i % 3), "AB"[i % 2])
             for i in range(60)]
-    preds, n_features, n_train = TF.logit_baseline(
-        spark.createDataFrame(rows, "doc_id long, text string, label string"))
-    assert [m.numClasses for m in seen] == [2] and n_train == 44 and n_features == 6
-    rep = {r.metric: r.value for r in TF.baseline_report(preds, n_features, n_train).collect()}
+    found = TF.fit_baseline(spark.createDataFrame(rows, "doc_id long, text string, label string"))
+    assert found.classes == [1] and found.n_train == 44 and found.n_features == 6
+    assert found.gradient_norms.max() < 1e-6
+    rep = {r.metric: r.value for r in TF.baseline_report(found.predictions, found.n_features, found.n_train).collect()}
     assert rep["accuracy"] == 1.0 and rep["f1[A]"] == 1.0 and rep["support[A]"] + rep["support[B]"] == 16
 
 
+def test_sparse_rows_are_the_weights_of_m1(spark):
+    docs = _docs(spark).withColumn("split", F.lit("train"))
+    rows, n = TF.sparse_rows(docs, "doc_id", "text")
+    assert n == 6
+    want = {}
+    for r in TF.tfidf(_docs(spark)).collect():
+        want.setdefault(r.doc_id, []).append(r.weight)
+    got = {r.doc_id: list(r.vals) for r in rows.collect()}
+    assert got.keys() == {1, 2, 3} and got[3] == []
+    for d, w in want.items():
+        assert sorted(got[d]) == pytest.approx(sorted(w))
+
+
+def test_baseline_of_odd_tables(spark):
+    schema = "doc_id long, text string, label string, split string, cols string"
+    rows = [(i, None if i % 7 == 0 else "" if i % 5 == 0 else f"w{i % 3} and more", None if i == 3 else "abc"[i % 3],
+             "x", "y") for i in range(40)]
+    found = TF.fit_baseline(spark.createDataFrame(rows, schema))
+    assert found.labels == ["a", "b", "c"] and found.predictions.count() + found.n_train == 39
+    empty = TF.fit_baseline(spark.createDataFrame([], schema))
+    assert empty.predictions.count() == 0 and empty.n_train == 0
+    one = TF.fit_baseline(spark.createDataFrame([(i, "x y", "only", "", "") for i in range(8)], schema))
+    assert {r.predicted_diagnosis for r in one.predictions.collect()} == {"only"}
+
+
 def test_encode_labels_sorted_classes(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, "a"), (5, None)], "id long, label string")
     got = {r.id: r.label_index for r in TF.encode_labels(df).collect()}
