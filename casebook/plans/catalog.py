@@ -417,7 +417,7 @@ def _export_event_archives(spark, sf, root):
 def q_merge_tables(spark, sf):
     root = I.scratch_dir(spark, "merge")
     paths = _export_event_archives(spark, sf, root)
-    merged = I.merge_exports(spark, paths).withColumn("_row", F.monotonically_increasing_id())
+    merged = I.merge_exports(spark, paths)
     d = I.dedup_keep_first(merged.select("Id", "user_id", "event_type", "value", "_src", "_row"),
                            "Id", ["_src", "_row"])
     return d.select(F.col("Id").cast("long").alias("Id"), F.col("user_id").cast("long").alias("user_id"),
@@ -454,6 +454,27 @@ def q_csv_parquet_roundtrip(spark, sf):
     return spark.read.parquet(f"{out}/conditions")
 
 
+@register("typed_ingest", IG["typed_ingest"])
+def q_typed_ingest(spark, sf):
+    """An all-text export whose columns get the narrowest type that holds their values."""
+    root, e = I.scratch_dir(spark, "typed"), V.read_table(spark, sf, "events")
+    every = lambda n: F.col("event_id") % n == 0
+    number = F.col("event_id").cast("string")
+    I.write_csv(e.select(
+        F.col("event_id").alias("Id"),
+        F.when(every(5), "n/a").otherwise(F.col("user_id").cast("string")).alias("USER_ID"),
+        F.when(every(3), (F.col("event_id") % 100).cast("string")).otherwise(F.col("value").cast("string"))
+         .alias("VALUE"),
+        F.when(every(2), "True").otherwise("False").alias("FLAG"),
+        F.when(every(2), "True").otherwise(number).alias("MIXED"),
+        F.when(every(7), F.concat(F.lit("1"), F.lpad(number, 20, "0"))).otherwise(number).alias("BIG"),
+        F.when(every(4), "NaN").otherwise(F.concat("event_type", F.lit('\n"x", y'))).alias("TYPE"),
+        F.col("ts").cast("date").alias("DATE"), F.lit("").alias("NOTHING")), f"{root}/csv")
+    out = I.scratch_dir(spark, "typed-out")
+    I.convert_table(spark, "events", I.find_files(spark, f"{root}/csv", ".csv"), out, keep="*")
+    return spark.read.parquet(f"{out}/events")
+
+
 @register("load_report")
 def q_load_report(spark, sf):
     _, report = _convert(spark, sf)

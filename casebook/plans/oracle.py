@@ -1076,8 +1076,18 @@ INGEST = {
         WHERE rn = 1""",
     "csv_parquet_roundtrip": with_views("""
         SELECT CAST(START AS DATE) AS START, CAST(STOP AS DATE) AS STOP,
-               CAST(PATIENT AS VARCHAR) AS PATIENT, CODE, DESCRIPTION FROM conditions""",
+               PATIENT, CAST(CODE AS BIGINT) AS CODE, DESCRIPTION FROM conditions""",
         "conditions"),
+    "typed_ingest": """
+        SELECT event_id AS Id, CASE WHEN event_id % 5 <> 0 THEN user_id END AS USER_ID,
+               CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 100 AS DOUBLE) ELSE value END AS VALUE,
+               event_id % 2 = 0 AS FLAG,
+               CASE WHEN event_id % 2 = 0 THEN 'True' ELSE CAST(event_id AS VARCHAR) END AS MIXED,
+               CASE WHEN event_id % 7 = 0 THEN '1' || lpad(CAST(event_id AS VARCHAR), 20, '0')
+                    ELSE CAST(event_id AS VARCHAR) END AS BIG,
+               CASE WHEN event_id % 4 <> 0 THEN event_type || chr(10) || '"x", y' END AS TYPE,
+               CAST(ts AS DATE) AS DATE, CAST(NULL AS VARCHAR) AS NOTHING
+        FROM events""",
     "jsonl_roundtrip": with_views("SELECT text, label FROM samples", "conditions", "patients",
                                   extra=_corpus_sql(True)),
     "dedup_latest": """

@@ -224,3 +224,41 @@ def test_router_config_and_result_document(spark, root):
     doc = _json.loads(spark.read.text(f"file:{root}/run/document").first()[0])
     assert doc == {"metadata": {"model": "m", "seed": 3}, "metrics": {"processed": 2, "accuracy": 0.5}}
     assert spark.read.parquet(f"file:{root}/run/predictions").count() == 1
+
+
+def test_kinds_widen_to_a_type(spark):
+    from pyspark.sql import functions as F
+    rows = [("1", "1", "1.5", "True", "1", "x", None, "9223372036854775807", "007", " 5 "),
+            ("2", "NaN", "2", "false", "True", "NA", "", "9223372036854775808", "8", "-3"),
+            (None, "-3", "1e5", "n/a", "", "1", "null", "1", "null", "+4")]
+    names = ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    types = I.infer_types(df)
+    assert types == {"a": "bigint", "b": "bigint", "c": "double", "d": "boolean", "e": "string", "f": "string",
+                     "g": "string", "h": "string", "i": "bigint", "j": "bigint"}
+    out = [tuple(r) for r in I.typed(df, types).orderBy("a").collect()]
+    assert out[1] == (1, 1, 1.5, True, "1", "x", None, "9223372036854775807", 7, 5)
+    assert out[0] == (None, -3, 100000.0, None, None, "1", None, "1", None, 4)
+    # kinds of parts merge to the kinds of the whole
+    parts = [df.limit(1), df.exceptAll(df.limit(1))]
+    merged = {n: 0 for n in names}
+    for p in parts:
+        seen = p.agg(*I.kinds_seen(names)).first()
+        merged = {n: merged[n] | (seen[n] or 0) for n in names}
+    assert {n: I.type_of(k) for n, k in merged.items()} == types
+    assert I.infer_types(df.limit(0)) == {n: "string" for n in names}
+
+
+def test_converted_tables_are_typed(spark, root):
+    _write(f"{root}/t1/csv/observations.csv",
+           'DATE,PATIENT,ENCOUNTER,CODE,DESCRIPTION,VALUE,UNITS\n2001-01-01,p1,e1,8302-2,"a\nb",1,cm\n')
+    _write(f"{root}/t2/csv/observations.csv",
+           "DATE,PATIENT,ENCOUNTER,CODE,DESCRIPTION,VALUE,UNITS\nbad,p2,e2,1,c,2.5,NA\n")
+    out = I.scratch_dir(spark, "typed")
+    rep = {r.table: r for r in I.convert_exports(spark, [f"file:{root}"], out).collect()}
+    assert (rep["observations"].rows, rep["observations"].rejected_dates) == (2, 1)
+    got = spark.read.parquet(f"{out}/observations")
+    kinds = dict(got.dtypes)
+    assert kinds["VALUE"] == "double" and kinds["CODE"] == "string" and kinds["DATE"] == "date"
+    assert sorted((r.PATIENT, r.DESCRIPTION, r.VALUE, r.UNITS) for r in got.collect()) == [
+        ("p1", "a\nb", 1.0, "cm"), ("p2", "c", 2.5, None)]
