@@ -49,6 +49,12 @@ def doc_texts(docs: DataFrame, *extra: str) -> DataFrame:
                        *[F.col(c) for c in extra])
 
 
+def named(column: str, inside: str = "") -> Column:
+    """The column of exactly this name (dots and backticks taken literally), of a struct if named."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{inside}.{quoted}" if inside else quoted)
+
+
 def row_key() -> Column:
     """64-bit key of a (doc_id, text) row; repeated rows share it."""
     return F.xxhash64("doc_id", "text")
@@ -101,14 +107,25 @@ def ragged(values: np.ndarray, lengths: list[int] | np.ndarray, kind=None) -> pa
 
 
 class Memo(dict):
-    """word -> value cache of one Python worker; emptied when ``limit`` is passed, so its
-    memory stays bounded however many distinct words go by."""
+    """word -> value cache of one Python worker, in two generations of at most ``limit`` words:
+    a full generation becomes the old one, whose words come over when they are asked for
+    again, and the old one before it is dropped.  Memory stays bounded however many
+    distinct words go by, and words in use are kept."""
 
     def __init__(self, limit: int):
         super().__init__()
         self.limit = limit
+        self.old: dict = {}
 
-    def need(self, words: set) -> list:
+    def need(self, words) -> list:
+        """Those of ``words`` that the caller must add; the others can be read until the next call."""
         if len(self) + len(words) > self.limit:
+            self.old = dict(self)
             self.clear()
-        return [w for w in words if w not in self]
+        missing = [w for w in words if w not in self]
+        if self.old:
+            again = {w: self.old[w] for w in missing if w in self.old}
+            if again:
+                self.update(again)
+                missing = [w for w in missing if w not in again]
+        return missing
