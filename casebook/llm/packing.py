@@ -1,21 +1,21 @@
 """Sum-of-squares packing of documents into sequences (operator 9).
 
 Each document becomes its token ids and an end id; documents longer than a sequence are cut
-into full pieces and a rest.  Pieces are dealt by hash into buckets of about
+into full pieces and a rest.  Pieces are dealt by row number into buckets of about
 ``BUCKET_PIECES`` and each bucket is packed on its own, longest piece first: of the gaps
 that hold the piece, it goes where the sum over gaps g of N(g)^2 becomes smallest, N(g)
 being the number of open sequences with gap g (ties: the smallest gap).  A sequence is
 opened only when no open one can take the piece.  A bucket keeps one counter per gap, so
 its memory is bounded by the bucket, and a bucket wastes at most its last few gaps.
 
-Null and empty texts give one piece that holds the end id alone; repeated rows give their
-own pieces; an empty table gives no rows; other columns are not read.
+Null and empty texts give one piece that holds the end id alone; repeated rows and rows with null
+ids give their own pieces; pieces of one length are placed in (doc_id, piece) order; a very long
+text is cut like any other; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,51 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import Memo, batches_of, chunks, doc_texts
-from casebook.llm.token_counts import CACHE_WORDS, WordBpe, word_bpe
+from casebook.llm.common import batches_of, chunks, doc_texts
+from casebook.llm.token_counts import word_bpe
+from casebook.llm.word_arrays import gather, slices
 
 BUCKET_PIECES = 50_000
-
-
-@lru_cache(maxsize=2)
-def _memo(path: str) -> Memo:
-    return Memo(CACHE_WORDS)
-
-
-def _text_ids(bpe: WordBpe, memo: Memo, texts: list[str]) -> list[bytes]:
-    """Little-endian 32-bit token ids of each text."""
-    split = [bpe.pieces(t) for t in texts]
-    words = [[bpe.words(p) if i % 2 == 0 else p for i, p in enumerate(ps)] for ps in split]
-    new = memo.need({w for ps in words for ws in ps[::2] for w in ws})
-    if new:
-        flat, n = bpe.merge(new)
-        raw, cuts = flat.astype("<u4").tobytes(), (np.cumsum(np.r_[0, n]) * 4).tolist()
-        memo.update((w, raw[a:b]) for w, a, b in zip(new, cuts[:-1], cuts[1:]))
-    get = memo.__getitem__
-    return [b"".join([b"".join(map(get, x)) if i % 2 == 0 else bpe.special[x].to_bytes(4, "little")
-                      for i, x in enumerate(ps)]) for ps in words]
+BUCKET = "casebook_bucket"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length and ``ids`` (binary, little-endian 32-bit) of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, memo, end = word_bpe(tokenizer_path), _memo(tokenizer_path), end_id.to_bytes(4, "little")
+        bpe = word_bpe(tokenizer_path)
         for batch in batches_of(batches):
             for part in chunks(batch):
-                row, piece, start, length, ids = [], [], [], [], []
-                for i, raw in enumerate(_text_ids(bpe, memo, part.column("text").to_pylist())):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at:at + 4 * capacity]
-                        row.append(i)
-                        piece.append(k)
-                        start.append(at // 4)
-                        length.append(len(own) // 4)
-                        ids.append(own)
+                flat, at, size, n = bpe.encode(part.column("text"))
+                total = n + 1
+                ids = np.empty(int(total.sum()), dtype="<u4")
+                last = np.zeros(len(ids), dtype=bool)
+                last[np.cumsum(total) - 1] = True
+                ids[last], ids[~last] = end_id, gather(flat, at, size)
+                k = -(-total // capacity)
+                row = np.repeat(np.arange(len(total)), k)
+                piece = np.arange(len(row)) - (np.cumsum(k) - k)[row]
+                start = piece * capacity
+                length = np.minimum(capacity, total[row] - start)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
-                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)),
+                     pa.array(start), pa.array(length),
+                     slices(ids.view(np.uint8), 4 * np.r_[0, np.cumsum(length)]).cast(pa.binary())],
                     names=["doc_id", "piece", "start", "length", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -107,7 +92,9 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(items: DataFrame, capacity: int = 4096, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """``items`` (doc_id, piece, length, ...) with sequence_id and offset.
 
-    ``items`` is read twice (count and packing): pass a staged table."""
+    ``items`` is read twice (count and packing): pass a staged table, whose rows also have the
+    same numbers when a lost task is run again.  Buckets are dealt by these numbers, so rows
+    that share an id, a null one too, spread like any others."""
     n = max(1, -(-items.count() // bucket_pieces))
     names = items.columns
 
@@ -117,5 +104,5 @@ def pack(items: DataFrame, capacity: int = 4096, bucket_pieces: int = BUCKET_PIE
         return part[names].assign(sequence_id=(np.int64(key[0]) << 32) + seq, offset=offset)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).alias("bucket")
-    return items.groupBy(bucket).applyInPandas(run, f"{schema}, sequence_id long, offset long")
+    dealt = items.withColumn(BUCKET, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+    return dealt.groupBy(BUCKET).applyInPandas(run, f"{schema}, sequence_id long, offset long")
