@@ -37,11 +37,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
-    both = byte_bpe.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
