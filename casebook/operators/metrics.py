@@ -199,22 +199,32 @@ def overall_scores(rows: DataFrame, truth: str = "true_diagnosis",
 
 # ---------------------------------------------------------------- A15
 
-def confusion_matrix(rows: DataFrame, labels: DataFrame, truth: str = "true_diagnosis",
+#: Labels of a dense matrix at most: their squares are rows of the result, their names the driver's.
+DENSE_LABELS = 1000
+
+
+def confusion_matrix(rows: DataFrame, labels: DataFrame | None = None, truth: str = "true_diagnosis",
                      pred: str = "predicted_diagnosis", dense: bool = False) -> DataFrame:
-    """actual, predicted, n over ``labels`` (a one-column frame ``label``): every pair that
-    occurs.  ``dense`` adds a zero row for each pair that does not; it is for a short, given
-    list of labels (a report), whose names the driver then holds.
+    """actual, predicted, n: every pair that occurs, over ``labels`` (a one-column frame ``label``)
+    or, without it, over all labels.  ``dense`` adds a zero row for each pair that does not
+    occur; it is for a given list of at most ``DENSE_LABELS`` labels (a report).
 
-    Rows whose truth or prediction is outside the list are dropped.  Pairs are counted before
-    the list is joined, so a common pair is one row in the joins.
+    Rows whose truth or prediction is null or outside the list are dropped.  Pairs are counted
+    before the list is joined, so a common pair is one row in the joins.
     """
-    lab = labels.select(F.col("label").cast("string").alias("label")).distinct()
-    counts = (rows.groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted"))
+    if dense and labels is None:
+        raise ValueError("a dense matrix needs its list of labels")
+    counts = (rows.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
+                  .groupBy(F.col(truth).cast("string").alias("actual"), F.col(pred).cast("string").alias("predicted"))
                   .agg(F.count(F.lit(1)).alias("n")))
-    for side in ("actual", "predicted"):
-        counts = counts.join(lab.withColumnRenamed("label", side), side, "left_semi")
+    if labels is not None:
+        lab = labels.select(F.col("label").cast("string").alias("label")).distinct()
+        for side in ("actual", "predicted"):
+            counts = counts.join(lab.withColumnRenamed("label", side), side, "left_semi")
     if dense:
-        few = [r["label"] for r in lab.collect()]
+        few = [r["label"] for r in lab.limit(DENSE_LABELS + 1).collect()]
+        if len(few) > DENSE_LABELS:
+            raise ValueError(f"more than {DENSE_LABELS} labels for a dense matrix")
         names = F.array(*[F.lit(x) for x in few]) if few else F.array().cast("array<string>")
         zeros = (rows.sparkSession.range(1).select(F.explode(names).alias("actual"))
                  .select("actual", F.explode(names).alias("predicted"), F.lit(0).alias("n")))
@@ -222,6 +232,12 @@ def confusion_matrix(rows: DataFrame, labels: DataFrame, truth: str = "true_diag
     return counts.select("actual", "predicted", F.col("n").cast("long").alias("n"))
 
 
+def labels_seen(rows: DataFrame, *columns: str) -> DataFrame:
+    """label — the distinct non-null values of the columns."""
+    each = rows.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("label"))
+    return each.where("label IS NOT NULL").distinct()
+
+
 def top_labels(rows: DataFrame, col: str = "true_diagnosis", k: int = 10) -> DataFrame:
     """label — the k most frequent values of ``col`` (ties by value)."""
     return (rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("label"))
@@ -236,9 +252,8 @@ def latency_stats(lat: DataFrame, op_col: str = "operation", value_col: str = "d
     """operation (null = all), is_overall, avg_ms, min_ms, max_ms, p95_ms, count.
 
     One ``rollup`` = GROUPING SETS ((operation), ()).  The exact p95 (numpy-style
-    interpolation) comes from ``quantiles.exact_quantiles`` (bounded memory for continuous
-    durations in a hot group); every row stands for its operation and for the total there, so
-    the input is read once for both.  ``exact=False`` uses a sketch.
+    interpolation) comes from ``quantiles.exact_quantiles``, for the operations and for the
+    total from the same counts.  ``exact=False`` uses a sketch.
     """
     from casebook.operators.quantiles import exact_quantiles
     x = F.col(value_col).cast("double")
@@ -248,12 +263,10 @@ def latency_stats(lat: DataFrame, op_col: str = "operation", value_col: str = "d
         aggs.append(F.percentile_approx(x, 0.95, accuracy).alias("p95_ms"))
     g = lat.rollup(op_col).agg(*aggs).withColumn("is_overall", F.col("gid") == 1)
     if exact:
-        both = lat.select(F.col(op_col).alias("_op"), F.col(value_col), F.explode(F.array(
-            F.lit(False), F.lit(True))).alias("_all"))
-        both = both.withColumn("_op", F.when(~F.col("_all"), F.col("_op")))
-        p = exact_quantiles(both, ["_all", "_op"], value_col, [0.95], ["p95_ms"]).drop("n")
-        g = g.join(p, (g["is_overall"] == p["_all"]) & g[op_col].eqNullSafe(p["_op"]),
-                   "left").drop("_op", "_all")
+        p = exact_quantiles(lat, [op_col], value_col, [0.95], ["p95_ms"], total=True).select(
+            "is_total", F.col(op_col).alias("_op"), "p95_ms")
+        g = g.join(p, (g["is_overall"] == p["is_total"]) & g[op_col].eqNullSafe(p["_op"]),
+                   "left").drop("_op", "is_total")
     return g.select(F.col(op_col).alias("operation"), "is_overall",
                     *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
                       for c in ("avg_ms", "min_ms", "max_ms", "p95_ms")],

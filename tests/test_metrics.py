@@ -135,11 +135,61 @@ def test_exact_quantiles_equal_percentile_with_ties_and_nulls(spark):
     assert exact_quantiles(df.where("g = 'null'"), ["g"], "x", qs, ["a", "b", "c"]).count() == 0
 
 
+def test_order_keys_are_the_bits_of_a_double(spark):
+    import struct
+
+    from casebook.operators.quantiles import with_order_key
+    rnd = random.Random(5)
+    values = [0.0, -0.0, 5e-324, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1.0, 1.0 + 2 ** -52, 1.0 - 2 ** -53, 1.7976931348623157e308,
+              float("inf"), 3.0, 0.1, 1e-310, 2.0 ** 1023, 2.0 ** 52, 7.0 / 3]
+    values += [struct.unpack("<d", rnd.randbytes(8))[0] for _ in range(4000)]
+    values = [v for v in values if v == v]
+    values += [-v for v in values] + [2.0 ** e * m for e in range(-1074, 1024, 7) for m in (1, 0.9999999999999999)]
+
+    def bits(v):
+        n = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        return -n if v < 0 else n
+
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.key for r in with_order_key(df, "x").collect()] == [bits(v) for v in values]
+    nan = with_order_key(spark.createDataFrame([(float("nan"),)], "x double"), "x").first().key
+    assert nan > bits(float("inf"))
+
+
+def test_quantiles_of_awkward_values_and_totals(spark):
+    from pyspark.sql import functions as F
+
+    from casebook.operators.quantiles import exact_quantiles
+    rnd = random.Random(12)
+    rows = [(f"g{i % 7}", rnd.choice([-1, 1]) * 2.0 ** rnd.uniform(-40, 40)) for i in range(5000)]
+    rows += [("near", 1.0 + i * 2 ** -52) for i in range(40)]         # equal but for the last bits
+    rows += [("edge", v) for v in (-0.0, 0.0, float("inf"), -float("inf"), 5e-324)] + [("one", 7.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    out = exact_quantiles(df, ["g"], "x", qs, list("abcde"), total=True).collect()
+    pct = F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("p")
+    want = {r.g: list(r.p) for r in df.where("x IS NOT NULL").groupBy("g").agg(pct).collect()}
+    got = {r.g: [r.a, r.b, r.c, r.d, r.e] for r in out if not r.is_total}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-15, nan_ok=True), k
+    whole = next(r for r in out if r.is_total)
+    assert whole.g is None and whole.n == 5046
+    assert [whole.a, whole.b, whole.c, whole.d, whole.e] == pytest.approx(list(df.agg(pct).first()[0]), rel=1e-15)
+
+
 def test_confusion_matrix_is_long_form_unless_dense(spark):
     rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "x"), ("c", "c")],
                                  "true_diagnosis string, predicted_diagnosis string")
     labels = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
     assert sorted(map(tuple, M.confusion_matrix(rows, labels).collect())) == [("a", "b", 2), ("c", "c", 1)]
+    assert M.confusion_matrix(rows).count() == 3 and M.labels_seen(rows, *rows.columns).count() == 4
+    many = spark.range(40).selectExpr("id AS true_diagnosis", "CASE WHEN id > 0 THEN id % 5 END AS predicted_diagnosis")
+    assert M.confusion_matrix(many).count() == 39
+    with pytest.raises(ValueError):
+        M.confusion_matrix(rows, dense=True)
+    with pytest.raises(ValueError):
+        M.confusion_matrix(rows, spark.range(1001).selectExpr("id AS label"), dense=True)
     dense = M.confusion_matrix(rows, labels, dense=True).collect()
     assert len(dense) == 9 and sum(r.n for r in dense) == 3
 
