@@ -1,8 +1,11 @@
 """Keyword routing.
 
-A router config maps domain -> (keywords, agent_id).  It is small and fixed, so it becomes
-one ``rlike`` per domain inside a single projection: no join, no UDF, whole texts scanned by
-the JVM regex engine.
+A router config maps domain -> (keywords, agent_id).  A config of a few keywords becomes one
+``rlike`` per domain inside a single projection: no join, no UDF, whole texts scanned by the
+JVM regex engine.  That costs a scan per domain and an attempt per keyword and position, so a
+config with more than ``REGEX_KEYWORDS`` keywords becomes one Aho-Corasick automaton instead: an
+Arrow map walks every text once, whatever the number of keywords, and checks word
+boundaries at the hits.  Both forms give the same agents.
 
 Word boundaries are Unicode-aware: a keyword matches when it is not preceded or followed
 by a letter, digit or underscore (what Python's ``\\b`` means for keywords that start and
@@ -11,12 +14,18 @@ end with word characters).  Keywords are quoted (``\\Q...\\E``) so they match li
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
+#: Configs with more keywords are matched by an automaton.
+REGEX_KEYWORDS = 200
 
 
 @dataclass(frozen=True)
@@ -69,8 +78,94 @@ def route_expr(text: Column, routes=DEFAULT_ROUTES) -> Column:
                   F.array().cast("array<string>")).otherwise(arr)
 
 
-def route(notes: DataFrame, text_col: str = "text", routes=DEFAULT_ROUTES) -> DataFrame:
-    """Adds ``agents`` (array<string>) to every row."""
+@lru_cache(maxsize=1)
+def _folds() -> dict[int, str]:
+    """Characters that compare equal to another one when case is ignored, as the regex engine does it:
+    through the upper and then the lower case of single characters."""
+    out = {0x130: "i"}          # its own lower case has two characters here, one in the regex engine
+    for i in range(sys.maxunicode + 1):
+        c = chr(i)
+        up = c.upper()
+        low = (up if len(up) == 1 else c).lower()
+        if len(low) == 1 and low != c:
+            out[i] = low
+    return out
+
+
+def fold_case(text: str) -> str:
+    """The text with every character folded on its own: its length does not change."""
+    return text.lower() if text.isascii() else text.translate(_folds())
+
+
+def _is_word(c: str) -> bool:
+    return c == "_" or unicodedata.category(c)[0] in "LN"
+
+
+class KeywordAutomaton:
+    """Aho-Corasick automaton over the folded keywords of a config: text -> sorted agent ids."""
+
+    def __init__(self, routes: tuple[Domain, ...]):
+        import ahocorasick
+        agents: dict[str, set] = {}
+        for d in usable(routes):
+            if d.agent_id:
+                for k in filter(None, d.keywords):
+                    agents.setdefault(fold_case(k), set()).add(d.agent_id)
+        self.walk = ahocorasick.Automaton()
+        for k, found in agents.items():
+            self.walk.add_word(k, (len(k), frozenset(found)))
+        if agents:
+            self.walk.make_automaton()
+        self.any = bool(agents)
+
+    def agents(self, text: str | None) -> list[str]:
+        if not text or not self.any:
+            return []
+        low, found = fold_case(text), set()
+        for end, (size, ids) in self.walk.iter(low):
+            first, after = end - size + 1, end + 1
+            if not ids <= found and not (first and _is_word(low[first - 1])) \
+                    and not (after < len(low) and _is_word(low[after])):
+                found |= ids
+        return sorted(found)
+
+
+@lru_cache(maxsize=4)
+def automaton(routes: tuple[Domain, ...]) -> KeywordAutomaton:
+    return KeywordAutomaton(routes)
+
+
+def automaton_udf(routes: tuple[Domain, ...]):
+    """Column function text -> agents; the config travels with it, the automaton is built once per
+    worker."""
+    @F.pandas_udf("array<string>")
+    def agents(texts: pd.Series) -> pd.Series:
+        find = automaton(routes).agents
+        return pd.Series([find(t) for t in texts], dtype=object)
+
+    return agents
+
+
+def routes_from(keywords: DataFrame) -> tuple[Domain, ...]:
+    """A config from a table (domain, keyword, agent_id): settings, not data, held by the driver."""
+    rows = keywords.select("domain", "keyword", "agent_id").distinct().collect()
+    found: dict = {}
+    for r in rows:
+        found.setdefault((r["domain"], r["agent_id"]), []).append(r["keyword"])
+    return tuple(Domain(d, tuple(sorted(k for k in ks if k)), a)
+                 for (d, a), ks in sorted(found.items(), key=str))
+
+
+def route(notes: DataFrame, text_col: str = "text", routes=DEFAULT_ROUTES,
+          partitions: int | None = None) -> DataFrame:
+    """Adds ``agents`` (array<string>) to every row.  ``partitions`` deals the rows out first: for
+    few large files whose row groups are fewer than the cores."""
+    if partitions:
+        notes = notes.repartition(partitions)
+    if sum(len(d.keywords) for d in usable(routes)) > REGEX_KEYWORDS:
+        from casebook.session import reach_workers
+        reach_workers(notes.sparkSession)
+        return notes.withColumn("agents", automaton_udf(tuple(routes))(F.col(text_col)))
     from casebook.functions.columns import cached_expr
     expr = cached_expr(("route", text_col, tuple(routes)),
                        lambda: route_expr(F.col(text_col), routes))

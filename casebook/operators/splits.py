@@ -20,13 +20,20 @@ GENERAL = "general"
 MIN_DOMAIN_ROWS = 10      # a domain other than general is split only with more than 10 samples
 
 
+def _unique_codes(domain_map: DataFrame, name: str) -> DataFrame:
+    """One domain per code, so that no sample is multiplied: of several the last in text order."""
+    return (domain_map.where(F.col("code").isNotNull()).groupBy(F.col("code").cast("string").alias("_code"))
+            .agg(F.max("domain").alias(name)))
+
+
 def lookup_domain(df: DataFrame, code_col: str, domain_map: DataFrame) -> DataFrame:
     """Adds ``domain``: code -> domain from the map (code compared as string), else 'general'.
 
-    ``domain_map`` has columns (code, domain).  It is joined, not collected: Catalyst / AQE
+    ``domain_map`` has columns (code, domain); a code listed twice counts once (the last domain
+    in text order).  It is joined, not collected: Catalyst / AQE
     broadcast it only when it is measured small enough.
     """
-    m = domain_map.select(F.col("code").cast("string").alias("_code"), F.col("domain"))
+    m = _unique_codes(domain_map, "domain")
     j = df.join(m, F.col(code_col).cast("string") == F.col("_code"), "left")
     return j.withColumn("domain", F.coalesce(F.col("domain"), F.lit(GENERAL))).drop("_code")
 
@@ -37,7 +44,7 @@ def domain_samples(samples: DataFrame, domain_map: DataFrame, label_col: str = "
     One pass: the domain lookup is a join, then each sample is emitted once or twice by
     ``explode``.  A null label never matches a domain (it stays in 'general' only).
     """
-    m = domain_map.select(F.col("code").cast("string").alias("_code"), F.col("domain").alias("_dom"))
+    m = _unique_codes(domain_map, "_dom")
     j = samples.join(m, F.col(label_col).cast("string") == F.col("_code"), "left")
     own = F.when(F.col("_dom").isNotNull() & (F.col("_dom") != GENERAL), F.col("_dom"))
     doms = F.array_compact(F.array(F.lit(GENERAL), own))

@@ -8,8 +8,8 @@ from scikit-learn's list.
 
 Plan: the raw text is never shuffled.  A document is one row, so its (doc, term) counts are
 complete after the map-side partial aggregation and only those counts move.  They feed two
-consumers (document frequencies and the weights), so they are written once to the shared
-scratch folder.  Document frequencies are a term-level aggregate with map-side partial
+consumers (document frequencies and the weights), so each document's list of counts is written
+once to the shared scratch folder.  Document frequencies are a term-level aggregate with map-side partial
 aggregation; the vocabulary is a bounded top-k (``max_features`` rows, broadcast).
 """
 
@@ -36,26 +36,45 @@ def english_stop_words() -> tuple[str, ...]:
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, term, tf — raw counts of non-stop-word tokens (whole texts).
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                partitions: int | None = None) -> DataFrame:
+    """doc_id, term, tf — raw counts of non-stop-word tokens (whole texts).  ``partitions`` deals the
+    documents out first: for few large files whose row groups are fewer than the cores.
 
     Tokens are the maximal runs of word characters of length >= 2 (split on non-word runs,
     which gives the same tokens as extracting ``TOKEN_PATTERN`` and is cheaper).
     """
+    if partitions:
+        docs = docs.select(id_col, text_col).repartition(partitions)
     toks = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), NON_WORD)).alias("term"))
     toks = toks.where((F.length("term") >= 2) & ~F.col("term").isin(*english_stop_words()))
     return toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               partitions: int | None = None) -> DataFrame:
+    """doc_id and ``terms`` (array of term, tf): one row per document that has a term, written once
+    for its two readers (document frequencies, and the weights that the vocabulary leaves)."""
+    counts = term_counts(docs, id_col, text_col, partitions)
+    return materialise(counts.groupBy(id_col).agg(F.collect_list(F.struct("term", "tf")).alias("terms")))
+
+
+def vocabulary(lists: DataFrame, n_docs, max_features: int = MAX_FEATURES) -> DataFrame:
+    """term, df, idf of the ``max_features`` commonest terms (ties by term)."""
+    terms = (lists.select(F.inline("terms")).groupBy("term")
+             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")))
+    return (terms.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
+            .select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+
+
 def raw_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                max_features: int = MAX_FEATURES) -> DataFrame:
+                max_features: int = MAX_FEATURES, partitions: int | None = None) -> DataFrame:
     """doc_id, term, tf, df, idf, raw (= tf·idf, before normalisation) over the vocabulary."""
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    tc = materialise(term_counts(docs, id_col, text_col))
-    terms = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
-    vocab = (terms.orderBy(F.col("total_tf").desc(), F.col("term").asc()).limit(max_features)
-             .select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
-    return tc.join(F.broadcast(vocab), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    lists = term_lists(docs, id_col, text_col, partitions)
+    vocab = vocabulary(lists, n_docs, max_features)
+    return (lists.select(id_col, F.inline("terms")).join(F.broadcast(vocab), "term")
+            .withColumn("raw", F.col("tf") * F.col("idf")))
 
 
 def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -69,14 +88,14 @@ def tfidf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def top_terms_per_doc(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text",
-                      max_features: int = MAX_FEATURES) -> DataFrame:
+                      max_features: int = MAX_FEATURES, partitions: int | None = None) -> DataFrame:
     """doc_id, rank, term, weight — each document's k heaviest normalised terms.
 
     One aggregation per document gives both the L2 norm and the document's (term, raw)
     list; weights and the top-k are computed inside that list.  A document's list is bounded
     by its own length, and no sort of all weights is needed (unlike a ranking window).
     """
-    w = raw_weights(docs, id_col, text_col, max_features)
+    w = raw_weights(docs, id_col, text_col, max_features, partitions)
     per_doc = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
                                     F.collect_list(F.struct("term", "raw")).alias("items"))
     ranked = F.array_sort(F.transform(F.col("items"), lambda x: F.struct(

@@ -173,15 +173,27 @@ register("class_report", MX["class_report"])(lambda spark, sf: M.class_report(_o
 register("averaged_f1", MX["averaged_f1"])(lambda spark, sf: M.overall_scores(_ok(spark, sf)))
 
 
-REPORT_LABELS = 10      # the report's own parameter: a matrix over the commonest labels
+register("confusion_matrix", MX["confusion_matrix"])(lambda spark, sf: M.confusion_matrix(_ok(spark, sf)))
 
+REPORT_LABELS = 10      # the grid's own parameter: a dense matrix over the commonest labels
 
-@register("confusion_matrix", MX["confusion_matrix"])
-def q_confusion_matrix(spark, sf):
+
+@register("confusion_grid", MX["confusion_grid"])
+def q_confusion_grid(spark, sf):
     ok = _ok(spark, sf)
     return M.confusion_matrix(ok, M.top_labels(ok, "true_diagnosis", REPORT_LABELS), dense=True)
 
 
+def _codes(spark, sf):
+    """Predictions with hundreds of classes: each line's part size and brand against the next size."""
+    p = _rt(spark, sf, "part")
+    return p.select(F.concat_ws("/", "p_brand", "p_size").alias("true_diagnosis"),
+                    F.when(F.col("p_partkey") % 11 > 0, F.concat_ws("/", "p_brand", (
+                        F.col("p_size") + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)).cast("string")))
+                    .alias("predicted_diagnosis"))
+
+
+register("confusion_many", MX["confusion_many"])(lambda spark, sf: M.confusion_matrix(_codes(spark, sf)))
 register("latency_report", MX["latency_report"])(
     lambda spark, sf: M.latency_stats(V.latencies(spark, sf)))
 register("agent_usage", MX["agent_usage"])(lambda spark, sf: M.agent_usage(_ok(spark, sf)))
@@ -200,8 +212,8 @@ register("prefix_filtered_eval", MX["prefix_filtered_eval"])(
 @register("metrics_report", MX["metrics_report"])
 def q_metrics_report(spark, sf):
     preds = V.predictions(spark, sf)
-    labels = M.top_labels(M.usable_rows(preds), "true_diagnosis", REPORT_LABELS)
-    return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels, dense=True)
+    labels = M.labels_seen(M.usable_rows(preds), "true_diagnosis", "predicted_diagnosis")
+    return M.metrics_report(M.diagnosis_records(preds), V.latencies(spark, sf), labels)
 
 
 # ---------------------------------------------------------------- routing / voting / parsing
@@ -216,7 +228,8 @@ VT = O.VOTING
 
 
 def _routed(spark, sf):
-    return R.route(V.notes(spark, sf))
+    # the text tables of the tests are one row group each: dealt out over the cores
+    return R.route(V.notes(spark, sf), partitions=spark.sparkContext.defaultParallelism)
 
 
 def _fanout(spark, sf):
@@ -229,6 +242,18 @@ def q_route_notes(spark, sf):
                                      F.size("agents").cast("long").alias("n_agents"))
 
 
+@register("route_phrases", VT["route_phrases"])
+def q_route_phrases(spark, sf):
+    """T1 with a keyword list too long for a regex: the opening words of every benchmark passage."""
+    words = F.split(F.trim("text"), r"[ \t\n\x0B\f\r]+")
+    phrases = _rt(spark, sf, "benchmark").select(
+        F.lit("phrases").alias("domain"), F.concat_ws(" ", F.slice(words, 1, 2)).alias("keyword"),
+        F.concat(F.lit("agent"), (F.col("item_id") % 7).cast("string")).alias("agent_id"))
+    routed = R.route(V.notes(spark, sf), routes=R.routes_from(phrases),
+                     partitions=spark.sparkContext.defaultParallelism)
+    return routed.select("note_id", F.array_join("agents", ",").alias("agents"))
+
+
 register("route_summary", VT["route_summary"])(
     lambda spark, sf: R.route_summary(_routed(spark, sf)))
 register("route_fanout", VT["route_fanout"])(
@@ -508,7 +533,7 @@ from casebook.operators import tfidf as TF  # noqa: E402
 @register("tfidf_top_terms", O.TFIDF["tfidf_top_terms"])
 def q_tfidf_top_terms(spark, sf):
     docs = _rt(spark, sf, "documents").select("doc_id", "text")
-    return TF.top_terms_per_doc(docs, 5)
+    return TF.top_terms_per_doc(docs, 5, partitions=spark.sparkContext.defaultParallelism)
 
 
 @register("logit_baseline_report", O.BASELINE["logit_baseline_report"])

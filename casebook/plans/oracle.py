@@ -465,6 +465,14 @@ METRICS = {
              (SELECT * FROM rep WHERE label = 'macro avg') m""",
         pc=PER_CLASS, cls=CLS, rep=CLASS_REPORT),
     "confusion_matrix": _with_ok("""
+        SELECT true_diagnosis AS actual, predicted_diagnosis AS predicted, CAST(count(*) AS BIGINT) AS n
+        FROM ok WHERE true_diagnosis IS NOT NULL AND predicted_diagnosis IS NOT NULL GROUP BY 1, 2"""),
+    "confusion_many": """
+        SELECT p_brand || '/' || p_size AS actual,
+               p_brand || '/' || (p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS predicted,
+               CAST(count(*) AS BIGINT) AS n
+        FROM part WHERE p_partkey % 11 > 0 GROUP BY 1, 2""",
+    "confusion_grid": _with_ok("""
         SELECT a.label AS actual, p.label AS predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
         FROM labs a CROSS JOIN labs p
         LEFT JOIN (SELECT true_diagnosis, predicted_diagnosis, count(*) AS n FROM ok
@@ -510,13 +518,14 @@ METRICS["metrics_report"] = with_views(f"""
             FROM labs LEFT JOIN pcr ON labs.label = pcr.label) l,
            (VALUES ('precision'), ('recall'), ('f1')) m(metric)
       UNION ALL
-      SELECT 'confusion', a.label || ' -> ' || p.label, 'count', CAST(coalesce(c.n, 0) AS DOUBLE)
-      FROM labs a CROSS JOIN labs p
-      LEFT JOIN (SELECT ground_truth, predicted_diagnosis, count(*) AS n FROM rec
-                 WHERE ground_truth IS NOT NULL GROUP BY 1, 2) c
-        ON c.ground_truth = a.label AND c.predicted_diagnosis = p.label
+      SELECT 'confusion', ground_truth || ' -> ' || predicted_diagnosis, 'count', CAST(count(*) AS DOUBLE)
+      FROM rec WHERE ground_truth IN (SELECT label FROM labs) AND predicted_diagnosis IN (SELECT label FROM labs)
+      GROUP BY ground_truth, predicted_diagnosis
     ) u""", "predictions", "latencies", extra={
-    "ok": PROCESSED, "rec": RECORDS, "labs": TOP_LABELS,
+    "ok": PROCESSED, "rec": RECORDS,
+    "labs": """SELECT DISTINCT label FROM (SELECT true_diagnosis AS label FROM ok
+                                          UNION ALL SELECT predicted_diagnosis FROM ok) t
+               WHERE label IS NOT NULL""",
     "acc": """SELECT CASE WHEN count(*) FILTER (WHERE ground_truth IS NOT NULL) > 0
                      THEN count(*) FILTER (WHERE ground_truth IS NOT NULL AND ground_truth <> ''
                                            AND ground_truth = predicted_diagnosis)
@@ -646,6 +655,15 @@ VOTING = {
     "route_notes": with_views("""
         SELECT note_id, array_to_string(agents, ',') AS agents, CAST(len(agents) AS BIGINT) AS n_agents
         FROM routed""", "notes", extra=_R),
+    "route_phrases": with_views("""
+        SELECT n.note_id, coalesce(string_agg(DISTINCT k.agent, ',' ORDER BY k.agent), '') AS agents
+        FROM (SELECT note_id, ' ' || text || ' ' AS text FROM notes) n
+        LEFT JOIN (SELECT 'agent' || (item_id % 7) AS agent,
+                          array_to_string(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')[1:2], ' ') AS phrase
+                   FROM benchmark) k
+          ON contains(lower(n.text), lower(k.phrase)) AND regexp_matches(n.text, '(?i)[^\\p{L}\\p{N}_]'
+             || regexp_escape(k.phrase) || '[^\\p{L}\\p{N}_]')
+        GROUP BY n.note_id""", "notes"),
     "route_summary": with_views("""
         SELECT label, CAST(count(*) AS BIGINT) AS n
         FROM (SELECT unnest(agents) AS label FROM routed) u GROUP BY label

@@ -1,4 +1,7 @@
 """Routing (T1–T3) and answer handling."""
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from casebook.operators import answers as A
@@ -33,6 +36,44 @@ def test_router_word_boundaries_are_unicode(spark):
     assert got == {1: ["fr"], 2: [], 3: [], 4: ["ci"], 5: []}
 
 
+def test_automaton_gives_the_agents_of_the_regex(spark, monkeypatch):
+    rnd = random.Random(4)
+    alphabet = ["ab", "é", "ß", "K", "ſ", "x_", "1", "İ", "σ", "ς", "C++", "-", "."]
+    word = lambda: "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 3)))
+    routes = tuple(R.Domain(f"d{i}", tuple(" ".join(word() for _ in range(rnd.randint(1, 2))) for _ in range(30)),
+                            f"a{i % 9}" if i else None) for i in range(12))
+    texts = [" ".join(rnd.choice((str, str.upper, str.lower))(word()) for _ in range(rnd.randint(0, 25)))
+             for _ in range(300)] + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "note_id long, text string").repartition(3)
+    fast = {r.note_id: r.agents for r in R.route(df, routes=routes).collect()}
+    monkeypatch.setattr(R, "REGEX_KEYWORDS", 10 ** 6)
+    slow = {r.note_id: r.agents for r in R.route(df, routes=routes).collect()}
+    assert fast == slow and sum(map(len, fast.values())) > 300
+
+
+def test_cost_does_not_depend_on_the_number_of_keywords(spark):
+    words = [f"k{i:05d} tail" for i in range(10_000)]
+    routes = (R.Domain("many", tuple(words), "many"), R.Domain("one", ("lone word",), "one"))
+    text = "nothing here k00123 tails " * 2000
+    seconds = []
+    for some in (routes[1:], routes):
+        find = R.KeywordAutomaton(some).agents
+        start = time.perf_counter()
+        for _ in range(5):
+            assert find(text) == []
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 20 * seconds[0] + 0.5
+    df = spark.createDataFrame([(1, "see K09999 TAIL."), (2, "k09999 tails"), (3, "a lone word")],
+                               "note_id long, text string")
+    assert {r.note_id: r.agents for r in R.route(df, routes=routes).collect()} == {1: ["many"], 2: [], 3: ["one"]}
+
+
+def test_routes_from_a_table(spark):
+    table = spark.createDataFrame([("d", "a b", "1"), ("d", "c", "1"), ("e", "c", "2"), ("d", "", "1"), ("d", "c", "1")],
+                                  "domain string, keyword string, agent_id string")
+    assert R.routes_from(table) == (R.Domain("d", ("a b", "c"), "1"), R.Domain("e", ("c",), "2"))
+
+
 def test_route_summary_and_fanout(spark):
     df = R.route(spark.createDataFrame(PROMPTS, "note_id long, text string"), routes=ROUTES)
     s = {r.label: r.n for r in R.route_summary(df).collect()}
