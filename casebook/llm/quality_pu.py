@@ -4,18 +4,26 @@ Trusted positives are the training texts whose label says 1 (and never 0); the u
 sample is every training text.  With class prior p and logistic loss l the model minimises
 the non-negative unbiased risk
 
-    p E_pos[l(z)] + max(0, E_unl[l(-z)] - p E_pos[l(-z)])  +  ridge
-
-over a linear score z of text statistics.  Each Newton step is one Spark pass over the
-staged statistics that returns gradient and curvature sums (bounded by the number of
-statistics); a step that would make the estimated negative risk negative - the sign of
-over-fitting that the method guards against - is halved until it does not.  The class prior
-is estimated from the trusted training labels.
+    p E_pos[l(z)] + max(0, E_unl[l(-z)] - p E_pos[l(-z)])  +  ridge / 2 |w|^2
+
+over a linear score z of text statistics.  As l(z) - l(-z) = -z, the risk is the greater of two
+convex functions, A = p E_pos[l(z)] and B = E_unl[l(-z)] - p E_pos[z], so it has one minimum: that
+of B where the estimated negative risk B - A is not negative there, that of A where it is
+negative there, else a point where both are equal.  A step minimises the greater of the two
+linear models plus curvature (its dual is a parabola in one number), with backtracking on the
+risk itself; the fit ends when the mixed gradient and B - A are below ``TOLERANCE``.  A step is
+one Spark pass over the staged statistics that returns sums of values, gradients and curvatures
+(bounded by the number of statistics).
+
+The class prior is estimated from positives and unlabelled texts: a classifier of one against
+the other is fitted on each half of the training texts and scores the other half; the share of
+unlabelled texts above a threshold over that of the positives bounds the prior, and the
+threshold with the least bound (with a confidence term for both shares) gives it.
 
 Only the text enters the score.  Null and empty texts have all-zero statistics and a score
-like any other; repeated rows get the same score; an empty table gives no rows.  Without
-positives every score is the prior (0.5 without labels).  Labels with a null id or value are
-left out.
+like any other; repeated rows get the same score; an empty table gives no rows; a very long text
+is one row of statistics.  Without positives every score is 0.5.  Labels with a null id or value
+are left out, extra columns are not read, and a tie with the threshold counts as accepted.
 """
 
 from __future__ import annotations
@@ -32,7 +40,11 @@ from pyspark.sql import functions as F
 from casebook.llm.common import batches_of, chunks, give_back, reach_workers, stage
 
 THRESHOLD = 0.7
-STEPS = 12
+#: Steps of one search at most, halvings of one step, greatest gradient entry at a minimum, and that
+#: of the two classifiers that only serve the class prior.
+STEPS, HALVINGS, TOLERANCE, ROUGH = 40, 20, 1e-5, 1e-3
+#: Bins of the score when the class prior is estimated, and the confidence of its bounds.
+PRIOR_BINS, PRIOR_DELTA = 4096, 0.1
 #: Ridge of the fit: this much, and more where positives are few (the risk estimate's noise
 #: falls with their number): RIDGE + FEW / positives.
 RIDGE, FEW = 1e-3, 6.0
@@ -102,30 +114,33 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def _total(frame: DataFrame, per_batch, width: int) -> np.ndarray:
-    """Sum over all rows of ``per_batch(statistics, is positive)``, an array of ``width``."""
+    """Sum over all rows of ``per_batch(statistics, is positive, is in the second half)``, an
+    array of ``width``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches_of(batches):
             if batch.num_rows:
                 total += per_batch(matrix(batch.column("x")),
-                                   batch.column("positive").to_numpy(zero_copy_only=False))
+                                   *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("positive", "half")))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)],
                                          names=["i", "s"])
 
     out = np.zeros(width)
-    for r in (frame.select("x", "positive").mapInArrow(run, "i int, s double")
+    for r in (frame.select("x", "positive", "half").mapInArrow(run, "i int, s double")
               .groupBy("i").agg(F.sum("s").alias("s")).collect()):
         out[r["i"]] = r["s"]
     return out
 
 
 class Model:
-    """Linear score of standardised statistics; ``prior`` stands in where nothing was learned."""
+    """Linear score of standardised statistics; ``prior`` stands in where nothing was learned.
+    ``risk`` and ``negative_risk`` are those of the weights on the training texts."""
 
     def __init__(self, prior: float):
         self.prior, self.weights = prior, None
         self.mean = self.sd = None
+        self.risk = self.negative_risk = None
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((with_shape(x) - self.mean) / self.sd, -CLIP, CLIP)
@@ -137,65 +152,196 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -60, 60)))
 
 
+class Parts:
+    """Means at some weights, over the unlabelled: l(-z) with gradient and curvature; over the
+    positives: l(z) with gradient and curvature, and z with its gradient."""
+
+    def __init__(self, total: np.ndarray, size: int):
+        n_unl, n_pos, unl, pos, z = total[:5]
+        vectors = total[5:5 + 3 * size].reshape(3, size)
+        curves = total[5 + 3 * size:].reshape(2, size, size)
+        self.unl, self.unl_slope, self.unl_curve = unl / n_unl, vectors[0] / n_unl, curves[0] / n_unl
+        self.pos, self.pos_slope, self.pos_curve = pos / n_pos, vectors[1] / n_pos, curves[1] / n_pos
+        self.z, self.z_slope = z / n_pos, vectors[2] / n_pos
+
+    @staticmethod
+    def of(a: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+        z = np.clip(a @ w, -60, 60)
+        p = 1 / (1 + np.exp(-z))
+        bend = p * (1 - p)
+        own, q = a[positive], p[positive]
+        return np.concatenate([
+            [len(a), len(own), np.logaddexp(0, z).sum(), np.logaddexp(0, -z[positive]).sum(), z[positive].sum()],
+            a.T @ p, own.T @ (q - 1), own.sum(axis=0),
+            ((a * bend[:, None]).T @ a).ravel(), ((own * bend[positive][:, None]).T @ own).ravel()])
+
+    def risks(self, prior: float) -> tuple[float, float]:
+        """A and B; the estimated negative risk is B - A."""
+        return prior * self.pos, self.unl - prior * self.z
+
+
+def newton(weigh, ridge: np.ndarray, w: np.ndarray, tolerance: float):
+    """Search for the least weigh(parts) + ridge (``weigh`` gives value, gradient and curvature of
+    a convex function).  A generator: it yields weights, is sent their parts, and returns both."""
+    parts = yield w
+    for _ in range(STEPS):
+        value, slope, curve = weigh(parts)
+        value, slope = value + 0.5 * float(ridge @ (w * w)), slope + ridge * w
+        if np.abs(slope).max() < tolerance:
+            break
+        step = -np.linalg.solve(curve + np.diag(ridge + 1e-9), slope)
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        gain = float(slope @ step)
+        for _ in range(HALVINGS):
+            there = yield w + step
+            if weigh(there)[0] + 0.5 * float(ridge @ ((w + step) ** 2)) <= value + 1e-4 * gain + 1e-13:
+                break
+            step, gain = step / 2, gain / 2
+        else:
+            break                                     # no digits left to gain
+        w, parts = w + step, there
+    return w, parts
+
+
+def non_negative(prior: float, ridge: np.ndarray, w: np.ndarray, tolerance: float):
+    """Search for the least non-negative risk max(A, B) + ridge, a generator like ``newton``.
+
+    Each step minimises the greater of the two linear models plus the curvature of their last
+    mixture v A + (1 - v) B; its dual is a quadratic in v alone.  Returns weights, parts and v."""
+    parts, v = (yield w), 0.0
+
+    def risk(p, w):
+        return max(p.risks(prior)) + 0.5 * float(ridge @ (w * w))
+
+    for _ in range(STEPS):
+        a, b = parts.risks(prior)
+        slope_a, slope_b = prior * parts.pos_slope, parts.unl_slope - prior * parts.z_slope
+        curve = v * prior * parts.pos_curve + (1 - v) * parts.unl_curve + np.diag(ridge + 1e-9)
+        back = np.linalg.solve(curve, np.stack([slope_b + ridge * w, slope_a - slope_b], axis=1))
+        # the step for a mixture v is -(back[0] + v back[1]); the two models meet where B - A is zero
+        apart = slope_b - slope_a
+        bend = float(apart @ back[:, 1])
+        v = 0.0 if bend >= -1e-300 else min(max((b - a - float(apart @ back[:, 0])) / bend, 0.0), 1.0)
+        step = -(back[:, 0] + v * back[:, 1])
+        residual = v * slope_a + (1 - v) * slope_b + ridge * w
+        tied = v in (0.0, 1.0) or abs(b - a) < tolerance
+        if np.abs(residual).max() < tolerance and tied:
+            break
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        now, bent = risk(parts, w), float(step @ curve @ step)
+        for _ in range(HALVINGS):
+            there = yield w + step
+            if risk(there, w + step) <= now - 1e-4 * bent + 1e-13:
+                break
+            step, bent = step / 2, bent / 4
+        else:
+            break                                     # no digits left to gain
+        w, parts = w + step, there
+    return w, parts, v
+
+
+def drive(searches: list, parts_at) -> list:
+    """Results of searches that go side by side: one pass evaluates a step of each of them.
+    ``parts_at`` takes {number: weights} and returns {number: parts}."""
+    pending = {i: next(g) for i, g in enumerate(searches)}
+    found: dict = {}
+    while pending:
+        parts = parts_at(pending)
+        for i in list(pending):
+            try:
+                pending[i] = searches[i].send(parts[i])
+            except StopIteration as end:
+                found[i] = end.value
+                del pending[i]
+    return [found[i] for i in range(len(searches))]
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Class prior from counts of both samples per score bin (ascending)."""
+    n_pos, n_unl = positive.sum(), unlabelled.sum()
+    above_pos = np.cumsum(positive[::-1]) / n_pos
+    above_unl = np.cumsum(unlabelled[::-1]) / n_unl
+    some = above_pos > 0
+    above_pos, above_unl = above_pos[some], above_unl[some]
+    doubt = np.sqrt(np.log(4 / PRIOR_DELTA) / (2 * n_unl)) + np.sqrt(np.log(4 / PRIOR_DELTA) / (2 * n_pos))
+    at = int(np.argmin((above_unl + doubt) / above_pos))
+    return float(min(max(above_unl[at] / above_pos[at], 0.01), 0.99))
+
+
 def labelled(labels: DataFrame, trained: Column) -> DataFrame:
     """(doc_id, positive) of the trusted training labels; an id with both labels is no positive."""
     return (labels.where(trained & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
             .groupBy("doc_id").agg((F.min("quality") == 1).alias("positive")))
 
 
-def fit(measures: DataFrame, labels: DataFrame, trained: Column, steps: int = STEPS) -> Model:
+def fit(measures: DataFrame, labels: DataFrame, trained: Column) -> Model:
     """Model from staged ``measures`` (doc_id, x) and labels (doc_id, quality); only rows with
     ``trained`` true are read."""
     known = labelled(labels, trained)
-    share = known.agg(F.avg(F.col("positive").cast("double"))).first()[0]
-    model = Model(0.5 if share is None else float(share))
+    model = Model(0.5)
+    # the half is a matter of the text alone: copies never stand on both sides
     rows = stage(measures.where(trained).select("doc_id", "x").join(known, "doc_id", "left")
-                 .select("x", F.coalesce("positive", F.lit(False)).alias("positive")))
+                 .select("x", F.coalesce("positive", F.lit(False)).alias("positive"),
+                         (F.pmod(F.xxhash64("x"), F.lit(2)) == 1).alias("half")))
     k = 2 * len(NAMES)
 
-    def moments(x, positive):
+    def moments(x, positive, half):
         z = with_shape(x)
-        return np.r_[z.sum(axis=0), (z * z).sum(axis=0), len(z), positive.sum()]
+        return np.r_[z.sum(axis=0), (z * z).sum(axis=0), len(z), positive.sum(), half.sum(), (positive & half).sum()]
 
-    total = _total(rows, moments, 2 * k + 2)
-    n_unl, n_pos = total[-2], total[-1]
-    if not n_pos or n_pos == n_unl:
+    total = _total(rows, moments, 2 * k + 4)
+    n_unl, n_pos, n_half, n_pos_half = total[-4:]
+    if not n_pos:
         return model
     model.mean = total[:k] / n_unl
     spread = np.sqrt(np.maximum(total[k:2 * k] / n_unl - model.mean ** 2, 0))
     model.sd = np.where(spread > 1e-9, spread, 1.0)
-    prior = min(max(model.prior, 0.01), 0.99)
-    w, step, size = np.zeros(k + 1), np.zeros(k + 1), k + 1
-    w[-1] = np.log(prior / (1 - prior))
-
-    def sums(w):
-        def per_batch(x, positive):
+    size = k + 1
+    width = 5 + 3 * size + 2 * size * size
+
+    def parts_of(wanted: dict, sides: list):
+        """Parts at several weights in one pass, each over one half of the rows or (None) all."""
+        order = sorted(wanted)
+
+        def per_batch(x, positive, half):
+            out = []
+            for i in order:
+                own = slice(None) if sides[i] is None else half == sides[i]
+                out.append(Parts.of(model.design(x[own]), positive[own], wanted[i]))
+            return np.concatenate(out)
+
+        total = _total(rows, per_batch, width * len(order)).reshape(len(order), width)
+        return {i: Parts(t, size) for i, t in zip(order, total)}
+
+    def ridge_for(positives):
+        ridge = np.full(size, RIDGE + FEW / positives)
+        ridge[-1] = 0.0
+        return ridge
+
+    start = np.zeros(size)
+    if 0 < n_pos_half < n_pos:
+        def either(p: Parts):                         # positives against unlabelled, both weigh the same
+            return (p.pos + p.unl) / 2, (p.pos_slope + p.unl_slope) / 2, (p.pos_curve + p.unl_curve) / 2
+
+        first, second = drive([newton(either, ridge_for(n), start, ROUGH)
+                               for n in (n_pos - n_pos_half, n_pos_half)],
+                              lambda wanted: parts_of(wanted, [False, True]))
+
+        def bins(x, positive, half):
             a = model.design(x)
-            z = np.clip(a @ w, -60, 60)
-            p = 1 / (1 + np.exp(-z))
-            soft = np.logaddexp(0, z)                 # l(-z)
-            curve = (a * (p * (1 - p))[:, None]).T @ a
-            return np.r_[a.T @ p, a[positive].sum(axis=0), soft.sum(), soft[positive].sum(), curve.ravel()]
-
-        return _total(rows, per_batch, 2 * size + 2 + size * size)
-
-    ridge = np.full(size, RIDGE + FEW / n_pos)
-    ridge[-1] = 0.0
-    for _ in range(steps):
-        total = sums(w)
-        negative_risk = total[2 * size] / n_unl - prior * total[2 * size + 1] / n_pos
-        if negative_risk < 0 and np.abs(step).max() > 1e-4:
-            step = step / 2                            # back towards the last good weights
-            w = w - step
-            continue
-        gradient = total[:size] / n_unl - prior * total[size:2 * size] / n_pos + ridge * w
-        curve = total[2 * size + 2:].reshape(size, size) / n_unl + np.diag(ridge + 1e-9)
-        step = -np.linalg.solve(curve, gradient)
-        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-3:
-            break
-        w = w + step
-    model.weights = w
+            z = np.where(half, a @ first[0], a @ second[0])
+            b = np.clip(PRIOR_BINS / (1 + np.exp(-np.clip(z, -60, 60))), 0, PRIOR_BINS - 1).astype(np.int64)
+            return np.r_[np.bincount(b[positive], minlength=PRIOR_BINS), np.bincount(b, minlength=PRIOR_BINS)]
+
+        counts = _total(rows, bins, 2 * PRIOR_BINS)
+        model.prior = prior_of(counts[:PRIOR_BINS], counts[PRIOR_BINS:])
+    else:
+        model.prior = min(max(n_pos / n_unl, 0.01), 0.99)
+    start[-1] = np.log(model.prior / (1 - model.prior))
+    model.weights, parts, _ = drive([non_negative(model.prior, ridge_for(n_pos), start, TOLERANCE)],
+                                    lambda wanted: parts_of(wanted, [None]))[0]
+    a, b = parts.risks(model.prior)
+    model.risk, model.negative_risk = max(a, b), b - a
     return model
 
 
