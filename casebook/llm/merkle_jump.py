@@ -55,43 +55,47 @@ def _hex(digest) -> Column:
     return F.lower(F.hex(digest))
 
 
-def _climb(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+def _climber(block_levels: int):
     """All nodes over one block of neighbours, each with its first segment and its parent; the
-    block's own top comes last, with neither, unless it is the tree's top."""
-    block = block.sort_values("pos")
-    tree, level, count = (int(block[c].iloc[0]) for c in ("tree", "level", "n"))
-    lone = bool(block["lone"].iloc[0])
-    digests = [bytes(d) for d in block["digest"]]
-    first = int(block["pos"].iloc[0])
-    out = []
-    for _ in range(BLOCK_LEVELS):
-        if count == 1:
-            break
-        up = -(-count // 2)
-        for i, own in enumerate(digests):
-            other = i ^ 1
-            seg = (b"-" + bytes(32) if other >= len(digests)
-                   else (b"L" if i & 1 else b"R") + digests[other])
-            if up > 1:
-                to = (tree, level + 1, (first + i) >> 1)
-            else:                 # the parent is a subroot (a node of the upper tree) or the root
-                to = None if tree == TOP or lone else (TOP, 0, tree)
-            out.append((tree, level, first + i, count, own, seg, to))
-        digests = [hashlib.sha256("".join(d.hex() for d in digests[i:i + 2]).encode()).digest()
-                   for i in range(0, len(digests), 2)]
-        first, level, count = first >> 1, level + 1, up
-    out.append((tree, level, first, count, digests[0], None, None))
-    frame = pd.DataFrame(out, columns=["tree", "level", "pos", "n", "digest", "seg", "to"], dtype=object)
-    return frame.assign(lone=lone)
-
-
-def _grow(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    block's own top comes last, with neither."""
+
+    def climb(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("pos")
+        tree, level, count = (int(block[c].iloc[0]) for c in ("tree", "level", "n"))
+        lone = bool(block["lone"].iloc[0])
+        digests = [bytes(d) for d in block["digest"]]
+        first = int(block["pos"].iloc[0])
+        out = []
+        for _ in range(block_levels):
+            if count == 1:
+                break
+            up = -(-count // 2)
+            for i, own in enumerate(digests):
+                other = i ^ 1
+                seg = (b"-" + bytes(32) if other >= len(digests)
+                       else (b"L" if i & 1 else b"R") + digests[other])
+                if up > 1:
+                    to = (tree, level + 1, (first + i) >> 1)
+                else:             # the parent is a subroot (a node of the upper tree) or the root
+                    to = None if tree == TOP or lone else (TOP, 0, tree)
+                out.append((tree, level, first + i, count, own, seg, to))
+            digests = [hashlib.sha256("".join(d.hex() for d in digests[i:i + 2]).encode()).digest()
+                       for i in range(0, len(digests), 2)]
+            first, level, count = first >> 1, level + 1, up
+        out.append((tree, level, first, count, digests[0], None, None))
+        frame = pd.DataFrame(out, columns=["tree", "level", "pos", "n", "digest", "seg", "to"], dtype=object)
+        return frame.assign(lone=lone)
+
+    return climb
+
+
+def _grow(leaves: DataFrame, block_levels: int) -> tuple[list[DataFrame], DataFrame]:
     """Nodes (staged parts) and tops of the trees over ``leaves`` (tree, level, pos, n, digest, lone)."""
     schema = f"tree long, level int, pos long, n long, digest binary, seg binary, to {NODE}, lone boolean"
     parts, tops, now = [], [], leaves
     while True:
-        made = stage(now.groupBy("tree", F.shiftright("pos", BLOCK_LEVELS).alias("block"))
-                     .applyInPandas(_climb, schema))
+        made = stage(now.groupBy("tree", F.shiftright("pos", block_levels).alias("block"))
+                     .applyInPandas(_climber(block_levels), schema))
         parts.append(made.where("seg IS NOT NULL"))
         ends = made.where("seg IS NULL").drop("seg", "to")
         tops.append(ends.where("n = 1"))
@@ -114,7 +118,7 @@ def _follow(nodes: DataFrame, inner: DataFrame) -> DataFrame:
             .drop("there", "seg2", "to2"))
 
 
-def proofs(rows: DataFrame) -> DataFrame:
+def proofs(rows: DataFrame, block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """``rows`` has ``part`` (sortable, nulls first), ``key`` (sortable), ``leaf`` (32 bytes) and
     ``carry`` (anything).  Returns carry, leaf, subroot, root (32 bytes each) and ``proof`` (the
     segment from the leaf to the root)."""
@@ -136,12 +140,12 @@ def proofs(rows: DataFrame) -> DataFrame:
     leaves = stage(placed.join(trees, F.col("part").eqNullSafe(F.col("p")))
                    .select("tree", "pos", "n", "leaf", "carry"))
     parts, tops = _grow(leaves.where("n > 1").select("tree", F.lit(0).alias("level"), "pos", "n",
-                                                     F.col("leaf").alias("digest"), lone.alias("lone")))
+                                                     F.col("leaf").alias("digest"), lone.alias("lone")), block_levels)
     subroots = stage(tops.select("tree", "digest").union(
         leaves.where("n = 1").select("tree", F.col("leaf").alias("digest"))))
     upper, root = _grow(subroots.select(F.lit(TOP).cast("long").alias("tree"), F.lit(0).alias("level"),
                                         F.col("tree").alias("pos"), F.lit(n_parts).cast("long").alias("n"),
-                                        "digest", F.lit(False).alias("lone")))
+                                        "digest", F.lit(False).alias("lone")), block_levels)
     root_digest = bytes(root.select("digest").first()[0])
 
     node = F.struct("tree", "level", "pos").alias("id")
@@ -202,14 +206,14 @@ def fold(leaf: Column, proof: Column) -> Column:
 
 def manifest(docs: DataFrame, tampered: Column, change: dict[str, Column],
              fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
-             part: str = "lang", key: str = "doc_id") -> DataFrame:
+             part: str = "lang", key: str = "doc_id", block_levels: int = BLOCK_LEVELS) -> DataFrame:
     """Every row's leaf, subroot, root and proof, and whether the row still folds to the root
     when ``change`` (field -> expression) is applied where ``tampered`` holds."""
     own = leaf_digest([F.col(f) for f in fields])
     bad = leaf_digest([change.get(f, F.col(f)) for f in fields])
     found = proofs(docs.select(
         F.col(part).alias("part"), F.col(key).alias("key"), own.alias("leaf"),
-        F.struct(F.col(key).alias("key"), F.when(tampered, bad).alias("bad")).alias("carry")))
+        F.struct(F.col(key).alias("key"), F.when(tampered, bad).alias("bad")).alias("carry")), block_levels)
     folded = fold(F.coalesce("carry.bad", "leaf"), F.col("proof"))
     return found.select(F.col("carry.key").alias(key), _hex("leaf").alias("leaf"),
                         _hex("subroot").alias("subroot"), _hex("root").alias("root"), "proof",
