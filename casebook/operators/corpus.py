@@ -134,16 +134,19 @@ def history_prompt(past_details, cutoff, birth, gender, race, ethnicity,
 
 def corpus_samples(conditions: DataFrame, patients: DataFrame, allow_repeats: bool = True,
                    exact_cutoff: bool = True, max_items: int = HISTORY_ITEMS,
-                   staged: bool = False) -> DataFrame:
+                   staged: bool = False, cutoff: Column | None = None) -> DataFrame:
     """patient_id, text, label — one sample per patient with a past and a future.
 
     ``conditions`` feeds three branches (cutoff, history, future); it is projected to the
-    four columns used and, with ``staged``, computed once.
+    four columns used and, with ``staged``, computed once.  ``cutoff`` (a date, as from
+    ``state.cutoff(...).scalar()``) saves the pass for it; a table from ``timeline.lay_out``
+    saves the exchanges by patient.
     """
     conditions = typed_conditions(conditions)
     if staged:
         conditions = materialise(conditions)
-    cutoff = temporal_cutoff(conditions, exact=exact_cutoff).scalar()
+    if cutoff is None:
+        cutoff = temporal_cutoff(conditions, exact=exact_cutoff).scalar()
     hist = patient_histories(conditions, cutoff, max_items)
     fut = first_future(conditions, cutoff)
     if not allow_repeats:

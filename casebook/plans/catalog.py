@@ -525,6 +525,81 @@ def q_dedup_latest(spark, sf):
                                                                "o_orderpriority")
 
 
+# ---------------------------------------------------------------- loads one after the other
+
+from casebook.operators import state as ST  # noqa: E402
+from casebook.sources import timeline as TL  # noqa: E402
+from casebook.sources.keystore import KeyStore  # noqa: E402
+
+LO = O.LOADS
+
+
+def _event_loads(spark, sf):
+    """Three overlapping exports of the events; a later one repeats ids with other values."""
+    e = V.read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    for i in range(3):
+        part = e.where((F.col("event_id") % 3 == i) | (F.col("event_id") % 7 == i) | (F.col("event_id") % 11 == 0))
+        yield f"part{i}", part.select(
+            F.when(F.col("event_id") % 101 > 0, F.col("event_id")).alias("Id"), "user_id",
+            F.concat("event_type", F.lit(f"/{i}")).alias("event_type"),
+            *([F.col("value")] if i else []), F.col("event_id").alias("_row"))
+
+
+def _merged_store(spark, sf):
+    store = KeyStore(spark, I.scratch_dir(spark, "store"), "Id", buckets=16)
+    return store, [store.merge(rows, name, ["_row"]) for name, rows in _event_loads(spark, sf)]
+
+
+@register("incremental_merge", LO["incremental_merge"])
+def q_incremental_merge(spark, sf):
+    """S4 load by load: rows of the first load that had the key; later loads add what is new."""
+    return _merged_store(spark, sf)[0].read().select("Id", "user_id", "event_type", "value")
+
+
+@register("incremental_report", LO["incremental_report"])
+def q_incremental_report(spark, sf):
+    done = _merged_store(spark, sf)[1]
+    return spark.createDataFrame([(r.load, r.rows_in, r.rows_new) for r in done],
+                                 "load string, rows_in long, rows_new long")
+
+
+def _states(spark, sf, kind):
+    """A state per load of the conditions (loads are split by patient and order), merged from storage."""
+    path = I.scratch_dir(spark, "states")
+    cond = V.conditions(spark, sf)
+    for i in range(3):
+        part = cond.where(F.pmod(F.xxhash64("PATIENT", "START"), F.lit(3)) == i)
+        ST.save(kind(part), path, f"part{i}")
+    return ST.load_all(spark, path)
+
+
+@register("cutoff_from_states", LO["cutoff_from_states"])
+def q_cutoff_from_states(spark, sf):
+    """The cutoff from the merged day histograms of the loads."""
+    return ST.cutoff(_states(spark, sf, ST.day_counts), corpus.CUTOFF_QUANTILE)
+
+
+@register("key_counts_from_states", LO["key_counts_from_states"])
+def q_key_counts_from_states(spark, sf):
+    """A5: conditions per patient, summarised from the merged counts of the loads."""
+    s = ST.counts_summary(_states(spark, sf, lambda part: ST.key_counts(part, "PATIENT")))
+    return s.select("n", *[F.round(c, 6).alias(c) for c in s.columns if c != "n"])
+
+
+@register("distinct_from_states", LO["distinct_from_states"])
+def q_distinct_from_states(spark, sf):
+    """Distinct codes and patients from the merged value sets of the loads."""
+    return ST.distinct_counts(_states(spark, sf, lambda part: ST.value_sets(part, ["CODE", "PATIENT"])))
+
+
+@register("corpus_prompts_laid_out", LO["corpus_prompts_laid_out"])
+def q_corpus_prompts_laid_out(spark, sf):
+    """The flagship on timelines laid out by patient, its cutoff from the loads' histograms."""
+    cut = ST.cutoff(_states(spark, sf, ST.day_counts), corpus.CUTOFF_QUANTILE)
+    laid = TL.lay_out(V.conditions(spark, sf), buckets=16)
+    return corpus.corpus_samples(laid, V.patients(spark, sf), False, cutoff=cut.scalar())
+
+
 # ---------------------------------------------------------------- TF-IDF and baseline (M1–M3)
 
 from casebook.operators import tfidf as TF  # noqa: E402

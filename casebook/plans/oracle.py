@@ -1412,3 +1412,31 @@ BASELINE = {
         SELECT true_diagnosis, predicted_diagnosis, count(*) AS n FROM ok GROUP BY ALL""",
         "SELECT doc_id, text, lang AS label FROM documents", LANGUAGE_FEATURES),
 }
+
+
+# ---------------------------------------------------------------- loads one after the other
+
+_EVENT_LOADS = """
+    WITH e AS (SELECT i, CASE WHEN event_id % 101 > 0 THEN event_id END AS Id, user_id,
+                      event_type || '/' || i AS event_type, CASE WHEN i > 0 THEN value END AS value, event_id
+               FROM events, range(0, 3) t(i)
+               WHERE event_id % 3 = i OR event_id % 7 = i OR event_id % 11 = 0),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY i, event_id) AS rn FROM e)"""
+
+LOADS = {
+    "incremental_merge": f"{_EVENT_LOADS} SELECT Id, user_id, event_type, value FROM kept WHERE rn = 1",
+    "incremental_report": f"""{_EVENT_LOADS}
+        SELECT 'part' || i AS load, CAST(count(*) AS BIGINT) AS rows_in,
+               CAST(count(*) FILTER (WHERE rn = 1) AS BIGINT) AS rows_new FROM kept GROUP BY i""",
+    "cutoff_from_states": with_views("SELECT quantile_disc(START, 0.8) AS cutoff FROM conditions", "conditions"),
+    "key_counts_from_states": with_views("""
+        SELECT count(*) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std,
+               CAST(min(n) AS DOUBLE) AS min, round(quantile_cont(n, 0.25), 6) AS q25,
+               round(quantile_cont(n, 0.5), 6) AS q50, round(quantile_cont(n, 0.75), 6) AS q75,
+               CAST(max(n) AS DOUBLE) AS max
+        FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM conditions GROUP BY PATIENT) c""", "conditions"),
+    "distinct_from_states": with_views("""
+        SELECT 'CODE' AS "column", CAST(count(DISTINCT CODE) AS BIGINT) AS n FROM conditions
+        UNION ALL SELECT 'PATIENT', CAST(count(DISTINCT PATIENT) AS BIGINT) FROM conditions""", "conditions"),
+    "corpus_prompts_laid_out": corpus_prompts_sql(False),
+}
