@@ -133,15 +133,15 @@ def per_class(rows: DataFrame, truth: str = "true_diagnosis",
               pred: str = "predicted_diagnosis") -> DataFrame:
     """label, tp, n_true, n_pred over the union of true and predicted labels.
 
-    Each row contributes once as its true label and once as its predicted label; a single
-    grouped sum (map-side partial aggregation, one shuffle) yields all three counts.
+    Equal (truth, prediction) pairs are counted first; each pair then contributes once as its
+    true label and once as its predicted label.
     """
-    hit = (F.col(truth) == F.col(pred)).cast("long")
-    both = rows.select(F.explode(F.array(
-        F.struct(F.col(truth).alias("label"), F.lit(1).cast("long").alias("t"),
-                 F.lit(0).cast("long").alias("p"), hit.alias("h")),
-        F.struct(F.col(pred).alias("label"), F.lit(0).cast("long").alias("t"),
-                 F.lit(1).cast("long").alias("p"), F.lit(0).cast("long").alias("h")))).alias("e"))
+    pairs = rows.groupBy(F.col(truth).alias("_t"), F.col(pred).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    zero, n = F.lit(0).cast("long"), F.col("_n")
+    hit = F.when(F.col("_t") == F.col("_p"), n).otherwise(zero)
+    both = pairs.select(F.explode(F.array(
+        F.struct(F.col("_t").alias("label"), n.alias("t"), zero.alias("p"), hit.alias("h")),
+        F.struct(F.col("_p").alias("label"), zero.alias("t"), n.alias("p"), zero.alias("h")))).alias("e"))
     return (both.where(F.col("e.label").isNotNull())
                 .groupBy(F.col("e.label").alias("label"))
                 .agg(F.sum("e.h").alias("tp"), F.sum("e.t").alias("n_true"),
@@ -161,40 +161,34 @@ def class_report(rows: DataFrame, truth: str = "true_diagnosis",
     r = _ratio(F.col("tp"), F.col("n_true"))
     cls = pc.select("label", p.alias("precision"), r.alias("recall"),
                     _f1(p, r).alias("f1"), F.col("n_true").alias("support"))
-    tot = F.sum("support")
-    avgs = cls.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        _ratio(F.sum(F.col("precision") * F.col("support")), tot).alias("wp"),
-        _ratio(F.sum(F.col("recall") * F.col("support")), tot).alias("wr"),
-        _ratio(F.sum(F.col("f1") * F.col("support")), tot).alias("wf"),
-        tot.cast("long").alias("n"))
-    macro = avgs.select(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"),
-                        F.col("mr").alias("recall"), F.col("mf").alias("f1"),
-                        F.col("n").alias("support"))
-    weighted = avgs.select(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"),
-                           F.col("wr").alias("recall"), F.col("wf").alias("f1"),
-                           F.col("n").alias("support"))
-    out = cls.unionByName(macro).unionByName(weighted)
-    return out.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+    # every class counts for itself, in the macro average with weight 1 and in the weighted one
+    # with its support: one aggregation, no branches
+    one = F.lit(1.0)
+    roles = F.array(*[F.struct(F.lit(i).alias("role"), name.alias("name"), weight.alias("w")) for i, (name, weight) in
+                      enumerate(((F.col("label"), one), (F.lit("macro avg"), one),
+                                 (F.lit("weighted avg"), F.col("support").cast("double"))))])
+    parts = cls.select("precision", "recall", "f1", "support", F.inline(roles))
+    out = parts.groupBy("role", "name").agg(
+        *[_ratio(F.sum(F.col(c) * F.col("w")), F.sum("w")).alias(c) for c in ("precision", "recall", "f1")],
+        F.sum("support").alias("support"))
+    return out.select(F.col("name").alias("label"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
                       F.coalesce(F.col("support"), F.lit(0)).cast("long").alias("support"))
 
 
 def overall_scores(rows: DataFrame, truth: str = "true_diagnosis",
                    pred: str = "predicted_diagnosis") -> DataFrame:
     """accuracy, precision/recall/f1 weighted, f1 macro, n (evaluation summary)."""
-    rep = class_report(rows, truth, pred)
+    weighted, macro = F.col("label") == "weighted avg", F.col("label") == "macro avg"
+    rep = class_report(rows, truth, pred).agg(
+        *[F.max(F.when(weighted, F.col(c))).alias(f"{c}_weighted") for c in ("precision", "recall", "f1")],
+        F.max(F.when(macro, F.col("f1"))).alias("f1_macro"))
     acc = rows.agg(F.count(F.lit(1)).alias("n"),
                    F.count(F.when(F.col(truth) == F.col(pred), 1)).alias("c"))
-    w = rep.where(F.col("label") == "weighted avg").select(
-        F.col("precision").alias("precision_weighted"), F.col("recall").alias("recall_weighted"),
-        F.col("f1").alias("f1_weighted"))
-    m = rep.where(F.col("label") == "macro avg").select(F.col("f1").alias("f1_macro"))
-    return acc.select(F.col("n").cast("long").alias("n"),
-                      F.round(_ratio(F.col("c"), F.col("n")), 6).alias("accuracy"),
-                      w.select("precision_weighted").scalar().alias("precision_weighted"),
-                      w.select("recall_weighted").scalar().alias("recall_weighted"),
-                      w.select("f1_weighted").scalar().alias("f1_weighted"),
-                      m.scalar().alias("f1_macro"))
+    both = acc.unionByName(rep, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.select(F.col("n").cast("long").alias("n"),
+                       F.round(_ratio(F.col("c"), F.col("n")), 6).alias("accuracy"),
+                       "precision_weighted", "recall_weighted", "f1_weighted", "f1_macro")
 
 
 # ---------------------------------------------------------------- A15
