@@ -93,14 +93,18 @@ def exact_quantiles(df: DataFrame, group_cols: list[str], value_col: str, qs: li
     ``total`` adds a row over all groups, with ``is_total`` true (and false in the others)."""
     g = [f"_g{i}" for i in range(len(group_cols))]
     x = F.col(value_col).cast("double")
-    vals = df.select(*[F.col(c).alias(a) for a, c in zip(g, group_cols)], x.alias("x")).where("x IS NOT NULL")
+    # all rows together are a group with a number of its own, so that every join has a key
+    vals = df.select(*[F.col(c).alias(a) for a, c in zip(g, group_cols)], F.lit(0).alias("_all"),
+                     x.alias("x")).where("x IS NOT NULL")
     vals = with_order_key(vals, "x")
-    first = stage(_counts(vals, g, F.shiftright("key", 64 - DIGIT_BITS)))
-    parts = [_select(vals, g, first, qs).withColumn("is_total", F.lit(False))]
+    own = g or ["_all"]
+    first = stage(_counts(vals, own, F.shiftright("key", 64 - DIGIT_BITS)))
+    parts = [_select(vals, own, first, qs).select(*g, "i", "n", "x", F.lit(False).alias("is_total"))]
     if total and g:
-        every = first.groupBy("digit").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        every = stage(first.groupBy(F.lit(0).alias("_all"), "digit").agg(
+            F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
         none = [F.lit(None).cast(vals.schema[c].dataType).alias(c) for c in g]
-        parts.append(_select(vals, [], every, qs).select(*none, "i", "n", "x", F.lit(True).alias("is_total")))
+        parts.append(_select(vals, ["_all"], every, qs).select(*none, "i", "n", "x", F.lit(True).alias("is_total")))
     at = reduce(DataFrame.union, parts).groupBy("is_total", *g, "n").agg(
         *[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"_v{i}") for i in range(2 * len(qs))])
     out = []

@@ -8,7 +8,8 @@ from casebook.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SIDE_EFFECT = {"load_report", "logit_baseline_report", "merge_tables", "csv_parquet_roundtrip",
-               "jsonl_roundtrip", "domain_split_roundtrip", "eval_slice_roundtrip"}
+               "jsonl_roundtrip", "domain_split_roundtrip", "eval_slice_roundtrip", "logit_models",
+               "logit_languages", "typed_ingest", "incremental_merge", "incremental_report"}
 
 
 def _plan(df) -> str:
