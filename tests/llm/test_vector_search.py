@@ -56,18 +56,33 @@ def test_blocks_do_not_change_the_result(spark):
     rows = usable(table(spark, awkward()), False).select(
         "vec_id", F.transform("v", lambda x: F.floor(x * 64).cast("long")).alias("v"))
 
-    def best(qi, q, ri, r):
-        s = topk_taat.accumulate(q, r)
-        s[qi[:, None] == ri[None, :]] = topk_taat.OWN
-        a, b = topk_taat.top_of_block(s, ri, 4)
-        keep = s[a, b] != topk_taat.OWN
-        return a[keep], b[keep], s[a, b][keep]
-
-    runs = [sorted(map(tuple, search(rows, F.col("vec_id") % 20 == 0, 4, "long", best, rb, qb).collect()))
-            for rb, qb in ((1000, 1000), (17, 3))]
+    def prepare(ri, r):
+        postings = topk_taat.Postings(r)
+
+        def best(qi, q):
+            s = postings.scores(q)
+            s[qi[:, None] == ri[None, :]] = topk_taat.OWN
+            a, b = topk_taat.top_of_block(s, ri, 4)
+            keep = s[a, b] != topk_taat.OWN
+            return a[keep], b[keep], s[a, b][keep]
+
+        return best
+
+    runs = [sorted(map(tuple, search(rows, F.col("vec_id") % 20 == 0, 4, "long", prepare, rb, rt, qt).collect()))
+            for rb, rt, qt in ((1000, 1000, 1000), (17, 5, 3))]
     assert runs[0] == runs[1]
 
 
+def test_scores_of_large_weights_are_exact():
+    rng = np.random.default_rng(5)
+    for size in (100, 1 << 20, 1 << 29):
+        q, r = rng.integers(-size, size, (5, 8)), rng.integers(-size, size, (9, 8))
+        r[:, 3] = 0
+        r[1:, 4] = 0
+        want = [[sum(int(a) * int(b) for a, b in zip(x, y)) for y in r] for x in q]
+        assert topk_taat.Postings(r).scores(q).tolist() == want
+
+
 def test_nearest_recall_order_and_ties(spark):
     vectors = awkward(n=400)
     rows = ann_mih.nearest(table(spark, vectors), F.col("vec_id") % 50 == 0, k=5).collect()
@@ -92,10 +107,31 @@ def test_nearest_recall_order_and_ties(spark):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(0)
-    q, r = rng.integers(0, 256, (20, 4), dtype=np.uint8), rng.integers(0, 256, (300, 4), dtype=np.uint8)
+    words = lambda n: rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64)
+    r = words(300)
+    r[100:150] = r[:50] ^ (np.uint64(1) << rng.integers(0, 60, (50, 4)).astype(np.uint64))
+    q = np.concatenate([r[:10], words(10)])
     other = np.ones((20, 300), dtype=bool)
-    far = np.bitwise_count(q[:, None, :] ^ r[None, :, :]).sum(axis=2)
-    for radius in (0, 5, 9, 13):
-        found = ann_mih.within_radius(q, r, other, radius, k=0)
-        assert (found == (far <= radius)).all()
-    assert (ann_mih.within_radius(q, r, other, 0, k=5).sum(axis=1) >= 5).all()
+    far = ann_mih.distances(q, r)
+    index = ann_mih.CodeIndex(r)
+    for radius in (0, 1, 4, 9, 90, 109, 120, 255):
+        assert (index.within(q, other, radius, k=0) == (far <= radius)).all()
+        assert (index.probe(q, radius) >= (far <= radius)).all()
+    assert (index.within(q, other, 0, k=5).sum(axis=1) >= 5).all()
+
+
+def test_the_index_prunes(spark):
+    """Candidates and reranked rows are a small share, with the recall kept."""
+    table_ = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = ann_mih.unit(np.array([r.embedding for r in table_.orderBy("vec_id").collect()], dtype=float))
+    rotations = ann_mih.learn_rotations(x[::2])
+    radius = ann_mih.learn_radius(x[::2], rotations, 5)
+    words, some = ann_mih.codes(x, rotations), np.arange(0, len(x), 50)
+    index = ann_mih.CodeIndex(words)
+    candidates = index.probe(words[some], radius)
+    near = ann_mih.distances(words[some], words) <= radius
+    cosine = x[some] @ x.T
+    cosine[np.arange(len(some)), some] = -2
+    top = np.argsort(-cosine, axis=1)[:, :5]
+    assert candidates.mean() < 0.2 and near.mean() < 0.1
+    assert np.mean([near[i, t].mean() for i, t in enumerate(top)]) > 0.95
