@@ -4,7 +4,8 @@ A text's fingerprint has bit b set when more than half of its shingle hashes hav
 Equal fingerprints meet first (one row per fingerprint from here on).  The distinct
 fingerprints are cut into leaves, each a range of Gray rank: counts of 16-bit prefixes (at
 most 65536 rows) come to the driver, a prefix with more than ``leaf_size`` fingerprints is
-split bit by bit (by further counts where it must), so no leaf is hot whatever the data.  A
+split bit by bit (by further counts, 4 bits at a time: 16 rows for each heavy prefix), so no
+leaf is hot whatever the data.  A
 range of Gray rank that is a leaf shares its leading bits.
 
 The index factors what its members share: members are sorted by Gray rank, every ``FAN``
@@ -39,8 +40,11 @@ from casebook.llm.common import batches_of, chunks, reach_workers, row_key, stag
 from casebook.llm.components import components
 
 LEAF_SIZE = 2048
-#: Leaves sent to the executors: 16 bytes each.
-MAX_LEAVES = 1 << 16
+#: Leaves sent to the executors: 16 bytes each.  Leaves keep their size up to MAX_LEAVES / 2 of them
+#: (10^9 distinct fingerprints) and only grow beyond.
+MAX_LEAVES = 1 << 20
+#: Bits that the first count of prefixes looks at, and by which heavy prefixes are then extended.
+FIRST_BITS, MORE_BITS = 16, 4
 FAN = 16
 #: Shingle hashes whose bits are spread out together (64 bytes each).
 BITS_AT_ONCE = 200_000
@@ -125,11 +129,12 @@ def leaf_masks(depth: np.ndarray) -> np.ndarray:
 
 def plan_leaves(distinct: DataFrame, leaf_size: int) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (left-aligned) and depths of the leaves, in binary order: prefixes with at most
-    ``leaf_size`` fingerprints, none shorter than needed."""
+    ``leaf_size`` fingerprints, none shorter than needed.  A round of counts has at most
+    2^MORE_BITS rows for each prefix that holds more than ``leaf_size`` of the fingerprints."""
     patterns, depths = [], []
     heavy, parent_depth = {0: None}, 0
     while heavy:
-        width = parent_depth + 16
+        width = parent_depth + (MORE_BITS if parent_depth else FIRST_BITS)
         code = F.shiftrightunsigned("fp", 64 - width) if width < 64 else F.col("fp")
         rows = distinct.select(code.alias("p"))
         if parent_depth:
