@@ -35,8 +35,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casebook.llm.common import batches_of, chunks, reach_workers, row_key, stage
+from casebook.llm.common import batches_of, chunks, named, reach_workers, row_key, stage
 
 WINDOW = 35
 ANCHOR = 8
@@ -174,8 +175,9 @@ def _open(held: DataFrame, window: int) -> DataFrame:
 def _cut(held: DataFrame, window: int, keep_layout: bool) -> DataFrame:
     """Verify the marks (start, size, print) of each document and remove what they cover."""
     own_columns = [c for c in held.columns if c not in ("text", "list")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema
-                       if f.name in own_columns)
+    schema = T.StructType([f for f in held.schema if f.name in own_columns]
+                          + T.StructType.fromDDL("n_words long, n_removed long, kept binary, "
+                                                 "spans array<struct<first:int,after:int>>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
@@ -213,8 +215,7 @@ def _cut(held: DataFrame, window: int, keep_layout: bool) -> DataFrame:
                      pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))],
                     names=[*own_columns, "n_words", "n_removed", "kept", "spans"])
 
-    return held.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept binary, "
-                                "spans array<struct<first:int,after:int>>")
+    return held.mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
@@ -226,7 +227,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     reach_workers(docs.sparkSession)
     texts = docs.select("doc_id", row_key().alias("key"),
                         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
-                        *([F.struct(*carry).alias("carried")] if carry else []))
+                        *([F.struct(*map(named, carry)).alias("carried")] if carry else []))
     tagged = stage(_tag(texts, window, anchor))
     # minimizers that can hold a repeated window, and whether their paths branch
     shared = (tagged.groupBy("mini")
