@@ -20,14 +20,14 @@ are joined with the count table by word.
 All texts are read whole, twice: once to count, once to be turned into classes, which are
 staged (two bytes a token) for the training rounds and the scoring.  Null and empty texts are the end token alone.
 Repeated rows are scored alike and count twice in training.  Without training texts every
-word is unknown and the model is uniform.  Other columns are not read.
+word is unknown and the model is uniform.  An empty table gives no rows; a very long text goes
+through the recursion whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -37,9 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.llm.common import batches_of, chunks, ragged, reach_workers, row_key, stage
+from casebook.llm.word_arrays import TextBytes, byte_strings, word_array
 
 STATES = 8
-ROUNDS = 3
+#: Training ends when a round gains less than TOLERANCE (nats a token), after ROUNDS rounds at the latest.
+ROUNDS, TOLERANCE = 30, 0.02
+#: Text whose words are counted together.
+COUNT_BYTES = 4 << 20
 CLASS_WORDS = 1 << 14
 SUFFIXES = 1 << 10
 VOCAB_WORDS = 1 << 18
@@ -60,25 +64,16 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
-def count_words(texts: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(word, n) over all texts; tasks hold at most ``flush`` distinct words and a batch."""
+def count_words(texts: DataFrame) -> DataFrame:
+    """(word, n) over all texts; the words of a chunk are counted together by array work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())],
-                names=["word", "n"])
-            held.clear()
-            return batch
-
         for batch in batches_of(batches):
-            for text in batch.column("text"):
-                held.update(text.as_py().lower().split())
-                if len(held) > flush:
-                    yield out()
-        yield out()
+            for part in chunks(batch, max_bytes=COUNT_BYTES):
+                words, _ = word_array(TextBytes(part.column("text"), lower=True))
+                seen = words.value_counts()
+                yield pa.RecordBatch.from_arrays(
+                    [seen.field("values").cast(pa.binary()), seen.field("counts")], names=["word", "n"])
 
     return (texts.select("text").mapInArrow(run, "word binary, n long")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -93,27 +88,29 @@ class Vocabulary:
         self.place = {blob[a:b]: i for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))}
         self.counts, self.classes, self.class_mass = counts, classes, class_mass
 
-    def encode(self, texts: list[bytes]):
+    def encode(self, column: pa.Array):
         """Flat places in the vocabulary (-1: elsewhere) and classes, an end (place -2, class 0)
-        after each text; tokens per text; the words that are elsewhere, in order."""
-        words = [t.lower().split() for t in texts]
-        n = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        end = np.cumsum(n) - 1
-        flat = [w for ws in words for w in ws]
-        found = np.fromiter(map(self.place.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        after each text; tokens per text; the words that are elsewhere: (text, word, its number
+        in the text), as arrays.  A distinct word of the column is looked up once."""
+        words, row = word_array(TextBytes(column, lower=True))
+        n = np.bincount(row, minlength=len(column)) + 1
+        coded = words.dictionary_encode()
+        own, index = byte_strings(coded.dictionary), coded.indices.to_numpy()
+        found = np.fromiter(map(self.place.get, own, repeat(-1)), dtype=np.int64, count=len(own))
+        kind = np.zeros(len(own), dtype=np.int64)
+        if len(self.classes):
+            kind = np.where(found >= 0, self.classes[np.maximum(found, 0)], 0)
+        rare = np.flatnonzero(found < 0)
+        kind[rare] = [suffix_class(own[i]) for i in rare.tolist()]
         inner = np.ones(int(n.sum()), dtype=bool)
-        inner[end] = False
+        inner[np.cumsum(n) - 1] = False
         place = np.full(len(inner), -2, dtype=np.int64)
-        place[inner] = found
+        place[inner] = found[index]
         classes = np.zeros(len(inner), dtype=np.int64)
-        if len(self.classes):
-            classes[inner] = np.where(found >= 0, self.classes[np.maximum(found, 0)], 0)
-        rare = np.flatnonzero(found < 0)
-        rare_words = [flat[i] for i in rare.tolist()]
-        by_word = {w: suffix_class(w) for w in set(rare_words)}
-        classes[np.flatnonzero(inner)[rare]] = np.fromiter(
-            map(by_word.__getitem__, rare_words), dtype=np.int64, count=len(rare))
-        return place, classes, n, rare_words
+        classes[inner] = kind[index]
+        beyond = found[index] < 0
+        cell, times = np.unique(row[beyond] << 32 | index[beyond], return_counts=True)
+        return place, classes, n, (cell >> 32, coded.dictionary.take(pa.array(cell & 0xFFFFFFFF)), times)
 
 
 _KNOWN: dict = {}
@@ -244,20 +241,22 @@ class Model:
         self.emit = (emit + PRIOR * self.base[:, None]) / (emit.sum(axis=0) + PRIOR)
 
 
-def _expectation(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all training texts (their classes), summed by Spark per class."""
+def _expectation(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts over all training texts (their classes) and their log likelihood, summed by
+    Spark per class."""
     spark = train.sparkSession
     states, n_classes = len(model.start), len(model.emit)
     tables = spark.sparkContext.broadcast(model.tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_classes + states + 1, states))   # emissions, moves, start
+        total = np.zeros((n_classes + states + 2, states))   # emissions, moves, start, log likelihood
         for batch in batches_of(batches):
             for _, classes, n in by_length(batch.column("classes"), BLOCK_TOKENS):
-                started, moved, emitted, _ = expected_counts(n, classes, tables.value)
+                started, moved, emitted, log = expected_counts(n, classes, tables.value)
                 total[:n_classes] += emitted
-                total[n_classes:-1] += moved
-                total[-1] += started
+                total[n_classes:-2] += moved
+                total[-2] += started
+                total[-1] += log
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), *(pa.array(total[some, k]) for k in range(states))],
@@ -267,10 +266,10 @@ def _expectation(train: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray
     summed = (train.select("classes")
               .mapInArrow(run, "row int, " + ", ".join(f"{c} double" for c in columns))
               .groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).toPandas())
-    total = np.zeros((n_classes + states + 1, states))
+    total = np.zeros((n_classes + states + 2, states))
     total[summed["row"].to_numpy()] = summed[columns].to_numpy()
     tables.unpersist()
-    return total[-1], total[n_classes:-1], total[:n_classes]
+    return total[-2], total[n_classes:-2], total[:n_classes], float(total[-1, 0])
 
 
 def _encoded(docs: DataFrame, held_out: Column, shared, ends: int, spread: np.ndarray) -> DataFrame:
@@ -284,7 +283,7 @@ def _encoded(docs: DataFrame, held_out: Column, shared, ends: int, spread: np.nd
         known = _vocabulary(shared)
         for batch in batches_of(batches):
             for part in chunks(batch):
-                place, classes, n, rare_words = known.encode(part.column("text").to_pylist())
+                place, classes, n, (where, rare, times) = known.encode(part.column("text"))
                 first = np.cumsum(n) - n
                 c = np.zeros(len(place))
                 if len(known.counts):
@@ -293,19 +292,15 @@ def _encoded(docs: DataFrame, held_out: Column, shared, ends: int, spread: np.nd
                 there = place != -1
                 weight = np.where(there, np.log10(c + SMOOTH), 0.0)
                 share = np.where(classes > CLASS_WORDS, weight - spread[classes], 0.0)
-                rare, at = [], 0
-                for k in np.add.reduceat((~there).astype(np.int64), first).tolist():
-                    rare.append(Counter(rare_words[at:at + k]))
-                    at += k
-                words = pa.StructArray.from_arrays(
-                    [pa.array([w for x in rare for w in x], pa.binary()),
-                     pa.array([k for x in rare for k in x.values()], pa.int64())], names=["word", "n"])
+                words = pa.StructArray.from_arrays([rare.cast(pa.binary()), pa.array(times, pa.int64())],
+                                                   names=["word", "n"])
+                cuts = np.searchsorted(where, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("key"), part.column("held_out"),
                      ragged(classes.astype(np.int16), n, pa.int16()),
                      pa.array(np.add.reduceat((there & (c > 0)).astype(np.int64), first)),
                      pa.array(np.add.reduceat(weight, first)), pa.array(np.add.reduceat(share, first)),
-                     pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), words)],
+                     pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words)],
                     names=["doc_id", "key", "held_out", "classes", "known", "weight", "share", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -341,7 +336,21 @@ def _forward(encoded: DataFrame, model: Model) -> DataFrame:
              "total double")
 
 
-def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def train_model(train: DataFrame, model: Model, tokens: int, rounds: int, tolerance: float) -> list[float]:
+    """Baum-Welch rounds on staged classes until one gains less than ``tolerance`` (nats a token), at
+    most ``rounds``; returns the log likelihood a token that each round started from."""
+    seen: list[float] = []
+    for _ in range(rounds):
+        *counts, log = _expectation(train, model)
+        seen.append(log / max(tokens, 1))
+        model.update(*counts)
+        if len(seen) > 1 and seen[-1] - seen[-2] < tolerance:
+            break
+    return seen
+
+
+def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int = ROUNDS,
+          tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every
     text; texts with ``held_out`` false are the training texts."""
     spark = docs.sparkSession
@@ -353,11 +362,14 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     ends = train.count()
     n_all, distinct = size["n"] + ends, size["v"] + (ends > 0)
 
-    # the commonest words, by a threshold on the count (at most COUNT_CAP rows reach the driver)
+    # the commonest words, by a threshold on the count: every count up to COUNT_CAP is a level, above
+    # it every power of two, so that some COUNT_CAP rows reach the driver and no level is large
     short = counts.where(F.octet_length("word") <= WORD_BYTES)
-    levels = sorted(((r["c"], r["k"]) for r in short.groupBy(
-        F.least("n", F.lit(COUNT_CAP)).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    least, room = COUNT_CAP + 1, VOCAB_WORDS
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / F.lit(COUNT_CAP)))).cast("long")
+    level = F.when(F.col("n") < COUNT_CAP, F.col("n")).otherwise(F.lit(COUNT_CAP) * power)
+    levels = sorted(((r["c"], r["k"]) for r in short.groupBy(level.alias("c"))
+                     .agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least, room = 1 << 62, VOCAB_WORDS
     for c, k in levels:
         if k > room:
             break
@@ -399,8 +411,8 @@ def score(docs: DataFrame, held_out: Column, states: int = STATES, rounds: int =
     spread = np.log10(class_mass + SMOOTH * (kinds + 1))
     encoded = stage(_encoded(docs, held_out, shared, ends, spread))
     model = Model(class_mass, endings, states)
-    for _ in range(rounds if ends else 0):
-        model.update(*_expectation(encoded.where(~F.col("held_out")), model))
+    if ends:
+        train_model(encoded.where(~F.col("held_out")), model, n_all, rounds, tolerance)
 
     rare = encoded.select("key", F.explode("rare").alias("x")).select("key", "x.word", F.col("x.n").alias("k"))
     joined = rare.join(counts, "word", "left").select(

@@ -54,6 +54,99 @@ def test_words_outside_the_broadcast_are_joined(spark, monkeypatch):
         assert math.isclose(r.base_score, got[i].base_score, rel_tol=1e-9) and r.n_known == got[i].n_known
 
 
+def test_counts_above_the_cap_keep_the_driver_bound(spark, monkeypatch):
+    """Many words beyond COUNT_CAP: the levels above it still leave at most VOCAB_WORDS words."""
+    monkeypatch.setattr(hmm, "COUNT_CAP", 2)
+    monkeypatch.setattr(hmm, "VOCAB_WORDS", 6)
+    texts = [" ".join(f"w{i}" for i in range(40) for _ in range(1 + (i < 20) * 3 + (i < 4) * 40))] * 2
+    rows = hmm.score(documents(spark, texts), F.lit(False)).collect()
+    monkeypatch.undo()
+    plain = hmm.score(documents(spark, texts), F.lit(False)).collect()
+    assert [(r.n_known, r.train_tokens) for r in rows] == [(r.n_known, r.train_tokens) for r in plain]
+    assert all(math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isfinite(a.score)
+               for a, b in zip(rows, plain))
+
+
+def plain_hmm(texts, held_out, states, rounds):
+    """log10 likelihood of every text under a model trained with loops over tokens and states."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    train = [w for w, h in zip(words, held_out) if not h]
+    count = Counter(x for w in train for x in w)
+    listed = sorted(count, key=lambda w: (-count[w], w))
+    number = {w: 1 + i for i, w in enumerate(listed)}
+    size = 1 + hmm.CLASS_WORDS + hmm.SUFFIXES
+    mass, endings = np.zeros(size), np.zeros(size, dtype=np.int64)
+    mass[0] = len(train)
+    for w, i in number.items():
+        mass[i] = count[w]
+        endings[i] = zlib.crc32(w[-2:]) % hmm.SUFFIXES
+    endings[1 + hmm.CLASS_WORDS:] = np.arange(hmm.SUFFIXES)
+    model = hmm.Model(mass, endings, states)
+
+    def lattice(symbols):
+        start, move, emit = model.tables()
+        alpha = [start * emit[symbols[0]]]
+        for s in symbols[1:]:
+            alpha.append((alpha[-1] @ move) * emit[s])
+        beta = [np.ones(states)]
+        for s in symbols[:0:-1]:
+            beta.append(move @ (emit[s] * beta[-1]))
+        return alpha, beta[::-1]
+
+    seen = []
+    for _ in range(rounds):
+        started, moved, emitted, log = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
+        _, move, emit = model.tables()
+        for w in train:
+            symbols = [number[x] for x in w] + [0]
+            alpha, beta = lattice(symbols)
+            total = alpha[-1].sum()
+            log += np.log(total)
+            for t, s in enumerate(symbols):
+                emitted[s] += alpha[t] * beta[t] / total
+                if t:
+                    moved += alpha[t - 1][:, None] * move * (emit[s] * beta[t])[None, :] / total
+            started += alpha[0] * beta[0] / total
+        seen.append(log / (sum(map(len, train)) + len(train)))
+        model.update(started, moved, emitted)
+    out = []
+    for w in words:
+        share, symbols = 0.0, []
+        for x in w:
+            if x in number:
+                symbols.append(number[x])
+            else:
+                symbols.append(hmm.suffix_class(x))
+                share += np.log10(hmm.SMOOTH) - np.log10(hmm.SMOOTH)        # an empty class: its one unknown word
+        out.append(np.log10(lattice(symbols + [0])[0][-1].sum()) + share)
+    return out, seen
+
+
+def test_score_equals_plain_baum_welch_and_forward(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice("The cat sat on a mat and ran".split()) for _ in range(rnd.randint(0, 9)))
+             for _ in range(40)] + [None, "unseen Words here", "the the the"]
+    docs = documents(spark, texts)
+    held_out = [held(i, 10) for i in range(len(texts))]
+    for states, rounds in ((1, 1), (2, 3), (3, 4)):
+        want, _ = plain_hmm(texts, held_out, states, rounds)
+        got = {r.doc_id: r.score for r in hmm.score(docs, fold("doc_id", 10) == 0, states, rounds, 0.0).collect()}
+        for i, w in enumerate(want):
+            assert math.isclose(got[i], w, rel_tol=2e-4, abs_tol=2e-4), (states, texts[i])
+
+
+def test_training_stops_at_the_tolerance(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("red green blue one two three".split()) for _ in range(12)) for _ in range(30)]
+    seen, inner = [], hmm.train_model
+    monkeypatch.setattr(hmm, "train_model", lambda *a: seen.append(inner(*a)) or seen[-1])
+    hmm.score(documents(spark, texts), F.lit(False), 3).collect()
+    gains = np.diff(seen[0])
+    assert (gains > -1e-3).all() and gains[-1] < hmm.TOLERANCE and (gains[:-1] >= hmm.TOLERANCE).all()
+    want = plain_hmm(texts, [False] * 30, 3, len(seen[0]))[1]
+    np.testing.assert_allclose(seen[0], want, rtol=1e-3)
+
+
 def test_training_beats_the_base_on_held_out_texts(spark):
     texts, _ = babble(3, 300)
     rows = hmm.score(documents(spark, texts), fold("doc_id", 10) == 0, states=4, rounds=4).collect()
