@@ -40,11 +40,11 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import CHUNK_BYTES, batches_of, give_back, reach_workers, stage
+from casebook.llm.common import CHUNK_BYTES, batches_of, give_back, named, reach_workers, stage
 
 ORDER = 4
 MAX_NGRAMS = 1 << 18
-MAX_BROADCAST = 1 << 25
+MAX_BROADCAST = 1 << 22
 SPREADS = 18.0
 TO_UNIFORM = 2 / 3
 SHORT = 25
@@ -338,7 +338,7 @@ def judge(docs: DataFrame, held_out: Column, carry: list[str]) -> DataFrame:
     prediction) and rejected of every text; learns from texts whose ``held_out`` is false.  Every text is scored once; the limits
     come from the written scores."""
     identifier, counts = fit(docs.where(~held_out))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("doc"), held_out.alias("held_out"),
+    rows = docs.select(F.struct(*map(named, carry)).alias("doc"), held_out.alias("held_out"),
                        F.when(~held_out, F.col("lang")).alias("lang"), "text",
                        F.lit(None).cast("array<double>").alias("joined"))
     if identifier.joined:
