@@ -41,7 +41,7 @@ from casebook.llm.word_arrays import TextBytes, byte_strings, word_array
 
 STATES = 8
 #: Training ends when a round gains less than TOLERANCE (nats a token), after ROUNDS rounds at the latest.
-ROUNDS, TOLERANCE = 30, 0.02
+ROUNDS, TOLERANCE = 30, 0.06
 #: Text whose words are counted together.
 COUNT_BYTES = 4 << 20
 CLASS_WORDS = 1 << 14
