@@ -7,7 +7,9 @@ works on all and only what the stage before it kept.
 
 Null and empty texts leave at the first stage (no letter).  Repeated rows form one group of
 near duplicates; of every group exactly one row stays, also where ids are null or repeated.
-An empty table passes through as an empty table.  Extra columns of ``docs`` are kept.
+Of rows that share id and text, the one whose other columns (as JSON) come first stays.  A very
+long text goes through every stage whole, as one row.  An empty table passes through as an
+empty table.  Extra columns of ``docs`` are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.sql import functions as F
 
 from casebook.llm import langid_kn, packing, quality_pu, simhash_gray, substring_dedup
 from casebook.llm.catalog import WORD_BPE
-from casebook.llm.common import fold, read, row_key, stage
+from casebook.llm.common import fold, named, read, row_key, stage
 
 #: Names used beside the documents' own columns.
-ROW_KEY = "casebook_row_key"
+ROW_KEY, PIECE, OTHERS = "casebook_row_key", "casebook_piece", "casebook_others"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +44,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash_gray.near_duplicates(docs, shingle=3, limit=2)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     kept = groups.groupBy("root").agg(least.alias("first")).select(F.col("first.key").alias(ROW_KEY))
-    return (docs.withColumn(ROW_KEY, row_key()).join(kept, ROW_KEY, "left_semi")
-            .dropDuplicates([ROW_KEY]).drop(ROW_KEY))
+    rows = docs.withColumn(ROW_KEY, row_key()).join(kept, ROW_KEY, "left_semi")
+    # of rows that share id and text the one whose other columns come first as JSON
+    other = [named(c) for c in docs.columns if c not in ("doc_id", "text")]
+    if not other:
+        return rows.groupBy(ROW_KEY, "doc_id", "text").agg(F.count(F.lit(1))).select(*map(named, docs.columns))
+    one = F.min_by(F.struct(*other), F.to_json(F.struct(*other))).alias(OTHERS)
+    # the rows lie by their key already: no further exchange
+    first = rows.groupBy(ROW_KEY, "doc_id", "text").agg(one)
+    return first.select(*(F.col(c) if c in ("doc_id", "text") else named(c, OTHERS).alias(c)
+                          for c in docs.columns))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +63,17 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     text = F.col("kept").cast("string")
     size = F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("carried.n_chars"))
     new = {"text": text, "n_chars": size}
-    return cut.select(*(new[c].alias(c) if c in new else F.col(f"carried.`{c}`").alias(c)
+    return cut.select(*(new[c].alias(c) if c in new else named(c, "carried").alias(c)
                         for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the remaining documents into sequences of at most 4096 tokens."""
-    cut = packing.pieces(docs, WORD_BPE, capacity=4096, end_id=1)
-    items = stage(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
-    return packing.pack(items, capacity=4096)
+    """Pack the remaining documents into sequences of at most 4096 tokens.  ``ids`` holds each
+    piece's token ids (little-endian 32-bit), to be put at ``offset`` of its sequence."""
+    cut = stage(packing.pieces(docs, WORD_BPE, capacity=4096, end_id=1)
+                .withColumn("ids_crc32", F.crc32("ids")).withColumn(PIECE, F.monotonically_increasing_id()))
+    placed = packing.pack(cut.drop("ids"), capacity=4096)
+    return placed.join(cut.select(PIECE, "ids"), PIECE).drop(PIECE)
 
 
 STAGES = [("language_id", language_id), ("quality", quality), ("near_duplicates", near_duplicates),
