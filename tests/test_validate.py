@@ -62,3 +62,18 @@ def test_emergency_demo(spark):
 def test_quality_report(spark):
     rep = {r.metric: r.n for r in VAL.quality_report(VAL.validate(_recs(spark, VALID, INVALID))).collect()}
     assert rep["valid"] == 1 and rep["invalid"] == 1 and rep["icd10_invalid"] == 2
+
+
+def test_report_checks_every_record_once(spark):
+    """One pass over the dealt-out records gives verdicts and rules; both verdicts are always there."""
+    recs = _recs(spark, VALID, INVALID, EMERGENCY)
+    assert {r.metric: r.n for r in VAL.quality_report(VAL.validate(recs.limit(0))).collect()} == \
+        {"valid": 0, "invalid": 0}
+    plan = VAL.quality_report(VAL.validate(recs))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_patient_records_are_dealt_to_all_cores(spark):
+    from casebook.sources.patient_json import patient_records
+    plan = patient_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
