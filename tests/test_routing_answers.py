@@ -68,6 +68,27 @@ def test_cost_does_not_depend_on_the_number_of_keywords(spark):
     assert {r.note_id: r.agents for r in R.route(df, routes=routes).collect()} == {1: ["many"], 2: [], 3: ["one"]}
 
 
+def test_automaton_stops_when_every_agent_is_found():
+    class Counted:
+        def __init__(self, walk):
+            self.walk, self.hits = walk, 0
+
+        def iter(self, text):
+            for hit in self.walk.iter(text):
+                self.hits += 1
+                yield hit
+
+    found = R.KeywordAutomaton((R.Domain("a", ("one",), "1"), R.Domain("b", ("two",), "2")))
+    found.walk = Counted(found.walk)
+    assert found.agents("one two " + "one " * 1000) == ["1", "2"] and found.walk.hits == 2
+    assert found.agents("one " * 10 + "TWO") == ["1", "2"]
+
+
+def test_fold_case_is_character_by_character():
+    for text in ("\u00c9T\u00c9 \u00fc", "\u039f\u03a3 \u03a3", "\u0130x", "Stra\u00dfe \u1e9e", "\u212a", "\ufb01"):
+        assert R.fold_case(text) == text.translate(R._folds())
+
+
 def test_routes_from_a_table(spark):
     table = spark.createDataFrame([("d", "a b", "1"), ("d", "c", "1"), ("e", "c", "2"), ("d", "", "1"), ("d", "c", "1")],
                                   "domain string, keyword string, agent_id string")
