@@ -73,7 +73,11 @@ def test_report_checks_every_record_once(spark):
     assert plan.count("parseJson") == 1
 
 
-def test_patient_records_are_dealt_to_all_cores(spark):
+def test_patient_records_are_dealt_to_all_cores(spark, tmp_path):
     from casebook.sources.patient_json import patient_records
-    plan = patient_records(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    for name, row, schema in (("customer", (1, 2, "AUTO"), "c_custkey long, c_nationkey int, c_mktsegment string"),
+                              ("nation", (2, "PERU", 3), "n_nationkey int, n_name string, n_regionkey int"),
+                              ("region", (3, "ASIA"), "r_regionkey int, r_name string")):
+        spark.createDataFrame([row], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = patient_records(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
