@@ -8,6 +8,8 @@ result can be checked by its gradient alone.
 All problems advance side by side.  A trust-region Newton search asks either for value and
 gradient at some weights or for a Hessian-vector product (conjugate gradients inside the step);
 one Spark pass over the staged sparse rows answers the open question of every class at once.
+The rows are packed once: some thousand of them lie in one row as plain arrays, which a pass reads
+without taking lists apart value by value.
 A task returns its partial sums as one row, rows are added in two levels (about the square
 root of the number of tasks meet in a task, then on the driver), so neither a task nor the driver
 ever holds more than that many models.  At most ``MODELS_AT_ONCE`` classes share a pass.
@@ -24,11 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from casebook.plans.stage import materialise
 from casebook.session import reach_workers
 
 #: Norm of the gradient at which a search ends, and its limits.
 TOLERANCE, NEWTON_STEPS, CG_STEPS = 1e-7, 60, 200
 MODELS_AT_ONCE = 64
+#: Values (and rows) of one packed block at most, unless one row alone has more.
+BLOCK_VALUES = 1 << 17
+PARTS = {"y": np.int32, "size": np.int32, "cols": np.int32, "vals": np.float64}
 
 
 def search(width: int, c: float, tolerance: float = TOLERANCE) -> Generator:
@@ -61,16 +67,18 @@ def search(width: int, c: float, tolerance: float = TOLERANCE) -> Generator:
         loss, slope = yield w + step, None
         new = 0.5 * float((w + step) @ (w + step)) + c * loss
         expected = -0.5 * (float(g @ step) - float(step @ rest))
-        ratio = (value - new) / max(expected, 1e-300)
+        fresh = w + step + c * slope
+        # near the optimum a gain drowns in the rounding of the values: there the gradient decides
+        told = expected > 1e-12 * max(1.0, abs(value))
+        ratio = (value - new) / expected if told else float(np.linalg.norm(fresh) < norm)
         length = np.linalg.norm(step)
         if ratio < 0.25:
             radius = 0.5 * min(radius, length)
         elif ratio > 0.75:
             radius = max(radius, 2 * length)
         if ratio > 1e-4:
-            w, value = w + step, new
-            g = w + c * slope
-        elif expected <= 1e-15 * max(1.0, abs(value)):
+            w, value, g = w + step, new, fresh
+        elif not told:
             break                                    # no digits left to gain
     return w, float(np.linalg.norm(g))
 
@@ -93,20 +101,37 @@ def _answers(y, row, cols, vals, n, asked: dict, width: int) -> np.ndarray:
     return out
 
 
-def _pass(rows: DataFrame, asked: dict, width: int) -> dict:
-    """Answers to all questions {class: (weights, direction or None)} from one pass over the rows."""
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` (y, cols, vals) in blocks of at most ``BLOCK_VALUES`` values: one binary column per part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("cols").value_lengths().to_numpy(zero_copy_only=False)
+            block = np.cumsum(np.maximum(size, 1)) // BLOCK_VALUES
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
+            for at, after in zip(cuts, cuts[1:]):
+                part = batch.slice(at, after - at)
+                found = {"y": part.column("y"), "size": part.column("cols").value_lengths(),
+                         "cols": part.column("cols").flatten(), "vals": part.column("vals").flatten()}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([found[n].to_numpy(zero_copy_only=False).astype(t).tobytes()], pa.binary())
+                     for n, t in PARTS.items()], names=list(PARTS))
+
+    return rows.select("y", "cols", "vals").mapInArrow(run, ", ".join(f"{n} binary" for n in PARTS))
+
+
+def _pass(blocks: DataFrame, asked: dict, width: int) -> dict:
+    """Answers to all questions {class: (weights, direction or None)} from one pass over the blocks."""
     shape = (len(asked), width + 1)
-    fan = max(1, int(np.sqrt(rows.rdd.getNumPartitions())))
+    fan = max(1, int(np.sqrt(blocks.rdd.getNumPartitions())))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         total = np.zeros(shape)
         for batch in batches:
-            cols = batch.column("cols")
-            n, size = batch.num_rows, cols.value_lengths().to_numpy(zero_copy_only=False)
-            total += _answers(batch.column("y").to_numpy(zero_copy_only=False), np.repeat(np.arange(n), size),
-                              cols.flatten().to_numpy(zero_copy_only=False),
-                              batch.column("vals").flatten().to_numpy(zero_copy_only=False), n, asked, width)
+            for block in zip(*(batch.column(n) for n in PARTS)):
+                y, size, cols, vals = (np.frombuffer(x.as_buffer(), dtype=t) for x, t in zip(block, PARTS.values()))
+                total += _answers(y, np.repeat(np.arange(len(y)), size), cols, vals, len(y), asked, width)
         yield pa.RecordBatch.from_arrays(
             [pa.array([TaskContext.get().partitionId() % fan], pa.int32()), pa.array([total.tobytes()], pa.binary())],
             names=["slot", "total"])
@@ -117,7 +142,7 @@ def _pass(rows: DataFrame, asked: dict, width: int) -> dict:
             total += np.frombuffer(raw.as_buffer(), dtype=np.float64).reshape(shape)
         return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
 
-    sums = (rows.mapInArrow(partial, "slot int, total binary").groupBy("slot")
+    sums = (blocks.mapInArrow(partial, "slot int, total binary").groupBy("slot")
             .applyInArrow(added, "total binary"))
     total = np.zeros(shape)
     for r in sums.toLocalIterator():
@@ -130,14 +155,16 @@ def fit(rows: DataFrame, classes: list[int], features: int, c: float = 1.0,
         tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, int]:
     """(weights, one line per class with the intercept last; gradient norms; passes).
 
-    ``rows`` (y, cols, vals) is read once per pass: pass a staged table."""
+    ``rows`` (y, cols, vals) is read once and packed; each pass reads the packed blocks."""
     reach_workers(rows.sparkSession)
+    # dealt out evenly: a pass lasts as long as its largest task
+    blocks = materialise(packed(rows).repartition(rows.sparkSession.sparkContext.defaultParallelism * 2))
     width, found, passes = features + 1, {}, 0
     for at in range(0, len(classes), MODELS_AT_ONCE):
         searches = {k: search(width, c, tolerance) for k in classes[at:at + MODELS_AT_ONCE]}
         asked = {k: next(s) for k, s in searches.items()}
         while asked:
-            answers, passes = _pass(rows, asked, width), passes + 1
+            answers, passes = _pass(blocks, asked, width), passes + 1
             for k, answer in answers.items():
                 try:
                     asked[k] = searches[k].send(answer)

@@ -67,3 +67,16 @@ def test_search_without_rows_stays_at_zero():
     with pytest.raises(StopIteration) as end:
         s.send((0.0, np.zeros(3)))
     assert end.value.value[0].tolist() == [0, 0, 0]
+
+
+def test_rows_are_packed_once(spark, monkeypatch):
+    """Passes read blocks of plain arrays: a few rows that hold every value, of bounded size."""
+    monkeypatch.setattr(logit, "BLOCK_VALUES", 200)
+    x, y = problem()
+    blocks = logit.packed(frame(spark, x, y)).collect()
+    assert 300 / 200 < len(blocks) < 60
+    assert max(len(b.vals) // 8 for b in blocks) <= 200 + x.shape[1]
+    got = sorted((int(k), int(n)) for b in blocks
+                 for k, n in zip(np.frombuffer(b.y, np.int32), np.frombuffer(b["size"], np.int32)))
+    assert got == sorted((int(k), int((r != 0).sum())) for k, r in zip(y, x))
+    assert np.isclose(sum(np.frombuffer(b.vals).sum() for b in blocks), x.sum())
