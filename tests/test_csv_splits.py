@@ -87,3 +87,18 @@ def test_empty_and_blank_files(spark):
             f.write(text)
     rows = I.read_csv_tolerant(spark, [f"{root}/{n}.csv" for n in "abc"], ["Id", "X"]).collect()
     assert [tuple(r) for r in rows] == [("1", "2")]
+
+
+def test_lines_carry_a_file_number_and_only_quoted_lines_are_looked_at(spark, tmp_path):
+    from casebook.sources import csv_splits as C
+    (tmp_path / "a b+c.csv").write_text('h,i\n1,2\n3,"x\ny"\n')
+    (tmp_path / "d.csv").write_text("h,i\n5,6\n")
+    paths = [str(tmp_path / "a b+c.csv"), str(tmp_path / "d.csv")]
+    lines = C.lines_of(spark, paths)
+    assert "decode" not in lines._jdf.queryExecution().analyzed().toString().lower()
+    states = C.start_states(lines).collect()
+    assert sorted(s.path.rsplit("/", 1)[1] for s in states) == ["a b+c.csv", "d.csv"]
+    assert len({s.file for s in states}) == 2 and not any(s.inside for s in states)
+    got = sorted((r.path.rsplit("/", 1)[1], r.row, r.value) for r in C.records(spark, paths).collect())
+    assert got == [("a b+c.csv", 0, "h,i"), ("a b+c.csv", 1, "1,2"), ("a b+c.csv", 2, '3,"x\ny"'),
+                   ("d.csv", 0, "h,i"), ("d.csv", 1, "5,6")]
