@@ -15,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from casebook.sources.ingest import scratch_dir
 
 BUCKETS = 64
+#: Rows of a bucket, about: a query over the layout groups a whole bucket in one task.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(rows: int, least: int = BUCKETS) -> int:
+    """Number of buckets for a table of so many rows: it grows with the table, a bucket does not."""
+    return max(least, -(-rows // BUCKET_ROWS))
 
 
 def lay_out(conditions: DataFrame, buckets: int = BUCKETS, path: str | None = None,

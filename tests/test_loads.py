@@ -105,3 +105,9 @@ def test_timelines_need_no_exchange_by_patient(spark):
     for part in (corpus.patient_histories(laid, cut), corpus.first_future(laid, cut)):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(PATIENT" not in plan and "Bucketed: true" in plan
+
+
+def test_buckets_grow_with_the_table():
+    from casebook.sources import timeline
+    assert timeline.buckets_for(0, least=16) == timeline.buckets_for(16_000_000, least=16) == 16
+    assert timeline.buckets_for(216_000_000, least=16) == 216
