@@ -39,13 +39,16 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 partitions: int | None = None) -> DataFrame:
     """doc_id, term, tf — raw counts of non-stop-word tokens (whole texts).  ``partitions`` deals the
-    documents out first: for few large files whose row groups are fewer than the cores.
+    documents out by id first, at least that many ways: for few large files whose row groups are
+    fewer than the cores.  The texts are then all that moves: counts and lists per document, grouped
+    by the same id, need no further exchange.
 
     Tokens are the maximal runs of word characters of length >= 2 (split on non-word runs,
     which gives the same tokens as extracting ``TOKEN_PATTERN`` and is cheaper).
     """
     if partitions:
-        docs = docs.select(id_col, text_col).repartition(partitions)
+        ways = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        docs = docs.select(id_col, text_col).repartition(max(partitions, ways), id_col)
     toks = docs.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), NON_WORD)).alias("term"))
     toks = toks.where((F.length("term") >= 2) & ~F.col("term").isin(*english_stop_words()))
     return toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))

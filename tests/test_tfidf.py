@@ -75,3 +75,13 @@ def test_encode_labels_sorted_classes(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "c"), (4, "a"), (5, None)], "id long, label string")
     got = {r.id: r.label_index for r in TF.encode_labels(df).collect()}
     assert got == {1: 1, 2: 0, 3: 2, 4: 0, 5: None}
+
+
+def test_texts_dealt_by_id_are_the_only_exchange(spark):
+    """Counts and lists per document are grouped where the text lies."""
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (1, "beta"), (None, "gamma gamma")], "doc_id long, text string")
+    lists = TF.term_counts(docs, partitions=4).groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("t"))
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange") == 1
+    assert {r.doc_id: sorted((x.term, x.tf) for x in r.t) for r in lists.collect()} == \
+        {1: [("alpha", 2), ("beta", 2)], None: [("gamma", 2)]}
